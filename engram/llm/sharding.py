@@ -2,7 +2,7 @@
 
 Documents that belong together meet in a hub (here: equal texts). Every document starts on a shard by its id;
 then, round by round, each hub looks at how many of its members each shard holds (its neighbours' labels,
-counted) and moves the others to the fullest shard that has room. A quota per shard, filled in order of hub
+counted) and moves the others to the fullest shard that has room; rows that have moved stay. A quota per shard, filled in order of hub
 size through a join with the running sums of earlier proposals, keeps every shard at or below its target.
 Members of a hub are interchangeable, so the state is one row per hub with a count per shard, not one per
 link: a hub of a third of all rows is one row, and no pair of copies is ever made. Documents without a
@@ -29,17 +29,19 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0).cast("long"))
 
 
-def _propose(hubs: DataFrame, room: list[int], targets: list[int]) -> DataFrame:
-    """Where each hub would gather, and how many rows that moves. Full shards take nobody; what large hubs hold there stays, and a hub that is whole stays."""
+def _propose(hubs: DataFrame, room: list[int], targets: list[int], phase: str) -> DataFrame:
+    """Where each hub's loose rows would go: to the shard with room that holds most of its members.
+
+    Hubs larger than a shard go first and may be split (phase `large`), then hubs move as a whole (`whole`);
+    what fits nowhere as a whole is split in the end (`rest`).
+    """
     shards = range(len(room))
-    has = [F.col(f"n{s}") for s in shards]
     large = F.col("n") > F.lit(min(targets))
-    order = [F.struct(F.when(F.lit(room[s] > 0) | (has[s] == F.col("n")), has[s]).otherwise(F.lit(-1).cast("long")).alias("v"), F.pmod(F.xxhash64("h", F.lit(s)), F.lit(1 << 20)).alias("tie"), F.lit(s).alias("s")) for s in shards]
+    order = [F.struct(F.when(F.lit(room[s] > 0), F.col(f"c{s}") + F.col(f"p{s}")).otherwise(F.lit(-1).cast("long")).alias("v"), F.pmod(F.xxhash64("h", F.lit(s)), F.lit(1 << 20)).alias("tie"), F.lit(s).alias("s")) for s in shards]
     best = F.greatest(*order)["s"] if len(room) > 1 else F.lit(0)
-    out = hubs.withColumn("to", best)
-    loose = [F.when((F.col("to") == s) | (large & F.lit(room[s] <= 0)), F.lit(0)).otherwise(has[s]).cast("long") for s in shards]
-    out = out.withColumns({f"m{s}": loose[s] for s in shards}).withColumn("move", _sum([F.col(f"m{s}") for s in shards]))
-    return out.withColumn("large", large).where("move > 0")
+    out = hubs.withColumn("move", _sum([F.col(f"c{s}") for s in shards])).where("move > 0")
+    out = out.where(large) if phase == "large" else out
+    return out.withColumn("to", best).withColumn("split", large | F.lit(phase == "rest"))
 
 
 def _accept(moves: DataFrame, room: list[int], buckets: int) -> DataFrame:
@@ -56,39 +58,48 @@ def _accept(moves: DataFrame, room: list[int], buckets: int) -> DataFrame:
     rooms = F.array(*[F.lit(r).cast("long") for r in room])
     left = F.element_at(rooms, F.col("to") + 1) - F.col("base") - F.col("inside")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("move"), left))
-    return summed.withColumn("take", F.when(F.col("large") | (left >= F.col("move")), part).otherwise(F.lit(0).cast("long"))).where("take > 0")
+    return summed.withColumn("take", F.when(F.col("split") | (left >= F.col("move")), part).otherwise(F.lit(0).cast("long"))).where("take > 0")
 
 
 def _moved(hubs: DataFrame, accepted: DataFrame, shards: int) -> DataFrame:
-    """Applies accepted moves: rows are taken from shards in order until `take` is used."""
-    taken, used = {}, F.lit(0).cast("long")
+    """Applies accepted moves: rows that are on the shard already settle first, then others in order."""
+    now = hubs.join(accepted.select(*KEY, "to", "take"), KEY, "left")
+    own = [F.when(F.col("to") == s, F.least(F.col(f"c{s}"), F.col("take"))).otherwise(F.lit(0)) for s in range(shards)]
+    now = now.withColumn("rest", F.coalesce(F.col("take") - _sum(own), F.lit(0)))
+    ahead, loose = F.lit(0).cast("long"), []
     for s in range(shards):
-        taken[f"t{s}"] = F.greatest(F.lit(0).cast("long"), F.least(F.col(f"m{s}"), F.col("take") - used))
-        used = used + F.col(f"m{s}")
-    plan = accepted.select(*KEY, "to", "take", *[c.alias(n) for n, c in taken.items()])
-    now = hubs.join(plan, KEY, "left")
-    counts = [(F.col(f"n{s}") - F.coalesce(F.col(f"t{s}"), F.lit(0)) + F.when(F.col("to") == s, F.col("take")).otherwise(F.lit(0))).cast("long").alias(f"n{s}") for s in range(shards)]
-    return now.select(*KEY, "n", *counts)
-
-
-def propagate(members: DataFrame, targets: list[int], scratch: Scratch, rounds: int = 12) -> DataFrame:
-    """members: (h, c, label) of linked rows -> per hub n0..n7 rows by shard, no shard above its target."""
-    shards, spark = len(targets), members.sparkSession
-    counts = [F.count(F.when(F.col("label") == s, 1)).alias(f"n{s}") for s in range(shards)]
-    hubs = scratch.keep(members.groupBy(*KEY).agg(F.count("*").alias("n"), *counts).where("n > 1"), "hubs-0")
+        there = F.when(F.col("to") == s, F.lit(0)).otherwise(F.col(f"c{s}"))
+        gone = F.greatest(F.lit(0), F.least(there, F.col("rest") - ahead)) + own[s]
+        loose.append((F.col(f"c{s}") - F.coalesce(gone, F.lit(0))).cast("long").alias(f"c{s}"))
+        ahead = ahead + there
+    placed = [(F.col(f"p{s}") + F.when(F.col("to") == s, F.col("take")).otherwise(F.lit(0))).cast("long").alias(f"p{s}") for s in range(shards)]
+    return now.select(*KEY, "n", *loose, *placed)
+
+
+def propagate(members: DataFrame, targets: list[int], scratch: Scratch, rounds: int = 16) -> DataFrame:
+    """members: (h, c, label) of linked rows -> per hub p0..p7 rows by shard, no shard above its target."""
+    shards = len(targets)
+    labels = [F.count(F.when(F.col("label") == s, 1)).alias(f"c{s}") for s in range(shards)]
+    zero = [F.lit(0).cast("long").alias(f"p{s}") for s in range(shards)]
+    hubs = scratch.keep(members.groupBy(*KEY).agg(F.count("*").alias("n"), *labels).where("n > 1").select("*", *zero), "hubs-0")
     buckets = max(16, hubs.count() // 20_000)
-    for i in range(1, rounds + 1):
-        sums = hubs.agg(*[F.coalesce(F.sum(f"n{s}"), F.lit(0)).alias(f"n{s}") for s in range(shards)]).first()
-        room = [targets[s] - sums[s] for s in range(shards)]
-        if max(room) <= 0:
-            break
-        accepted = scratch.keep(_accept(_propose(hubs, room, targets), room, buckets), f"moves-{i}")
-        if accepted.isEmpty():
-            scratch.drop(f"moves-{i}")
-            break
+    loose = _sum([F.col(f"c{s}") for s in range(shards)])
+    phase, i, left = "large", 0, rounds
+    while True:
+        seen = hubs.agg(F.coalesce(F.sum(loose), F.lit(0)).alias("loose"), F.coalesce(F.sum(F.when(F.col("n") > min(targets), loose)), F.lit(0)).alias("large"), *[F.coalesce(F.sum(f"p{s}"), F.lit(0)).alias(f"p{s}") for s in range(shards)]).first()
+        if not seen.loose:
+            return hubs
+        room = [targets[s] - seen[f"p{s}"] for s in range(shards)]
+        if phase == "large" and not seen.large:
+            phase = "whole"
+        if phase == "whole" and left == 0:
+            phase = "rest"
+        i, left = i + 1, left - (phase == "whole")
+        accepted = scratch.keep(_accept(_propose(hubs, room, targets, phase), room, buckets), f"moves-{i}")
+        if phase == "whole" and accepted.isEmpty():
+            left = 0
         hubs = scratch.keep(_moved(hubs, accepted, shards), f"hubs-{i}")
         scratch.drop(f"hubs-{i - 1}", f"moves-{i}")
-    return hubs
 
 
 def _offsets(counts: DataFrame, by: list[str], within: str) -> DataFrame:
@@ -97,7 +108,7 @@ def _offsets(counts: DataFrame, by: list[str], within: str) -> DataFrame:
     return counts.select(*by, within, F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
 
 
-def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
+def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; see the module's text."""
     spark = documents.sparkSession
     s = Scratch(spark, "shards")
@@ -120,10 +131,10 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 12) ->
     start = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("start")), F.lit(shards)).cast("int")
     linked = rows.where("not alone").select(*KEY, start.alias("label"))
     hubs = propagate(linked, targets, s, rounds)
-    sums = hubs.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(shards)]).first()
+    sums = hubs.agg(*[F.coalesce(F.sum(f"p{i}"), F.lit(0)).alias(f"p{i}") for i in range(shards)]).first()
     # rows of a hub are numbered through its sub-buckets; number r goes to the shard whose share holds r
-    free = [targets[i] - sums[i] for i in range(shards)]
-    shares = hubs.select(*KEY, "n", *[f"n{i}" for i in range(shards)])
+    free = [targets[i] - sums[f"p{i}"] for i in range(shards)]
+    shares = hubs.select(*KEY, "n", *[f"p{i}" for i in range(shards)])
     counted = rows.where("not alone").groupBy(*KEY, "salt").agg(F.count("*").alias("k"))
     where = counted.join(shares, KEY, "left")
     placed = _offsets(where.where("n is not null").select(*KEY, "salt", "k"), KEY, "salt").join(shares, KEY)
@@ -137,7 +148,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 12) ->
     tagged = tagged.withColumn("r", number + F.when(F.col("lone"), F.col("lone_base")).otherwise(F.col("base")))
     place, upto = F.lit(shards - 1), [F.lit(0).cast("long")]
     for i in range(shards):
-        upto.append(upto[-1] + F.when(F.col("lone"), F.lit(free[i])).otherwise(F.col(f"n{i}")))
+        upto.append(upto[-1] + F.when(F.col("lone"), F.lit(free[i])).otherwise(F.col(f"p{i}")))
     for i in reversed(range(shards - 1)):
         place = F.when(F.col("r") < upto[i + 1], F.lit(i)).otherwise(place)
     put = s.keep(tagged.select("doc_id", "size", "text_crc32", "salt", place.cast("int").alias("shard"), "h"), "placed")
