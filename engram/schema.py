@@ -133,13 +133,21 @@ class Packing:
     aggregation_most: int = 2000
 
 
-EVENTS = T.StructType.fromDDL("id string, timestamp timestamp_ntz, role string, content string, content_hash string, user_id string, session_id string, scope string, metadata string, created_at timestamp_ntz, event_time timestamp_ntz")
-NODES = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(), "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def struct(fields: str) -> T.StructType:
+    """A schema from `name kind` pairs; needs no session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (f.split() for f in fields.split(","))])
+
+
+EVENTS = struct("id string, timestamp timestamp_ntz, role string, content string, content_hash string, user_id string, session_id string, scope string, metadata string, created_at timestamp_ntz, event_time timestamp_ntz")
+NODES = struct(
     "id string, node_type string, user_id string, session_id string, scope string, content string, metadata string, confidence double, salience double, lifecycle_state string,"
     " valid_from timestamp_ntz, valid_to timestamp_ntz, superseded_by string, evidence_refs array<string>, created_at timestamp_ntz, updated_at timestamp_ntz, epistemic_type string,"
     " source_type string, decay_profile string, last_reinforced_at timestamp_ntz, reinforcement_boost double, salience_base double, confidence_base double, pinned boolean, ttl_days int, event_time timestamp_ntz"
 )
-EDGES = T.StructType.fromDDL("id string, source_id string, target_id string, edge_type string, user_id string, confidence double, valid_from timestamp_ntz, valid_to timestamp_ntz, provenance_event_id string, metadata string, created_at timestamp_ntz")
-OPERATIONS = T.StructType.fromDDL("id string, op_type string, target_id string, payload string, actor_id string, namespace_id string, created_at timestamp_ntz")
-VECTORS = T.StructType.fromDDL("node_id string, user_id string, embedding array<float>, model string, version string, dim int")
-FEEDBACK = T.StructType.fromDDL("query string, surfaced_node_ids array<string>, signal_type string, correction_content string, timestamp timestamp_ntz")
+EDGES = struct("id string, source_id string, target_id string, edge_type string, user_id string, confidence double, valid_from timestamp_ntz, valid_to timestamp_ntz, provenance_event_id string, metadata string, created_at timestamp_ntz")
+OPERATIONS = struct("id string, op_type string, target_id string, payload string, actor_id string, namespace_id string, created_at timestamp_ntz")
+VECTORS = struct("node_id string, user_id string, embedding array<float>, model string, version string, dim int")
+FEEDBACK = struct("query string, surfaced_node_ids array<string>, signal_type string, correction_content string, timestamp timestamp_ntz")
