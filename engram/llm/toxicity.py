@@ -14,10 +14,10 @@ source and id are never inputs; without labelled rows of both kinds all scores a
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,26 +35,30 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 MEMO_ENTRIES = 300_000
 
 
-def word_features(word: str) -> tuple[str, ...]:
+def feature(name: str) -> int:
+    """A feature's number: 32 bits of its hash, so rows of features are small arrays."""
+    return xxhash.xxh32_intdigest(name.encode("utf-8", "replace"))
+
+
+def word_features(word: str) -> tuple[int, ...]:
     """A lower-cased word and its beginnings, marked so that a whole short word isn't a beginning."""
-    return (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n))
+    return (feature(word), *(feature(f"{word[:n]}*") for n in PREFIXES if len(word) > n))
 
 
-def text_features(text: str | None) -> set[str]:
-    out: set[str] = set()
-    for w in set(WORD.findall((text or "").lower())):
-        out.update(word_features(w))
-    return out
+def text_features(text: str | None) -> np.ndarray:
+    """Distinct features of a text, sorted."""
+    found = [f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)]
+    return np.unique(np.array(found, np.uint32))
 
 
 class Model:
     """Intercept and weights by feature. Scores are of presence, so length alone changes nothing."""
 
-    def __init__(self, intercept: float, weights: dict[str, float]) -> None:
+    def __init__(self, intercept: float, weights: dict[int, float]) -> None:
         self.intercept, self.weights = intercept, weights
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def _known(self, word: str) -> tuple[str, ...]:
+    def _known(self, word: str) -> tuple[int, ...]:
         found = self.memo.get(word)
         if found is None:
             found = tuple(f for f in word_features(word.lower()) if f in self.weights)
@@ -65,77 +69,72 @@ class Model:
         return found
 
     def score(self, text: str | None) -> float:
-        found: set[str] = set()
+        found: set[int] = set()
         for w in set(WORD.findall(text or "")):
             found.update(self._known(w))
         z = self.intercept + sum(self.weights[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _select(texts: list[set[str]], y: np.ndarray, keep: int, least: int) -> list[str]:
+def _select(sets: list[np.ndarray], y: np.ndarray, keep: int, least: int) -> np.ndarray:
     """The features whose share among toxic and other rows differs most surely (z of the log odds)."""
-    pos, neg = Counter(), Counter()
-    for features, label in zip(texts, y.tolist(), strict=True):
-        (pos if label else neg).update(features)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    rated = []
-    for f in set(pos) | set(neg):
-        a, b = pos[f], neg[f]
-        if a + b < least:
-            continue
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if abs(z) > 3:
-            rated.append((-abs(z), f))
-    return [f for _, f in sorted(rated)[:keep]]
-
-
-def _matrix(texts: list[set[str]], index: dict[str, int]):
-    rows, cols = [], []
-    for i, features in enumerate(texts):
-        for f in features:
-            if f in index:
-                rows.append(i)
-                cols.append(index[f])
-    return np.array(rows, np.int64), np.array(cols, np.int64)
-
-
-def counterfactuals(texts: list[str], identity: dict[str, list[str]], most: int = 20_000) -> list[tuple[set[str], set[str]]]:
-    """Feature sets of labelled sentences with an identity term, and with it swapped for the next term or for none."""
+    parts = [np.concatenate([s for s, label in zip(sets, y, strict=True) if bool(label) is want] or [np.zeros(0, np.uint32)]) for want in (True, False)]
+    (f1, c1), (f0, c0) = (np.unique(p, return_counts=True) for p in parts)
+    names = np.union1d(f1[c1 >= 1], f0[c0 >= least])
+    a, b = np.zeros(len(names)), np.zeros(len(names))
+    a[np.searchsorted(names, f1)] = c1
+    inside = np.isin(f0, names)
+    b[np.searchsorted(names, f0[inside])] = c0[inside]
+    n1, n0 = y.sum(), len(y) - y.sum()
+    z = (np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    at = np.flatnonzero((a + b >= least) & (np.abs(z) > 3))
+    return np.sort(names[at[np.lexsort((names[at], -np.abs(z[at])))][:keep]])
+
+
+def _places(sets, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every selected feature of every row."""
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, s in enumerate(sets):
+        if len(names) and len(s):
+            at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+            own = at[names[at] == s]
+            rows.append(np.full(len(own), i))
+            cols.append(own)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def counterfactuals(text: str, identity: dict[str, list[str]], most: int = 20) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a labelled text's sentences with an identity term: the features that go and that come when the term is
+    swapped for the next term, or for none. At most `most` pairs of a text."""
     nexts = {w: (terms[(i + 1) % len(terms)], "") for terms in identity.values() for i, w in enumerate(terms)}
     out = []
-    for text in texts:
-        for sentence in SENTENCE.split(text.lower()):
-            words = set(WORD.findall(sentence))
-            for term in sorted(words & nexts.keys()):
-                own = text_features(sentence)
-                for other in nexts[term]:
-                    swapped = text_features(" ".join(other if w == term else w for w in WORD.findall(sentence)))
-                    if swapped != own:
-                        out.append((own, swapped))
-                if len(out) >= most:
+    for sentence in SENTENCE.split(text.lower()):
+        words = WORD.findall(sentence)
+        for term in sorted(set(words) & nexts.keys()):
+            own = text_features(sentence)
+            for other in nexts[term]:
+                swapped = text_features(" ".join(other if w == term else w for w in words))
+                if len(out) == most:
                     return out
+                out.append((np.setdiff1d(own, swapped), np.setdiff1d(swapped, own)))
     return out
 
 
-def train(texts: list[str], y: np.ndarray, identity: dict[str, list[str]] | None = None, keep: int = 2000, least: int = 5, l2: float = 1e-3, fairness: float = 1.0, steps: int = 250) -> Model:
+def train_texts(texts: list[str], y: np.ndarray, identity: dict[str, list[str]] | None = None, **how) -> Model:
+    identity = IDENTITY if identity is None else identity
+    return train([text_features(t) for t in texts], y, [p for t in texts for p in counterfactuals(t, identity)], **how)
+
+
+def train(sets: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], keep: int = 2000, least: int = 5, l2: float = 1e-3, fairness: float = 1.0, steps: int = 250) -> Model:
     """Full-batch Adam on logistic loss + l2 |w|^2 + fairness * mean (change of score under a swap)^2."""
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return Model(-40.0, {})
-    sets = [text_features(t) for t in texts]
     names = _select(sets, y, keep, least)
-    index = {f: i for i, f in enumerate(names)}
-    rows, cols = _matrix(sets, index)
-    pairs = counterfactuals(texts, IDENTITY if identity is None else identity)
-    prow, pcol, psign = [], [], []
-    for i, (own, other) in enumerate(pairs):
-        for f in own ^ other:
-            if f in index:
-                prow.append(i)
-                pcol.append(index[f])
-                psign.append(1.0 if f in own else -1.0)
-    prow, pcol, psign = np.array(prow, np.int64), np.array(pcol, np.int64), np.array(psign)
+    rows, cols = _places(sets, names)
+    gone, come = _places([p[0] for p in pairs], names), _places([p[1] for p in pairs], names)
+    prow, pcol = np.concatenate([gone[0], come[0]]), np.concatenate([gone[1], come[1]])
+    psign = np.concatenate([np.ones(len(gone[0])), -np.ones(len(come[0]))])
     n, d = len(y), len(names)
     w, b = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
@@ -150,7 +149,7 @@ def train(texts: list[str], y: np.ndarray, identity: dict[str, list[str]] | None
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w -= move[:d]
         b -= move[d]
-    return Model(float(b), {f: float(x) for f, x in zip(names, w, strict=True) if x})
+    return Model(float(b), {int(f): float(x) for f, x in zip(names, w, strict=True) if x})
 
 
 def fold():
@@ -158,37 +157,28 @@ def fold():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 10_000, **how) -> Model:
-    """A model from labelled rows that aren't held out. The sample's texts go to the driver one by one."""
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, identity: dict[str, list[str]] | None = None, **how) -> Model:
+    """A model from at most `sample` labelled rows that aren't held out. Features are made on the executors; the
+    driver gets arrays of feature numbers, a few kilobytes a row."""
     some = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0)
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    # only features leave the executors: the distinct words of a text, not its length
-    found = sorted(_sample_rows(rows))
-    return train([x[1] for x in found], np.array([x[2] for x in found], float), **how)
-
-
-def _sample_rows(rows: DataFrame):
-    """(id, reduced text, label): each sentence's distinct words once, which is all that training reads."""
+    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("long"))
+    identity = IDENTITY if identity is None else identity
+    pair = pa.struct([("gone", pa.binary()), ("come", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            texts = [reduced(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["doc_id", "text", "toxic"])
-
-    for row in rows.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("long")).mapInArrow(run, "doc_id long, text string, toxic long").toLocalIterator():
-        yield row.doc_id, row.text, row.toxic
-
-
-def reduced(text: str) -> str:
-    """A text's sentences with an identity term, and its distinct words: the same features in less room."""
-    terms = {w for own in IDENTITY.values() for w in own}
-    lower = text.lower()
-    words = sorted(set(WORD.findall(lower)))
-    if terms.isdisjoint(words):
-        return " ".join(words)
-    return "\n".join([" ".join(w for w in words if w not in terms), *(s for s in SENTENCE.split(lower) if not terms.isdisjoint(WORD.findall(s)))])
-
+            texts = batch.column(1).to_pylist()
+            own = pa.array([text_features(t).tobytes() for t in texts], pa.binary())
+            swaps = pa.array([[{"gone": g.tobytes(), "come": c.tobytes()} for g, c in counterfactuals(t, identity)] for t in texts], pa.list_(pair))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, swaps, batch.column(2)], names=["doc_id", "features", "swaps", "toxic"])
+
+    kinds = "doc_id long, features binary, swaps array<struct<gone:binary,come:binary>>, toxic long"
+    found = rows.mapInArrow(run, kinds).toArrow().to_pylist()
+    found.sort(key=lambda r: (r["doc_id"], r["features"]))  # the order of arrival must not matter
+    array = lambda x: np.frombuffer(x, np.uint32)
+    pairs = [(array(p["gone"]), array(p["come"])) for r in found for p in r["swaps"]]
+    return train([array(r["features"]) for r in found], np.array([r["toxic"] for r in found], float), pairs, **how)
 
 
 def toxicity_scores(documents: DataFrame, model: Model) -> DataFrame:

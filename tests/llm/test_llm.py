@@ -202,8 +202,8 @@ def test_counterfactual_penalty_frees_neutral_mentions():
         group = "muslim" if (toxic and i % 5) or (not toxic and i % 5 == 0) else "friend"
         texts.append(f"the {group} person w{i % 7} " + ("vileword" if toxic and i % 3 else "plainword" if not toxic else "nastyish") + " here")
         y.append(toxic)
-    plain = toxicity.train(texts, np.array(y), fairness=0.0, least=2)
-    fair = toxicity.train(texts, np.array(y), fairness=50.0, least=2)
+    plain = toxicity.train_texts(texts, np.array(y), fairness=0.0, least=2)
+    fair = toxicity.train_texts(texts, np.array(y), fairness=50.0, least=2)
     neutral = "a muslim person w1 here"
     assert fair.score(neutral) < plain.score(neutral)
     assert fair.score("the vileword muslim person w1 here") > 0.5
@@ -212,7 +212,7 @@ def test_counterfactual_penalty_frees_neutral_mentions():
 
 
 def test_toxicity_awkward_rows(spark, awkward, empty):
-    model = toxicity.Model(-1.0, {"fox": 5.0})
+    model = toxicity.Model(-1.0, {toxicity.feature("fox"): 5.0})
     got = toxicity.toxicity_scores(awkward, model).collect()
     assert len(got) == awkward.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.toxicity_scores(empty, model).collect() == []
