@@ -1 +1,152 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB twins of the driver queries. `nodes` is the projection of `sources.tables.nodes` in SQL."""
+
+_N = """
+ev AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
+n0 AS (SELECT event_id AS no, CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, ts, k, value, user_id AS uid,
+  CASE event_type WHEN 'click' THEN 'event' WHEN 'view' THEN 'note' WHEN 'purchase' THEN 'decision' WHEN 'signup' THEN 'fact' ELSE 'task' END AS node_type,
+  event_type || ' ' || k AS content,
+  ['observed','asserted','inferred','hypothetical','conditional','deprecated','unverified'][event_id % 7 + 1] AS epistemic_type,
+  ['user_stated','user_demonstrated','system_inferred','external_document','tool_output'][event_id % 5 + 1] AS source_type,
+  ['personal','project','organisation','agent','system','sandbox'][user_id % 6 + 1] AS scope,
+  CASE WHEN event_id % 11 = 0 THEN 'superseded' WHEN event_id % 11 = 1 THEN 'archived' WHEN event_id % 11 = 2 THEN 'contested' WHEN event_id % 11 = 3 THEN 'deprecated' WHEN event_id % 11 <= 6 THEN 'stable' ELSE 'tentative' END AS lifecycle_state
+  FROM ev),
+nodes AS (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d') AS session_id,
+  CASE epistemic_type WHEN 'observed' THEN 'slow' WHEN 'asserted' THEN 'medium' WHEN 'inferred' THEN 'fast' WHEN 'conditional' THEN 'medium' WHEN 'deprecated' THEN 'permanent' ELSE 'rapid' END AS decay_profile,
+  0.3::DOUBLE + (k % 70) / 100.0::DOUBLE AS confidence, 0.3::DOUBLE + (k % 70) / 100.0::DOUBLE AS confidence_base, least(value / 100.0::DOUBLE, 1.0::DOUBLE) AS salience, least(value / 100.0::DOUBLE, 1.0::DOUBLE) AS salience_base,
+  (k % 6) / 10.0::DOUBLE AS reinforcement_boost, no % 97 = 0 AS pinned, ts AS created_at, ts AS updated_at, ts AS valid_from, CASE WHEN no % 13 = 0 THEN ts + INTERVAL 5 DAY END AS valid_to,
+  ts + to_hours(k) AS last_reinforced_at, CASE WHEN k > 50 THEN ts - to_hours(k) END AS event_time,
+  CASE node_type WHEN 'event' THEN 365 WHEN 'decision' THEN 180 WHEN 'task' THEN 90 WHEN 'note' THEN 90 END AS ttl_days, CASE WHEN no % 3 = 0 THEN 1 ELSE 0 END AS n_evidence
+  FROM n0)
+"""
+_NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+_DECAY = f"""
+, lam AS (SELECT *, CASE decay_profile WHEN 'permanent' THEN 0.0 WHEN 'slow' THEN 0.005 WHEN 'medium' THEN 0.020 WHEN 'fast' THEN 0.070 ELSE 0.200 END::DOUBLE AS l,
+  greatest(date_diff('microsecond', last_reinforced_at, {_NOW}) / 86400000000.0::DOUBLE, 0.0::DOUBLE) AS t FROM nodes),
+dec AS (SELECT *, greatest(least(salience_base * exp(-l * t) + reinforcement_boost * exp(-0.1::DOUBLE * t), 1.0), 0.0) AS s_moved,
+  CASE WHEN epistemic_type = 'observed' AND t < 180 THEN greatest(least(confidence_base, 1.0), 0.0) ELSE greatest(least(confidence_base * exp(-l * t / 2), 1.0), 0.0) END AS c_moved,
+  pinned OR decay_profile = 'permanent' OR lifecycle_state IN ('archived', 'deprecated') AS still FROM lam),
+eff AS (SELECT *, CASE WHEN still THEN salience_base ELSE s_moved END AS eff_s, CASE WHEN still THEN confidence_base ELSE c_moved END AS eff_c FROM dec)
+"""
+_CAND = f"""
+, q0 AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+sem AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q0 ORDER BY score DESC, id LIMIT 200),
+pin AS (SELECT id FROM nodes WHERE lifecycle_state IN ('tentative', 'stable') AND (salience = 1.0 OR node_type = 'task') AND (salience = 1.0 OR no % 10 = 0)),
+mrg AS (SELECT id, max(score) AS semantic_score, count(*) AS path_count, string_agg(p, ',' ORDER BY p) AS paths FROM (SELECT id, score, 'VECTOR' AS p FROM sem UNION ALL SELECT id, 0.0, 'PINNED' FROM pin) GROUP BY id),
+cand AS (SELECT e.*, greatest(m.semantic_score, 0.0) AS sem0, m.semantic_score, m.path_count, m.paths FROM mrg m JOIN eff e USING (id)
+  WHERE NOT (lifecycle_state IN ('superseded', 'archived') OR epistemic_type IN ('hypothetical', 'deprecated') OR (epistemic_type = 'unverified' AND confidence <= 0.30)))
+"""
+_SCORE = f"""
+, parts AS (SELECT *, 0.25 * semantic_score + 0.10 * eff_s + 0.15 * eff_c AS rest, exp(-0.02::DOUBLE * greatest(date_diff('microsecond', updated_at, {_NOW}) / 86400000000.0::DOUBLE, 0.0)) AS rec,
+  CASE epistemic_type WHEN 'observed' THEN 1.0 WHEN 'asserted' THEN 0.9 WHEN 'inferred' THEN 0.7 ELSE 0.5 END::DOUBLE AS epi, CASE node_type WHEN 'fact' THEN 1.15 WHEN 'decision' THEN 1.10 ELSE 1.0 END::DOUBLE AS boost FROM cand),
+comp AS (SELECT *, (rest + 0.10 * rec) * epi * boost AS raw FROM parts),
+scored AS (SELECT *, round(CASE WHEN semantic_score < 0.35 THEN least(raw, semantic_score) ELSE raw END, 10) AS composite_score, least(path_count / 3.0::DOUBLE, 1.0) AS path_score FROM comp),
+ranked AS (SELECT *, row_number() OVER (ORDER BY composite_score DESC, path_score DESC, id) AS rank FROM scored)
+"""
+_EDGES = """
+edges AS (SELECT 'n' || n_nationkey AS source_id, 'r' || n_regionkey AS target_id FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
+links AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges)
+"""
+_PAIRS = """
+, pairs AS (SELECT id AS old_id, new_id FROM (SELECT no, id, lead(id) OVER (PARTITION BY user_id, node_type ORDER BY created_at, no) AS new_id FROM nodes) WHERE new_id IS NOT NULL AND no % 4 <> 0)
+"""
+_BM25 = r"""
+WITH toks AS (SELECT CAST(doc_id AS VARCHAR) AS node_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS ts FROM documents),
+qs(query_id, term) AS (VALUES ('q1','the'),('q1','of'),('q1','and'),('q2','que'),('q2','los'),('q2','del'),('q3','und'),('q3','die')),
+st AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS avgdl FROM toks),
+tf AS (SELECT node_id, term, dl, count(*) AS tf FROM (SELECT node_id, unnest(ts) AS term, len(ts) AS dl FROM toks) WHERE term IN (SELECT term FROM qs) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT query_id, node_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS matched FROM tf JOIN dfs USING (term) JOIN qs USING (term), st GROUP BY query_id, node_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, node_id) AS rn FROM sc QUALIFY rn <= 20)
+"""
+_GRADED = _BM25 + """, graded AS (SELECT query_id, rn, coalesce(quality, 0) AS g FROM top LEFT JOIN labels ON node_id = CAST(doc_id AS VARCHAR)),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, rn) AS ir FROM graded),
+agg AS (SELECT query_id, sum(CASE WHEN rn <= 10 AND g > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS h, sum(g)::DOUBLE AS rel, sum(CASE WHEN rn <= 10 THEN (pow(2, g) - 1) / log2(rn + 1) ELSE 0.0 END) AS dcg,
+  sum(CASE WHEN ir <= 10 THEN (pow(2, g) - 1) / log2(ir + 1) ELSE 0.0 END) AS idcg, min(CASE WHEN g > 0 THEN rn END) AS first FROM m GROUP BY query_id)
+"""
+_EVS = "SELECT CAST(event_id AS VARCHAR) AS id, ts AS timestamp, event_type || ' ' || props AS content, sha256(event_type || ' ' || props) AS content_hash, CAST(user_id AS VARCHAR) AS user_id FROM events"
+_STATES = "('superseded','archived','contested','deprecated','stable','tentative')"
+
+
+def _nodes(select: str, more: str = "") -> str:
+    return f"WITH {_N} {more} {select}"
+
+
+def _transition(ids: str, to: str, allowed: str) -> str:
+    return _nodes(f"SELECT CASE WHEN {ids} AND lifecycle_state IN {allowed} THEN '{to}' ELSE lifecycle_state END AS lifecycle_state, count(*) AS n FROM nodes GROUP BY 1")
+
+
+def _rollup(fmt: str, least: int, content: bool) -> str:
+    text = ", string_agg(CASE WHEN rn <= 10 THEN '- ' || left(content, 200) END, chr(10) ORDER BY rn) AS content" if content else ""
+    return _nodes(f"""SELECT user_id, period, count(*) AS n, round(avg(salience_base), 6) AS salience, round(avg(confidence_base), 6) AS confidence {text} FROM (
+      SELECT *, strftime(created_at, '{fmt}') AS period, row_number() OVER (PARTITION BY user_id, strftime(created_at, '{fmt}') ORDER BY salience_base DESC, confidence_base DESC, created_at DESC, id) AS rn
+      FROM nodes WHERE lifecycle_state IN ('tentative','stable','contested')) GROUP BY user_id, period HAVING count(*) >= {least}""")
+
+
+_EXCLUDED = "CASE WHEN lifecycle_state IN ('superseded','archived') THEN 'lifecycle:' || lifecycle_state WHEN epistemic_type IN ('hypothetical','deprecated') THEN 'epistemic:' || epistemic_type WHEN epistemic_type = 'unverified' AND confidence <= 0.30 THEN 'unverified_low_confidence' END"
+_NEAR = "SELECT CAST(a.vec_id AS VARCHAR) AS x, CAST(b.vec_id AS VARCHAR) AS y, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON CAST(a.vec_id AS VARCHAR) < CAST(b.vec_id AS VARCHAR)"
+
+ORACLES: dict[str, str] = {
+    "events_by_user": f"SELECT id, timestamp, content FROM ({_EVS}) WHERE user_id = '7' ORDER BY timestamp DESC, id LIMIT 50",
+    "events_by_hash": f"SELECT id, user_id, content_hash FROM ({_EVS}) WHERE user_id IN ('7','8','9')",
+    "nodes_projection": _nodes("SELECT id, node_type, user_id, session_id, scope, content, lifecycle_state, epistemic_type, source_type, decay_profile, round(confidence_base, 6) AS confidence_base, round(salience_base, 6) AS salience_base, round(reinforcement_boost, 6) AS reinforcement_boost, pinned, ttl_days, created_at, last_reinforced_at, event_time, valid_to FROM nodes"),
+    "nodes_filtered_topn": _nodes("SELECT id, created_at, round(confidence, 6) AS confidence FROM nodes WHERE lifecycle_state IN ('tentative','stable','contested') AND node_type = 'decision' AND confidence >= 0.5 ORDER BY created_at DESC, id LIMIT 100"),
+    "nodes_valid_asof": _nodes("SELECT node_type, count(*) AS n FROM nodes WHERE valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15') GROUP BY 1"),
+    "knowledge_asof": _nodes("SELECT scope, count(*) AS n FROM nodes WHERE created_at <= TIMESTAMP '2024-01-10 12:00:00' GROUP BY 1"),
+    "event_time_range": _nodes("SELECT id FROM nodes WHERE coalesce(event_time, created_at) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'"),
+    "stats_by_node_type": _nodes("SELECT node_type, count(*) AS n FROM nodes GROUP BY 1"),
+    "stats_by_lifecycle_state": _nodes("SELECT lifecycle_state, count(*) AS n FROM nodes GROUP BY 1"),
+    "stats_by_scope": _nodes("SELECT scope, count(*) AS n FROM nodes GROUP BY 1"),
+    "info_scan": "SELECT 'nodes' AS table_name, count(*) AS n, max(ts) AS newest FROM events UNION ALL SELECT 'events', count(*), max(ts) FROM events",
+    "encrypt_round_trip": _nodes("SELECT id, content FROM nodes"),
+    "migrated_rows": _nodes("SELECT id, CASE WHEN no % 2 = 0 THEN scope ELSE 'personal' END AS scope, 'asserted' AS epistemic_type, 'user_stated' AS source_type, 'medium' AS decay_profile, false AS pinned FROM nodes WHERE no % 5 = 0"),
+    "transition_promote": _transition("no % 4 = 0", "stable", "('tentative','contested')"),
+    "archive_rows": _transition("no % 3 = 0", "archived", "('tentative','stable','contested','superseded','deprecated')"),
+    "transition_rejected": _nodes("SELECT id, lifecycle_state FROM nodes WHERE no % 50 = 0 AND lifecycle_state <> 'contested'"),
+    "supersede_rows": _nodes("SELECT id, new_id AS superseded_by, 'superseded' AS lifecycle_state FROM nodes JOIN pairs ON id = old_id WHERE lifecycle_state IN ('tentative','stable')", _PAIRS),
+    "contradiction_edges": _nodes("SELECT b.id AS source_id, a.id AS target_id, 'contradicts' AS edge_type, a.user_id FROM nodes a JOIN nodes b ON b.no = a.no + 5 WHERE a.no % 10 = 5 AND a.lifecycle_state IN ('tentative','stable') AND b.lifecycle_state IN ('tentative','stable')"),
+    "reinforce_update": _nodes("SELECT id, round(CASE WHEN h > 0 THEN greatest(reinforcement_boost, least(reinforcement_boost + h * 0.15::DOUBLE, 0.5)) ELSE reinforcement_boost END, 6) AS reinforcement_boost, round(CASE WHEN h > 0 THEN greatest(confidence_base, least(confidence_base + h * 0.05::DOUBLE, 0.95)) ELSE confidence_base END, 6) AS confidence_base, CAST(n_evidence + h AS INT) AS n_evidence FROM (SELECT *, CASE WHEN no % 14 = 0 THEN 2 WHEN no % 7 = 0 THEN 1 ELSE 0 END AS h FROM nodes)"),
+    "node_updates": _nodes(f"SELECT id, user_id, CASE WHEN no % 9 = 0 THEN upper(content) ELSE content END AS content, CASE WHEN no % 9 = 0 THEN {_NOW} ELSE updated_at END AS updated_at FROM nodes"),
+    "epistemic_backfill": _nodes("SELECT node_type, CASE WHEN no % 2 = 0 THEN epistemic_type WHEN node_type = 'event' THEN 'observed' ELSE 'asserted' END AS epistemic_type, count(*) AS n FROM nodes GROUP BY 1, 2"),
+    "neighborhood_k": f"WITH RECURSIVE {_EDGES}, walk AS (SELECT s AS seed, s AS node_id, 0 AS hop FROM (VALUES ('r1'), ('c5')) v(s) UNION SELECT seed, b, hop + 1 FROM walk JOIN links ON node_id = a WHERE hop < 2) SELECT seed, node_id, min(hop) AS hop FROM walk WHERE node_id <> seed GROUP BY 1, 2",
+    "shortest_path_len": f"WITH RECURSIVE {_EDGES}, ps(source, target) AS (VALUES ('c1','c2'),('s1','c7'),('r0','c3'),('s2','n3')), small AS (SELECT a, b FROM links WHERE a NOT LIKE 'o%' AND b NOT LIKE 'o%'), walk AS (SELECT source, source AS node_id, 0 AS hops FROM ps UNION SELECT source, b, hops + 1 FROM walk JOIN small ON node_id = a WHERE hops < 6) SELECT ps.source, ps.target, CAST(min(hops) AS INT) AS hops FROM ps JOIN walk ON ps.source = walk.source AND ps.target = walk.node_id GROUP BY 1, 2",
+    "supersedence_chain": f"WITH RECURSIVE {_N} {_PAIRS}, walk AS (SELECT id AS seed, 0 AS step, id AS node_id FROM nodes WHERE no % 20 = 1 UNION ALL SELECT seed, step + 1, new_id FROM walk JOIN pairs ON node_id = old_id WHERE step < 4) SELECT seed, CAST(step AS BIGINT) AS step, node_id FROM walk",
+    "entity_snapshot": "SELECT 'c' || c_custkey AS entity_id, count(CASE WHEN o_orderstatus <> 'O' THEN 1 END) AS n_facts, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS n_tasks, count(o_orderkey) AS n_in, CAST(0 AS BIGINT) AS n_out FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+    "vector_topk": "SELECT CAST(vec_id AS VARCHAR) AS node_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, node_id LIMIT 20",
+    "vector_topk_scoped": "SELECT CAST(vec_id AS VARCHAR) AS node_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, node_id LIMIT 10",
+    "vector_topk_batch": "SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS node_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, CAST(b.vec_id AS VARCHAR)) AS INT) AS rn FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 10 QUALIFY rn <= 5",
+    "novelty_score": "WITH s AS (SELECT CAST(a.vec_id AS VARCHAR) AS query_id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS top FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id % 25 <> 0 WHERE a.vec_id % 25 = 0 GROUP BY 1), v AS (SELECT query_id, least(greatest(1 - coalesce(top, 0), 0.0), 1.0) AS novelty FROM s) SELECT query_id, round(novelty, 6) AS novelty, CASE WHEN novelty >= 0.7 THEN 0.15 WHEN novelty <= 0.3 THEN -0.10 ELSE 0.0 END::DOUBLE AS salience_change, novelty > 0.5 AS is_novel FROM v",
+    "bm25_topk": _BM25 + "SELECT query_id, node_id, round(score, 6) AS score FROM top",
+    "bm25_minmax": _BM25 + "SELECT query_id, node_id, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 5) AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM top)",
+    "lexical_match_all": _BM25 + "SELECT query_id, count(*) AS n FROM sc JOIN (SELECT query_id, count(*) AS need FROM qs GROUP BY 1) USING (query_id) WHERE matched = need GROUP BY 1",
+    "epistemic_filter": _nodes(f"SELECT id FROM nodes WHERE ({_EXCLUDED}) IS NULL"),
+    "excluded_reasons": _nodes(f"SELECT {_EXCLUDED} AS reason, count(*) AS n FROM nodes WHERE ({_EXCLUDED}) IS NOT NULL GROUP BY 1"),
+    "effective_decay": _nodes("SELECT id, round(eff_s, 6) AS salience, round(eff_c, 6) AS confidence FROM eff", _DECAY),
+    "candidate_merge": _nodes("SELECT id, round(semantic_score, 6) AS semantic_score, CAST(path_count AS INT) AS path_count, paths FROM cand", _DECAY + _CAND),
+    "composite_rank": _nodes("SELECT id, round(composite_score, 6) AS composite_score, rank FROM ranked WHERE rank <= 20", _DECAY + _CAND + _SCORE),
+    "cross_scope_hints": _nodes("SELECT id, scope, round(composite_score, 6) AS composite_score FROM scored WHERE scope NOT IN ('personal','project') ORDER BY scored.composite_score DESC, path_score DESC, id LIMIT 5", _DECAY + _CAND + _SCORE),
+    "session_expand": _nodes("""SELECT id, trigger_id, composite_score FROM (SELECT o.id, r.id AS trigger_id, round(round(r.composite_score * 0.85, 10), 6) AS composite_score, row_number() OVER (PARTITION BY o.id ORDER BY r.rank) AS f
+      FROM ranked r JOIN ord t ON t.id = r.id JOIN ord o ON o.session_id = t.session_id AND o.user_id = t.user_id AND abs(o.pos - t.pos) <= 3 WHERE r.rank <= 20 AND o.id NOT IN (SELECT id FROM ranked)) WHERE f = 1""", _DECAY + _CAND + _SCORE + ", ord AS (SELECT id, user_id, session_id, row_number() OVER (PARTITION BY user_id, session_id ORDER BY created_at, id) AS pos FROM nodes WHERE lifecycle_state IN ('tentative','stable','contested'))"),
+    "pack_sections": _nodes("""SELECT CASE WHEN lifecycle_state = 'contested' THEN 'contested_claims' WHEN node_type IN ('fact','note') THEN 'stable_facts' WHEN node_type = 'decision' THEN 'recent_decisions' WHEN node_type = 'task' THEN 'active_tasks' ELSE 'provenance_refs' END AS section,
+      CASE WHEN salience = 1.0 OR node_type = 'task' THEN 1 WHEN path_count >= 2 THEN 2 ELSE 3 END AS tier, count(*) AS n, CAST(sum(ceil(length(content) / 4.2::DOUBLE)) AS BIGINT) AS tokens FROM ranked WHERE rank <= 400 GROUP BY 1, 2""", _DECAY + _CAND + _SCORE),
+    "temporal_affinity": _nodes("SELECT id, round(0.3 * CASE WHEN no % 2 = 0 THEN 1.0 ELSE 0.0 END + 0.7 * exp(-0.02::DOUBLE * greatest(date_diff('microsecond', coalesce(event_time, created_at), TIMESTAMP '2024-01-10') / 86400000000.0::DOUBLE, date_diff('microsecond', TIMESTAMP '2024-01-12', coalesce(event_time, created_at)) / 86400000000.0::DOUBLE, 0.0)), 6) AS affinity FROM nodes"),
+    "format_days_ago": _nodes(f"""SELECT id, CASE WHEN d < 0 THEN 'in ' || -d || ' days' WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN d || ' days ago' WHEN d < 30 THEN CASE WHEN d // 7 = 1 THEN '1 week ago' ELSE d // 7 || ' weeks ago' END ELSE CASE WHEN floor(d / 30.44) = 1 THEN '1 month ago' ELSE CAST(floor(d / 30.44) AS INT) || ' months ago' END END AS label
+      FROM (SELECT id, date_diff('day', CAST(created_at AS DATE), CAST({_NOW} AS DATE)) AS d FROM nodes)"""),
+    "agg_dedup_lines": "SELECT doc_id AS id FROM documents QUALIFY row_number() OVER (PARTITION BY left(lower(trim(text, ' ')), 100) ORDER BY doc_id) = 1",
+    "qa_pairs": "SELECT conv_id, turn, p || chr(10) || text AS content FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE r <> role AND length(p) + length(text) < 1000",
+    "fact_conflicts": _nodes("SELECT id AS old_id, new_id, CASE WHEN new_no % 3 = 0 THEN 'contradict' ELSE 'supersede' END AS action FROM (SELECT id, lifecycle_state AS object, lead(id) OVER w AS new_id, lead(no) OVER w AS new_no, lead(lifecycle_state) OVER w AS new_object FROM nodes WINDOW w AS (PARTITION BY user_id, node_type ORDER BY created_at, id)) WHERE object <> new_object"),
+    "promote_candidates": _nodes(f"SELECT id FROM nodes WHERE lifecycle_state = 'tentative' AND date_diff('microsecond', created_at, {_NOW}) / 86400000000.0 >= 7 AND n_evidence >= 1"),
+    "decay_sweep_actions": _nodes("""SELECT id, action FROM (SELECT id, CASE WHEN s_moved < 0.05 THEN 'archive' WHEN c_moved < 0.15 THEN CASE WHEN lifecycle_state = 'contested' THEN 'deprecate' ELSE 'archive' END WHEN s_moved < 0.10 AND c_moved < 0.40 THEN 'archive' END AS action
+      FROM dec WHERE lifecycle_state IN ('tentative','stable','contested') AND NOT pinned AND (node_type NOT IN ('entity','fact') OR ttl_days IS NOT NULL)) WHERE action IS NOT NULL""", _DECAY),
+    "ttl_sweep": _nodes("SELECT id, created_at + to_days(ttl_days) AS expired_at FROM nodes WHERE ttl_days IS NOT NULL AND NOT pinned AND lifecycle_state <> 'archived' AND created_at + to_days(ttl_days) < TIMESTAMP '2024-04-20'"),
+    "exact_dups": "SELECT canonical_id, id FROM (SELECT CAST(doc_id AS VARCHAR) AS id, min(CAST(doc_id AS VARCHAR)) OVER (PARTITION BY lower(trim(text, ' '))) AS canonical_id FROM documents) WHERE id <> canonical_id",
+    "near_dups": f"SELECT x AS a_id, y AS b_id, round(s, 6) AS similarity FROM ({_NEAR}) WHERE s >= 0.40",
+    "daily_rollup": _rollup("%Y-%m-%d", 2, True),
+    "weekly_rollup": _rollup("%G-W%V", 3, False),
+    "monthly_rollup": _rollup("%Y-%m", 2, False),
+    "quality_metrics": f"SELECT count(*) AS n, round(avg((event_id % 4 = 0)::INT), 6) AS used_rate, round(avg((event_id % 4 = 1)::INT), 6) AS ignored_rate, round(avg((event_id % 4 = 2)::INT), 6) AS corrected_rate, round(avg((event_id % 4 = 3)::INT), 6) AS contradicted_rate, round(avg((event_id % 4 = 0)::INT) + 0.3 * avg((event_id % 4 = 1)::INT), 6) AS quality_score FROM events WHERE date_diff('microsecond', ts, {_NOW}) / 86400000000.0 <= 20",
+    "precision_recall_at_k": _GRADED + "SELECT query_id, round(h / 10, 6) AS precision_at_k, round(CASE WHEN rel > 0 THEN h / rel ELSE 0 END, 6) AS recall_at_k, round(CASE WHEN h > 0 THEN 2 * (h / 10) * (h / rel) / (h / 10 + h / rel) ELSE 0 END, 6) AS f1 FROM agg",
+    "ndcg_mrr": _GRADED + "SELECT query_id, round(CASE WHEN idcg > 0 THEN least(dcg / idcg, 1.0) ELSE 0 END, 6) AS ndcg_at_k, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr FROM agg",
+    "topic_narratives": _nodes("SELECT user_id || '/' || node_type AS topic, arg_max(content, (ts, no)) AS current_state, count(*) - 1 AS older FROM nodes GROUP BY 1"),
+    "stream_daily_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+}
