@@ -3,9 +3,9 @@
 1. One pass over the texts hashes every document's distinct word shingles. Equal sets form one class;
    only classes go on, so exact copies cost one row each.
 2. Dealing. Two sets of sizes a, b that reach similarity t differ in at most (a + b)(1 - t)/(1 + t)
-   elements. Cut hash space into one segment more than that: some segment is then the same in both. Each
-   class emits a hash per segment; classes that meet in one are joined into coarse groups. Groups are
-   supersets of the true ones: no link is lost, and common words or passages alone bring nobody together.
+   elements. Cut hash space into more segments than that: the rest are the same in both. Each class emits a
+   hash per segment; a class that shares fewer than a link would need is left out, and the others that meet
+   are joined into coarse groups. Groups are supersets of the true ones, so no link is lost.
 3. Each coarse group is joined in one task on a prefix tree: its sets, in one global order (most
    frequent first), share paths, so the overlap of a probe with a shared path is counted once; a subtree
    is left as soon as the remaining lengths can't reach the threshold. Groups beyond `block` classes are
@@ -55,7 +55,7 @@ def segments(level: int, t: Fraction) -> int:
     """Segments of the level: one more than linked sets of its sizes can differ in, and some to spare for empty ones."""
     largest = int(BOUNDS[level + 1]) - 1
     least = most_apart(largest, largest, t) + 1
-    return least + 2 + least // 20
+    return least + 2 + least // 8
 
 
 def shingle_sets(b: np.ndarray, offsets: np.ndarray, k: int, word: np.ndarray = ts.SOLID) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +90,8 @@ def _signature(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def segment_keys(values: np.ndarray, t: Fraction) -> np.ndarray:
-    """One key per (level, segment) in which a linked set would have the same elements."""
+def segment_keys(values: np.ndarray, t: Fraction) -> list[tuple[int, np.ndarray, int]]:
+    """(level, a key per segment in which a linked set would have the same elements, how many of them it must share)."""
     n = len(values)
     level = int(np.searchsorted(BOUNDS, n, side="right")) - 1
     total = np.zeros(n + 1, np.uint64)
@@ -105,90 +105,91 @@ def segment_keys(values: np.ndarray, t: Fraction) -> np.ndarray:
         at = np.searchsorted((high * np.uint64(r)) >> np.uint64(32), np.arange(r + 1, dtype=np.uint64))
         keys = ts.mix(total[at[1:]] - total[at[:-1]] + ts.mix(np.arange(r, dtype=np.uint64) + np.uint64(lv << 40)))
         full = at[1:] > at[:-1]
-        largest = min(int(BOUNDS[lv + 1]) - 1, int(n / t))
-        # more full segments than differences: one that a linked set shares is full, and empty ones may go
-        out.append(keys[full] if int(full.sum()) > most_apart(n, largest, t) else keys)
-    return np.concatenate(out)
-
-
-def _star_edges(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each key the least class, and an edge to it from every other class of the key."""
-    order = np.lexsort((who, keys))
-    keys, who = keys[order], who[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    heads = np.flatnonzero(first)
-    head = who[heads][np.cumsum(first) - 1] if len(keys) else who
-    far = who != head
-    pairs = np.unique(np.stack([who[far], head[far]]), axis=1) if far.any() else np.zeros((2, 0), np.int64)
-    return keys[heads], who[heads], pairs[0], pairs[1]
+        apart = most_apart(n, min(int(BOUNDS[lv + 1]) - 1, int(n / t)), t)
+        # more full segments than differences: enough of those shared are full, and empty ones may go
+        keys = keys[full] if int(full.sum()) > apart else keys
+        out.append((lv, keys, len(keys) - apart))
+    return out
 
 
 def _rows(kind: int, doc_id, n, a, b) -> pa.RecordBatch:
-    size = len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(size, kind, np.int32)), doc_id if doc_id is not None else pa.nulls(size, pa.int64()), pa.array(n) if n is not None else pa.nulls(size, pa.int64()), pa.array(a), pa.array(b)],
-        names=["kind", "doc_id", "n", "a", "b"],
-    )
-
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(doc_id), pa.array(n), pa.array(a), pa.array(b)], names=["kind", "doc_id", "n", "a", "b"])
 
-def _scan_documents(k: int, t: Fraction, limit: int = 1 << 18):
-    """Kind 0: doc_id, set size, signature. Kind 1: segment key a and class b. Kind 2: edge a-b found in the task."""
 
-    def flush(held):
-        keys, who = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        head, least, u, v = _star_edges(keys.view(np.int64), who)
-        yield _rows(1, None, None, head, least)
-        if len(u):
-            yield _rows(2, None, None, u, v)
+def _scan_documents(k: int, t: Fraction, remembered: int = 200_000):
+    """Kind 0: doc_id, set size, signature. Kind 1: level, keys to share, segment key, class. A class comes once a task."""
 
     def run(batches):
-        held, count = [], 0
+        seen: set[int] = set()
         for batch in batches:
             for i, j, b, offsets in ts.chunks(batch.column(1)):
                 values, at = shingle_sets(b, offsets, k)
                 sizes = np.diff(at)
                 sig = np.zeros((2, j - i), np.int64)
+                held = []
                 for r in np.flatnonzero(sizes).tolist():
                     own = values[at[r] : at[r + 1]]
                     sig[:, r] = _signature(own)
-                    keys = segment_keys(own, t)
-                    held.append((keys, np.full(len(keys), sig[0, r])))
-                    count += len(keys)
+                    name = int(sig[0, r])
+                    if name in seen:
+                        continue
+                    if len(seen) >= remembered:
+                        seen.clear()
+                    seen.add(name)
+                    held += [(lv, need, keys, name) for lv, keys, need in segment_keys(own, t)]
                 yield _rows(0, batch.column(0).slice(i, j - i), sizes.astype(np.int64), sig[0], sig[1])
-                if count > limit:
-                    yield from flush(held)
-                    held, count = [], 0
-        if held:
-            yield from flush(held)
+                if held:
+                    many = [len(x[2]) for x in held]
+                    spread = lambda c: np.repeat(np.array([x[c] for x in held], np.int64), many)  # noqa: E731, B023
+                    yield _rows(1, spread(0), spread(1), np.concatenate([x[2] for x in held]).view(np.int64), spread(3))
 
     return run
 
 
-def _meet(batches):
-    """Rows sorted by key a: an edge from each class to the key's first. Streams; holds one key."""
-    last_key, head, seen = None, None, set()
+def _shared(batches):
+    """Rows (a key, b class, lv, need) sorted by key and class: those of keys that two classes or more have, once each.
+
+    Streams: only the last row of the key at hand is held, however many classes share it.
+    """
+    names, last, told = ["a", "b", "lv", "need"], None, False
     for batch in batches:
-        keys, who = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(keys):
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        if last is not None:
+            rows = np.concatenate([last, rows], axis=1)
+        if not rows.shape[1]:
             continue
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        new[0] = last_key is None or keys[0] != last_key
-        starts = np.flatnonzero(new)
-        heads = np.empty(len(keys), np.int64)
-        group = np.cumsum(new) - 1
-        if len(starts):
-            heads[group >= 0] = who[starts][group[group >= 0]]
-        heads[group < 0] = head if head is not None else 0
-        last_key, head = keys[-1], heads[-1]
-        far = who != heads
-        fresh = [p for p in set(zip(who[far].tolist(), heads[far].tolist(), strict=True)) if p not in seen]
-        if len(seen) > 200_000:
-            seen.clear()
-        seen.update(fresh)
-        if fresh:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["u", "v"])
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+        rows = rows[:, new]
+        heads = np.ones(rows.shape[1], bool)
+        heads[1:] = rows[0, 1:] != rows[0, :-1]
+        run = np.cumsum(heads) - 1
+        keep = np.bincount(run)[run] > 1
+        again = told and last is not None
+        if again:  # the row carried over has been given out; what joins its key is shared
+            keep |= run == 0
+            keep[0] = False
+        told = bool(keep[-1]) or (again and run[-1] == 0)
+        last = rows[:, -1:]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:, keep]], names=names)
+
+
+def _coarse_edges(rows: DataFrame, s: Scratch, rounds: int = 2) -> DataFrame:
+    """Star edges of the keys, after leaving out classes that share fewer keys than any linked set would share with them.
+
+    That is exact: a class with a link shares at least `need` keys with one other class. A popular passage
+    leaves a document a few shared keys, far fewer than needed, so passages alone chain nobody.
+    """
+    for i in range(rounds):
+        enough = rows.groupBy("b", "lv").agg(F.count("*").alias("c"), F.max("need").alias("m")).where("c >= m").select("b", "lv")
+        rows = rows.join(enough, ["b", "lv"], "left_semi")
+        least = rows.groupBy("a").agg(F.min("b").alias("v"), F.max("b").alias("x")).where("v < x").select("a", "v")
+        rows = s.keep(rows.join(least, "a").select("a", "b", "lv", "need", "v"), f"keys-{i}")
+        if i:
+            s.drop(f"keys-{i - 1}")
+        edges, rows = rows, rows.drop("v")
+    return edges.where("b <> v").select(F.col("b").alias("u"), "v").distinct()
 
 
 class _Node:
@@ -354,9 +355,10 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8",
     # classes of equal sets; `a` names a class in the coarse stage, where a clash of names only widens a group
     classes = s.keep(sized.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "classes")
     parts = shuffle_partitions(spark)
-    met = scanned.where("kind = 1").select("a", "b").repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(_meet, "u long, v long")
-    edges = met.unionByName(scanned.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    coarse = connected_components(edges, s, "coarse")
+    keys = scanned.where("kind = 1").select("a", "b", F.col("doc_id").alias("lv"), F.col("n").alias("need"))
+    met = s.keep(keys.repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(_shared, "a long, b long, lv long, need long"), "met")
+    coarse = connected_components(_coarse_edges(met, s), s, "coarse")
+    s.drop("met")
 
     sizes = coarse.groupBy("root").agg(F.count("*").alias("size"))
     member = coarse.join(sizes, "root").select(F.col("vertex").alias("a"), "root", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("g"))
