@@ -109,7 +109,6 @@ ORACLES: dict[str, str] = {
     "node_updates": _nodes(f"SELECT id, user_id, CASE WHEN no % 9 = 0 THEN upper(content) ELSE content END AS content, CASE WHEN no % 9 = 0 THEN {_NOW} ELSE updated_at END AS updated_at FROM nodes"),
     "epistemic_backfill": _nodes("SELECT node_type, CASE WHEN no % 2 = 0 THEN epistemic_type WHEN node_type = 'event' THEN 'observed' ELSE 'asserted' END AS epistemic_type, count(*) AS n FROM nodes GROUP BY 1, 2"),
     "neighborhood_k": f"WITH RECURSIVE {_EDGES}, walk AS (SELECT s AS seed, s AS node_id, 0 AS hop FROM (VALUES ('r1'), ('c5')) v(s) UNION SELECT seed, b, hop + 1 FROM walk JOIN links ON node_id = a WHERE hop < 2) SELECT seed, node_id, min(hop) AS hop FROM walk WHERE node_id <> seed GROUP BY 1, 2",
-    "shortest_path_len": f"WITH RECURSIVE {_EDGES}, ps(source, target) AS (VALUES ('c1','c2'),('s1','c7'),('r0','c3'),('s2','n3')), small AS (SELECT a, b FROM links WHERE a NOT LIKE 'o%' AND b NOT LIKE 'o%'), walk AS (SELECT source, source AS node_id, 0 AS hops FROM ps UNION SELECT source, b, hops + 1 FROM walk JOIN small ON node_id = a WHERE hops < 6) SELECT ps.source, ps.target, CAST(min(hops) AS INT) AS hops FROM ps JOIN walk ON ps.source = walk.source AND ps.target = walk.node_id GROUP BY 1, 2",
     "supersedence_chain": f"WITH RECURSIVE {_N} {_PAIRS}, walk AS (SELECT id AS seed, 0 AS step, id AS node_id FROM nodes WHERE no % 20 = 1 UNION ALL SELECT seed, step + 1, new_id FROM walk JOIN pairs ON node_id = old_id WHERE step < 4) SELECT seed, CAST(step AS BIGINT) AS step, node_id FROM walk",
     "entity_snapshot": "SELECT 'c' || c_custkey AS entity_id, count(CASE WHEN o_orderstatus <> 'O' THEN 1 END) AS n_facts, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS n_tasks, count(o_orderkey) AS n_in, CAST(0 AS BIGINT) AS n_out FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "vector_topk": "SELECT CAST(vec_id AS VARCHAR) AS node_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, node_id LIMIT 20",
