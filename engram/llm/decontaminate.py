@@ -233,6 +233,26 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents, all columns, that hold no window of a benchmark item. Judged row by row: nothing is joined."""
+    at_text, spark = documents.columns.index("text"), documents.sparkSession
+    for block in _blocks(benchmark, block_bytes):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            index = Benchmark(shared.value, window, k)
+            for batch in batches:
+                for i, j, b, offsets in ts.chunks(batch.column(at_text)):
+                    b = ts.LOWER[b]
+                    w = ts.scan(b, offsets, ts.ALNUM)
+                    clean = np.ones(j - i, bool)
+                    clean[[int(w.docs[at]) for at, _, _ in index.hits(b, w)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     from engram.llm.common import table
 
