@@ -357,6 +357,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8",
     parts = shuffle_partitions(spark)
     keys = scanned.where("kind = 1").select("a", "b", F.col("doc_id").alias("lv"), F.col("n").alias("need"))
     met = s.keep(keys.repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(_shared, "a long, b long, lv long, need long"), "met")
+    s.drop("scan/kind=1")  # read for the last time
     coarse = connected_components(_coarse_edges(met, s), s, "coarse")
     s.drop("met")
 
@@ -382,11 +383,29 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8",
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, k: int = 5, threshold: str = "0.8") -> DataFrame:
-    """Keeps the document of least doc_id of each component, once."""
-    names = jaccard_components(documents, k, threshold)
-    keep = names.where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def one_of_each(documents: DataFrame, k: int = 5, threshold: str = "0.8", broadcast_rows: int = 500_000) -> DataFrame:
+    """Keeps the document of least doc_id of each component, once. Only ids are shuffled, up to `broadcast_rows` of them.
+
+    Rows of one doc_id count as one document, of which the row of least text stays. A row without doc_id is
+    known by its text, so equal ones count as one document, and a numbered copy stays rather than they.
+    """
+    s = Scratch(documents.sparkSession, "one-of-each")
+    name = "_document"
+    while name in documents.columns:
+        name += "_"
+    unnumbered = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    docs = documents.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), unnumbered))
+    found = jaccard_components(docs.select(F.col(name).alias("doc_id"), "text"), k, threshold)
+    rows = found.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("leads"), F.count("*").alias("rows"))
+    fate = s.keep(rows.where("not leads or rows > 1").select(F.col("doc_id").alias(name), "leads"), "fate")
+    few = fate.count() <= broadcast_rows
+    hint = F.broadcast if few else (lambda df: df)
+    once = docs.join(hint(fate.select(name)), name, "left_anti").select(*documents.columns)
+    if fate.where("leads").isEmpty():
+        return once
+    repeated = docs.join(hint(fate.where("leads").select(name)), name, "left_semi")
+    one = repeated.groupBy(name).agg(F.min_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("r"))
+    return once.unionByName(one.select("r.*"))
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -308,6 +308,10 @@ def test_decontamination_finds_every_window(spark, awkward, block):
     assert Counter(tuple(r) for r in got) == brute_contamination(docs, items)
     assert not any(r.contaminated for r in decontaminate.contamination(d, b.limit(0)).collect())
     assert decontaminate.contamination(d.limit(0), b).collect() == []
+    kept = decontaminate.clean_documents(d.withColumn("n", F.lit(1)), b, block_bytes=block)
+    clean = Counter((r[0],) for r in brute_contamination(docs, items).elements() if not r[-1])
+    assert kept.columns == ["doc_id", "text", "n"] and Counter((r.doc_id,) for r in kept.collect()) == clean
+    assert decontaminate.clean_documents(d, b.limit(0)).count() == len(docs)
 
 
 # --- 7 Jaccard join
@@ -360,6 +364,18 @@ def test_jaccard_awkward_rows(spark, awkward, empty):
     kept = jaccard.one_of_each(awkward).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id in (0, 1, 6, 7)) == [0, 1, 6]
     assert kept and set(kept[0].__fields__) == set(awkward.columns)
+    assert sum(r.doc_id == 6 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 1
+    assert jaccard.one_of_each(empty).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_one_of_each_with_repeated_and_missing_ids(spark, texts, most):
+    base = texts[6][1]
+    rows = [(1, base, "a"), (2, base, "b"), (None, base, "c"), (None, "no id", "d"), (None, "no id", "e"), (None, None, "f"), (3, "own text", "g"), (3, "a text", "h"), (4, None, "i"), (5, None, "j"), (6, base.replace("quiet", "loud") + " once more", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _document string")
+    got = jaccard.one_of_each(docs, broadcast_rows=most).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, base), (None, "no id"), (None, None), (3, "a text"), (4, None), (5, None), (6, rows[-1][1])])
+    assert got[0].__fields__ == docs.columns
 
 
 def test_tree_finds_links_of_every_size():
