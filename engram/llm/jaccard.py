@@ -8,7 +8,7 @@
    are joined into coarse groups. Groups are supersets of the true ones, so no link is lost.
 3. Each coarse group is joined in one task on a prefix tree: its sets, in one global order (most
    frequent first), share paths, so the overlap of a probe with a shared path is counted once; a subtree
-   is left as soon as the remaining lengths can't reach the threshold. Groups beyond `block` elements are
+   is left as soon as the remaining lengths can't reach the threshold. Groups beyond `block` elements or `block_sets` sets are
    dealt to pairs of blocks, each a task of its own, so a task's memory follows `block` and the longest text.
 4. Links found (a spanning forest of each task, never all pairs) are closed to components.
 
@@ -339,10 +339,10 @@ def _element_sets(k: int):
     return run
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8", block: int = 500_000, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8", block: int = 500_000, block_sets: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id (least doc_id that links of `threshold` reach).
 
-    Runs eagerly; the frame returned reads scratch tables. `block`: shingles of a block; a task joins two at once.
+    Runs eagerly; the frame returned reads scratch tables. `block`, `block_sets`: shingles and sets of a block; a task joins two at once.
     `broadcast_rows`: the largest table (two longs a row) that is broadcast to pick texts; beyond, a shuffle join.
     """
     spark = documents.sparkSession
@@ -362,7 +362,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8",
     s.drop("met")
 
     member = coarse.withColumnRenamed("vertex", "a").join(classes, "a")
-    sizes = member.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("g"))
+    sizes = member.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block), F.count("*") / F.lit(block_sets))).cast("int").alias("g"))
     involved = s.keep(member.join(sizes, "root").select("rep", F.struct("a", "b", "root", "g").alias("c")), "involved")
     small = involved.count() <= broadcast_rows
     chosen = (F.broadcast(involved) if small else involved).withColumnRenamed("rep", "doc_id")

@@ -351,7 +351,7 @@ def test_jaccard_components_equal_brute_force(spark, texts, k, t, block):
         docs.append((3000 + i, " ".join(f"s{x}" for x in range(rng.integers(1, 4), rng.integers(6, 22)))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     num, den = (9, 10) if t == "0.9" else (4, 5)
-    got = jaccard.jaccard_components(df, k, t, block=block, broadcast_rows=0 if block == 2000 else 500_000).collect()
+    got = jaccard.jaccard_components(df, k, t, block=block, block_sets=1024 if block != 300 else 7, broadcast_rows=0 if block == 2000 else 500_000).collect()
     assert Counter(tuple(r) for r in got) == brute_components(docs, k, num, den)
 
 
