@@ -39,6 +39,14 @@ def bundle(df: DataFrame, by: str, vector: str = "hv", weight: str | None = None
     return sums.groupBy(by).agg(v.alias("v")).select(by, normalise(F.col("v")).alias("hv"))
 
 
+def bundle_words(df: DataFrame, by: str, words: str = "words", dim: int = 256) -> DataFrame:
+    """`bundle` of the `seeded_hv` of every word in an array column, repeats counted. Each place is one sum over the
+    exploded words, so a task's partial sums are all that is shuffled: a vector a row, whatever the length of its text."""
+    place = lambda i: F.sum(F.when(F.pmod(F.xxhash64("word", F.lit(i)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias(f"s{i}")
+    sums = df.select(by, F.explode(words).alias("word")).groupBy(by).agg(*[place(i) for i in range(dim)])
+    return sums.select(by, F.array(*[F.col(f"s{i}") for i in range(dim)]).alias("v")).select(by, normalise(F.col("v")).alias("hv"))
+
+
 def tag_score(df: DataFrame, query_tags: Column, query_day: Column, node_type: Column, content_similarity: Column) -> DataFrame:
     """.15 content, .50 tags, .10 time, .10 type, .15 lifecycle, times confidence."""
     tags = F.when(F.size(query_tags) > 0, F.size(F.array_intersect("tags", query_tags)) / F.size(query_tags)).otherwise(0.0)

@@ -602,11 +602,10 @@ def ndcg_mrr(spark, sf):
 
 @query
 def hypervector_topk(spark, sf):
-    d = T.read(spark, sf, "documents").select("doc_id", F.slice(F.array_distinct(search.tokens(F.col("text"))), 1, 20).alias("w")).where("size(w) > 0")
-    words = d.select("doc_id", F.explode("w").alias("word")).withColumn("hv", research.seeded_hv(F.col("word"), 64))
-    hv = research.bundle(words, "doc_id")
-    first = hv.orderBy("doc_id").limit(1).select(F.col("hv").alias("q")).first()
-    return hv.select("doc_id", F.round(X.cosine(F.col("hv"), F.array(*[F.lit(x) for x in first.q])), 6).alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(10)
+    d = T.read(spark, sf, "documents").select("doc_id", search.tokens(F.col("text")).alias("words")).where("size(words) > 0")
+    hv = research.bundle_words(d, "doc_id", dim=64)
+    first = research.bundle_words(d.orderBy("doc_id").limit(1), "doc_id", dim=64).first()
+    return hv.select("doc_id", F.round(X.cosine(F.col("hv"), F.array(*[F.lit(x) for x in first.hv])), 6).alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(10)
 
 
 @query
