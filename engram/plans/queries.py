@@ -40,7 +40,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     v = T.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), "embedding")
     sem = search.vector_topk(v, query_vector(spark, sf), 200).select(F.lit("q").alias("query_id"), F.col("node_id").alias("id"), "score")
     nodes = T.nodes(spark, sf)
-    pin = retrieval.pinned(nodes).where("salience = 1.0 OR id % 10 = 0").select(F.lit("q").alias("query_id"), "id", F.lit(0.0).alias("score"))
+    pin = retrieval.pinned(nodes).select(F.lit("q").alias("query_id"), "id", F.lit(0.0).alias("score"))
     merged = retrieval.merge({"VECTOR": (sem, "semantic_score"), "PINNED": (pin, "none")})
     return retrieval.epistemic_filter(merged.join(nodes, "id"))[0]
 

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from engram import schema as S
 from engram.operators import research
 from engram.plans import queries
 from engram.sources import tables as T
@@ -22,3 +23,10 @@ def test_hypervectors_take_every_word(spark, sf):
     got = queries.hypervector_topk(spark, sf).collect()
     assert len(got) == 10 and all(abs(want[r.doc_id] - r.similarity) < 2e-6 for r in got)
     assert min(r.similarity for r in got) >= sorted(want.values())[-10] - 2e-6
+
+
+def test_every_pinned_node_is_a_candidate(spark, sf):
+    kept = lambda n: n.epistemic_type not in ("hypothetical", "deprecated") and not (n.epistemic_type == "unverified" and n.confidence <= 0.3)
+    want = {n.id for n in T.nodes(spark, sf).collect() if n.lifecycle_state in S.ACTIVE and (n.salience == 1.0 or n.node_type == "task") and kept(n)}
+    got = {r.id for r in queries.candidate_merge(spark, sf).collect() if "PINNED" in r.paths}
+    assert got == want and any(int(i) % 10 for i in want)
