@@ -14,8 +14,8 @@ def both_ways(edges: DataFrame, edge_types: list[str] | None = None) -> DataFram
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's checkpoint folder where one is set; short walks go on without."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    """Cuts lineage in the cluster's checkpoint folder where one is set; without, rows are kept so that no step is planned or run twice."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: list[str] | None = None, cut_every: int = 4) -> DataFrame:

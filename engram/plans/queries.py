@@ -226,14 +226,14 @@ def _chain_edges(spark, sf):
 
 @query
 def supersedence_chain(spark, sf):
-    seeds = T.nodes(spark, sf).where("id % 20 = 1").select(F.col("id").alias("seed"))
-    return graph.supersedence_chain(_chain_edges(spark, sf), seeds, "forward", 4).select("seed", F.col("step").cast("long").alias("step"), "node_id")
+    seeds = T.nodes(spark, sf).select(F.col("id").alias("seed"))
+    return graph.supersedence_chain(_chain_edges(spark, sf), seeds, "forward").select("seed", F.col("step").cast("long").alias("step"), "node_id")
 
 
 @query
 def graph_candidate_scores(spark, sf):
     e = _chain_edges(spark, sf)
-    seeds = T.nodes(spark, sf).where("id % 100 = 1").select(F.lit("q").alias("query_id"), F.col("id").alias("seed"))
+    seeds = T.nodes(spark, sf).select(F.lit("q").alias("query_id"), F.col("id").alias("seed"))
     return graph.graph_candidates(T.nodes(spark, sf), e, seeds, 3, 150)
 
 
@@ -557,8 +557,8 @@ QUERIES["calendar_daily"] = _rolled("daily")
 @query
 def oscillation_jaccard(spark, sf):
     n = T.nodes(spark, sf)
-    seeds = n.where("id % 10 = 0").select(F.col("id").alias("seed"))
-    chains = graph.supersedence_chain(_chain_edges(spark, sf), seeds, "backward", 4)
+    seeds = n.select(F.col("id").alias("seed"))
+    chains = graph.supersedence_chain(_chain_edges(spark, sf), seeds, "backward", 10)
     return organizer.oscillations(chains, n).select("seed", "cycles", "penalty")
 
 

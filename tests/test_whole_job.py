@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from engram import schema as S
-from engram.operators import research
+from engram.operators import organizer, research
 from engram.plans import queries
 from engram.sources import tables as T
 
@@ -30,3 +30,46 @@ def test_every_pinned_node_is_a_candidate(spark, sf):
     want = {n.id for n in T.nodes(spark, sf).collect() if n.lifecycle_state in S.ACTIVE and (n.salience == 1.0 or n.node_type == "task") and kept(n)}
     got = {r.id for r in queries.candidate_merge(spark, sf).collect() if "PINNED" in r.paths}
     assert got == want and any(int(i) % 10 for i in want)
+
+
+def test_chains_start_at_every_node_and_end_where_the_links_end(spark, sf):
+    nodes = {r.id: r.content for r in T.nodes(spark, sf).select("id", "content").collect()}
+    link = {r.target_id: r.source_id for r in queries._chain_edges(spark, sf).collect()}
+    walks = {}
+    for seed in nodes:
+        walks[seed] = [seed]
+        while walks[seed][-1] in link and len(walks[seed]) <= 100:
+            walks[seed].append(link[walks[seed][-1]])
+    want = {(s, i, x) for s, w in walks.items() for i, x in enumerate(w)}
+    got = [tuple(r) for r in queries.supersedence_chain(spark, sf).collect()]
+    assert max(map(len, walks.values())) > 5 and len(got) == len(want) and set(got) == want
+
+
+def test_oscillations_look_ten_steps_back_from_every_node(spark, sf):
+    nodes = {r.id: r.w for r in T.nodes(spark, sf).select("id", organizer.keywords(F.col("content")).alias("w")).collect()}
+    back = {r.source_id: r.target_id for r in queries._chain_edges(spark, sf).collect()}
+    want = {}
+    for seed, words in nodes.items():
+        at, cycles = seed, 0
+        for step in range(1, 11):
+            at = back.get(at)
+            if at is None:
+                break
+            a, b = set(words), set(nodes[at])
+            cycles += step % 2 == 0 and bool(a and b) and len(a & b) / len(a | b) >= 0.3
+        if cycles:
+            want[seed] = (cycles, round(min(cycles * 0.1, 0.3), 10))
+    got = {r.seed: (r.cycles, r.penalty) for r in queries.oscillation_jaccard(spark, sf).collect()}
+    assert got == want and any(c > 2 for c, _ in want.values())
+
+
+def test_graph_candidates_reach_from_every_node(spark, sf):
+    nodes = T.nodes(spark, sf).select("id", "lifecycle_state", "confidence", "created_at").collect()
+    near = {n.id: set() for n in nodes}
+    for e in queries._chain_edges(spark, sf).collect():
+        near[e.source_id].add(e.target_id)
+        near[e.target_id].add(e.source_id)
+    live = [n for n in nodes if near[n.id] and n.lifecycle_state in S.LIVE]
+    order = sorted(live, key=lambda n: (-n.confidence, -n.created_at.timestamp(), n.id))
+    got = {r.id: r.graph_proximity for r in queries.graph_candidate_scores(spark, sf).collect()}
+    assert got == {n.id: 1.0 for n in order[:150]}
