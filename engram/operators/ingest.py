@@ -78,12 +78,17 @@ def canonical_predicate(p: Column) -> Column:
 
 
 def fact_conflicts(facts: DataFrame) -> DataFrame:
-    """facts: (id, user_id, subject, predicate, object, created_at, temporal_intent): each fact with the next of the
-    same subject and predicate class whose object differs, and what follows: contradict an assertion, else supersede."""
-    w = Window.partitionBy("user_id", F.lower(F.trim("subject")), canonical_predicate(F.col("predicate"))).orderBy("created_at", "id")
-    nxt = facts.withColumns({"new_id": F.lead("id").over(w), "new_object": F.lead("object").over(w), "new_intent": F.lead("temporal_intent").over(w)})
-    differs = F.lower(F.trim("object")) != F.lower(F.trim("new_object"))
-    return nxt.where(differs).select(F.col("id").alias("old_id"), "new_id", F.when(F.col("new_intent") == "assertion", "contradict").otherwise("supersede").alias("action"))
+    """facts: (id, user_id, subject, predicate, object, created_at, temporal_intent): each fact with the first later one of
+    the same subject and predicate class whose object differs, and what follows: contradict an assertion, else supersede.
+
+    Newest first, the start of the next run of equal objects is carried back over the run before it.
+    """
+    w = Window.partitionBy("user_id", F.lower(F.trim("subject")), canonical_predicate(F.col("predicate"))).orderBy(F.desc("created_at"), F.desc("id"))
+    what = F.lower(F.trim("object"))
+    later = F.struct(F.lag("id").over(w).alias("id"), F.lag("temporal_intent").over(w).alias("intent"))
+    rows = facts.withColumn("turn", F.when((F.row_number().over(w) > 1) & ~what.eqNullSafe(F.lag(what).over(w)), later))
+    rows = rows.withColumn("next", F.last("turn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("next IS NOT NULL")
+    return rows.select(F.col("id").alias("old_id"), F.col("next.id").alias("new_id"), F.when(F.col("next.intent") == "assertion", "contradict").otherwise("supersede").alias("action"))
 
 
 def materialise(extracted: DataFrame, nodes: DataFrame, now) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from engram import schema as S
-from engram.operators import organizer, research
+from engram.operators import ingest, organizer, research
 from engram.plans import queries
 from engram.sources import tables as T
 
@@ -73,3 +73,26 @@ def test_graph_candidates_reach_from_every_node(spark, sf):
     order = sorted(live, key=lambda n: (-n.confidence, -n.created_at.timestamp(), n.id))
     got = {r.id: r.graph_proximity for r in queries.graph_candidate_scores(spark, sf).collect()}
     assert got == {n.id: 1.0 for n in order[:150]}
+
+
+def conflicts(rows):
+    rows = sorted(rows, key=lambda r: (r.created_at, r.id))
+    same = lambda r: (r.user_id, r.subject.strip().lower(), "works_at" if r.predicate == "joined" else r.predicate)
+    out = set()
+    for i, r in enumerate(rows):
+        for n in rows[i + 1 :]:
+            if same(r) == same(n) and r.object.strip().lower() != n.object.strip().lower():
+                out.add((r.id, n.id, "contradict" if n.temporal_intent == "assertion" else "supersede"))
+                break
+    return out
+
+
+def test_every_repeat_of_a_fact_meets_the_change_after_it(spark, sf):
+    day = "timestamp_ntz'2024-01-0{} 00:00:00'".format
+    rows = [("a", "x", 1, None), ("b", "X ", 2, None), ("c", "y", 3, None), ("d", "y", 4, "assertion"), ("e", "x", 5, "assertion")]
+    df = spark.createDataFrame([(i, "u", "s", "joined" if i == "b" else "works_at", o, d, t) for i, o, d, t in rows], "id string, user_id string, subject string, predicate string, object string, d int, temporal_intent string")
+    df = df.withColumn("created_at", F.expr(f"{day(1)} + make_dt_interval(d)")).drop("d")
+    want = {("a", "c", "supersede"), ("b", "c", "supersede"), ("c", "e", "contradict"), ("d", "e", "contradict")}
+    assert {tuple(r) for r in ingest.fact_conflicts(df).collect()} == want == conflicts(df.collect())
+    got = [tuple(r) for r in queries.fact_conflicts(spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == conflicts(queries._facts(spark, sf).collect())
