@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from engram.functions import expr as X
 
 BLOCK = 256
+MOST_TERMS = 10_000
 
 
 def hash_embed(text: str, dim: int = 64) -> list[float]:
@@ -95,11 +96,13 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("node_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("term", "node_id").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, match_all: bool = False) -> DataFrame:
-    """queries: (query_id, query) -> (query_id, node_id, score), the k best. Only terms of a query are counted:
-    a document's lengths and frequencies come from one pass, nothing but matches is shuffled."""
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, match_all: bool = False) -> DataFrame:
+    """queries: (query_id, query) -> (query_id, node_id, score, rn), the k best; without k every match, not ranked.
+    Only terms of a query are counted: a document's lengths and frequencies come from one pass, nothing but matches is shuffled."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    words = [r.term for r in terms.select("term").distinct().limit(10_000).collect()]
+    words = [r.term for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(words) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} distinct terms in the queries of one call")
     toks = docs.select("node_id", tokens(F.col("content")).alias("ts"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).first()
     wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
@@ -110,6 +113,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     scored = hits.join(df_t, "term").join(terms, "term").groupBy("query_id", "node_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     if match_all:
         scored = scored.join(terms.groupBy("query_id").agg(F.count("*").alias("need")), "query_id").where("matched = need")
+    if k is None:
+        return scored.select("query_id", "node_id", "score")
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), "node_id"))
     return scored.withColumn("rn", rn).where(F.col("rn") <= k).select("query_id", "node_id", "score", "rn")
 

@@ -298,7 +298,7 @@ def bm25_minmax(spark, sf):
 
 @query
 def lexical_match_all(spark, sf):
-    return search.bm25(T.lexical_docs(spark, sf), _queries(spark), 1_000_000, match_all=True).groupBy("query_id").agg(F.count("*").alias("n"))
+    return search.bm25(T.lexical_docs(spark, sf), _queries(spark), None, match_all=True).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 # --- ranking
@@ -586,7 +586,7 @@ def quality_metrics(spark, sf):
 def _graded(spark, sf):
     docs, labels = T.lexical_docs(spark, sf), T.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("node_id"), F.col("quality").alias("grade"))
     hits = search.bm25(docs, _queries(spark), 20).join(labels, "node_id", "left").na.fill(0, ["grade"])
-    total = hits.groupBy("query_id").agg(F.sum("grade").alias("all_relevant"))
+    total = search.bm25(docs, _queries(spark), None).join(labels, "node_id", "left").na.fill(0, ["grade"]).groupBy("query_id").agg(F.sum("grade").alias("all_relevant"))
     return hits.join(total, "query_id").select("query_id", F.col("rn").alias("rank"), "grade", "all_relevant")
 
 

@@ -2,10 +2,11 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from engram import schema as S
-from engram.operators import ingest, organizer, research
+from engram.operators import ingest, organizer, research, search
 from engram.plans import queries
 from engram.sources import tables as T
 
@@ -96,3 +97,22 @@ def test_every_repeat_of_a_fact_meets_the_change_after_it(spark, sf):
     assert {tuple(r) for r in ingest.fact_conflicts(df).collect()} == want == conflicts(df.collect())
     got = [tuple(r) for r in queries.fact_conflicts(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == conflicts(queries._facts(spark, sf).collect())
+
+
+def test_bm25_gives_every_match_and_drops_no_term(spark, monkeypatch):
+    docs = spark.range(50).select(F.col("id").cast("string").alias("node_id"), F.when(F.col("id") % 2 == 0, "ab cd").otherwise("ab").alias("content"))
+    q = spark.createDataFrame([("q", "ab cd")], "query_id string, query string")
+    assert search.bm25(docs, q, None).count() == 50 and search.bm25(docs, q, None, match_all=True).count() == 25
+    assert search.bm25(docs, q, 3).count() == 3
+    monkeypatch.setattr(search, "MOST_TERMS", 1)
+    with pytest.raises(ValueError):
+        search.bm25(docs, q, 3)
+
+
+def test_recall_counts_relevant_matches_below_the_hits(spark, sf):
+    good = {str(r.doc_id) for r in T.read(spark, sf, "labels").where("quality > 0").collect()}
+    texts = {str(r.doc_id): set(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in T.read(spark, sf, "documents").select("doc_id", "text").collect()}
+    terms = {r.query_id: set(r.query.split()) for r in queries._queries(spark).collect()}
+    want = {q: sum(1 for d in good if texts.get(d, set()) & ws) for q, ws in terms.items()}
+    got = {r.query_id: r.all_relevant for r in queries._graded(spark, sf).collect()}
+    assert got == {q: want[q] for q in got} and max(want.values()) > 20
