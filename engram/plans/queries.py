@@ -102,18 +102,21 @@ def info_scan(spark, sf):
     return T.info({"nodes": (T.nodes(spark, sf), "updated_at"), "events": (_events(spark, sf), "timestamp")})
 
 
+def _memory(spark, sf):
+    """Whole nodes, the supersedes edges between them, and whole events."""
+    t = T.empty_tables(spark)
+    t.nodes, t.edges, t.events = T.nodes(spark, sf), T.migrate(_chain_edges(spark, sf), S.EDGES), T.migrate(_events(spark, sf), S.EVENTS)
+    return t
+
+
 @query
 def export_nodes(spark, sf):
-    t = T.empty_tables(spark)
-    t.nodes = T.nodes(spark, sf).select("id", "content")
-    return T.export_json(t).where("kind = 'node'").select("value")
+    return T.export_json(_memory(spark, sf)).select("kind", "value")
 
 
 @query
 def doctor_checks(spark, sf):
-    t = T.empty_tables(spark)
-    t.nodes = T.nodes(spark, sf)
-    return T.doctor(t)
+    return T.doctor(_memory(spark, sf))
 
 
 @query
@@ -125,7 +128,7 @@ def encrypt_round_trip(spark, sf):
 @query
 def migrated_rows(spark, sf):
     old = T.nodes(spark, sf).select("id", F.when(F.col("id") % 2 == 0, F.col("scope")).alias("scope"), "confidence", "salience", "updated_at")
-    return T.migrate(old, S.NODES).select("id", "scope", "epistemic_type", "source_type", "decay_profile", "pinned").where("id % 5 = 0")
+    return T.migrate(old, S.NODES).select("id", "scope", "epistemic_type", "source_type", "decay_profile", "pinned")
 
 
 # --- lifecycle
@@ -241,7 +244,7 @@ def _entities(spark, sf):
     c = T.read(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("content"), F.lit("entity").alias("node_type"))
     o = T.read(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("content"), F.when(F.col("o_orderstatus") == "O", "task").otherwise("fact").alias("node_type"))
     nodes = c.unionByName(o).withColumn("lifecycle_state", F.lit("stable"))
-    return nodes, T.tree_edges(spark, sf).where("source_id LIKE 'o%'")
+    return nodes, T.tree_edges(spark, sf)
 
 
 @query

@@ -1,6 +1,8 @@
 """The whole job by brute force: no text, row, seed or step is left out."""
 
+import json
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,17 @@ def test_recall_counts_relevant_matches_below_the_hits(spark, sf):
     want = {q: sum(1 for d in good if texts.get(d, set()) & ws) for q, ws in terms.items()}
     got = {r.query_id: r.all_relevant for r in queries._graded(spark, sf).collect()}
     assert got == {q: want[q] for q in got} and max(want.values()) > 20
+
+
+def test_whole_tables_are_migrated_exported_and_checked(spark, sf):
+    nodes = {r.id for r in T.nodes(spark, sf).select("id").collect()}
+    assert {r.id for r in queries.migrated_rows(spark, sf).collect()} == nodes
+    rows = queries.export_nodes(spark, sf).collect()
+    pairs = {(r.source_id, r.target_id) for r in queries._chain_edges(spark, sf).collect()}
+    assert Counter(r.kind for r in rows) == {"node": len(nodes), "edge": len(pairs), "event": len(nodes)}
+    values = {k: [json.loads(r.value) for r in rows if r.kind == k] for k in ("node", "edge", "event")}
+    assert {v["id"] for v in values["node"]} == {v["id"] for v in values["event"]} == nodes and all("confidence" in v and "created_at" in v for v in values["node"])
+    assert {(v["source_id"], v["target_id"]) for v in values["edge"]} == pairs
+    assert queries._memory(spark, sf).edges.count() == len(pairs)
+    assert {r.check_name: r.violations for r in queries.doctor_checks(spark, sf).collect()}["edges start at nodes"] == 0
+    assert {r.n_out for r in queries.entity_snapshot(spark, sf).collect()} == {1}
