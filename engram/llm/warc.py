@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.common import Scratch, salt, salts
@@ -240,19 +240,34 @@ def read_archive(read, size: int):
 # --- Spark -----------------------------------------------------------------------------------------------
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def repeated_payloads(base: DataFrame, least_bytes: int) -> DataFrame:
+    """digest, salt, last: of every payload that occurs twice or more, the greatest page_id, per salt it occurs under.
+
+    Only digests are shuffled. They are counted per (digest, salt) first, so a payload that a third of the pages
+    share is split over many tasks.
+    """
+    parts = base.where("digest is not null").groupBy("digest", "salt").agg(F.max("page_id").alias("own_max"), F.count("*").alias("c"))
+    whole = parts.groupBy("digest").agg(F.max("own_max").alias("last"), F.sum("c").alias("n")).where("n > 1").select("digest", "last")
+    return parts.select("digest", "salt").join(whole, "digest")
+
+
+def with_revisits(pages: DataFrame, least_bytes: int = 1000, broadcast_rows: int = 250_000) -> DataFrame:
     """page_id, url, payload, refers_to: of equal payloads of `least_bytes` or more all but the greatest page_id refer to that one.
 
-    Payload digests are counted per (digest, salt) first, so a payload that a third of the pages share is
-    split over many tasks in the aggregate and in the join alike.
+    The table of repeated digests (32 bytes and a long a row) is written once and counted. Up to
+    `broadcast_rows` it meets the payloads where they are scanned; beyond, in a shuffle join on (digest, salt).
     """
+    s = Scratch(pages.sparkSession, "revisits")
     n = salts(pages.count())
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    keyed = base.withColumn("digest", F.when(F.length("payload") >= least_bytes, F.sha2("payload", 256))).withColumn("salt", salt("page_id", n))
-    parts = keyed.where("digest is not null").groupBy("digest", "salt").agg(F.max("page_id").alias("own_max"), F.count("*").alias("c"))
-    whole = Window.partitionBy("digest")
-    last = parts.select("digest", "salt", F.max("own_max").over(whole).alias("last"), F.sum("c").over(whole).alias("n")).where("n > 1").drop("n")
-    joined = keyed.join(last, ["digest", "salt"], "left")
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    base = base.withColumn("digest", F.when(F.length("payload") >= least_bytes, F.unhex(F.sha2("payload", 256)))).withColumn("salt", salt("page_id", n))
+    last = s.keep(repeated_payloads(base, least_bytes), "repeated")
+    few = last.count() <= broadcast_rows
+    if few:
+        joined = base.join(F.broadcast(last.select("digest", "last").distinct()), "digest", "left")
+    else:
+        joined = base.join(last, ["digest", "salt"], "left")
     return joined.select("page_id", "url", "payload", F.when(F.coalesce(F.col("page_id"), F.lit(-(1 << 62))) < F.col("last"), F.col("last")).alias("refers_to"))
 
 

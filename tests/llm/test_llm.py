@@ -269,6 +269,8 @@ def test_archives_give_pages_back(spark):
         assert by[7] == by[8] == [(999, sha(bigger), "response", None)]
         assert {r.payload for r in got if r.page_id == 3} == {b"small"}
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
+    refers = [Counter((r.page_id, bytes(r.payload), r.refers_to) for r in warc.with_revisits(pages, broadcast_rows=n).collect()) for n in (0, 250_000)]
+    assert refers[0] == refers[1] and sum(refers[0].values()) == len(html)
 
 
 # --- 6 decontamination
