@@ -16,15 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset and Spark runs in one process, as in
+    tests, a temporary folder; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="engram-"))
     return _LOCAL_ROOT[0]
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores added as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables that cut lineage: written as Parquet under the shared root, so a lost executor loses nothing.
 

@@ -6,20 +6,28 @@
    elements. Cut hash space into more segments than that: the rest are the same in both. Each class emits a
    hash per segment; a class that shares fewer than a link would need is left out, and the others that meet
    are joined into coarse groups. Groups are supersets of the true ones, so no link is lost.
-3. Each coarse group is joined in one task on a prefix tree: its sets, in one global order (most
-   frequent first), share paths, so the overlap of a probe with a shared path is counted once; a subtree
-   is left as soon as the remaining lengths can't reach the threshold. Groups beyond `block` elements or `block_sets` sets are
-   dealt to pairs of blocks, each a task of its own, so a task's memory follows `block` and the longest text.
-4. Links found (a spanning forest of each task, never all pairs) are closed to components.
+3. Every coarse group is dealt into blocks of at most `block` elements and `block_sets` sets, and each block is
+   joined in one task on a prefix tree: its sets, in one global order (most frequent first), share paths, so the
+   overlap of a probe with a shared path is counted once; a subtree is left as soon as the remaining lengths
+   can't reach the threshold. A task's memory follows `block` and the longest text.
+4. Groups of several blocks: a few sets of each component found so far are joined with one another, which
+   merges the parts of a group of near copies; then every set outside the group's largest component meets
+   all sets of the group. A link between two components has an end outside the largest, so none is lost,
+   and a large group of near copies costs a pass over it, not all pairs of blocks.
+5. Links found (a spanning forest of each task, never all pairs) are closed to components.
 
 Nulls, empty texts and wordless texts have no set and link with nothing; a text with fewer words than the
-shingle is one shingle; repeated rows are copies of one another; a null doc_id never names a component
-unless all of it is null; other columns are ignored; an empty table gives no rows.
+shingle is one shingle; very long texts are scanned in pieces, and their distinct shingles are held by one
+task; repeated rows are copies of one another, rows that share a doc_id count as one document, and among ties the
+least doc_id names a component. A row without doc_id is known by its text (as a number of 2**62 or more): it
+links like any other, but names a component only where no numbered document is in it, and then the name is null. Other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from fractions import Fraction
 
 import numpy as np
@@ -28,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import textscan as ts
-from engram.llm.common import Scratch, shuffle_partitions
+from engram.llm.common import Scratch, free_name, shuffle_partitions
 from engram.llm.components import connected_components
 
 GROWTH = 1.5
+#: Shingles and sets of a block.
+BLOCK, BLOCK_SETS = 500_000, 1024
 SCAN = "kind int, doc_id long, n long, a long, b long"
 
 
@@ -52,10 +62,13 @@ def most_apart(a: int, b: int, t: Fraction) -> int:
 
 
 def segments(level: int, t: Fraction) -> int:
-    """Segments of the level: one more than linked sets of its sizes can differ in, and some to spare for empty ones."""
+    """Segments of the level: more than linked sets of its sizes can differ in, and some to spare for empty ones.
+
+    Small sets get so many that few of their elements share one: only full segments are emitted, so that costs no rows.
+    """
     largest = int(BOUNDS[level + 1]) - 1
     least = most_apart(largest, largest, t) + 1
-    return least + 2 + least // 8
+    return max(least + 2 + least // 8, min(8 * largest, 64))
 
 
 def shingle_sets(b: np.ndarray, offsets: np.ndarray, k: int, word: np.ndarray = ts.SOLID) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +104,12 @@ def _signature(values: np.ndarray) -> tuple[int, int]:
 
 
 def segment_keys(values: np.ndarray, t: Fraction) -> list[tuple[int, np.ndarray, int]]:
-    """(level, a key per segment in which a linked set would have the same elements, how many of them it must share)."""
+    """(level, a key per segment in which a linked set would have the same elements, how many of them it must share).
+
+    Every set emits its full segments. With more of them than it can differ in from a linked set (`apart`), it
+    shares all but `apart` of them with that set. Otherwise it emits its empty segments too: of two linked sets
+    one has more full segments than they differ in, so a full one is shared, or neither has, and both emit all.
+    """
     n = len(values)
     level = int(np.searchsorted(BOUNDS, n, side="right")) - 1
     total = np.zeros(n + 1, np.uint64)
@@ -106,9 +124,8 @@ def segment_keys(values: np.ndarray, t: Fraction) -> list[tuple[int, np.ndarray,
         keys = ts.mix(total[at[1:]] - total[at[:-1]] + ts.mix(np.arange(r, dtype=np.uint64) + np.uint64(lv << 40)))
         full = at[1:] > at[:-1]
         apart = most_apart(n, min(int(BOUNDS[lv + 1]) - 1, int(n / t)), t)
-        # more full segments than differences: enough of those shared are full, and empty ones may go
-        keys = keys[full] if int(full.sum()) > apart else keys
-        out.append((lv, keys, len(keys) - apart))
+        enough = int(full.sum()) - apart
+        out.append((lv, keys[full], enough) if enough > 0 else (lv, keys, 1))
     return out
 
 
@@ -116,7 +133,7 @@ def _rows(kind: int, doc_id, n, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(doc_id), pa.array(n), pa.array(a), pa.array(b)], names=["kind", "doc_id", "n", "a", "b"])
 
 
-def _scan_documents(k: int, t: Fraction, remembered: int = 200_000):
+def _scan_documents(k: int, t: Fraction, remembered: int = 100_000):
     """Kind 0: doc_id, set size, signature. Kind 1: level, keys to share, segment key, class. A class comes once a task."""
 
     def run(batches):
@@ -192,136 +209,209 @@ def _coarse_edges(rows: DataFrame, s: Scratch, rounds: int = 2) -> DataFrame:
     return edges.where("b <> v").select(F.col("b").alias("u"), "v").distinct()
 
 
-class _Node:
-    """A run of elements that all sets below share; `sizes`: least and greatest set size below."""
-
-    __slots__ = ("run", "bag", "kids", "ends", "lo", "hi")
-
-    def __init__(self, run: tuple[int, ...]) -> None:
-        self.run, self.bag, self.kids, self.ends, self.lo, self.hi = run, frozenset(run), {}, [], 1 << 60, 0
+class PrefixTree:
+    """Sets in one global element order as a radix tree, laid out in arrays.
 
+    Runs of the tree are cut at the depths of `CUTS`, so nodes fall into slabs. In a slab all nodes below one
+    node of the slab above stand together, in preorder; a probe counts its overlap with them at once and goes
+    on below those that can still hold a set similar enough.
+    """
 
-class PrefixTree:
-    """Sets in one global element order as a radix tree."""
-
-    def __init__(self) -> None:
-        self.root = _Node(())
-
-    def add(self, elements: tuple[int, ...], who: int) -> None:
-        node, at, n = self.root, 0, len(elements)
-        while True:
-            node.lo, node.hi = min(node.lo, n), max(node.hi, n)
-            if at == n:
-                node.ends.append(who)
-                return
-            kid = node.kids.get(elements[at])
-            if kid is None:
-                leaf = _Node(elements[at:])
-                leaf.lo = leaf.hi = n
-                leaf.ends.append(who)
-                node.kids[elements[at]] = leaf
-                return
-            run, m = kid.run, 0
-            most = min(len(run), n - at)
-            while m < most and run[m] == elements[at + m]:
-                m += 1
-            if m < len(run):  # split
-                top = _Node(run[:m])
-                top.lo, top.hi = kid.lo, kid.hi
-                kid.run, kid.bag = run[m:], frozenset(run[m:])
-                top.kids[run[m]] = kid
-                node.kids[elements[at]] = top
-                kid = top
-            node, at = kid, at + m
-
-    def probe(self, bag: frozenset, t: Fraction, skip) -> list[int]:
-        """Sets with |x & y| >= t * |x | y|. `skip(y)`: the answer for y is not needed."""
+    CUTS = [0] + [16 * (2**i - 1) for i in range(1, 40)]
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        """sets: sorted int32 arrays of element ranks, none empty."""
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        self._nodes(sets, order)
+
+    def _nodes(self, sets: list[np.ndarray], order: list[int]) -> None:
+        start, end, parent, owner, first = [], [], [], [], []  # of a node: depths, node above, a set with its run, place in order
+        ends = np.zeros(len(sets), np.int64)
+
+        def chain(at: int, upto: int, above: int, who: int, place: int) -> int:
+            while at < upto:
+                stop = min(upto, self.CUTS[bisect_right(self.CUTS, at)])
+                for column, value in ((start, at), (end, stop), (parent, above), (owner, who), (first, place)):
+                    column.append(value)
+                above, at = len(start) - 1, stop
+                path.append(above)
+            return above
+
+        path, before = [], np.zeros(0, np.int32)
+        for place, who in enumerate(order):
+            own = sets[who]
+            m = min(len(own), len(before))
+            apart = np.flatnonzero(own[:m] != before[:m])
+            shared = int(apart[0]) if len(apart) else m
+            while path and start[path[-1]] >= shared:
+                path.pop()
+            if path and end[path[-1]] > shared:  # split: a new node takes the upper part of the run
+                low = path.pop()
+                for column, value in ((start, start[low]), (end, shared), (parent, parent[low]), (owner, owner[low]), (first, first[low])):
+                    column.append(value)
+                parent[low], start[low] = len(start) - 1, shared
+                path.append(len(start) - 1)
+            ends[who] = chain(shared, len(own), path[-1] if path else -1, who, place)
+            before = own
+        start, end, parent, first = (np.array(x, np.int64) for x in (start, end, parent, first))
+        slab = np.searchsorted(np.array(self.CUTS), start, side="right") - 1
+        seq = np.lexsort((start, first, slab))  # by slab, then in preorder
+        name = np.empty(len(seq), np.int64)
+        name[seq] = np.arange(len(seq))
+        self.start, self.end, self.slab = start[seq], end[seq], slab[seq]
+        self.parent = np.where(parent[seq] < 0, -1, name[parent[seq]])
+        runs = [sets[owner[i]][s:e] for i, s, e in zip(seq.tolist(), self.start.tolist(), self.end.tolist(), strict=True)]
+        self.flat = np.concatenate(runs).astype(np.int64) if runs else np.zeros(0, np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        self.last = self.flat[self.at[1:] - 1]
+        own = name[ends]
+        self.lo, self.hi = np.full(len(seq), 1 << 60), np.zeros(len(seq), np.int64)
+        np.minimum.at(self.lo, own, self.sizes)
+        np.maximum.at(self.hi, own, self.sizes)
+        lo, hi, up = self.lo.tolist(), self.hi.tolist(), self.parent.tolist()
+        for i in range(len(seq) - 1, -1, -1):  # deeper slabs come later, and children after parents
+            if (p := up[i]) >= 0:
+                lo[p], hi[p] = min(lo[p], lo[i]), max(hi[p], hi[i])
+        self.lo, self.hi = np.array(lo, np.int64), np.array(hi, np.int64)
+        self.ends = np.argsort(own, kind="stable")  # sets by the node they end at
+        self.ends_at = np.searchsorted(own[self.ends], np.arange(len(seq) + 1))
+        # what stands together: the nodes from one that begins at a cut up to the next such
+        heads = np.flatnonzero(self.start == np.array(self.CUTS)[self.slab])
+        self.heads, self.tails = heads, np.append(heads[1:], len(seq))
+        self.above = self.parent[heads]
+        self.by_slab = np.searchsorted(self.slab[heads], np.arange(int(self.slab.max(initial=-1)) + 2))
+        # a walk through the nodes of each piece: +node on the way down, -node on the way up
+        nodes, signs, entered = [], [], []
+        for h, t in zip(heads.tolist(), self.tails.tolist(), strict=True):
+            path = []
+            for i in range(h, t):
+                while path and path[-1] != up[i]:
+                    nodes.append(path.pop())
+                    signs.append(-1)
+                entered.append(len(nodes))
+                nodes.append(i)
+                signs.append(1)
+                path.append(i)
+            nodes += reversed(path)
+            signs += [-1] * len(path)
+        self.step_node, self.step_sign, self.entered = (np.array(x, np.int64) for x in (nodes, signs, entered))
+        self.mark = np.zeros(int(self.flat.max(initial=0)) + 1, np.int8)
+        # by node (and step); a probe reads only what it wrote, and 0 above the root
+        self._shared, self._live, self._own, self._walk = np.zeros(len(seq) + 1, np.int64), np.zeros(len(seq), bool), np.zeros(len(seq), np.int64), np.zeros(2 * len(seq), np.int64)
+
+    def probe(self, bag: np.ndarray, t: Fraction, most: int = 1 << 60) -> np.ndarray:
+        """Sets x of at most `most` elements with |x & bag| >= t * |x | bag|. bag: sorted ranks; unknown elements match nothing."""
         num, den = t.numerator, t.denominator
-        n, out = len(bag), []
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, depth, shared = stack.pop()
-            shared += len(bag & node.bag)
-            depth += len(node.run)
-            # a set below has a size s of lo..hi and overlaps in shared + min(n - shared, s - depth) at most;
-            # against what size s needs, that is best at s = n - shared + depth
-            s = min(node.hi, max(node.lo, n - shared + depth))
-            if (shared + min(n - shared, s - depth)) * (num + den) < num * (n + s):
-                continue
-            for y in node.ends:
-                if shared * den >= num * (n + depth - shared) and not skip(y):
-                    out.append(y)
-            stack.extend((kid, depth, shared) for kid in node.kids.values())
-        return out
-
-
-def tree_links(own: list[np.ndarray], others: list[np.ndarray] | None, t: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links among `own`, or between `own` and `others` (numbered after them)."""
+        n, found = len(bag), []
+        known = bag[: np.searchsorted(bag, len(self.mark))]
+        self.mark[known] = 1
+        shared, live = self._shared, self._live
+        live[:] = False
+        for j in range(len(self.by_slab) - 1):
+            a, b = self.by_slab[j], self.by_slab[j + 1]
+            pieces = np.arange(a, b)
+            if j:
+                pieces = pieces[live[self.above[a:b]]]
+            if not len(pieces):
+                break
+            heads, tails = self.heads[pieces], self.tails[pieces]
+            if len(pieces) == b - a:  # all of the slab
+                nodes, steps, runs = np.arange(heads[0], tails[-1]), slice(2 * heads[0], 2 * tails[-1]), slice(self.at[heads[0]], self.at[tails[-1]])
+            else:
+                nodes, steps, runs = _spans(heads, tails), _spans(2 * heads, 2 * tails), _spans(self.at[heads], self.at[tails])
+            runs = self.mark[self.flat[runs]]
+            lengths = self.end[nodes] - self.start[nodes]
+            self._own[nodes] = np.add.reduceat(runs, np.cumsum(lengths) - lengths, dtype=np.int64)
+            # the walk of each piece ends at 0, so one running sum serves them all
+            self._walk[steps] = np.cumsum(self._own[self.step_node[steps]] * self.step_sign[steps])
+            here = np.repeat(shared[self.above[pieces]], tails - heads) + self._walk[self.entered[nodes]]
+            shared[nodes] = here
+            lo, hi = self.ends_at[nodes], self.ends_at[nodes + 1]
+            sets = self.ends[_spans(lo, hi)]
+            if len(sets):
+                s, z = np.repeat(here, hi - lo), self.sizes[sets]
+                found.append(sets[(s * den >= num * (n + z - s)) & (z <= most)])
+            if j + 2 < len(self.by_slab):
+                # a set of z elements below overlaps in here + min(rest, z - depth) at most: best at z = depth + rest
+                rest, depth = n - np.searchsorted(bag, self.last[nodes], side="right"), self.end[nodes]
+                z = np.clip(depth + rest, self.lo[nodes], self.hi[nodes])
+                live[nodes] = ((here + np.minimum(rest, z - depth)) * (num + den) >= num * (n + z)) & (self.lo[nodes] <= most)
+        self.mark[known] = 0
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges start..stop, one after another."""
+    n = stops - starts
+    total = int(n.sum())
+    out = np.ones(total, np.int64)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return np.zeros(0, np.int64)
+    starts, n = starts[full], n[full]
+    out[0] = starts[0]
+    out[np.cumsum(n)[:-1]] = starts[1:] - (starts[:-1] + n[:-1] - 1)
+    return np.cumsum(out)
+
+
+def tree_links(own: list[np.ndarray], others: list[np.ndarray] | None, t: Fraction, labels: list | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among `own`, or between `own` and `others` (numbered after them).
+
+    `labels`: of every set, the component it is known to be in; links within one aren't told again.
+    """
     sets = own + (others or [])
     if len(sets) < 2:
         return []
     every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     freq = np.bincount(inverse)
-    rank = np.empty(len(every), np.int64)
+    rank = np.empty(len(every), np.int32)
     rank[np.lexsort((every, -freq))] = np.arange(len(every))
-    ranked, at = rank[inverse], 0
-    ordered = []
-    for x in sets:
-        ordered.append(tuple(np.sort(ranked[at : at + len(x)]).tolist()))
-        at += len(x)
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links, tree = [], PrefixTree()
-    if others is not None:
-        for i in range(len(own)):
-            tree.add(ordered[i], i)
-    probes = sorted(range(len(own)), key=lambda i: len(ordered[i])) if others is None else range(len(own), len(sets))
-    for x in probes:
-        root = find(x)
-        for y in tree.probe(frozenset(ordered[x]), t, lambda y: find(y) == root):
-            a, b = find(x), find(y)
-            if a != b:
-                parent[a] = b
-                root = find(x)
-                links.append((x, y))
-        if others is None:
-            tree.add(ordered[x], x)
+    ranked = rank[inverse]
+    at = np.cumsum([0, *map(len, sets)])
+    ordered = [np.sort(ranked[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    comp = np.arange(len(sets)) if labels is None else np.unique(np.array(labels), return_inverse=True)[1]
+    links, tree = [], PrefixTree(ordered[: len(own)])
+    for x in range(len(own), len(sets)) if others is not None else range(len(own)):
+        for y in _strange(comp, x, tree.probe(ordered[x], t, 1 << 60 if others is not None else len(ordered[x]))):
+            links.append((x, y))
+            comp[comp == comp[y]] = comp[x]
     return links
 
 
+def _strange(comp: np.ndarray, x: int, found: np.ndarray) -> list[int]:
+    """One set of every component among `found` but that of x."""
+    found = found[comp[found] != comp[x]]
+    return found[np.unique(comp[found], return_index=True)[1]].tolist() if len(found) else []
+
+
 def _unit_links(t: Fraction):
-    """Rows (unit, side, cls, elements) sorted by unit -> links (u, v). One unit is held at a time."""
+    """Rows (unit, side, cls, label, elements) sorted by unit -> links (u, v). One unit is held at a time."""
 
     def solve(rows):
-        own = [r for r in rows if r[0] == 0]
-        others = [r for r in rows if r[0] == 1]
-        names = [r[1] for r in own] + [r[1] for r in others]
-        sets = [np.frombuffer(r[2], np.uint64) for r in own]
-        found = tree_links(sets, [np.frombuffer(r[2], np.uint64) for r in others] if others else None, t)
-        return [(names[x], names[y]) for x, y in found]
-
-    def emit(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+        rows.sort(key=lambda r: (r[0], r[1]))
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        n = sum(r[0] == 0 for r in rows)
+        if n == 0 or len(rows) < 2:
+            return None
+        found = tree_links(sets[:n], sets[n:] or None, t, [r[2] for r in rows])
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x, _ in found], pa.int64()), pa.array([rows[y][1] for _, y in found], pa.int64())], names=["u", "v"])
 
     def run(batches):
         unit, rows = None, []
         for batch in batches:
             units = batch.column(0).to_pylist()
-            sides, names, bags = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            sides, names, labels, bags = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
             for i, u in enumerate(units):
                 if u != unit:
-                    if len(rows) > 1 and (found := solve(rows)):
-                        yield emit(found)
+                    if (found := solve(rows)) is not None:
+                        yield found
                     unit, rows = u, []
-                rows.append((sides[i], names[i], bags[i].as_py()))
-        if len(rows) > 1 and (found := solve(rows)):
-            yield emit(found)
+                rows.append((sides[i], names[i], labels[i], bags[i].as_py()))
+        if (found := solve(rows)) is not None:
+            yield found
 
     return run
 
@@ -339,16 +429,35 @@ def _element_sets(k: int):
     return run
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8", block: int = 500_000, block_sets: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
+#: Names of rows without doc_id begin here.
+NAMELESS = 1 << 62
+UNIT_LINKS = "u long, v long"
+
+
+def _named(documents: DataFrame):
+    """doc_id, or a number of `NAMELESS` or more that stands for the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).bitwiseAND(NAMELESS - 1).bitwiseOR(NAMELESS))
+
+
+def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8", block: int = BLOCK, block_sets: int = BLOCK_SETS, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id (least doc_id that links of `threshold` reach).
 
     Runs eagerly; the frame returned reads scratch tables. `block`, `block_sets`: shingles and sets of a block; a task joins two at once.
     `broadcast_rows`: the largest table (two longs a row) that is broadcast to pick texts; beyond, a shuffle join.
     """
+    found = _components(documents.select(_named(documents).alias("doc_id"), "text"), k, threshold, block, block_sets, broadcast_rows)
+    number = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return found.select(number("doc_id"), "n_shingles", number("component_id"))
+
+
+def _components(documents: DataFrame, k: int, threshold: str, block: int, block_sets: int, broadcast_rows: int) -> DataFrame:
+    """The same for rows that all have a doc_id."""
     spark = documents.sparkSession
     t = Fraction(threshold)
+    if not 1 / GROWTH < t <= 1:
+        raise ValueError(f"the threshold must lie between {1 / GROWTH:.2f} and 1")  # a link spans two levels at most
     s = Scratch(spark, "jaccard")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     scanned = s.keep(docs.mapInArrow(_scan_documents(k, t), SCAN), "scan", partition_by="kind")
     sized = scanned.where("kind = 0").select("doc_id", "n", "a", "b")
 
@@ -362,27 +471,64 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: str = "0.8",
     s.drop("met")
 
     member = coarse.withColumnRenamed("vertex", "a").join(classes, "a")
-    sizes = member.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block), F.count("*") / F.lit(block_sets))).cast("int").alias("g"))
-    involved = s.keep(member.join(sizes, "root").select("rep", F.struct("a", "b", "root", "g").alias("c")), "involved")
+    blocks = F.ceil(F.greatest(F.sum("n") / F.lit(block), F.count("*") / F.lit(block_sets))).cast("int")
+    involved = s.keep(member.join(member.groupBy("root").agg(blocks.alias("g")), "root").select("rep", F.struct("root", "g").alias("c")), "involved")
     small = involved.count() <= broadcast_rows
     chosen = (F.broadcast(involved) if small else involved).withColumnRenamed("rep", "doc_id")
     # rows that share a doc_id count as one document here, whatever their texts
-    with_sets = docs.join(chosen, "doc_id").select("doc_id", "text", "c.*").mapInArrow(_element_sets(k), "doc_id long, a long, b long, root long, g int, elements binary")
-    mine = F.pmod(F.xxhash64("a", "b"), F.col("g")).cast("int")
-    units = (
-        with_sets.withColumn("i", mine)
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select(F.struct("root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).alias("u"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), F.col("doc_id").alias("cls"), "elements")
-        .select(F.concat_ws("/", "u.root", "u.lo", "u.hi").alias("unit"), "side", "cls", "elements")
-    )
-    found = s.keep(units.repartition(parts, "unit").sortWithinPartitions("unit", "side").mapInArrow(_unit_links(t), "u long, v long"), "links")
-    named = connected_components(found, s, "final")
+    sets = s.keep(docs.join(chosen, "doc_id").select("doc_id", "text", "c.*").mapInArrow(_element_sets(k), "doc_id long, root long, g int, elements binary"), "sets")
+    s.drop("involved")
+    links = _group_links(sets, s, t, block, block_sets, parts)
+    s.drop("sets")
+    named = connected_components(links, s, "final")
     label = classes.join(named.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("root", "rep").alias("component"))
     out = sized.join(label, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n") > 0), "left")
-    s.drop("involved")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _bucket(n: str):
+    return F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+
+
+def _group_links(sets: DataFrame, s: Scratch, t: Fraction, block: int, block_sets: int, parts: int) -> DataFrame:
+    """sets: doc_id, root (its coarse group), g (blocks of the group), elements -> links (u, v) that join all that is linked."""
+
+    def solved(units: DataFrame, name: str) -> DataFrame:
+        """units: unit, side, doc_id, label, elements."""
+        dealt = units.select("unit", "side", "doc_id", "label", "elements").repartition(parts, "unit").sortWithinPartitions("unit")
+        return s.keep(dealt.mapInArrow(_unit_links(t), UNIT_LINKS), name)
+
+    def labelled(links: DataFrame, name: str) -> DataFrame:
+        found = connected_components(links, s, name).select(F.col("vertex").alias("doc_id"), F.col("root").alias("label"))
+        return many.select("doc_id", "root", "g", "size").join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+    unit = lambda *c: F.concat_ws("/", *c).alias("unit")
+    links = solved(sets.select(unit("root", _bucket("g")), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"), "elements"), "links-1")
+    many = sets.where("g > 1").withColumn("size", F.expr("cast(length(elements) div 8 as long)"))
+    if many.isEmpty():
+        return links
+    blocks = F.ceil(F.greatest(F.sum("size") / F.lit(block), F.count("*") / F.lit(block_sets))).cast("int")
+
+    # a few sets of every component of a group, against one another
+    known = labelled(links, "known-1")
+    few = known.groupBy("root", "label", F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("i")).agg(F.min(F.struct("doc_id", "size")).alias("x")).select("root", "label", "x.*")
+    few = few.join(few.groupBy("root").agg(blocks.alias("h")), "root")
+    heads = many.select("doc_id", "elements").join(few, "doc_id").select(unit("root", _bucket("h")), F.lit(0).alias("side"), "doc_id", "label", "elements")
+    links = links.unionByName(solved(heads, "links-2"))
+
+    # the sets outside their group's largest component, against all sets of the group
+    known = s.keep(labelled(links, "known-2"), "labels")
+    size = known.groupBy("root", "label").agg(F.count("*").alias("c"))
+    largest = size.groupBy("root").agg(F.max(F.struct("c", "label")).alias("m")).select("root", F.col("m.label").alias("largest"))
+    known = known.join(largest, "root")
+    outside = known.where("label <> largest").groupBy("root").agg(blocks.alias("h"))
+    placed = many.select("doc_id", "elements").join(known.join(outside, "root"), "doc_id")
+    every = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("j")).select(unit("root", _bucket("g"), "j"), F.lit(0).alias("side"), "doc_id", "label", "elements")
+    strays = placed.where("label <> largest").select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"))
+    strays = strays.select(unit("root", "i", _bucket("h")), F.lit(1).alias("side"), "doc_id", "label", "elements")
+    return links.unionByName(solved(every.unionByName(strays), "links-3"))
+
+
 def one_of_each(documents: DataFrame, k: int = 5, threshold: str = "0.8", broadcast_rows: int = 500_000) -> DataFrame:
     """Keeps the document of least doc_id of each component, once. Only ids are shuffled, up to `broadcast_rows` of them.
 
@@ -390,21 +536,18 @@ def one_of_each(documents: DataFrame, k: int = 5, threshold: str = "0.8", broadc
     known by its text, so equal ones count as one document, and a numbered copy stays rather than they.
     """
     s = Scratch(documents.sparkSession, "one-of-each")
-    name = "_document"
-    while name in documents.columns:
-        name += "_"
-    unnumbered = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    docs = documents.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), unnumbered))
-    found = jaccard_components(docs.select(F.col(name).alias("doc_id"), "text"), k, threshold)
+    name = free_name(documents.columns, "_document")
+    docs = documents.withColumn(name, _named(documents))
+    found = _components(docs.select(F.col(name).alias("doc_id"), "text"), k, threshold, BLOCK, BLOCK_SETS, broadcast_rows)
     rows = found.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("leads"), F.count("*").alias("rows"))
     fate = s.keep(rows.where("not leads or rows > 1").select(F.col("doc_id").alias(name), "leads"), "fate")
     few = fate.count() <= broadcast_rows
     hint = F.broadcast if few else (lambda df: df)
-    once = docs.join(hint(fate.select(name)), name, "left_anti").select(*documents.columns)
+    once = docs.join(hint(fate.select(name)), name, "left_anti").drop(name)
     if fate.where("leads").isEmpty():
         return once
     repeated = docs.join(hint(fate.where("leads").select(name)), name, "left_semi")
-    one = repeated.groupBy(name).agg(F.min_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("r"))
+    one = repeated.groupBy(name).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), F.coalesce("text", F.lit(""))).alias("r"))
     return once.unionByName(one.select("r.*"))
 
 
