@@ -1,18 +1,21 @@
 """Token counts of a tokenizer file, map-side, without shuffling pre-tokens.
 
-Tier one: a compact table of the lengths (in tokens) of the corpus's frequent pre-tokens. The frequent words
-come from a sketch over all documents (`approx_top_k`, merged map-side, bounded by its parameters); the driver
-turns them into pre-tokens and counts each with the library. The table is broadcast: `frequent` entries of
-at most `letters` characters. Tier two: other pre-tokens are counted by the library itself and remembered in
-a worker's bounded cache. The table only saves work: counts are the library's either way.
-
-Nulls are empty texts (0 bytes, 0 tokens). Repeated rows each get their result; other columns are ignored.
+Tier one: a compact table of the lengths (in tokens) of frequent pre-tokens. A byte-pair vocabulary is the list of the
+most frequent pre-tokens and parts of the text it comes from, so the table is made of its entries that are pre-tokens as a
+whole: it needs no pass over the corpus, is the same for every corpus, and the vocabulary bounds it (50 thousand entries
+of at most `LETTERS` characters, under 1 MB as broadcast). Tier two: pre-tokens that are not in the table are encoded by the
+library itself and remembered in a bounded cache of the worker, which so learns what else is frequent in
+the texts it sees. Lengths are the library's in both tiers.
+
+Nulls are empty texts (0 bytes, 0 tokens). Very long texts are split whole, one at a time. Repeated rows each get their
+result; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from itertools import filterfalse
 
 import pyarrow as pa
 import regex
@@ -26,17 +29,32 @@ LETTERS = 48
 OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-class Counter(dict):
-    """Pre-token -> number of tokens."""
+class Cache(dict):
+    """Tier two: pre-token -> number of tokens, by the library; begins anew when full."""
+
+    def __init__(self, library, entries: int) -> None:
+        super().__init__()
+        self.library, self.entries = library, entries
+
+    def __missing__(self, token: str) -> int:
+        n = len(self.library.encode(token, add_special_tokens=False))
+        if len(token) <= LETTERS:
+            if len(self) >= self.entries:
+                self.clear()
+            self[token] = n
+        return n
+
+
+class Counter:
+    """Counts tokens of texts. `table`: tier one, which stays as it is."""
 
     def __init__(self, config: str, table: dict[str, int], entries: int = CACHE_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__(table)
-        self.entries, self.fixed = entries + len(table), table
         self.library = Tokenizer.from_str(config)
         self.library.no_truncation()
         self.library.no_padding()
+        self.table, self.cache = table, Cache(self.library, entries)
         spec = json.loads(config)
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
@@ -47,61 +65,52 @@ class Counter(dict):
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
         self.names = names
 
-    def __missing__(self, token: str) -> int:
-        n = len(self.library.encode(token, add_special_tokens=False))
-        if len(token) <= LETTERS:
-            if len(self) >= self.entries:
-                self.clear()
-                self.update(self.fixed)
-            self[token] = n
-        return n
+    def _plain(self, text: str) -> int:
+        tokens, known = self.find(text), self.table.__contains__
+        return sum(map(self.table.__getitem__, filter(known, tokens))) + sum(map(self.cache.__getitem__, filterfalse(known, tokens)))
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if self.find is None:  # a tokenizer that splits otherwise: the library takes the whole text
             return len(self.library.encode(text, add_special_tokens=False))
-        get = self.__getitem__
         if self.special is None or not any(x in text for x in self.names):
-            return sum(map(get, self.find(text)))
+            return self._plain(text)
         parts = self.special(text)
-        return len(parts) // 2 + sum(sum(map(get, self.find(x))) for x in parts[::2] if x)
+        return len(parts) // 2 + sum(self._plain(x) for x in parts[::2] if x)
 
 
 #: The counter of this worker process: tasks that follow on find its cache warm.
 _WORKER: dict[str, Counter] = {}
 
 
-def _counter(key: str, made_of: tuple[str, dict[str, int]]) -> Counter:
+def _counter(key: str, config: str, names: str, lengths: bytes) -> Counter:
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = Counter(*made_of)
+        _WORKER[key] = Counter(config, dict(zip(names.split("\0"), lengths, strict=True)) if lengths else {})
     return _WORKER[key]
 
 
-def frequent_words(documents: DataFrame, frequent: int = 4096, tracked: int = 65_536, letters: int = LETTERS) -> list[str]:
-    """The most frequent blank-separated words of all documents, about; one sketch of bounded size per task."""
-    word = documents.select(F.explode(F.split("text", " ")).alias("w")).where(F.length("w").between(1, letters))
-    found = word.agg(F.expr(f"approx_top_k(w, {frequent}, {tracked})").alias("top")).first().top
-    return [x["item"] for x in found or []]
-
-
-def length_table(config: str, words: list[str]) -> dict[str, int]:
+def length_table(config: str) -> dict[str, int]:
+    """Pre-tokens among the vocabulary's entries, and how many tokens the library makes of each (255 at most: others are left to the cache)."""
     counter = Counter(config, {})
-    for w in words:
-        if counter.find:
-            for token in (*counter.find(w), *counter.find(" " + w)):
-                counter[token]
-    return dict(counter)
+    if counter.find is None:
+        return {}
+    library = counter.library
+    texts = library.decode_batch([[i] for i in range(library.get_vocab_size())], skip_special_tokens=False)
+    whole = sorted({t for t in texts if t and "\ufffd" not in t and "\0" not in t and len(t) <= LETTERS and counter.find(t) == [t]})
+    lengths = (len(e) for e in library.encode_batch(whole, add_special_tokens=False))
+    return {t: n for t, n in zip(whole, lengths, strict=True) if n <= 255}
 
 
-def token_counts(documents: DataFrame, config: str, limit: int = 1024, frequent: int = 4096) -> DataFrame:
-    """doc_id, text -> bytes and tokens of each text. `config`: the tokenizer file's JSON text."""
-    spark = documents.sparkSession
-    shared, key = spark.sparkContext.broadcast((config, length_table(config, frequent_words(documents, frequent)))), uuid.uuid4().hex
+def token_counts(documents: DataFrame, config: str, limit: int = 1024) -> DataFrame:
+    """doc_id, text -> bytes and tokens of each text. `config`: the tokenizer file's JSON text. No shuffle."""
+    table = length_table(config)
+    shared = documents.sparkSession.sparkContext.broadcast((config, "\0".join(table), bytes(table.values())))
+    key = uuid.uuid4().hex
 
     def run(batches):
-        counter = _counter(key, shared.value)
+        counter = _counter(key, *shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
