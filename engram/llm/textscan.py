@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE = 1 << 20
-CHUNK = 1 << 21
+PIECE = 1 << 18
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
