@@ -6,15 +6,18 @@ wrongly; level 3 the listed ones that level 2 lets through, and so on until none
 says no settles a key, so membership is exact over the universe. Filters are arrays of 64-bit words that
 reach the scan as constants: urls are judged without a join.
 
-A url's keys are tried longest first, so the longest rule decides; without one the verdict is `allow`.
-Rules that would need more than `most_bytes` of filter go through a semi-join instead.
+A url's keys are tried longest first, so the longest rule decides; without one the verdict is `allow`; a rule in both
+lists allows. Lists whose filters would pass `most_bytes` are dealt by a hash of the key over several passes, each with a
+cascade of bounded size; a url keeps the longest rule of all passes.
 
-Null urls and urls without `://` have an empty host and path and fit no rule; repeated rows each get their
-verdict; other columns are ignored; an empty table or an empty list gives no rule.
+Null urls and urls without `://` have an empty host and path and fit no rule; very long urls are judged whole; repeated
+rows each get their verdict; other columns are ignored; an empty table or an empty list gives no rule.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +47,22 @@ def rule_key(host: Column, path: Column) -> Column:
     return F.concat(host, path)
 
 
+KEY = "struct<n:int,own:int,key:string>"
+
+
 def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """Keys of a url of the given shapes (labels of the host, characters of the path), longest first."""
-    labels = F.split(host, r"\.")
-    keys = []
-    for n_labels, n_path in shapes:
-        suffix = F.substring_index(host, ".", -n_labels)
-        fits = (F.size(labels) >= n_labels) & (F.length(path) >= n_path) & (host != "")
-        keys.append(F.when(fits, F.struct(F.length(F.concat(suffix, F.substring(path, 1, n_path))).alias("n"), F.length(suffix).alias("own"), rule_key(suffix, F.substring(path, 1, n_path)).alias("key"))))
-    if not keys:
-        return F.array().cast("array<string>")
-    return F.transform(F.reverse(F.array_sort(F.filter(F.array(*keys), lambda x: x.isNotNull()))), lambda x: x["key"])
+    """Keys of a url of the given shapes (labels of the host, characters of the path), longest first: structs of `KEY`."""
+    if not shapes:
+        return F.array().cast(f"array<{KEY}>")
+    listed = F.from_json(F.lit(json.dumps([{"l": a, "p": b} for a, b in shapes])), "array<struct<l:int,p:int>>")
+    fits = F.filter(listed, lambda s: (F.size(F.split(host, r"\.")) >= s["l"]) & (F.length(path) >= s["p"]) & (host != ""))
+
+    def key(s: Column) -> Column:
+        suffix = F.call_function("substring_index", host, F.lit("."), -s["l"])
+        whole = rule_key(suffix, F.substr(path, F.lit(1), s["p"]))
+        return F.struct(F.length(whole).alias("n"), F.length(suffix).alias("own"), whole.alias("key"))
+
+    return F.reverse(F.array_sort(F.transform(fits, key)))
 
 
 def _positions(key: Column, level: int, bits: int) -> list[Column]:
@@ -75,11 +83,9 @@ def build_filter(keys: DataFrame, level: int, n: int) -> tuple[DataFrame, int]:
 
 
 def _says_yes(key: Column, array: Column, level: int, bits: int) -> Column:
-    out = F.lit(True)
-    for p in _positions(key, level, bits):
-        word = F.element_at(array, (F.floor(p / 64) + 1).cast("int"))
-        out = out & (F.call_function("bit_get", word, (p % 64).cast("int")) == 1)
-    return out
+    """Whether all bits of the key are set. The filter stands in the expression once."""
+    bit = lambda p: F.call_function("bit_get", F.element_at(array, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int"))
+    return F.forall(F.array(*_positions(key, level, bits)), lambda p: bit(p) == 1)
 
 
 def _constant(words: list[int]) -> Column:
@@ -104,22 +110,17 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 40, most_bytes: int = 8 << 20) -> Cascade | None:
-    """listed, universe: (key). None if the first filter would pass `most_bytes`: the caller joins instead.
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """listed, universe: (key). Only filters reach the driver; keys never do.
 
-    Only filters reach the driver; keys never do.
+    A level lets some 2 % of the other side through, so few levels are needed: each hashes anew.
     """
-    spark = listed.sparkSession
-    s = Scratch(spark, "cascade")
+    s = Scratch(listed.sparkSession, "cascade")
     keys = listed.where("key is not null").select("key", F.lit(1).alias("l")).unionByName(universe.where("key is not null").select("key", F.lit(0).alias("l")))
-    tagged = s.keep(keys.groupBy("key").agg(F.max("l").alias("l")), "keys")
+    tagged = s.keep(keys.groupBy("key").agg(F.max("l").alias("l")), "level-0")
     inside, outside = tagged.where("l = 1"), tagged.where("l = 0")
     n, levels = inside.count(), []
-    if n * BITS_PER_KEY // 8 > most_bytes:
-        return None
     while n:
-        if len(levels) == most_levels:
-            raise RuntimeError(f"the cascade did not settle in {most_levels} levels")
         level = len(levels) + 1
         frame, bits = build_filter(inside, level, n)
         words = list(frame.first()["bits"])
@@ -127,40 +128,35 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 40,
         inside, outside = outside.where(_says_yes(F.col("key"), _constant(words), level, bits)), inside
         inside = s.keep(inside, f"level-{level}")
         n = inside.count()
+    s.drop(*(f"level-{i}" for i in range(len(levels) + 1)))
     return Cascade(levels)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", most_bytes: int = 8 << 20, most_shapes: int = 512) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", most_bytes: int = 4 << 20) -> DataFrame:
     """pages: page_id, url; rules: verdict (block or allow), host, path -> page_id, host, path, rule, verdict.
 
-    Two cascades, one per verdict. `most_shapes` bounds the (labels, path length) shapes of the rules.
+    Two cascades, one per verdict, of at most `most_bytes` in their first levels; longer lists take more passes.
     """
-    spark = pages.sparkSession
     listed = rules.select("verdict", rule_key(F.col("host"), F.col("path")).alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n"))
-    shapes = sorted((r.labels, r.n) for r in listed.select("labels", "n").distinct().limit(most_shapes + 1).collect())
-    if len(shapes) > most_shapes:
-        raise ValueError(f"rules of more than {most_shapes} shapes")
+    shapes = sorted((r.labels, r.n) for r in listed.select("labels", "n").distinct().collect())  # labels of a name times path lengths
+    passes = max(1, -(-listed.count() * BITS_PER_KEY // 8 // most_bytes))
     host, path = host_and_path(F.col("url"))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    universe = base.select(F.explode(candidate_keys(F.col("host"), F.col("path"), shapes)).alias("key"))
-    cascades = {v: build_cascade(listed.where(F.col("verdict") == v).select("key"), universe, most_bytes=most_bytes) for v in ("allow", "block")}
-    if any(c is None for c in cascades.values()):
-        return _judge_by_join(base, listed, shapes, otherwise)
-    keyed = base.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), shapes))
-    found = keyed.withColumn("rule", F.try_element_at(F.filter("keys", lambda k: cascades["block"].member(k) | cascades["allow"].member(k)), F.lit(1)))
-    verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(cascades["allow"].member(F.col("rule")), F.lit("allow")).otherwise(F.lit("block"))
-    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
-
-
-def _judge_by_join(base: DataFrame, listed: DataFrame, shapes: list[tuple[int, int]], otherwise: str) -> DataFrame:
-    """The same for lists beyond the filters' bound: keys meet the list in a shuffle join."""
-    keyed = base.withColumn("row", F.monotonically_increasing_id())
-    s = Scratch(base.sparkSession, "urls")
-    keyed = s.keep(keyed, "rows")
-    tried = keyed.select("row", F.posexplode(candidate_keys(F.col("host"), F.col("path"), shapes)).alias("at", "key"))
-    verdicts = listed.groupBy("key").agg(F.min("verdict").alias("verdict"))
-    best = tried.join(verdicts, "key").groupBy("row").agg(F.min(F.struct("at", "key", "verdict")).alias("best"))
-    return keyed.join(best, "row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.lit(None).cast("struct<n:int,own:int,key:string,allow:boolean,block:boolean>").alias("best"))
+    s = Scratch(pages.sparkSession, "urls")
+    for i in range(passes):
+        mine = lambda key: F.pmod(F.xxhash64(key, F.lit("pass")), F.lit(passes)) == i  # noqa: B023, E731
+        keys = candidate_keys(F.col("host"), F.col("path"), shapes)
+        keys = F.filter(keys, lambda x: mine(x["key"])) if passes > 1 else keys  # noqa: B023
+        universe = base.select(F.explode(F.transform(keys, lambda x: x["key"])).alias("key"))
+        allow, block = (build_cascade(listed.where((F.col("verdict") == v) & mine(F.col("key"))).select("key"), universe) for v in ("allow", "block"))
+        judged = F.transform(keys, lambda x: F.struct(x["n"].alias("n"), x["own"].alias("own"), x["key"].alias("key"), allow.member(x["key"]).alias("allow"), block.member(x["key"]).alias("block")))  # noqa: B023
+        first = F.try_element_at(F.filter(judged, lambda x: x["allow"] | x["block"]), F.lit(1))
+        base = base.withColumn("best", F.greatest("best", first) if passes > 1 else first)
+        if passes > 1:
+            base = s.keep(base, f"pass-{i}")
+            s.drop(f"pass-{i - 1}")
+    verdict = F.when(F.col("best").isNull(), F.lit(otherwise)).when(F.col("best.allow"), F.lit("allow")).otherwise(F.lit("block"))
+    return base.select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
