@@ -6,7 +6,8 @@ matching, on the candidate's neighbourhood only, verifies the edits and gives th
 
 Texts are normalised once: A-Z lowered, words joined by single spaces. Base phrases are found on the same
 form, so word positions come from counting spaces. Nulls and empty texts have no word, no place, no label and
-score 0; repeated rows each get their result; other columns are ignored.
+score 0; very long texts are searched whole, one at a time; repeated rows each get their result; of places that tie in
+edits the first is taken, and places of one notice don't overlap; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ PHRASES = {
 NOTICES = [
     ("gnu general public license", "gpl", 3),
     ("licensed under the apache license", "apache", 3),
+    ("under the apache license", "apache", 2),
     ("released under the mit license", "mit", 3),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
     ("redistribution and use in source and binary forms", "bsd", 4),
@@ -53,7 +55,8 @@ class Notice:
     label: str
     edits: int
     pieces: tuple[tuple[int, bytes], ...]
-    pattern: object
+    near: object
+    best: object
 
     @classmethod
     def of(cls, text: str, label: str, edits: int) -> Notice:
@@ -62,7 +65,10 @@ class Notice:
         pieces = tuple((a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
         if any(len(p) < 3 for _, p in pieces):
             raise ValueError(f"{edits} edits leave no seed in {text!r}")
-        return cls(raw, label, edits, pieces, regex.compile(rb"(?b)(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}" % edits))
+        if len(raw) < 6 * edits:
+            raise ValueError(f"{edits} edits are too many for {text!r}")
+        fuzzy = rb"(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}" % edits
+        return cls(raw, label, edits, pieces, regex.compile(fuzzy), regex.compile(rb"(?b)" + fuzzy))
 
 
 class Scanner:
@@ -91,7 +97,6 @@ class Scanner:
                 while at >= 0:
                     marks.append((max(0, at - offset - n.edits), min(len(text), at - offset + len(n.text) + n.edits)))
                     at = text.find(piece, at + 1)
-            # a candidate needs nearly all of its letters: a cheap count of the pieces' words comes first
             for lo, hi in sorted(marks):
                 if zones and lo <= zones[-1][1]:
                     zones[-1][1] = max(zones[-1][1], hi)
@@ -100,18 +105,23 @@ class Scanner:
             for lo, hi in zones:
                 for m in self._verify(n, text, lo, hi):
                     found.append((n.label, *m))
-        return found
+        return sorted(set(found), key=lambda f: (f[1], f[2], f[0], f[3]))
 
     @staticmethod
     def _verify(n: Notice, text: bytes, lo: int, hi: int):
-        at = text.find(n.text, lo, hi)
-        if at >= 0:  # exact: no search is needed for the first of a zone
-            yield at, at + len(n.text), 0
-            lo = at + len(n.text)
-            if hi - lo < len(n.text) - n.edits:
-                return
-        for m in n.pattern.finditer(text, lo, hi):
-            yield m.start(), m.end(), sum(m.fuzzy_counts)
+        """Places of the notice in a zone that don't overlap: exact ones first; then, in the gaps between them from left
+        to right, the best fit around each place that is near enough."""
+        gaps, at = [], lo
+        while (place := text.find(n.text, at, hi)) >= 0:
+            yield place, place + len(n.text), 0
+            gaps.append((at, place))
+            at = place + len(n.text)
+        gaps.append((at, hi))
+        for lo, hi in gaps:
+            while hi - lo >= len(n.text) - n.edits and (near := n.near.search(text, lo, hi)):
+                best = n.best.search(text, near.start(), min(hi, near.end() + 2 * n.edits))
+                yield best.start(), best.end(), sum(best.fuzzy_counts)
+                lo = best.end()
 
     def rows(self, texts) -> dict[str, list]:
         out = {c: [] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
