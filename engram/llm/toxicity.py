@@ -6,9 +6,15 @@ logistic regression with an L2 penalty and a second one on counterfactuals: in l
 terms are swapped for other ones and for none, and the squared change of the sentence's score is penalised. So a
 mention of a group moves no score by itself, and neutral mentions aren't flagged.
 
-Trained on at most `sample` labelled rows (least hash of the id) on the driver; every whole text is scored.
-Nulls and empty texts have no feature and score the intercept; repeated rows score alike; the label, language,
-source and id are never inputs; without labelled rows of both kinds all scores are 0; other columns are ignored.
+Trained on at most `sample` labelled rows (least hash of the id; of rows that share an id the least text counts). Features
+are counted and chosen by Spark; the driver gets the `keep` chosen ones, each sample row's places among them, and the
+distinct changes of the swaps with their counts (all swaps of all sentences): some tens of MB at the very most.
+Every whole text is scored.
+
+Nulls and empty texts have no feature and score the intercept; very long texts are scored whole, one at a time;
+repeated rows score alike; features that tie in what they tell go by their number; the label, language, source and id are
+never inputs; a row without id isn't held out and teaches nothing; without labelled rows of both kinds all scores are 0;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engram.llm.common import Scratch
+
 #: Identity terms that may stand for one another, by language. A parameter: pass others for other texts.
 IDENTITY = {
     "en": ["muslim", "christian", "jewish", "hindu", "buddhist", "black", "white", "asian", "latino", "gay", "lesbian", "straight", "transgender", "woman", "man", "women", "men", "immigrant", "disabled", "deaf", "blind", "old", "young"],
@@ -45,10 +53,17 @@ def word_features(word: str) -> tuple[int, ...]:
     return (feature(word), *(feature(f"{word[:n]}*") for n in PREFIXES if len(word) > n))
 
 
+def words_of(text: str | None) -> set[str]:
+    return {w.lower() for w in set(WORD.findall(text or ""))}
+
+
+def _features(words) -> np.ndarray:
+    return np.unique(np.array([f for w in words for f in word_features(w)], np.uint32))
+
+
 def text_features(text: str | None) -> np.ndarray:
     """Distinct features of a text, sorted."""
-    found = [f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)]
-    return np.unique(np.array(found, np.uint32))
+    return _features(words_of(text))
 
 
 class Model:
@@ -70,71 +85,59 @@ class Model:
 
     def score(self, text: str | None) -> float:
         found: set[int] = set()
-        for w in set(WORD.findall(text or "")):
+        for w in set(WORD.findall(text or "")):  # the memo holds words as they stand; `_known` lowers them
             found.update(self._known(w))
         z = self.intercept + sum(self.weights[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _select(sets: list[np.ndarray], y: np.ndarray, keep: int, least: int) -> np.ndarray:
-    """The features whose share among toxic and other rows differs most surely (z of the log odds)."""
-    parts = [np.concatenate([s for s, label in zip(sets, y, strict=True) if bool(label) is want] or [np.zeros(0, np.uint32)]) for want in (True, False)]
-    (f1, c1), (f0, c0) = (np.unique(p, return_counts=True) for p in parts)
-    names = np.union1d(f1[c1 >= 1], f0[c0 >= least])
-    a, b = np.zeros(len(names)), np.zeros(len(names))
-    a[np.searchsorted(names, f1)] = c1
-    inside = np.isin(f0, names)
-    b[np.searchsorted(names, f0[inside])] = c0[inside]
-    n1, n0 = y.sum(), len(y) - y.sum()
-    z = (np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    at = np.flatnonzero((a + b >= least) & (np.abs(z) > 3))
-    return np.sort(names[at[np.lexsort((names[at], -np.abs(z[at])))][:keep]])
-
-
-def _places(sets, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every selected feature of every row."""
-    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, s in enumerate(sets):
-        if len(names) and len(s):
-            at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-            own = at[names[at] == s]
-            rows.append(np.full(len(own), i))
-            cols.append(own)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def counterfactuals(text: str, identity: dict[str, list[str]], most: int = 20) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of a labelled text's sentences with an identity term: the features that go and that come when the term is
-    swapped for the next term, or for none. At most `most` pairs of a text."""
+def _places(features: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Where the features stand among the names; others are left out."""
+    if not len(names) or not len(features):
+        return np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(names, features), len(names) - 1)
+    return at[names[at] == features].astype(np.int32)
+
+
+def counterfactuals(text: str | None, identity: dict[str, list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a text's sentences with an identity term: the features that go and that come when the term is swapped for the
+    next term, or for none."""
     nexts = {w: (terms[(i + 1) % len(terms)], "") for terms in identity.values() for i, w in enumerate(terms)}
     out = []
-    for sentence in SENTENCE.split(text.lower()):
-        words = WORD.findall(sentence)
-        for term in sorted(set(words) & nexts.keys()):
-            own = text_features(sentence)
+    for sentence in SENTENCE.split(text or ""):
+        words = words_of(sentence)
+        for term in sorted(words & nexts.keys()):
+            own = _features(words)
             for other in nexts[term]:
-                swapped = text_features(" ".join(other if w == term else w for w in words))
-                if len(out) == most:
-                    return out
+                swapped = _features((words - {term}) | ({other} if other else set()))
                 out.append((np.setdiff1d(own, swapped), np.setdiff1d(swapped, own)))
     return out
 
 
-def train_texts(texts: list[str], y: np.ndarray, identity: dict[str, list[str]] | None = None, **how) -> Model:
-    identity = IDENTITY if identity is None else identity
-    return train([text_features(t) for t in texts], y, [p for t in texts for p in counterfactuals(t, identity)], **how)
+def chosen_features(counts: DataFrame, toxic: int, other: int, keep: int, least: int) -> np.ndarray:
+    """counts: (feature, a toxic rows, b others) -> the features whose share differs most surely (z of the log odds), sorted."""
+    a, b = F.col("a"), F.col("b")
+    odds = lambda x, n: F.log((x + 0.5) / (F.lit(float(n)) - x + 0.5))
+    z = F.abs((odds(a, toxic) - odds(b, other)) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+    best = counts.where(a + b >= least).withColumn("z", F.round(z, 9)).where("z > 3").orderBy(F.desc("z"), "feature").limit(keep)
+    return np.sort(np.array([r.feature for r in best.select("feature").collect()], np.uint32))
 
 
-def train(sets: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], keep: int = 2000, least: int = 5, l2: float = 1e-3, fairness: float = 1.0, steps: int = 250) -> Model:
-    """Full-batch Adam on logistic loss + l2 |w|^2 + fairness * mean (change of score under a swap)^2."""
+def train(names: np.ndarray, places: list[np.ndarray], y: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray, int]], l2: float = 1e-3, fairness: float = 1.0, steps: int = 250) -> Model:
+    """Full-batch Adam on logistic loss + l2 |w|^2 + fairness * mean (change of score under a swap)^2.
+
+    names: the features; places: each row's among them; swaps: places that go, places that come, how often.
+    """
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return Model(-40.0, {})
-    names = _select(sets, y, keep, least)
-    rows, cols = _places(sets, names)
-    gone, come = _places([p[0] for p in pairs], names), _places([p[1] for p in pairs], names)
+    flat = lambda parts: (np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64))
+    rows, cols = flat(places)
+    gone, come = flat([s[0] for s in swaps]), flat([s[1] for s in swaps])
     prow, pcol = np.concatenate([gone[0], come[0]]), np.concatenate([gone[1], come[1]])
     psign = np.concatenate([np.ones(len(gone[0])), -np.ones(len(come[0]))])
+    often = np.array([s[2] for s in swaps], float)
+    often /= max(1.0, often.sum())
     n, d = len(y), len(names)
     w, b = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
@@ -143,8 +146,8 @@ def train(sets: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, n
         r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
         g = np.append(np.bincount(cols, weights=r[rows], minlength=d) + l2 * w / max(1, d) ** 0.5, r.sum())
         if len(prow):
-            change = np.bincount(prow, weights=psign * w[pcol], minlength=len(pairs))
-            g[:d] += 2 * fairness / len(pairs) * np.bincount(pcol, weights=psign * change[prow], minlength=d)
+            change = np.bincount(prow, weights=psign * w[pcol], minlength=len(swaps)) * often
+            g[:d] += 2 * fairness * np.bincount(pcol, weights=psign * change[prow], minlength=d)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w -= move[:d]
@@ -157,28 +160,43 @@ def fold():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, identity: dict[str, list[str]] | None = None, **how) -> Model:
-    """A model from at most `sample` labelled rows that aren't held out. Features are made on the executors; the
-    driver gets arrays of feature numbers, a few kilobytes a row."""
-    some = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0)
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("long"))
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, identity: dict[str, list[str]] | None = None, keep: int = 2000, least: int = 5, **how) -> Model:
+    """A model from at most `sample` labelled rows that aren't held out."""
     identity = IDENTITY if identity is None else identity
-    pair = pa.struct([("gone", pa.binary()), ("come", pa.binary())])
+    s = Scratch(documents.sparkSession, "toxicity")
+    some = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold() != 0)
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = s.keep(texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("doc_id"), "sample")
 
-    def run(batches):
+    def features(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_features(x.as_py()).astype(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], names=["toxic", "features"])
+
+    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        s.drop("sample")
+        return Model(-40.0, {})
+    found = rows.select("toxic", "text").mapInArrow(features, "toxic int, features array<long>")
+    counts = found.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    names = chosen_features(counts, n[1], n[0], keep, least)
+
+    def placed(batches):
+        places = pa.list_(pa.int32())
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            own = pa.array([text_features(t).tobytes() for t in texts], pa.binary())
-            swaps = pa.array([[{"gone": g.tobytes(), "come": c.tobytes()} for g, c in counterfactuals(t, identity)] for t in texts], pa.list_(pair))
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, swaps, batch.column(2)], names=["doc_id", "features", "swaps", "toxic"])
+            texts = [x.as_py() for x in batch.column(1)]
+            own = pa.array([_places(text_features(t), names) for t in texts], places)
+            pair = pa.struct([("gone", places), ("come", places)])
+            swaps = pa.array([[{"gone": _places(g, names), "come": _places(c, names)} for g, c in counterfactuals(t, identity)] for t in texts], pa.list_(pair))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, swaps], names=["toxic", "places", "swaps"])
 
-    kinds = "doc_id long, features binary, swaps array<struct<gone:binary,come:binary>>, toxic long"
-    found = rows.mapInArrow(run, kinds).toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["features"]))  # the order of arrival must not matter
-    array = lambda x: np.frombuffer(x, np.uint32)
-    pairs = [(array(p["gone"]), array(p["come"])) for r in found for p in r["swaps"]]
-    return train([array(r["features"]) for r in found], np.array([r["toxic"] for r in found], float), pairs, **how)
+    found = s.keep(rows.select("toxic", "text").mapInArrow(placed, "toxic int, places array<int>, swaps array<struct<gone:array<int>,come:array<int>>>"), "placed")
+    # equal changes are counted, so what the driver gets follows the terms, not the sentences
+    swaps = found.select(F.explode("swaps").alias("x")).groupBy("x.gone", "x.come").agg(F.count("*").alias("c")).orderBy("gone", "come").collect()
+    known = found.select("toxic", "places").orderBy("toxic", "places").toArrow()  # the order of arrival must not matter
+    s.drop("sample", "placed")
+    array = lambda x: np.array(x, np.int64)
+    return train(names, [array(x) for x in known.column(1).to_pylist()], known.column(0).to_numpy(), [(array(r.gone), array(r.come), r.c) for r in swaps], **how)
 
 
 def toxicity_scores(documents: DataFrame, model: Model) -> DataFrame:
@@ -195,17 +213,19 @@ def toxicity_scores(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity_scores_beside(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of documents and `score`, in one pass: rows needn't meet their scores in a join."""
+def toxicity_scores_beside(documents: DataFrame, model: Model, name: str = "toxicity_score") -> DataFrame:
+    """All columns of documents and the score as `name`, in one pass: rows needn't meet their scores in a join."""
+    if name.lower() in {c.lower() for c in documents.columns}:
+        raise ValueError(f"documents have a column {name}; give another name")
     shared = documents.sparkSession.sparkContext.broadcast((model.intercept, model.weights))
     at_text = documents.columns.index("text")
-    schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         own = Model(*shared.value)
         for batch in batches:
             scores = pa.array([own.score(x.as_py()) for x in batch.column(at_text)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
     return documents.mapInArrow(run, schema)
 
@@ -215,4 +235,4 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     scores = toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scores.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scores.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
