@@ -6,7 +6,9 @@ gives the adjacent pair of least rank, so a pre-token of n bytes takes O(n log n
 ids of short pre-tokens in a table of bounded size.
 
 The rank file is read on the driver and broadcast (50 thousand entries, under 2 MB). Nothing is shuffled.
-Nulls are empty texts: no ids, the digests of no bytes. Repeated rows each get their result; other columns are ignored.
+Nulls are empty texts: no ids, the digests of no bytes. Very long texts are encoded whole, one at a time; a pre-token
+beyond `MEMO_LETTERS` isn't remembered. Of pairs that tie in rank the leftmost merges first. Repeated rows each get their
+result; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

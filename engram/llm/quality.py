@@ -6,12 +6,14 @@ kept while it is precise enough, and the rows it covers are set aside for the ne
 (`Rule`s) and becomes one ordered Spark conditional expression.
 
 Labels come from a sample of at most `sample` labelled rows (those of least hash of the id); counts are of
-every whole text. Nulls and empty texts have no words and fail the base rule; repeated rows each get their
-result; without labels no rule is learned and the base rule alone decides; other columns are ignored.
+every whole text. Nulls and empty texts have no words and fail the base rule; very long texts are counted whole, in
+pieces of bytes; repeated rows each get their result; conditions that tie in gain go by the order of `RATIOS`; without
+labels no rule is learned and the base rule alone decides; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,22 +124,29 @@ def text_counts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def counts_beside(documents: DataFrame) -> DataFrame:
-    """All columns of documents and COUNTS, in one pass. Columns of these names are replaced."""
-    rest = documents.drop(*COUNTS)
-    at_text = rest.columns.index("text")
-    schema = T.StructType([*rest.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
+def counts_beside(documents: DataFrame, name: str) -> DataFrame:
+    """All columns of documents and a struct `name` of COUNTS, in one pass."""
+    if name.lower() in {c.lower() for c in documents.columns}:
+        raise ValueError(f"documents have a column {name}; give another name")
+    at_text = documents.columns.index("text")
+    schema = T.StructType([*documents.schema.fields, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
 
     def run(batches):
         for batch in batches:
             for i, j, out in _counted(batch.column(at_text)):
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *(pa.array(out[c].astype(np.int64)) for c in COUNTS)], names=[*batch.schema.names, *COUNTS])
+                counts = pa.StructArray.from_arrays([pa.array(out[c].astype(np.int64)) for c in COUNTS], names=COUNTS)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, counts], names=[*batch.schema.names, name])
 
-    return rest.mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema)
+
+
+def _ratio(name: str, of: Callable[[str], Column]) -> Column:
+    n, d = (of(c) for c in RATIOS[name])
+    return F.when(d > 0, n / d).otherwise(F.lit(0.0))
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
-    return counts.withColumns({r: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(F.lit(0.0)) for r, (n, d) in RATIOS.items()})
+    return counts.withColumns({r: _ratio(r, F.col) for r in RATIOS})
 
 
 @dataclass(frozen=True)
@@ -149,8 +158,8 @@ class Condition:
     def mask(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] >= self.threshold if self.above else x[self.feature] <= self.threshold
 
-    def column(self) -> Column:
-        c = F.col(self.feature)
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
+        c = of(self.feature)
         return c >= F.lit(self.threshold) if self.above else c <= F.lit(self.threshold)
 
 
@@ -165,10 +174,10 @@ class Rule:
             out &= c.mask(x)
         return out
 
-    def column(self) -> Column:
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
         out = F.lit(True)
         for c in self.conditions:
-            out = out & c.column()
+            out = out & c.column(of)
         return out
 
     def __str__(self) -> str:
@@ -234,11 +243,12 @@ def learn_rules(x: dict[str, np.ndarray], y: np.ndarray, precision: float = 0.95
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """The decision list as an ordered conditional: the first rule that holds decides; else the row is kept."""
+def verdict(rules: list[Rule], of: Callable[[str], Column] = F.col) -> Column:
+    """The decision list as an ordered conditional: the first rule that holds decides; else the row is kept.
+    `of` gives the column of a ratio."""
     out = None
     for rule in rules:
-        out = F.when(rule.column(), F.lit(not rule.rejects)) if out is None else out.when(rule.column(), F.lit(not rule.rejects))
+        out = F.when(rule.column(of), F.lit(not rule.rejects)) if out is None else out.when(rule.column(of), F.lit(not rule.rejects))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
@@ -254,20 +264,22 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, **how) ->
     return learn_rules({c: rows[c].to_numpy(float) for c in RATIOS}, rows["quality"].to_numpy() == 0, **how)
 
 
-def _judged(counts: DataFrame, rules: list[Rule], least_words: int, most_repeat: int) -> DataFrame:
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
-    rated = with_ratios(counts).withColumn("base_failed", failed)
-    return rated.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+def _base_failed(of: Callable[[str], Column], least_words: int, most_repeat: int) -> Column:
+    return (of("n_words") < least_words) | (100 * of("n_repeat_words") > most_repeat * of("n_words"))
 
 
 def quality_verdicts(documents: DataFrame, rules: list[Rule], least_words: int = 50, most_repeat: int = 50) -> DataFrame:
-    """Counts, the base rule and the list's verdict for every document."""
-    return _judged(text_counts(documents), rules, least_words, most_repeat)
+    """Counts, ratios, the base rule and the list's verdict for every document."""
+    rated = with_ratios(text_counts(documents)).withColumn("base_failed", _base_failed(F.col, least_words, most_repeat))
+    return rated.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
-def quality_verdicts_beside(documents: DataFrame, rules: list[Rule], least_words: int = 50, most_repeat: int = 50) -> DataFrame:
-    """All columns of documents, the counts, `base_failed` and `kept`."""
-    return _judged(counts_beside(documents), rules, least_words, most_repeat)
+def quality_verdicts_beside(documents: DataFrame, rules: list[Rule], least_words: int = 50, most_repeat: int = 50, name: str = "quality_verdict") -> DataFrame:
+    """All columns of documents, as they are, and a struct `name`: the counts, `base_failed` and `kept`."""
+    of = lambda c: F.col(name)[c]
+    failed = _base_failed(of, least_words, most_repeat)
+    kept = ~failed & verdict(rules, lambda r: _ratio(r, of))
+    return counts_beside(documents, name).withColumn(name, F.struct(*[of(c).alias(c) for c in COUNTS], failed.alias("base_failed"), kept.alias("kept")))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
