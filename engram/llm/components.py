@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 from engram.llm.common import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. `edges`: (u, v). The least neighbour comes from a plain aggregate, so hubs are combined map-side."""
+#: Vertices of so many edges or more are hubs, and of a hundred-thousandth of all edges at least: so hubs are 100,000 at most.
+HUB_EDGES, HUB_SHARE = 256, 100_000
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One step. `edges`: n rows (u, v). The least neighbour comes from a plain aggregate, so hubs are combined map-side;
+    the few hubs are broadcast, so their edges meet it where they lie, and only other vertices' edges are shuffled."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    hubs = least.where(F.col("c") >= max(HUB_EDGES, 2 * n // HUB_SHARE)).select("u", F.col("m").alias("hub"))
+    marked = both.join(F.broadcast(hubs), "u", "left")
+    joined = marked.where("hub is not null").select("u", "v", F.col("hub").alias("m"))
+    joined = joined.unionByName(marked.where("hub is null").select("u", "v").join(least.select("u", "m"), "u"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -35,7 +43,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, rounds:
     now = scratch.keep(edges.where("u <> v").select("u", "v").distinct(), f"{name}-0")
     state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for i in range(1, rounds + 1):
-        now = scratch.keep(_star(_star(now, True), False), f"{name}-{i}")
+        n = state[0]
+        now = scratch.keep(_star(_star(now, True, n), False, n), f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
