@@ -15,14 +15,16 @@ from engram.llm.common import Scratch, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more go. It learns from the labels of the documents it is given."""
-    scores = toxicity.toxicity_scores_beside(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scores.where("score < 0.5").select(*docs.columns)
+    name = free_name(docs.columns, "toxicity_score")
+    scores = toxicity.toxicity_scores_beside(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), name=name)
+    return scores.where(F.col(name) < 0.5).drop(name)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the learned decision list go."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.quality_verdicts_beside(docs, rules).where("kept").select(*docs.columns)
+    name = free_name(docs.columns, "quality_verdict")
+    return quality.quality_verdicts_beside(docs, rules, name=name).where(F.col(name)["kept"]).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
