@@ -80,24 +80,28 @@ def render(level: str) -> Column:
     return {
         "full": content,
         "prose": F.when(F.length(content) > 0, F.expr("substring(content, 1, cast(floor(length(content) * 0.8) as int))")).otherwise(content),
-        "structured": F.concat(F.lit("["), F.col("node_type"), F.lit("] "), short, F.when(F.length(content) > 200, "...").otherwise("")),
-        "key_value": F.concat(F.lit("id="), F.col("id"), F.lit(" type="), F.col("node_type"), F.lit(" confidence="), F.format_string("%.2f", F.col("confidence"))),
+        "structured": F.concat(F.lit("type: "), F.col("node_type"), F.lit(", content: "), short, F.when(F.length(content) > 200, "...").otherwise("")),
+        "key_value": F.concat(F.lit("id: "), F.col("id"), F.lit(", type: "), F.col("node_type"), F.lit(", confidence: "), F.col("confidence").cast("string")),
         "reference": F.concat_ws(":", "node_type", "id"),
     }[level]
 
 
 def days_ago(event: Column, question: Column) -> Column:
-    """`today`, `yesterday`, days, weeks, months (of 30.44 days), years (of 365.25), or `in n days`."""
+    """By calendar days: `today`, `yesterday`, days, `1 week ago`; then about how many weeks (under 60 days), months (of 30.44
+    days) or years (of 365.25), with the days in brackets; `in n days` for what lies ahead."""
     d = F.datediff(question, event)
-    many = lambda n, one: F.when(n == 1, F.lit(f"1 {one} ago")).otherwise(F.concat(n.cast("string"), F.lit(f" {one}s ago")))
+    days = d.cast("string")
+    about = lambda n, unit: F.concat(F.lit("~"), n.cast("string"), F.lit(f" {unit} ago ("), days, F.lit(" days)"))
     return (
         F.when(d < 0, F.concat(F.lit("in "), (-d).cast("string"), F.lit(" days")))
         .when(d == 0, "today")
         .when(d == 1, "yesterday")
-        .when(d < 7, F.concat(d.cast("string"), F.lit(" days ago")))
-        .when(d < 30, many(F.floor(d / 7).cast("int"), "week"))
-        .when(d < 365, many(F.floor(d / F.lit(30.44)).cast("int"), "month"))
-        .otherwise(many(F.floor(d / F.lit(365.25)).cast("int"), "year"))
+        .when(d < 7, F.concat(days, F.lit(" days ago")))
+        .when(d == 7, "1 week ago")
+        .when(d < 14, about(F.lit(1), "week"))
+        .when(d < 60, about(F.floor(d / 7).cast("int"), "weeks"))
+        .when(d < 365, about(F.round(d / F.lit(30.44), 1), "months"))
+        .otherwise(about(F.round(d / F.lit(365.25), 1), "years"))
     )
 
 
@@ -106,6 +110,7 @@ def days_ago(event: Column, question: Column) -> Column:
 UPDATE_LANGUAGE = r"(?i)(?:changed\s+to|switched\s+to|migrated\s+(?:from|to)|moved\s+to|replaced|updated\s+to|now\s+uses|no\s+longer|rewritten|upgraded\s+to|new\s+\S+\s+is|effective\s+immediately)"
 CURRENT_STATE = r"(?i)(?:\b(?:current|currently|now|latest|today|at\s+the\s+moment|these\s+days|presently)\b|\bso\s+far\b|\busually\b|\btypically\b|\bnormally\b|\bmost\s+recently\b|\bright\s+now\b|^(?:do|does|am|are|have|has)\s+I\b|\bdo\s+I\s+(?:go|have|use|own|keep|play|attend|work)\b)"
 EPISODIC = r"(?i)\b(?:recently|last\s+time|the\s+other\s+day|earlier\s+today|yesterday|this\s+(?:morning|afternoon|evening|week)|just\s+(?:now|told|said|mentioned|asked)|remember\s+when|did\s+(?:I|we)\s+(?:talk|discuss|mention|say))\b"
+AGGREGATION_WORDS = r"(?i)\b(?:how\s+many|how\s+much|total|count|list\s+all|sum)\b"
 AGGREGATION = r"(?i)\b(?:how\s+many|how\s+much|how\s+often|total|count|all\s+the\s+times|every\s+time|list\s+all|all\s+of\s+the)\b"
 ENTITY_START = r"(?i)^\s*(?:who|what\s+is|what\s+are)\b"
 TEMPORAL = r"(?i)\b(?:when|last|before|after|recent|recently|ago|yesterday|today|tomorrow|earlier|later|since|until|prior)\b"
@@ -160,4 +165,4 @@ def superseded_terms(content: Column) -> Column:
 def context_type(query: Column) -> Column:
     current = r"(?i)(?:\b(?:current|currently|now|presently|these\s+days)\b|\bmost\s+recently\b|\bright\s+now\b|\bafter\s+(?:\w+\s+)?(?:recent|latest)\b|\bdo\s+I\s+(?:have|keep|use|own|play|work)\b)"
     timed = r"(?i)\b(?:when|before|after|ago|first|last|order|earliest|latest|how long|how many (?:days|weeks|months|years))\b"
-    return F.when(query.rlike(AGGREGATION), "aggregation").when(query.rlike(current), "knowledge_update").when((intent(query) == "temporal") | query.rlike(timed), "temporal").otherwise("default")
+    return F.when(query.rlike(AGGREGATION) | query.rlike(AGGREGATION_WORDS), "aggregation").when(query.rlike(current), "knowledge_update").when((intent(query) == "temporal") | query.rlike(timed), "temporal").otherwise("default")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram import schema as S
+from engram.functions import expr as X
 
 
 def both_ways(edges: DataFrame, edge_types: list[str] | None = None) -> DataFrame:
@@ -32,26 +33,37 @@ def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: lis
     return seen.where("hop > 0")
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types=None, states=None, min_confidence: float | None = None) -> DataFrame:
+def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types=None, states=None, min_confidence: float | None = None, valid=None) -> DataFrame:
     """k-hop nodes of the seed's own user in the given states; the traversal itself passes through any node."""
     reach = k_hop(edges, seeds, max_hops, edge_types)
     owner = nodes.select(F.col("id").alias("seed"), F.col("user_id").alias("seed_user"))
     out = reach.join(owner, "seed").join(nodes, F.col("node_id") == F.col("id")).where(F.col("user_id") == F.col("seed_user")).where(F.col("lifecycle_state").isin(states or S.ACTIVE))
+    out = out.where((F.col("valid_from") <= X.at(valid)) & (F.col("valid_to").isNull() | (F.col("valid_to") > X.at(valid)))) if valid is not None else out
     return out.where(F.col("confidence") >= min_confidence) if min_confidence is not None else out
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10, edge_types=None) -> DataFrame:
-    """pairs: (source, target) -> the least path among shortest ones, as an array; unreachable pairs are absent."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10, edge_types=None, cut_every: int = 2) -> DataFrame:
+    """pairs: (source, target) -> the least path among shortest ones, as an array; unreachable pairs are absent.
+
+    Level by level from every source; a pair leaves the frontier once its target is met, and the walk ends when no pair is left.
+    """
     links = both_ways(edges, edge_types)
     front = pairs.select("source", "target", F.col("source").alias("node_id"), F.array("source").alias("path"))
-    seen = front
-    for _ in range(max_hops):
-        open_pairs = front.join(seen.where("node_id = target").select("source", "target"), ["source", "target"], "left_anti")
-        step = open_pairs.join(links, F.col("node_id") == F.col("a")).select("source", "target", F.col("b").alias("node_id"), F.concat("path", F.array("b")).alias("path"))
+    seen, met = front.select("source", "target", "node_id"), front.where("node_id = target")
+    for hop in range(1, max_hops + 1):
+        front = front.where("node_id <> target")
+        step = front.join(links, F.col("node_id") == F.col("a")).select("source", "target", F.col("b").alias("node_id"), F.concat("path", F.array("b")).alias("path"))
         step = step.groupBy("source", "target", "node_id").agg(F.min("path").alias("path"))
-        front = step.join(seen.select("source", "target", "node_id"), ["source", "target", "node_id"], "left_anti")
-        seen = seen.unionByName(front)
-    return seen.where("node_id = target").select("source", "target", "path", (F.size("path") - 1).alias("hops"))
+        front = step.join(seen, ["source", "target", "node_id"], "left_anti")
+        here = front.where("node_id = target")
+        front = front.join(here.select("source", "target"), ["source", "target"], "left_anti").unionByName(here)
+        if hop % cut_every == 0:
+            front = _cut(front)
+            if front.isEmpty():
+                break
+            seen, met = _cut(seen), _cut(met)
+        seen, met = seen.unionByName(front.select("source", "target", "node_id")), met.unionByName(front.where("node_id = target"))
+    return met.select("source", "target", "path", (F.size("path") - 1).alias("hops"))
 
 
 def supersedence_chain(edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_steps: int = 100) -> DataFrame:
@@ -72,13 +84,29 @@ def supersedence_chain(edges: DataFrame, seeds: DataFrame, direction: str = "for
     return out
 
 
-def graph_candidates(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int = 150) -> DataFrame:
-    """seeds: (query_id, seed) -> (query_id, id, graph_proximity): 1.0, 0.7, 0.4 by hop, the best over seeds, capped per query."""
+def chain_report(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, step, node_id, lifecycle_state, content): what superseded a node (steps above 0) and what it superseded (below)."""
+    ahead = supersedence_chain(edges, seeds, "forward")
+    behind = supersedence_chain(edges, seeds, "backward").where("step > 0").withColumn("step", -F.col("step"))
+    return ahead.unionByName(behind).join(nodes.select(F.col("id").alias("node_id"), "lifecycle_state", "content"), "node_id", "left")
+
+
+def graph_candidates(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int = 150, windows: DataFrame | None = None) -> DataFrame:
+    """seeds: (query_id, seed) -> (query_id, id, graph_proximity): 1.0, 0.7, 0.4 by hop, the best over seeds, capped per query.
+
+    windows: (query_id, time_from, time_to): nodes whose validity doesn't overlap a query's window are left out, but entities
+    and preferences never are.
+    """
     reach = k_hop(edges, seeds.select("seed").distinct(), hops)
     near = F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.4)), F.least(F.col("hop"), F.lit(3)))
     best = seeds.join(reach, "seed").groupBy("query_id", "node_id").agg(F.max(near).alias("graph_proximity"))
-    live = nodes.where(F.col("lifecycle_state").isin(S.LIVE)).select("id", "confidence", "created_at")
-    ranked = best.join(live, F.col("node_id") == F.col("id")).withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("created_at"), "id")))
+    live = nodes.where(F.col("lifecycle_state").isin(S.LIVE)).select("id", "node_type", "confidence", "created_at", "valid_from", "valid_to")
+    found = best.join(live, F.col("node_id") == F.col("id"))
+    if windows is not None:
+        lasts = F.col("node_type").isin("entity", "preference")
+        over = (F.col("valid_to") <= F.col("time_from")) | (F.col("valid_from") > F.col("time_to"))
+        found = found.join(windows, "query_id").where(lasts | ~F.coalesce(over, F.lit(False)))
+    ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("created_at"), "id")))
     return ranked.where(F.col("rn") <= cap).select("query_id", "id", "graph_proximity")
 
 
@@ -86,22 +114,44 @@ def entity_seeds(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """terms: (query_id, term), a query's few names. Entities whose content holds a term, whatever its case."""
     named = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.LIVE)).select("id", F.lower("content").alias("content"))
     words = terms.select("query_id", F.lower("term").alias("term"))
-    return named.join(words, F.col("content").contains(F.col("term"))).select("query_id", F.col("id").alias("seed")).distinct()
+    from engram.operators.search import small
+
+    return named.join(small(words, 10_000), F.col("content").contains(F.col("term"))).select("query_id", F.col("id").alias("seed")).distinct()
+
+
+#: Kinds of neighbours in a snapshot's summary and listing, with their headings there.
+SNAPSHOT_KINDS = [("fact", "Known facts", "Facts"), ("preference", "Preferences", "Preferences"), ("task", "Active tasks", "Tasks"), ("decision", "Recent decisions", "Decisions")]
+
 
+def snapshots(nodes: DataFrame, edges: DataFrame, valid=None) -> DataFrame:
+    """Every active entity with its active 1-hop neighbours by type (newest first), its edges in and out, and a summary.
 
-def snapshots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every active entity with its active 1-hop neighbours by type, and its edges in and out."""
+    An entity's neighbours end as one row, as a snapshot is one text; counts come from aggregates of their own.
+    """
     active = nodes.where(F.col("lifecycle_state").isin(S.ACTIVE))
     ent = active.where("node_type = 'entity'").select(F.col("id").alias("entity_id"), F.col("content").alias("entity"))
-    link = both_ways(edges)
-    near = ent.join(link, F.col("entity_id") == F.col("a")).join(active.select("id", "node_type", "content"), F.col("b") == F.col("id"))
-    lists = [F.array_sort(F.collect_list(F.when(F.col("node_type") == t, F.col("content")))).alias(f"{t}s") for t in ("fact", "preference", "decision", "task")]
-    grouped = near.groupBy("entity_id", "entity").agg(*lists)
-    parts = [F.when(F.size(f"{t}s") > 0, F.concat(F.lit(f"{t}s: "), F.array_join(f"{t}s", ", "))) for t in ("fact", "preference", "decision", "task")]
+    others = active if valid is None else active.where((F.col("valid_from") <= valid) & (F.col("valid_to").isNull() | (F.col("valid_to") > valid)))
+    others = others.where(F.col("node_type").isin([k for k, _, _ in SNAPSHOT_KINDS])).select("id", "node_type", "content", *(["created_at"] if "created_at" in nodes.columns else [F.lit(None).cast("timestamp_ntz").alias("created_at")]))
+    near = ent.join(both_ways(edges), F.col("entity_id") == F.col("a")).join(others, F.col("b") == F.col("id"))
+    newest = F.struct((-F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0))).alias("t"), "id", "content")
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("node_type") == k, newest))), lambda x: x["content"]).alias(f"{k}s") for k, _, _ in SNAPSHOT_KINDS]
+    grouped = near.groupBy("entity_id").agg(*lists)
+    parts = [F.when(F.size(f"{k}s") > 0, F.concat(F.lit(f"{title}: "), F.array_join(f"{k}s", ", "))) for k, title, _ in SNAPSHOT_KINDS]
     outs = edges.groupBy(F.col("source_id").alias("entity_id")).agg(F.count("*").alias("n_out"))
     ins = edges.groupBy(F.col("target_id").alias("entity_id")).agg(F.count("*").alias("n_in"))
-    full = ent.join(grouped.drop("entity"), "entity_id", "left").join(outs, "entity_id", "left").join(ins, "entity_id", "left")
-    return full.withColumn("summary", F.concat_ws(". ", "entity", *parts)).na.fill(0, ["n_in", "n_out"])
+    full = ent.join(grouped, "entity_id", "left").join(outs, "entity_id", "left").join(ins, "entity_id", "left")
+    return full.withColumn("summary", F.concat(F.concat_ws(". ", F.concat(F.lit("Entity: "), "entity"), *parts), F.lit("."))).na.fill(0, ["n_in", "n_out"])
+
+
+def render_snapshots(snapshots: DataFrame, now) -> DataFrame:
+    """A listing of every snapshot as text."""
+    listing = []
+    for kind, _, title in [SNAPSHOT_KINDS[i] for i in (0, 1, 3, 2)]:
+        listing.append(F.when(F.size(f"{kind}s") > 0, F.concat(F.lit(f"  {title}:\n"), F.array_join(F.transform(f"{kind}s", lambda c: F.concat(F.lit("    - "), c)), "\n"))))
+    n = F.col("n_in") + F.col("n_out")
+    relations = F.when(n > 0, F.concat(F.lit("  Relationships: "), n.cast("string"), F.lit(" edges")))
+    head = F.concat(F.lit("[Entity Snapshot: "), "entity", F.lit("]\n  ID: "), "entity_id", F.lit("\n  Generated: "), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"))
+    return snapshots.select("entity_id", F.concat_ws("\n", head, *listing, relations).alias("text"))
 
 
 def counterparts(candidates: DataFrame, edges: DataFrame) -> DataFrame:

@@ -47,28 +47,45 @@ def qa_pairs(turns: DataFrame, most: int = 1000) -> DataFrame:
     return prev.where((F.col("prev_role") != F.col("role")) & (F.length("prev_text") + F.length("text") < most)).select("conv_id", "turn", F.concat_ws("\n", "prev_text", "text").alias("content"))
 
 
+_NAME = r"[A-Z][\w-]*(?: [A-Z][\w-]*)*"
+
+
 def extract(events: DataFrame) -> DataFrame:
-    """The offline extractor: `X works at|lives in|is|uses|likes Y` sentences as facts, capitalised runs as entities."""
+    """The offline extractor: `X works at|lives in|is|uses|likes Y` sentences as facts, capitalised runs as entities,
+    `X <verb> Y` between two such runs as relationships, the first sentence as the summary."""
+
+    def parts(pattern: str) -> list[Column]:
+        return [F.regexp_extract_all("content", F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
+
+    def triples(p: list[Column], fields: tuple[str, str, str], middle) -> Column:
+        return F.zip_with(F.arrays_zip(p[0].alias("s"), p[1].alias("p")), p[2], lambda a, o: F.struct(a["s"].alias(fields[0]), middle(a["p"]).alias(fields[1]), F.trim(o).alias(fields[2])))
+
     verb = r"(works at|lives in|joined|resides in|located in|is|uses|likes)"
-    pattern = r"([A-Z][\w-]*(?: [A-Z][\w-]*)*) " + verb + r" ([\w][\w .+-]*?)(?=[.,;!?]|$)"
-    parts = [F.regexp_extract_all("content", F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
-    facts = F.zip_with(F.arrays_zip(parts[0].alias("s"), parts[1].alias("p")), parts[2], lambda a, o: F.struct(a["s"].alias("subject"), F.replace(a["p"], F.lit(" "), F.lit("_")).alias("predicate"), F.trim(o).alias("object")))
-    names = F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Z][\w-]*(?: [A-Z][\w-]*)*)"), F.lit(1)))
-    return events.withColumns({"facts": facts, "entities": names})
+    facts = triples(parts(rf"({_NAME}) {verb} ([\w][\w .+-]*?)(?=[.,;!?]|$)"), ("subject", "predicate", "object"), lambda v: F.replace(v, F.lit(" "), F.lit("_")))
+    links = triples(parts(rf"({_NAME}) (supports|contradicts|knows|manages|helps) ({_NAME})"), ("source", "kind", "target"), lambda v: v)
+    names = F.array_distinct(F.regexp_extract_all("content", F.lit(rf"\b({_NAME})"), F.lit(1)))
+    return events.withColumns({"facts": facts, "entities": names, "relationships": links, "summary": F.regexp_extract("content", r"^\s*([^.!?]*[.!?]?)", 1)})
 
 
 def grounded(extracted: DataFrame) -> DataFrame:
-    """Entities whose name and facts whose subject stand in the text, whatever their case."""
+    """Entities whose name, facts whose subject and relationships whose both ends stand in the text, whatever their case."""
     text = F.lower("content")
-    return extracted.withColumns({"entities": F.filter("entities", lambda e: F.contains(text, F.lower(e))), "facts": F.filter("facts", lambda f: F.contains(text, F.lower(f["subject"])))})
+    said = lambda x: F.contains(text, F.lower(x))
+    out = {"entities": F.filter("entities", said), "facts": F.filter("facts", lambda f: said(f["subject"]))}
+    if "relationships" in extracted.columns:
+        out["relationships"] = F.filter("relationships", lambda r: said(r["source"]) & said(r["target"]))
+    return extracted.withColumns(out)
 
 
 def upsert_entities(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """mentions: (user_id, name) -> (user_id, key, id, is_new): an entity per user and lower-cased name, known or new."""
-    key = F.lower(F.trim("name"))
-    known = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.LIVE)).groupBy("user_id", F.lower(F.trim("content")).alias("key")).agg(F.min("id").alias("known_id"))
-    found = mentions.select("user_id", key.alias("key")).distinct().join(known, ["user_id", "key"], "left")
-    return found.select("user_id", "key", F.coalesce("known_id", F.sha2(F.concat_ws("|", "user_id", F.lit("entity"), "key"), 256)).alias("id"), F.col("known_id").isNull().alias("is_new"))
+    """mentions: (user_id, name) and maybe entity_type -> (user_id, key, entity_type, id, name, is_new): an entity per user,
+    lower-cased name and type, known or new. A node tells its type in its metadata."""
+    kind = F.col("entity_type") if "entity_type" in mentions.columns else F.lit("unknown")
+    kind_of = F.coalesce(F.get_json_object("metadata", "$.entity_type"), F.lit("unknown"))
+    known = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.LIVE)).groupBy("user_id", F.lower(F.trim("content")).alias("key"), kind_of.alias("entity_type")).agg(F.min("id").alias("known_id"))
+    found = mentions.select("user_id", F.trim("name").alias("name"), F.lower(F.trim("name")).alias("key"), kind.alias("entity_type")).groupBy("user_id", "key", "entity_type").agg(F.min("name").alias("name")).join(known, ["user_id", "key", "entity_type"], "left")
+    made = F.sha2(F.concat_ws("|", "user_id", F.lit("entity"), "key", "entity_type"), 256)
+    return found.select("user_id", "key", "entity_type", F.coalesce("known_id", made).alias("id"), "name", F.col("known_id").isNull().alias("is_new"))
 
 
 def canonical_predicate(p: Column) -> Column:
@@ -92,16 +109,27 @@ def fact_conflicts(facts: DataFrame) -> DataFrame:
 
 
 def materialise(extracted: DataFrame, nodes: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """Grounded extractions (event id, user_id, content, entities, facts) as new nodes and has_fact edges."""
+    """Grounded extractions (event id, user_id, content, entities, facts, relationships) as new nodes and their edges:
+    has_fact from subject to fact, and relationships between entities (of a kind without an edge type: relates_to)."""
     from engram.operators.store import _edge_rows
 
+    links = extracted.select("user_id", F.explode("relationships").alias("r")).select("user_id", "r.*") if "relationships" in extracted.columns else None
     names = extracted.select("user_id", F.explode("entities").alias("name")).unionByName(extracted.select("user_id", F.explode(F.transform("facts", lambda f: f["subject"])).alias("name")))
+    names = names.unionByName(links.select("user_id", F.explode(F.array("source", "target")).alias("name"))) if links is not None else names
     ents = upsert_entities(names, nodes)
     facts = extracted.select(F.col("id").alias("event_id"), "user_id", F.explode("facts").alias("f")).select("event_id", "user_id", "f.*").withColumn("key", F.lower(F.trim("subject")))
     facts = facts.withColumn("content", F.concat_ws(" ", "subject", "predicate", "object")).withColumn("id", F.sha2(F.concat_ws("|", "event_id", "content"), 256)).dropDuplicates(["id"])
-    new = store(ents.where("is_new").select("id", "user_id", F.col("key").alias("content"), F.lit("entity").alias("node_type")), now).unionByName(store(facts.select("id", "user_id", "content", F.lit("fact").alias("node_type")), now))
-    linked = facts.join(ents.select("user_id", "key", F.col("id").alias("entity_id")), ["user_id", "key"])
-    return new, _edge_rows(linked, "entity_id", "id", "has_fact", now)
+    entity = ents.where("is_new").select("id", "user_id", F.col("name").alias("content"), F.lit("entity").alias("node_type"), F.to_json(F.struct("entity_type")).alias("metadata"), F.lit(0.5).alias("confidence"))
+    new = store(entity, now).withColumn("decay_profile", F.lit("slow")).unionByName(store(facts.select("id", "user_id", "content", F.lit("fact").alias("node_type")), now))
+    by_key = ents.select("user_id", "key", F.col("id").alias("entity_id"))
+    edges = _edge_rows(facts.join(by_key, ["user_id", "key"]), "entity_id", "id", "has_fact", now)
+    if links is not None:
+        end = lambda side: by_key.select("user_id", F.col("key").alias(f"_{side}"), F.col("entity_id").alias(f"{side}_id"))
+        ends = links.withColumns({"_source": F.lower(F.trim("source")), "_target": F.lower(F.trim("target"))}).join(end("source"), ["user_id", "_source"]).join(end("target"), ["user_id", "_target"])
+        for kind in [k for k in S.EDGE_TYPES if k != "relates_to"]:
+            edges = edges.unionByName(_edge_rows(ends.where(F.col("kind") == kind), "source_id", "target_id", kind, now)) if kind in ("supports", "contradicts") else edges
+        edges = edges.unionByName(_edge_rows(ends.where(~F.col("kind").isin("supports", "contradicts")), "source_id", "target_id", "relates_to", now))
+    return new, edges
 
 
 def store_supersedence(new: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -112,13 +140,26 @@ def store_supersedence(new: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 def knowledge_profiles(nodes: DataFrame, least: int = 3, budget_tokens: int = 500) -> DataFrame:
-    """A profile text per user and name seen `least` times: distinct notes by time while they fit the budget."""
-    live = nodes.where(F.col("lifecycle_state").isin(S.ACTIVE)).select("id", "user_id", "content", F.coalesce("event_time", "created_at").alias("t"))
-    named = live.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1)))))
-    often = named.groupBy("user_id", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = named.join(often, ["user_id", "name"])
-    first = F.row_number().over(Window.partitionBy("user_id", "name", F.substring("content", 1, 80)).orderBy("t", "id"))
-    rows = rows.withColumn("_f", first).where("_f = 1")
-    w = Window.partitionBy("user_id", "name").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("used", F.sum(F.length("content") + 1).over(w)).where(F.col("used") <= 4 * budget_tokens)
-    return rows.groupBy("user_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "id", "content"))), lambda x: x["content"]), "\n").alias("profile"), F.count("*").alias("notes"))
+    """(user_id, name, profile, notes): a text per user and name that occurs `least` times, from the notes that hold the name
+    in any case: distinct by their first 80 letters, in order of time, until one would pass the budget."""
+    live = nodes.where(F.col("lifecycle_state").isin(S.ACTIVE)).select("id", "user_id", F.trim("content").alias("content"), F.coalesce("event_time", "created_at").alias("t"))
+    names = live.select("user_id", F.explode(F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1))).alias("name")).where(~F.col("name").isin(S.NO_NAMES))
+    often = names.groupBy("user_id", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    rows = live.join(often, "user_id").where(F.contains(F.lower("content"), F.lower("name")))
+    key = F.substring(F.lower("content"), 1, 80)
+    rows = rows.groupBy("user_id", "name", key.alias("key")).agg(F.min(F.struct("t", "id", "content")).alias("x"), F.count("*").alias("c"))
+    w = Window.partitionBy("user_id", "name")
+    head = F.concat(F.lit("[Knowledge Profile: "), "name", F.lit("]"))
+    used = F.length(head) + F.sum(F.length("x.content") + 2).over(w.orderBy("x.t", "x.id").rowsBetween(Window.unboundedPreceding, 0))
+    over = (used > 4 * budget_tokens).cast("int")
+    rows = rows.withColumns({"related": F.sum("c").over(w), "over": over}).where("related >= 2")
+    rows = rows.withColumn("gone", F.max("over").over(w.orderBy("x.t", "x.id").rowsBetween(Window.unboundedPreceding, 0))).where("gone = 0")
+    listed = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(F.lit("- "), x["content"]))  # bounded by the budget
+    return rows.groupBy("user_id", "name").agg(F.concat_ws("\n", F.concat(F.lit("[Knowledge Profile: "), F.first("name"), F.lit("]")), listed).alias("profile"), F.count("*").alias("notes"))
+
+
+def profile_nodes(profiles: DataFrame, now) -> DataFrame:
+    """Profiles as summary nodes, observed by the system."""
+    rows = profiles.select(F.sha2(F.concat_ws("|", F.lit("profile"), "user_id", "name"), 256).alias("id"), "user_id", F.col("profile").alias("content"), F.lit("summary").alias("node_type"), F.lit("personal").alias("scope"), F.lit(0.8).alias("confidence"), F.lit("observed").alias("epistemic_type"), F.lit("system_inferred").alias("source_type"), F.to_json(F.struct(F.col("name").alias("entity_name"))).alias("metadata"))
+    worth = {"salience": F.lit(0.7), "salience_base": F.lit(0.7), "evidence_refs": F.array().cast("array<string>")}
+    return store(rows, now).withColumns(worth)

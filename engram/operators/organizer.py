@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
-from engram.operators.search import similar_pairs
+from engram.operators.search import _kept, similar_pairs
 
 
 def promotable(nodes: DataFrame, now, min_days: float = 7.0, min_evidence: int = 1) -> DataFrame:
@@ -51,20 +50,21 @@ def canonical(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return groups.join(keep, "group_id").where("id <> canonical_id").select("group_id", F.col("id").alias("duplicate_id"), "canonical_id")
 
 
-def group_pairs(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(a_id, b_id) -> (group_id, id): least id that pairs reach, by label propagation until nothing changes."""
+def group_pairs(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """(a_id, b_id) -> (group_id, id): least id that pairs reach, by label propagation with pointer jumps until nothing
+    changes. Raises if `rounds` don't suffice."""
     links = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(pairs.select(F.col("b_id").alias("a"), F.col("a_id").alias("b"))).distinct()
+    links = _kept(links)
     label = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("group_id"))
     for _ in range(rounds):
         step = links.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group_id").alias("m"))
         new = label.join(step, "id").select("id", F.least("group_id", "m").alias("group_id"))
         jump = new.select(F.col("id").alias("group_id"), F.col("group_id").alias("root"))
-        new = new.join(jump, "group_id").select("id", F.col("root").alias("group_id"))
-        new = new.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
+        new = _kept(new.join(jump, "group_id").select("id", F.col("root").alias("group_id")))
         if new.join(label.withColumnRenamed("group_id", "old"), "id").where("group_id <> old").isEmpty():
             return new
         label = new
-    return label
+    raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 
 def merge_evidence(nodes: DataFrame, merged: DataFrame) -> DataFrame:
@@ -82,7 +82,46 @@ def alias_pairs(nodes: DataFrame) -> DataFrame:
     first = named.groupBy("user_id", "key").agg(F.min(F.struct("id", "name", "content")).alias("f"), F.count("*").alias("n")).where("n > 1")
     rows = named.join(first, ["user_id", "key"]).where(F.col("id") != F.col("f.id"))
     same = F.col("name") == F.col("f.name")
-    return rows.where(~same | (F.col("content") != F.col("f.content"))).select(F.col("f.id").alias("a_id"), F.col("id").alias("b_id"), F.when(same, "case").otherwise("abbreviation").alias("reason"), F.when(same, 0.90).otherwise(0.95).alias("similarity"))
+    return rows.where(~same | (F.col("content") != F.col("f.content"))).select(F.col("f.id").alias("a_id"), F.col("id").alias("b_id"), F.when(same, "case_variation").otherwise("abbreviation").alias("reason"), F.when(same, 0.90).otherwise(0.95).alias("similarity"))
+
+
+def semantic_aliases(nodes: DataFrame, vectors: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Pairs of a user's active entities with similar vectors that `known` (a_id, b_id) doesn't hold: (a_id, b_id, reason, similarity)."""
+    e = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.ACTIVE)).select(F.col("id").alias("node_id"))
+    near = similar_pairs(vectors.join(e, "node_id", "left_semi"), threshold)
+    told = known.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
+    return near.join(told, ["a_id", "b_id"], "left_anti").select("a_id", "b_id", F.lit("semantic").alias("reason"), "similarity")
+
+
+def resolve_aliases(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, now, least: float = 0.90) -> tuple[DataFrame, DataFrame]:
+    """aliases: (a_id, b_id, reason, similarity). Sure ones merge: of a group the longest name stays (then the surest, with
+    most evidence, oldest, of least id), takes evidence and edges, and supersedes the others. Others are linked by a
+    relates_to edge."""
+    from engram.operators import store
+    from engram.operators.graph import transfer_edges
+
+    active = nodes.where(F.col("lifecycle_state").isin(S.ACTIVE))
+    ids = active.select("id")
+    both = aliases.join(ids.select(F.col("id").alias("a_id")), "a_id", "left_semi").join(ids.select(F.col("id").alias("b_id")), "b_id", "left_semi")
+    groups = group_pairs(both.where(F.col("similarity") >= least).select("a_id", "b_id"))
+    rows = groups.join(active.select("id", F.length(F.trim("content")).alias("name"), "confidence_base", F.size("evidence_refs").alias("refs"), "created_at"), "id")
+    best = rows.groupBy("group_id").agg(F.min(F.struct((-F.col("name")).alias("a"), (-F.col("confidence_base")).alias("b"), (-F.col("refs")).alias("c"), "created_at", "id")).alias("x")).select("group_id", F.col("x.id").alias("canonical_id"))
+    merged = _kept(groups.join(best, "group_id").where("id <> canonical_id").select(F.col("id").alias("duplicate_id"), "canonical_id"))
+    moved = store.supersede(merge_evidence(nodes, merged), merged.select(F.col("duplicate_id").alias("old_id"), F.col("canonical_id").alias("new_id")), now)
+    gone = merged.select(F.col("duplicate_id").alias("id"))
+    loose = both.where(F.col("similarity") < least).join(gone.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(gone.withColumnRenamed("id", "b_id"), "b_id", "left_anti")
+    linked = store._edge_rows(loose.join(nodes.select(F.col("id").alias("a_id"), "user_id"), "a_id"), "a_id", "b_id", "relates_to", now)
+    return moved.nodes, transfer_edges(edges, merged).unionByName(moved.edges).unionByName(linked)
+
+
+def merge_duplicates(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """pairs: (a_id, b_id) of duplicates. Of each group one stays, takes evidence and edges, and supersedes the rest."""
+    from engram.operators import store
+    from engram.operators.graph import transfer_edges
+
+    merged = _kept(canonical(group_pairs(pairs), nodes).select("duplicate_id", "canonical_id"))
+    moved = store.supersede(merge_evidence(nodes, merged), merged.select(F.col("duplicate_id").alias("old_id"), F.col("canonical_id").alias("new_id")), now)
+    return moved.nodes, transfer_edges(edges, merged).unionByName(moved.edges)
 
 
 PERIODS = {"daily": ("yyyy-MM-dd", 5), "weekly": (None, 3), "monthly": ("yyyy-MM", 2)}
@@ -95,15 +134,38 @@ def period_key(level: str, t):
 
 
 def roll_up(rows: DataFrame, level: str, least: int | None = None, top: int = 10) -> DataFrame:
-    """rows: (user_id, t, id, content, salience_base, confidence_base, created_at) -> summaries per user and period."""
+    """rows: (user_id, t, id, content, salience_base, confidence_base, created_at) -> summaries per user and period: the
+    `top` most salient texts, and means over all of them."""
     least = PERIODS[level][1] if least is None else least
     keyed = rows.withColumn("period", period_key(level, F.col("t")))
     rn = F.row_number().over(Window.partitionBy("user_id", "period").orderBy(F.desc("salience_base"), F.desc("confidence_base"), F.desc("created_at"), "id"))
     keyed = keyed.withColumn("rn", rn)
-    best = F.array_sort(F.collect_list(F.when(F.col("rn") <= top, F.struct("rn", F.substring("content", 1, 200).alias("c")))))
+    short = F.concat(F.substring("content", 1, 200), F.when(F.length("content") > 200, "...").otherwise(""))
+    best = F.array_sort(F.collect_list(F.when(F.col("rn") <= top, F.struct("rn", short.alias("c"), "id"))))
     out = keyed.groupBy("user_id", "period").agg(F.count("*").alias("n"), F.avg("salience_base").alias("salience"), F.avg("confidence_base").alias("confidence"), F.min("t").alias("t"), best.alias("b"))
-    bullets = F.array_join(F.transform("b", lambda x: F.concat(F.lit("- "), x["c"])), "\n")
-    return out.where(F.col("n") >= least).select("user_id", F.lit(level).alias("level"), "period", "n", X.clamp(F.col("salience")).alias("salience"), X.clamp(F.col("confidence")).alias("confidence"), "t", bullets.alias("content"))
+    bullets = F.array_join(F.concat(F.array(F.concat(F.lit(f"[{level} summary: "), "period", F.lit("]"))), F.transform("b", lambda x: F.concat(F.lit("- "), x["c"]))), "\n")
+    return out.where(F.col("n") >= least).select("user_id", F.lit(level).alias("level"), "period", "n", X.clamp(F.col("salience")).alias("salience"), X.clamp(F.col("confidence")).alias("confidence"), "t", bullets.alias("content"), F.transform("b", lambda x: x["id"]).alias("sources"))
+
+
+def summary_nodes(summaries: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Summaries as stable nodes of the system's scope, and a derived_from edge to every text they show."""
+    from engram.operators.store import _edge_rows
+    from engram.sources.tables import migrate
+
+    told = summaries.withColumn("id", F.sha2(F.concat_ws("|", F.lit("summary"), "user_id", "level", "period"), 256))
+    rows = told.select(
+        "id", "user_id", "content", F.lit("summary").alias("node_type"), F.lit("system").alias("scope"), F.to_json(F.struct("level", "period")).alias("metadata"), F.lit("stable").alias("lifecycle_state"), F.col("confidence"), F.col("salience"),
+        F.col("confidence").alias("confidence_base"), F.col("salience").alias("salience_base"), F.lit("inferred").alias("epistemic_type"), F.lit("system_inferred").alias("source_type"), F.lit("slow").alias("decay_profile"),
+        F.col("sources").alias("evidence_refs"), F.lit(S.TTL_DAYS["summary"]).alias("ttl_days"), *[X.at(now).alias(c) for c in ("valid_from", "created_at", "updated_at", "last_reinforced_at")],
+    )
+    edges = _edge_rows(told.select("id", "user_id", F.explode("sources").alias("source")), "id", "source", "derived_from", now)
+    return migrate(rows, S.NODES), edges
+
+
+def existing_periods(nodes: DataFrame) -> DataFrame:
+    """(user_id, level, period) of active summaries."""
+    told = nodes.where("node_type = 'summary'").where(F.col("lifecycle_state").isin(S.ACTIVE))
+    return told.select("user_id", F.get_json_object("metadata", "$.level").alias("level"), F.get_json_object("metadata", "$.period").alias("period")).where("period IS NOT NULL").distinct()
 
 
 def calendar(nodes: DataFrame) -> DataFrame:
@@ -157,11 +219,8 @@ def forgettable(clusters: DataFrame, nodes: DataFrame, now, recent_days: int = 7
     return rows.where((F.col("confidence") < keep_confidence) & (X.days_between(F.col("created_at"), X.at(now)) > recent_days)).select(F.col("node_id").alias("old_id"), "leader")
 
 
-STOP = "a an and are as at be but by for from has have i in is it my no not of on or our that the this to was we were will with you your".split()
-
-
 def keywords(text):
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(STOP)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(S.STOP_WORDS)))
 
 
 def oscillations(chains: DataFrame, nodes: DataFrame, least: float = 0.3) -> DataFrame:
@@ -174,5 +233,3 @@ def oscillations(chains: DataFrame, nodes: DataFrame, least: float = 0.3) -> Dat
     hits = both.where(jac >= least)
     return hits.groupBy("seed").agg(F.count("*").alias("cycles"), F.array_sort(F.collect_list("node_id")).alias("node_ids"), F.array_join(F.slice(F.array_sort(F.first(F.array_intersect("w", "h"))), 1, 5), " ").alias("topic")).withColumn("penalty", F.round(F.least(F.col("cycles") * 0.1, F.lit(0.3)), 10))
 
-
-JOBS = ["promote", "decay_sweep", "archive", "tombstone_sweep", "deduplicate", "alias_resolve", "summarize", "consolidate", "feedback_apply", "snapshot_generation", "centrality_boost"]

@@ -10,11 +10,14 @@ from engram import schema as S
 from engram.functions import expr as X
 
 LEVELS = ["full", "prose", "structured", "key_value", "reference"]
+#: Results that a text shows.
+MOST = 50
 
 
 def tier() -> Column:
-    """Order of packing: instructions, pinned and tasks, several paths, the rest."""
-    return F.when(F.col("node_type") == "instruction", 0).when((F.col("salience") == 1.0) | (F.col("node_type") == "task"), 1).when(F.col("path_count") >= 2, 2).otherwise(3)
+    """Order of packing: instructions, pinned rows and active tasks, several paths, the rest."""
+    task = (F.col("node_type") == "task") & F.col("lifecycle_state").isin(S.ACTIVE)
+    return F.when(F.col("node_type") == "instruction", 0).when((F.col("salience") == 1.0) | task, 1).when(F.col("path_count") >= 2, 2).otherwise(3)
 
 
 def with_costs(df: DataFrame, per: float = 4.2) -> DataFrame:
@@ -25,8 +28,9 @@ def with_costs(df: DataFrame, per: float = 4.2) -> DataFrame:
 
 
 def packing_order() -> list[Column]:
+    """Tiers; within one by rank, by score per token (ties by rank), or by score."""
     by = F.when(F.col("tier") == 1, -F.col("rank").cast("double")).when(F.col("tier") == 2, F.col("str")).otherwise(F.col("composite_score"))
-    return [F.col("tier"), F.desc(by), F.col("id")]
+    return [F.col("tier"), F.desc(by), F.when(F.col("tier") == 2, F.col("rank")), F.col("id")]
 
 
 def greedy_pack(df: DataFrame, config: S.Packing = S.Packing(), min_level: str = "reference") -> DataFrame:
@@ -62,91 +66,188 @@ def prefix_pack(df: DataFrame, budget: int) -> DataFrame:
 
 
 def bundle(packed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """A row per query and section: texts in packing order, and tokens."""
+    """A row per query and section: texts in packing order, and tokens. Bounded by the budget of packing."""
     text = F.coalesce(*[F.when(F.col("level") == lv, X.render(lv)) for lv in LEVELS])
     rows = packed.join(candidates.select("query_id", "id", "content", "node_type", "confidence"), ["query_id", "id"]).withColumn("text", text)
     return rows.groupBy("query_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]).alias("texts"), F.sum("tokens").alias("tokens"))
 
 
-def system_instructions(nodes: DataFrame) -> DataFrame:
-    rows = nodes.where("node_type = 'instruction'").where(F.col("lifecycle_state").isin(S.ACTIVE)).groupBy("user_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), "content"))).alias("b"))
-    return rows.select("user_id", F.concat_ws("\n", F.lit("## System Instructions"), "b").alias("text"))
+def system_instructions(bundles: DataFrame) -> DataFrame:
+    """The instructions of every query's bundle as a block of text."""
+    rows = bundles.where("section = 'system_instructions'")
+    bullets = F.array_join(F.transform("texts", lambda t: F.concat(F.lit("- "), t)), "\n")
+    return rows.select("query_id", F.concat(F.lit("## System Instructions\n"), bullets, F.lit("\n")).alias("text"))
+
+
+# --- dates a question speaks of; words and weekdays are fixed values
+
+NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "a": 1, "an": 1}
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+UNIT_DAYS = {"weeks": 7, "months": 30, "days": 1, "years": 365}
+
+
+def time_offsets(query: Column, question: Column) -> Column:
+    """A `COMPUTED:` line for the first `N units ago` of each unit, for `last <weekday>` and for the weekend; empty without any."""
+    today = question.cast("date")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    lines = []
+    for unit, size in UNIT_DAYS.items():
+        word = F.lower(F.regexp_extract(query, rf"(?i)(\d+|{'|'.join(NUMBERS)})\s+{unit[:-1]}s?\s+ago", 1))
+        n = F.coalesce(X.lookup(NUMBERS, word, None), word.try_cast("int"))
+        back = n * size
+        lines.append(F.concat(F.lit("COMPUTED: '"), n.cast("string"), F.lit(f" {unit} ago' from "), day(today), F.lit(" = approximately "), day(F.date_sub(today, back)), F.lit(" ("), back.cast("string"), F.lit(" days before)")))
+    name = F.lower(F.regexp_extract(query, rf"(?i)last\s+({'|'.join(WEEKDAYS)})", 1))
+    wanted = F.array_position(F.array(*map(F.lit, WEEKDAYS)), name) - 1
+    gone = F.pmod(F.weekday(today) - wanted, F.lit(7)).cast("int")
+    back = F.when(name != "", F.when(gone == 0, 7).otherwise(gone))
+    lines.append(F.concat(F.lit("COMPUTED: 'last "), F.initcap(name), F.lit("' from "), day(today), F.lit(" = "), day(F.date_sub(today, back)), F.lit(" ("), back.cast("string"), F.lit(" days before)")))
+    gone = F.pmod(F.weekday(today) + 2, F.lit(7)).cast("int")
+    back = F.when(query.rlike(r"(?i)past\s+weekend|the\s+weekend"), F.when(gone == 0, 7).otherwise(gone))
+    lines.append(F.concat(F.lit("COMPUTED: 'past weekend' = Saturday "), day(F.date_sub(today, back)), F.lit(" ("), back.cast("string"), F.lit(" days before "), day(today), F.lit(")")))
+    return F.concat_ws("\n", *lines)
+
+
+# --- texts; headings and hints are fixed values
+
+KNOWLEDGE_UPDATE_HEAD = (
+    "IMPORTANT: Entries are in chronological order (oldest first, newest last).\n"
+    "When the same attribute appears multiple times with different values, the MOST RECENT entry supersedes all earlier ones. "
+    "ALWAYS use the latest value — earlier values are outdated.\n\n"
+)
+AGGREGATION_RULES = (
+    "IMPORTANT COUNTING RULES:\n"
+    "- Count ONLY items that EXACTLY match the question's criteria.\n"
+    "- Two mentions of the same item = 1 count (not 2).\n"
+    "- If an entry is about a related but different topic, do NOT count it.\n"
+    "- List each qualifying item before giving the final count.\n"
+)
+GUIDANCE_HEAD = (
+    "## Reasoning Guidance\n"
+    '- Connect information across entries: if entry A says "grandma in Sweden" and entry B says "moved from home country", conclude "moved from Sweden".\n'
+    '- Combine evidence: mentions of "son", "daughter", "youngest child" across entries may indicate 3 children total.\n'
+)
+GUIDANCE = {
+    "knowledge_update": "- When values change over time, ONLY the most recent is correct.\n",
+    "aggregation": "- Count only items that EXACTLY match the question's criteria.\n",
+}
+PROFILE_SECTIONS = [("preference", "Preferences"), ("fact", "Known Facts"), ("instruction", "Learned Rules")]
+CONFLICT_HEAD = "## Conflicting Information\nThe following items have unresolved contradictions. Prefer the more recent or higher-confidence version.\n"
 
+_TIME = "coalesce(event_time, created_at)"
 
-def format_temporal(rows: DataFrame, question) -> DataFrame:
-    """A query's results by time, each with how long ago it was."""
-    t = F.coalesce("event_time", "created_at")
-    line = F.concat(F.lit("["), F.date_format(t, "yyyy-MM-dd"), F.lit(", "), X.days_ago(t, X.at(question)), F.lit("] "), F.col("content"))
-    return _joined(rows.withColumns({"key": F.struct(t.alias("t"), F.col("id").alias("i")), "line": line}))
+
+def _shown(rows: DataFrame, most: int) -> DataFrame:
+    return rows.where(F.col("rank") <= most).withColumn("t", F.expr(_TIME))
+
+
+def _day(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd")
 
 
-def format_updates(rows: DataFrame) -> DataFrame:
-    """By time; the last is MOST RECENT, the two before RECENT, those more than five from the end OLDER."""
+def _lines(rows: DataFrame, line: Column) -> DataFrame:
+    """rows: query_id, i (place), n -> query_id, n, body. At most `most` rows a query."""
+    listed = F.array_sort(F.collect_list(F.struct("i", line.alias("line"))))
+    return rows.groupBy("query_id").agg(F.max("n").alias("n"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"))
+
+
+def _numbered(rows: DataFrame, *order) -> DataFrame:
     w = Window.partitionBy("query_id")
-    t = F.coalesce("event_time", "created_at")
-    rows = rows.withColumns({"i": F.row_number().over(w.orderBy(t, "id")) - 1, "n": F.count("*").over(w)})
-    tag = F.when(F.col("i") == F.col("n") - 1, "[MOST RECENT] ").when(F.col("i") >= F.col("n") - 3, "[RECENT] ").when(F.col("i") < F.col("n") - 5, "[OLDER] ").otherwise("")
-    return _joined(rows.withColumns({"key": F.struct(F.col("i").alias("t"), F.col("id").alias("i2")), "line": F.concat(tag, "content")}))
+    return rows.withColumns({"i": F.row_number().over(w.orderBy(*order)), "n": F.count("*").over(w)})
 
 
-def aggregation_lines(rows: DataFrame) -> DataFrame:
-    """Distinct by the first 100 characters of the lower-cased, trimmed text; the earliest is kept."""
-    key = F.substring(F.lower(F.trim("content")), 1, 100)
-    first = F.row_number().over(Window.partitionBy("query_id", key).orderBy(F.coalesce("event_time", "created_at"), "id"))
-    return rows.withColumn("_n", first).where("_n = 1").drop("_n")
+def _entry(mark: Column) -> Column:
+    return F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] ("), _day(F.col("t")), mark, F.lit(") "), F.col("content"))
 
 
-def format_default(rows: DataFrame) -> DataFrame:
-    return _joined(rows.withColumns({"key": F.struct(F.col("rank").alias("t"), F.col("id").alias("i")), "line": F.col("content")}))
+def _ago(question) -> Column:
+    return F.concat(F.lit(", "), X.days_ago(F.col("t"), X.at(question))) if question is not None else F.lit("")
 
 
-def _joined(rows: DataFrame) -> DataFrame:
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"])
-    return rows.groupBy("query_id").agg(F.array_join(lines, "\n").alias("text"))
+def _dated_head(queries: DataFrame, question) -> DataFrame:
+    """query_id, head: the question's day and the dates it speaks of."""
+    if question is None:
+        return queries.select("query_id", F.lit("").alias("head"))
+    offsets = time_offsets(F.col("query"), X.at(question))
+    today = F.concat(F.lit("Today's date: "), _day(X.at(question)), F.lit("\n"))
+    return queries.select("query_id", F.concat(today, F.when(offsets != "", F.concat(offsets, F.lit("\n"))).otherwise("")).alias("head"))
 
 
-def profile(rows: DataFrame) -> DataFrame:
-    """A query's active facts, preferences and instructions by kind, surest first."""
-    kept = rows.where(F.col("node_type").isin("fact", "preference", "instruction")).where(F.col("lifecycle_state").isin(S.ACTIVE))
-    return kept.groupBy("query_id", "node_type").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "id", "content"))), lambda x: x["content"]).alias("lines"))
+def format_temporal(rows: DataFrame, queries: DataFrame, question=None, most: int = MOST) -> DataFrame:
+    """A query's results by time, each with how long ago it was."""
+    body = _lines(_numbered(_shown(rows, most), "t", "rank"), _entry(_ago(question)))
+    gap = F.lit("\n" if question is not None else "")
+    return body.join(_dated_head(queries, question), "query_id").select("query_id", F.concat("head", gap, "body").alias("text"))
 
 
-def conflicts(rows: DataFrame) -> DataFrame:
-    """Contested pairs once each, the newer text first."""
-    t = F.coalesce("event_time", "created_at")
-    a = rows.where("conflict_flag").select("query_id", "id", "counterpart_id", "content", t.alias("t"))
-    b = a.select("query_id", F.col("id").alias("counterpart_id"), F.col("content").alias("other"), F.col("t").alias("other_t"))
-    pairs = a.join(b, ["query_id", "counterpart_id"]).where("id < counterpart_id")
-    newer = F.col("t") >= F.col("other_t")
-    return pairs.select("query_id", "id", "counterpart_id", F.concat(F.lit("NEWER: "), F.when(newer, F.col("content")).otherwise(F.col("other")), F.lit(" / OLDER: "), F.when(newer, F.col("other")).otherwise(F.col("content"))).alias("note"))
+def format_updates(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """By time; the last is the value to use, the two before it are recent, those more than five from the end older."""
+    i = F.col("i") - 1
+    mark = F.when(i == F.col("n") - 1, " [MOST RECENT — USE THIS VALUE]").when(i >= F.col("n") - 3, " [RECENT]").when(i < F.col("n") - 5, " [OLDER]").otherwise("")
+    body = _lines(_numbered(_shown(rows, most), "t", "rank"), _entry(mark))
+    return body.select("query_id", F.concat(F.lit(KNOWLEDGE_UPDATE_HEAD), "body").alias("text"))
 
 
-_NUMBERS = {w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split(), 1)}
+def aggregation_lines(rows: DataFrame) -> DataFrame:
+    """Distinct by the first 100 characters of the lower-cased, trimmed text; the earliest is kept."""
+    key = F.substring(F.lower(F.trim("content")), 1, 100)
+    first = F.row_number().over(Window.partitionBy("query_id", key).orderBy(F.expr(_TIME), "id"))
+    return rows.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def time_offset(query: Column, question: Column) -> Column:
-    """The date that `N days/weeks/months/years ago` means, a month being 30 days and a year 365; else null."""
-    found = r"(?i)\b(\d+|a|an|" + "|".join(_NUMBERS) + r")\s+(day|week|month|year)s?\s+ago\b"
-    n, unit = F.lower(F.regexp_extract(query, found, 1)), F.lower(F.regexp_extract(query, found, 2))
-    count = F.when(n.rlike(r"^\d{1,5}$"), F.expr("0") + n.try_cast("int")).when(n.isin("a", "an"), 1)
-    for w, i in _NUMBERS.items():
-        count = count.when(n == w, i)
-    size = F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).when(unit == "year", 365)
-    return F.date_sub(question.cast("date"), (count * size).cast("int"))
+def format_aggregation(rows: DataFrame, queries: DataFrame, question=None, most: int = MOST) -> DataFrame:
+    """Distinct results by time, and how to count them."""
+    body = _lines(_numbered(aggregation_lines(_shown(rows, most)), "t", "rank"), _entry(_ago(question)))
+    intro = F.concat(F.lit("AGGREGATION TASK: The question asks for a count, total, or list.\nBelow are "), F.col("n").cast("string"), F.lit(" unique entries (duplicates removed) in chronological order.\n" + AGGREGATION_RULES))
+    return body.join(_dated_head(queries, question), "query_id").select("query_id", F.concat(intro, "head", F.lit("\n"), "body").alias("text"))
 
 
-GUIDANCE = {
-    "temporal": "Order the memories by their dates before answering.",
-    "knowledge_update": "Prefer the most recent memory where memories disagree.",
-    "aggregation": "Count each distinct item once; list the items before the total.",
-    "default": "",
-}
+def format_default(rows: DataFrame, question=None, most: int = MOST) -> DataFrame:
+    """A query's results by rank, with their days."""
+    body = _lines(_numbered(_shown(rows, most), "rank"), _entry(F.lit("")))
+    head = F.concat(F.lit("Today's date: "), _day(X.at(question)), F.lit("\n\n")) if question is not None else F.lit("")
+    return body.select("query_id", F.concat(head, "body").alias("text"))
+
 
+def profile(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """query_id, text: active preferences, facts and instructions among the results, surest first; tentative ones are marked."""
+    kept = _shown(rows, most).where(F.col("node_type").isin([k for k, _ in PROFILE_SECTIONS]) & F.col("lifecycle_state").isin(S.ACTIVE))
+    line = F.concat(F.lit("- "), "content", F.when(F.col("lifecycle_state") == "tentative", " (tentative)").otherwise(""))
+    parts = []
+    for kind, title in PROFILE_SECTIONS:
+        own = F.array_sort(F.collect_list(F.when(F.col("node_type") == kind, F.struct((-F.col("confidence")).alias("c"), "rank", line.alias("line")))))
+        parts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"### {title}\n"), F.array_join(F.transform(own, lambda x: x["line"]), "\n"))))
+    return kept.groupBy("query_id").agg(F.concat(F.lit("## User Profile\n"), F.concat_ws("\n", *parts), F.lit("\n")).alias("text"))
 
-def format_for_llm(rows: DataFrame, queries: DataFrame, question, most: int = 50) -> DataFrame:
-    """queries: (query_id, query). Body by the query's context type, with its guidance above."""
-    kind = queries.select("query_id", X.context_type(F.col("query")).alias("kind"))
-    top = rows.where(F.col("rank") <= most).join(kind, "query_id")
-    of = lambda k: top.where(F.col("kind") == k)
-    body = format_temporal(of("temporal"), question).unionByName(format_updates(of("knowledge_update"))).unionByName(format_default(aggregation_lines(of("aggregation")))).unionByName(format_default(of("default")))
-    return kind.join(body, "query_id", "left").select("query_id", "kind", F.concat_ws("\n", F.when(X.lookup(GUIDANCE, F.col("kind"), "") != "", X.lookup(GUIDANCE, F.col("kind"), "")), "text").alias("text"))
+
+def conflicts(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """query_id, text: each contested pair once, the newer text first; a lone side says so."""
+    shown = _shown(rows, most)
+    a = shown.where("conflict_flag AND counterpart_id IS NOT NULL").select("query_id", "id", "counterpart_id", "content", "t", "rank")
+    b = shown.select("query_id", F.col("id").alias("counterpart_id"), F.col("content").alias("other"), F.col("t").alias("other_t"), F.col("rank").alias("other_rank"), F.when(F.col("conflict_flag"), F.col("counterpart_id")).alias("back"))
+    pairs = a.join(b, ["query_id", "counterpart_id"], "left").where("other IS NULL OR NOT (back <=> id) OR rank < other_rank")
+    newer = F.col("t") >= F.col("other_t")
+    both = F.concat(F.lit('- NEWER: "'), F.when(newer, F.col("content")).otherwise(F.col("other")), F.lit('" vs OLDER: "'), F.when(newer, F.col("other")).otherwise(F.col("content")), F.lit('"'))
+    line = F.when(F.col("other").isNull(), F.concat(F.lit('- CONTESTED: "'), "content", F.lit('" (contradicting memory not in results)'))).otherwise(both)
+    listed = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return pairs.groupBy("query_id").agg(F.concat(F.lit(CONFLICT_HEAD), F.array_join(F.transform(listed, lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def format_for_llm(rows: DataFrame, queries: DataFrame, question=None, hint: str | None = None, most: int = MOST, include_profile: bool = True) -> DataFrame:
+    """queries: (query_id, query) -> query_id, kind, text. The body follows the kind of question (or `hint`); profile,
+    conflicts and, beyond three results, hints for reasoning stand above it."""
+    kind = queries.select("query_id", "query", F.lit(hint).alias("kind") if hint else X.context_type(F.col("query")).alias("kind"))
+    shown = rows.where(F.col("rank") <= most).join(kind.select("query_id", "kind"), "query_id")
+    of = lambda k: shown.where(F.col("kind") == k)
+    body = format_temporal(of("temporal"), queries, question, most).unionByName(format_updates(of("knowledge_update"), most))
+    body = body.unionByName(format_aggregation(of("aggregation"), queries, question, most)).unionByName(format_default(of("default"), question, most))
+    out = kind.join(body, "query_id", "left")
+    if not include_profile:
+        return out.select("query_id", "kind", F.coalesce("text", F.lit("")).alias("text"))
+    flagged = shown if "conflict_flag" in rows.columns else shown.withColumns({"conflict_flag": F.lit(False), "counterpart_id": F.lit(None).cast("string")})
+    extra = profile(shown, most).withColumnRenamed("text", "profile").join(conflicts(flagged, most).withColumnRenamed("text", "conflicts"), "query_id", "full")
+    n = shown.groupBy("query_id").agg(F.count("*").alias("n"))
+    out = out.join(extra, "query_id", "left").join(n, "query_id", "left")
+    guidance = F.when(F.col("n") > 3, F.concat(F.lit(GUIDANCE_HEAD), X.lookup(GUIDANCE, F.col("kind"), "")))
+    above = F.array_compact(F.array("profile", "conflicts", guidance))
+    whole = F.when(F.size(above) > 0, F.concat(F.array_join(above, "\n"), F.lit("\n## Retrieved Memory\n"), "text")).otherwise(F.col("text"))
+    return out.select("query_id", "kind", F.coalesce(whole, F.lit("")).alias("text"))

@@ -31,6 +31,59 @@ def quantise(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(x >= 0, 1.0).otherwise(-1.0))
 
 
+#: Endings that are cut off, longest first, where three letters stay; fixed values.
+SUFFIXES = (
+    "mentation ization isation fulness ousness iveness lessly ments ation ition iness ously ment ness able ible tion sion ally edly"
+    " ling ings ing ies ous ful ive ity ers est ent ant ly ed er es s"
+).split()
+
+
+def stem(word: Column) -> Column:
+    """A word without its ending."""
+    out = None
+    for end in SUFFIXES:
+        fits = F.endswith(word, F.lit(end)) & (F.length(word) - len(end) >= 3)
+        short = F.substr(word, F.lit(1), F.length(word) - len(end))
+        out = F.when(fits, short) if out is None else out.when(fits, short)
+    return F.when(F.length(word) <= 3, word).otherwise(out.otherwise(word))
+
+
+def text_words(text: Column, stop_words: list[str]) -> Column:
+    """Stemmed words of a text without stop words (all of them if nothing else is left), and its pairs of neighbours."""
+    raw = F.filter(F.transform(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$", "")), lambda w: w != "")
+    kept = F.filter(raw, lambda w: ~w.isin(stop_words))
+    return F.transform(F.when(F.size(kept) > 0, kept).otherwise(raw), stem)
+
+
+def text_hv(words: Column, dim: int = 256) -> Column:
+    """The normalised sum of the vectors of all words and of the products of neighbours; one word is its own vector."""
+    place = lambda w, i: F.when(F.pmod(F.xxhash64(w, i), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+
+    def at(i: Column) -> Column:
+        ones = F.aggregate(words, F.lit(0.0), lambda s, w: s + place(w, i))
+        twos = F.aggregate(F.sequence(F.lit(1), F.size(words) - 1), F.lit(0.0), lambda s, j: s + place(F.element_at(words, j), i) * place(F.element_at(words, j + 1), i))
+        return ones + F.when(F.size(words) > 1, twos).otherwise(0.0)
+
+    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at)
+    return F.when(F.size(words) == 1, v).otherwise(normalise(v))
+
+
+def time_hv(t: Column, dim: int = 256) -> Column:
+    """A time as the sum of year, month, day and hour, each bound to its slot: times that share parts are alike."""
+    parts = [F.date_format(t, f) for f in ("yyyy", "MM", "dd", "HH")]
+    bound = [bind(seeded_hv(F.lit(slot), dim), seeded_hv(F.concat(F.lit(f"{slot}:"), p), dim)) for slot, p in zip(("year", "month", "day", "hour"), parts, strict=True)]
+    total = bound[0]
+    for b in bound[1:]:
+        total = F.zip_with(total, b, lambda x, y: x + y)
+    return normalise(total)
+
+
+def promoted(records: DataFrame, day: int, after: int = 7) -> DataFrame:
+    """Tentative records of `after` days or more become stable."""
+    due = (F.col("lifecycle_state") == "tentative") & (F.lit(day) - F.col("day") >= after)
+    return records.withColumn("lifecycle_state", F.when(due, "stable").otherwise(F.col("lifecycle_state")))
+
+
 def bundle(df: DataFrame, by: str, vector: str = "hv", weight: str | None = None) -> DataFrame:
     """The normalised (weighted) sum of a group's vectors: element-wise partial sums, no list of vectors."""
     w = F.col(weight) if weight else F.lit(1.0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
+from engram.operators import graph, search
 
 SCORES = ["semantic_score", "lexical_score", "graph_proximity"]
 
@@ -54,29 +55,46 @@ def temporal_affinity(first: Column, last: Column) -> Column:
 
 
 def composite(df: DataFrame, now, weights: S.Weights = S.Weights(), intent: str = "semantic", current_state: bool = False, episodic: bool = False, window=(None, None)) -> DataFrame:
-    """Adds `recency`, effective terms, `composite_score` and `path_score`: one projection of generated code.
+    """Adds `recency`, effective terms, `composite_score` and `path_score` for one kind of question."""
+    lo, hi = (X.at(x) if x is not None else F.lit(None).cast("timestamp_ntz") for x in window)
+    asked = {"intent": F.lit(intent), "is_current_state": F.lit(current_state), "is_episodic": F.lit(episodic), "time_from": lo, "time_to": hi}
+    return score(df.withColumns(asked), now, weights, anchored=current_state).drop(*asked)
+
+
+def score(df: DataFrame, now, weights: S.Weights = S.Weights(), anchored: bool = True) -> DataFrame:
+    """The same for rows that carry their question's intent, flags and window: one projection of generated code.
 
-    Current-state queries anchor recency at the newest candidate and double it for texts that tell of a change.
+    Current-state questions anchor recency at the query's newest candidate (an aggregate that is joined back, one row a
+    query) and double it for texts that tell of a change. `anchored`: such questions may occur.
     """
-    w = weights.with_recency(0.25, 0.05) if current_state else weights.with_recency(0.20) if episodic else weights
-    lo, hi = (X.at(x) if x is not None else F.lit(None).cast("timestamp_ntz") for x in window)
-    anchor = F.max(F.coalesce("event_time", "updated_at", "created_at")).over(Window.partitionBy("query_id")) if current_state else X.at(now)
-    df = df.withColumn("anchor", anchor)
+    if anchored:
+        newest = df.where("is_current_state").groupBy("query_id").agg(F.max(F.coalesce("event_time", "updated_at", "created_at")).alias("newest"))
+        df = df.join(newest, "query_id", "left").withColumn("anchor", F.coalesce("newest", X.at(now))).drop("newest")
+    else:
+        df = df.withColumn("anchor", X.at(now))
+    current, episodic = F.col("is_current_state"), F.col("is_episodic")
+    kinds = [(current, weights.with_recency(0.25, 0.05)), (episodic, weights.with_recency(0.20)), (None, weights)]
+
+    def pick(of) -> Column:
+        """A value that depends on the weights, which depend on the kind of question."""
+        out = None
+        for when, w in kinds:
+            out = F.when(when, of(w)) if out is None else out.when(when, of(w)) if when is not None else out.otherwise(of(w))
+        return out
+
     age = F.greatest(X.days_between(F.coalesce("updated_at", "created_at"), F.col("anchor")), F.lit(0.0))
-    df = df.withColumns({"recency": F.exp(-w.recency_lambda * age), "eff_salience": X.effective_salience(now), "eff_confidence": X.effective_confidence(now)})
-    rest = w.semantic * F.col("semantic_score") + w.lexical * F.col("lexical_score") + w.graph * F.col("graph_proximity") + w.salience * F.col("eff_salience") + w.confidence * F.col("eff_confidence")
+    df = df.withColumns({"recency": pick(lambda w: F.exp(-w.recency_lambda * age)), "eff_salience": X.effective_salience(now), "eff_confidence": X.effective_confidence(now)})
+    rest = pick(lambda w: w.semantic * F.col("semantic_score") + w.lexical * F.col("lexical_score") + w.graph * F.col("graph_proximity") + w.salience * F.col("eff_salience") + w.confidence * F.col("eff_confidence"))
+    share = pick(lambda w: F.lit(w.recency))
     epi = X.lookup(S.EPISTEMIC_WEIGHTS, F.col("epistemic_type"), S.EPISTEMIC_FALLBACK)
-    boost = X.lookup(w.node_type_boost, F.col("node_type"), 1.0)
-    score = (rest + w.recency * F.col("recency")) * epi
-    if intent == "temporal":
-        score = score + w.temporal_boost * temporal_affinity(lo, hi)
-    score = score * boost
+    boost = X.lookup(weights.node_type_boost, F.col("node_type"), 1.0)
+    timely = F.when(F.col("intent") == "temporal", weights.temporal_boost * temporal_affinity(F.col("time_from"), F.col("time_to"))).otherwise(F.lit(0.0))
+    total = ((rest + share * F.col("recency")) * epi + timely) * boost
     relevance = F.col("semantic_score") + F.col("lexical_score")
-    score = F.when(relevance < w.relevance_floor, F.least(score, relevance)).otherwise(score)
-    if current_state:
-        told = (rest + w.recency * F.least(2 * F.col("recency"), F.lit(1.0))) * epi * boost
-        score = F.when(F.col("content").rlike(X.UPDATE_LANGUAGE), told).otherwise(score)
-    return df.withColumns({"composite_score": F.round(score, 10), "path_score": F.least(F.col("path_count") / F.lit(3.0), F.lit(1.0))}).drop("anchor")
+    total = F.when(relevance < weights.relevance_floor, F.least(total, relevance)).otherwise(total)
+    told = (rest + share * F.least(2 * F.col("recency"), F.lit(1.0))) * epi * boost
+    total = F.when(current & F.col("content").rlike(X.UPDATE_LANGUAGE), told).otherwise(total)
+    return df.withColumns({"composite_score": F.round(total, 10), "path_score": F.least(F.col("path_count") / F.lit(3.0), F.lit(1.0))}).drop("anchor")
 
 
 def ranked(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -103,11 +121,13 @@ def rerank(df: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], t
 def session_expand(scored: DataFrame, nodes: DataFrame, window: int = 3, top: int = 20, decay: float = 0.85) -> DataFrame:
     """Neighbours within ±window positions of the session of the top candidates, at 0.85 of the trigger's score.
 
-    Positions are numbered within a session only, and triggers are few, so the range join is on the session key.
+    Only sessions of triggers are numbered: the few sessions are found first and the nodes' scan is filtered by them.
     """
-    order = nodes.where(F.col("lifecycle_state").isin(S.LIVE) & F.col("session_id").isNotNull()).withColumn("pos", F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("created_at", "id")))
-    order = order.select("id", "user_id", "session_id", "pos")
-    trigger = scored.where(F.col("rank") <= top).select("query_id", F.col("id").alias("trigger_id"), "rank", "composite_score").join(order.withColumnRenamed("id", "trigger_id"), "trigger_id").withColumnRenamed("pos", "trigger_pos")
+    live = nodes.where(F.col("lifecycle_state").isin(S.LIVE) & F.col("session_id").isNotNull()).select("id", "user_id", "session_id", "created_at")
+    trigger = scored.where(F.col("rank") <= top).select("query_id", F.col("id").alias("trigger_id"), "rank", "composite_score", "user_id", "session_id")
+    order = live.join(trigger.select("user_id", "session_id").distinct(), ["user_id", "session_id"], "left_semi")
+    order = order.withColumn("pos", F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("created_at", "id"))).select("id", "user_id", "session_id", "pos")
+    trigger = trigger.join(order.select(F.col("id").alias("trigger_id"), F.col("pos").alias("trigger_pos")), "trigger_id")
     near = trigger.join(order, ["user_id", "session_id"]).where(F.abs(F.col("pos") - F.col("trigger_pos")) <= window)
     near = near.join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
     first = near.groupBy("query_id", "id").agg(F.min(F.struct("rank", "trigger_id", "composite_score")).alias("m"))
@@ -126,15 +146,77 @@ def fuse(results: DataFrame, cap: int = 150) -> DataFrame:
 
 
 def fan_out_terms(queries: DataFrame, most: int = 5) -> DataFrame:
-    """Keyword and bigram queries of an aggregation query: the first words of three letters or more that aren't stop words."""
-    stop = "the and for are was were how many much often what when where who why did does have has had you your with that this from all list count total time times every".split()
-    words = F.slice(F.filter(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(stop)), 1, most)
+    """(query_id, no, query): keyword and bigram queries of a counting query, from its first words of three letters or more
+    that aren't stop words."""
+    words = F.slice(F.filter(F.regexp_extract_all(F.lower("query"), F.lit(r"\b[a-z]{3,}\b"), F.lit(0)), lambda w: ~w.isin(S.FAN_OUT_STOP_WORDS)), 1, most)
     q = queries.select("query_id", words.alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     every = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
     return q.select("query_id", F.posexplode(every).alias("no", "query"))
 
 
+def fan_out(docs: DataFrame, requests: DataFrame, terms: int = 50, names: int = 20) -> DataFrame:
+    """Further lexical hits (query_id, id, score), scores within 0 to 1 per term: of counting questions for each of
+    their keywords and bigrams, of any question for each of its first three names."""
+    asked = requests.select("query_id", "user_id")
+    words = fan_out_terms(requests.where("is_aggregation")).select("query_id", F.concat(F.lit("w"), "no").alias("no"), "query", F.lit(terms).alias("k"))
+    named = requests.select("query_id", F.posexplode(F.slice("entities", 1, 3)).alias("no", "query")).select("query_id", F.concat(F.lit("n"), "no").alias("no"), "query", F.lit(names).alias("k"))
+    every = words.unionByName(named).join(asked, "query_id").withColumn("term_id", F.concat_ws("|", "query_id", "no"))
+    hits = search.minmax(search.bm25(docs, every.select(F.col("term_id").alias("query_id"), "query", "user_id"), max(terms, names)))
+    of = every.select("term_id", F.col("query_id").alias("asked_id"), "k")
+    found = hits.join(of, hits.query_id == of.term_id).where("rn <= k").groupBy("asked_id", "node_id").agg(F.max("score").alias("score"))
+    return found.select(F.col("asked_id").alias("query_id"), F.col("node_id").alias("id"), "score")
+
+
+def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, config: S.Packing = S.Packing(), scopes: list[str] | None = None) -> DataFrame:
+    """Candidates of all four paths, merged and joined to their nodes: (query_id, id, scores, paths, node columns).
+
+    requests: `analysis.analyze` rows with embedding and user_id (null: every user). Contested nodes are candidates too.
+    Counting questions look three times as deep, up to 2,000.
+    """
+    live = nodes.where(F.col("lifecycle_state").isin(S.LIVE))
+    live = live.where(F.col("scope").isin(scopes)) if scopes else live
+    asked = requests.select("query_id", F.col("user_id").alias("asker"), "is_aggregation")
+    deep = lambda k: F.when(F.col("is_aggregation"), min(k * config.aggregation_factor, config.aggregation_most)).otherwise(k)
+    most = lambda k: min(k * config.aggregation_factor, config.aggregation_most)
+    own = F.col("asker").isNull() | (F.col("user_id") == F.col("asker"))
+    known = live.select("id", "user_id")
+
+    v = vectors.select("node_id", "embedding").join(known, F.col("node_id") == F.col("id")).select("node_id", "user_id", "embedding")
+    near = search.vector_topk_batch(v, requests.select("query_id", "user_id", "embedding"), most(config.vector_k))
+    vector = near.join(asked, "query_id").where(F.col("rn") <= deep(config.vector_k)).select("query_id", F.col("node_id").alias("id"), "score")
+
+    d = docs.join(known.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    hits = search.bm25(d, requests.select("query_id", "query", "user_id"), most(config.lexical_k)).join(asked, "query_id").where(F.col("rn") <= deep(config.lexical_k))
+    lexical = search.minmax(hits.select("query_id", "node_id", "score")).select("query_id", F.col("node_id").alias("id"), "score")
+    more = fan_out(d, requests)
+
+    terms = requests.select("query_id", F.explode("entities").alias("term"))
+    seeds = graph.entity_seeds(live, terms).join(asked, "query_id").join(known.select(F.col("id").alias("seed"), "user_id"), "seed").where(own).select("query_id", "seed")
+    reach = graph.graph_candidates(live, edges, seeds, config.hops, most(config.graph_cap), requests.select("query_id", "time_from", "time_to"))
+    rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("created_at"), "id"))
+    capped = reach.join(asked, "query_id").join(live.select("id", "user_id", "confidence", "created_at"), "id").where(own).withColumn("rn", rn)
+    by_graph = capped.where(F.col("rn") <= deep(config.graph_cap)).select("query_id", "id", F.col("graph_proximity").alias("score"))
+
+    of_user, of_all = asked.where("asker IS NOT NULL").select("query_id", F.col("asker").alias("user_id")), asked.where("asker IS NULL").select("query_id")
+    pins = pinned(live).select("id", "user_id")
+    # a request without user has every pinned node as a candidate
+    pins = pins.join(search.small(of_user), "user_id").select("query_id", "id").unionByName(pins.join(search.small(of_all)).select("query_id", "id")).withColumn("score", F.lit(0.0))
+
+    extra = more.join(lexical.select("query_id", "id").unionByName(vector.select("query_id", "id")).unionByName(by_graph.select("query_id", "id")).unionByName(pins.select("query_id", "id")).distinct(), ["query_id", "id"], "left_anti")
+    merged = merge({"GRAPH": (by_graph, "graph_proximity"), "VECTOR": (vector, "semantic_score"), "LEXICAL": (lexical.unionByName(extra), "lexical_score"), "PINNED": (pins, "none")})
+    return merged.join(live, "id")
+
+
+def retrieve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, now, weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), scopes: list[str] | None = None, mode: str = "default", knowledge_at=None) -> DataFrame:
+    """From analysed requests to ranked candidates: generation, bi-temporal and epistemic filters, scores, ranks."""
+    found = generate(nodes, edges, vectors, docs, requests, config, scopes)
+    found = found.where(F.col("created_at") <= X.at(knowledge_at)) if knowledge_at is not None else found
+    kept, _ = epistemic_filter(found, mode)
+    asked = requests.select("query_id", "intent", "is_current_state", "is_episodic", "time_from", "time_to")
+    return ranked(score(kept.join(asked, "query_id"), now, weights))
+
+
 def abstention(best: Column) -> Column:
     """1: abstain, 0.5: unsure, 0: answer, by the best score."""
     return F.when(best.isNull() | (best < 0.55), 1.0).when(best < 0.65, 0.5).otherwise(0.0)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from engram.functions import expr as X
 
 BLOCK = 256
-MOST_TERMS = 10_000
 
 
 def hash_embed(text: str, dim: int = 64) -> list[float]:
@@ -40,13 +39,15 @@ def embed(df: DataFrame, text: str = "content", embedder: Callable[[str], list[f
 def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, where: str | None = None) -> DataFrame:
     """Exact nearest rows of one query: filters come first, then cosine, then a bounded top-k."""
     v = vectors.where(where) if where else vectors
+    # a query is a literal of the plan; the k best of each task are merged
     return v.select("node_id", X.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
 def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, per_user: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, user_id, embedding) against all vectors in blocks of queries; each block is one map-side pass.
 
-    A task keeps its own k best of each query, so the shuffle carries k rows a task and query.
+    A task keeps its own k best of each query, so the shuffle carries k rows a task and query. A query without user
+    meets every user's vectors.
     """
     spark, out = vectors.sparkSession, None
     rows, todo = [], queries.select("query_id", "user_id", "embedding").toLocalIterator()
@@ -71,7 +72,7 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, per_u
                 v = np.vstack(pdf["embedding"].to_numpy()).astype(float)
                 sims = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ q.T
                 for i in range(len(best)):
-                    ok = (pdf["user_id"] == users[i]).to_numpy() if per_user else np.ones(len(pdf), bool)
+                    ok = (pdf["user_id"] == users[i]).to_numpy() if per_user and users[i] is not None else np.ones(len(pdf), bool)
                     new = pd.DataFrame({"node_id": pdf["node_id"][ok], "score": sims[ok, i]})
                     best[i] = pd.concat([best[i], new]).sort_values(["score", "node_id"], ascending=[False, True]).head(k) if len(new) else best[i]
             for i, b in enumerate(best):
@@ -91,32 +92,77 @@ def tokens(text):
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """docs: node_id, content -> (term, node_id, tf). One shuffle with map-side counts."""
-    return docs.select("node_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("term", "node_id").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, match_all: bool = False) -> DataFrame:
-    """queries: (query_id, query) -> (query_id, node_id, score, rn), the k best; without k every match, not ranked.
-    Only terms of a query are counted: a document's lengths and frequencies come from one pass, nothing but matches is shuffled."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    words = [r.term for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    if len(words) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} distinct terms in the queries of one call")
-    toks = docs.select("node_id", tokens(F.col("content")).alias("ts"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).first()
-    wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    hits = toks.select("node_id", F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
-    df_t = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    scored = hits.join(df_t, "term").join(terms, "term").groupBy("query_id", "node_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+def _kept(df: DataFrame) -> DataFrame:
+    """Rows that several parts of a plan read: in the cluster's checkpoint folder where one is set, else kept by Spark."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def small(df: DataFrame, most: int = 100_000):
+    """The frame with a broadcast hint if it has at most `most` rows; a larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def lexical_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs: node_id, content and maybe user_id, node_type, scope -> postings (term, node_id, tf, ...) and lengths (node_id, dl).
+    Write both and give them to `bm25_indexed`; a node is taken out with an anti-join on node_id."""
+    more = [c for c in ("user_id", "node_type", "scope") if c in docs.columns]
+    toks = docs.select("node_id", *more, tokens(F.col("content")).alias("ts"))
+    lengths = toks.select("node_id", F.size("ts").alias("dl"))
+    return toks.select("node_id", *more, F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "node_id", "dl", *more).agg(F.count("*").alias("tf")), lengths
+
+
+def delete_indexed(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """Vector rows, postings or lengths without the nodes listed: (node_id)."""
+    return index.join(ids.select("node_id"), "node_id", "left_anti")
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, user_id): the distinct words of every query."""
+    user = F.col("user_id") if "user_id" in queries.columns else F.lit(None).cast("string")
+    return queries.select("query_id", user.alias("asker"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+
+
+def bm25_indexed(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, match_all: bool = False, node_type: str | None = None, scopes: list[str] | None = None) -> DataFrame:
+    """queries: (query_id, query) and maybe user_id -> (query_id, node_id, score, rn), the k best; without k every match, not
+    ranked. A query of a user meets that user's documents only; word statistics are of all documents."""
+    terms = query_terms(queries)
+    hits = postings.join(small(terms.select("term").distinct()), "term", "left_semi")
+    stats = lengths.agg(F.count("*").cast("double").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    return _scored(hits, stats, terms, k, k1, b, match_all, node_type, scopes)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, match_all: bool = False, node_type: str | None = None, scopes: list[str] | None = None) -> DataFrame:
+    """`bm25_indexed` without an index: one pass over the texts keeps the query's words and each text's length, on no
+    driver; only those are shuffled."""
+    terms = query_terms(queries)
+    more = [c for c in ("user_id", "node_type", "scope") if c in docs.columns]
+    toks = docs.select("node_id", *more, tokens(F.col("content")).alias("ts"))
+    # the empty word stands for the text itself, so lengths come along
+    rows = toks.select("node_id", *more, F.size("ts").alias("dl"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("term"))
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    hits = _kept(rows.join(small(wanted), "term", "left_semi").groupBy("term", "node_id", "dl", *more).agg(F.count("*").alias("tf")))
+    stats = hits.where("term = ''").agg(F.count("*").cast("double").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    return _scored(hits.where("term <> ''"), stats, terms, k, k1, b, match_all, node_type, scopes)
+
+
+def _scored(hits: DataFrame, stats: DataFrame, terms: DataFrame, k, k1: float, b: float, match_all: bool, node_type, scopes) -> DataFrame:
+    df_t = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # stats: one row
+    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    hits = hits.where(F.col("node_type") == node_type) if node_type is not None else hits
+    hits = hits.where(F.col("scope").isin(scopes)) if scopes else hits
+    found = hits.join(df_t, "term").join(terms, "term")
+    found = found.where(F.col("asker").isNull() | (F.col("user_id") == F.col("asker"))) if "user_id" in hits.columns else found
+    scored = found.groupBy("query_id", "node_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     if match_all:
         scored = scored.join(terms.groupBy("query_id").agg(F.count("*").alias("need")), "query_id").where("matched = need")
-    if k is None:
-        return scored.select("query_id", "node_id", "score")
+    scored = scored.select("query_id", "node_id", "score")
+    return scored if k is None else best_hits(scored, k)
+
+
+def best_hits(scored: DataFrame, k: int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), "node_id"))
-    return scored.withColumn("rn", rn).where(F.col("rn") <= k).select("query_id", "node_id", "score", "rn")
+    return scored.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
 def minmax(results: DataFrame) -> DataFrame:
@@ -135,31 +181,29 @@ def novelty(new: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """Pairs of one user's vectors with cosine of threshold or more: blocks of rows against all rows, as matrix products."""
-    out = None
-    rows, blocks = [], []
-    for r in vectors.select("node_id", "user_id", "embedding").toLocalIterator():
-        rows.append((r.node_id, r.user_id, r.embedding))
-        if len(rows) == block:
-            blocks.append(rows)
-            rows = []
-    for part in [*blocks, *([rows] if rows else [])]:
-        shared = vectors.sparkSession.sparkContext.broadcast(part)
-
-        def run(frames, shared=shared):
-            q = np.array([r[2] for r in shared.value], float)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            ids, users = np.array([r[0] for r in shared.value], object), np.array([r[1] for r in shared.value], object)
-            for pdf in frames:
-                if pdf.empty:
-                    continue
-                v = np.vstack(pdf["embedding"].to_numpy()).astype(float)
-                i, j = np.nonzero((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ q.T >= threshold)
-                a, b = pdf["node_id"].to_numpy()[i], ids[j]
-                keep = (a < b) & (pdf["user_id"].to_numpy()[i] == users[j])
-                sims = np.einsum("ij,ij->i", v[i[keep]] / np.linalg.norm(v[i[keep]], axis=1, keepdims=True), q[j[keep]]) if keep.any() else []
-                yield pd.DataFrame({"a_id": a[keep], "b_id": b[keep], "similarity": sims})
+    """Pairs of one user's vectors with cosine of threshold or more, exactly.
 
-        found = vectors.select("node_id", "user_id", "embedding").mapInPandas(run, "a_id string, b_id string, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "a_id string, b_id string, similarity double")
+    A user's vectors are dealt into blocks of about `block`; every two blocks of a user meet in one task as a matrix
+    product, so no task holds more than two blocks and nothing passes the driver.
+    """
+    rows = vectors.select("node_id", "user_id", "embedding")
+    sizes = rows.groupBy(F.col("user_id").alias("owner")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("g"))
+    mine = F.pmod(F.xxhash64("node_id"), F.col("g")).cast("int")
+    dealt = rows.join(sizes, F.col("user_id").eqNullSafe(F.col("owner"))).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("user_id", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") <= F.col("j")).alias("left"), "node_id", "embedding")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf[pdf["left"]]
+        b = pdf[~pdf["left"]] if (pdf["lo"] != pdf["hi"]).any() else a
+        if a.empty or b.empty:
+            return pd.DataFrame({"a_id": [], "b_id": [], "similarity": []})
+        va, vb = (np.vstack(x["embedding"].to_numpy()).astype(float) for x in (a, b))
+        va, vb = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (va, vb))
+        sims = va @ vb.T
+        i, j = np.nonzero(sims >= threshold)
+        x, y = a["node_id"].to_numpy()[i], b["node_id"].to_numpy()[j]
+        keep = x < y if b is a else x != y
+        x, y, s = x[keep], y[keep], sims[i, j][keep]
+        return pd.DataFrame({"a_id": np.where(x < y, x, y), "b_id": np.where(x < y, y, x), "similarity": s})
+
+    return dealt.groupBy("user_id", "lo", "hi").applyInPandas(meet, "a_id string, b_id string, similarity double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
-from engram.operators import graph, ingest, organizer, packing, quality, research, retrieval, search, store
+from engram.operators import analysis, graph, ingest, organizer, packing, quality, research, retrieval, search, store
 from engram.sources import tables as T
 from engram.streaming import ingest as streams
 
@@ -111,7 +111,8 @@ def _memory(spark, sf):
 
 @query
 def export_nodes(spark, sf):
-    return T.export_json(_memory(spark, sf)).select("kind", "value")
+    out = T.export_json(_memory(spark, sf))
+    return out.select("kind", *[F.get_json_object("value", f"$.{c}").alias(c) for c in ("id", "content", "user_id", "source_id", "target_id")])
 
 
 @query
@@ -220,7 +221,7 @@ def neighborhood_k(spark, sf):
 @query
 def shortest_path_len(spark, sf):
     pairs = spark.createDataFrame([("c1", "c2"), ("s1", "c7"), ("r0", "c3"), ("s2", "n3")], "source string, target string")
-    return graph.shortest_paths(T.tree_edges(spark, sf), pairs, 6).select("source", "target", "hops")
+    return graph.shortest_paths(T.tree_edges(spark, sf), pairs).select("source", "target", "hops")
 
 
 def _chain_edges(spark, sf):
@@ -413,17 +414,6 @@ def agg_dedup_lines(spark, sf):
     return packing.aggregation_lines(d).select("id")
 
 
-@query
-def format_updates(spark, sf):
-    return packing.format_updates(T.nodes(spark, sf).withColumn("query_id", F.col("user_id")).where("node_type = 'decision'"))
-
-
-@query
-def time_offsets(spark, sf):
-    q = spark.createDataFrame([("a", "what did I do three weeks ago"), ("b", "10 days ago?"), ("c", "a year ago"), ("d", "nothing")], "query_id string, query string")
-    return q.select("query_id", packing.time_offset(F.col("query"), X.at(NOW)).alias("day"))
-
-
 @query
 def intent_classify(spark, sf):
     rows = ["who is Ada", "tell me about Grace Hopper", "when did it start", "what is linked to billing", "how does it work", "plain words", "notes of 2024-01-02", "how many tests"]
@@ -588,8 +578,9 @@ def quality_metrics(spark, sf):
 
 def _graded(spark, sf):
     docs, labels = T.lexical_docs(spark, sf), T.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("node_id"), F.col("quality").alias("grade"))
-    hits = search.bm25(docs, _queries(spark), 20).join(labels, "node_id", "left").na.fill(0, ["grade"])
-    total = search.bm25(docs, _queries(spark), None).join(labels, "node_id", "left").na.fill(0, ["grade"]).groupBy("query_id").agg(F.sum("grade").alias("all_relevant"))
+    every = search.bm25(docs, _queries(spark), None).join(labels, "node_id", "left").na.fill(0, ["grade"])
+    total = every.groupBy("query_id").agg(F.sum("grade").alias("all_relevant"))
+    hits = search.best_hits(every, 20)
     return hits.join(total, "query_id").select("query_id", F.col("rn").alias("rank"), "grade", "all_relevant")
 
 
@@ -628,7 +619,27 @@ def stream_daily_counts(spark, sf):
 # --- the flagship: one retrieval from candidates to ranked rows
 
 
+def _world(spark, sf):
+    """The nodes, an entity per kind of event, and the edges from nodes to their kind's entity."""
+    nodes, kinds = T.nodes(spark, sf), T.read(spark, sf, "events").select(F.col("event_type").alias("content")).distinct()
+    given = {"node_type": "entity", "lifecycle_state": "stable", "epistemic_type": "observed", "decay_profile": "slow", "scope": "system"}
+    numbers = {"confidence": 0.9, "confidence_base": 0.9, "salience": 0.5, "salience_base": 0.5, "reinforcement_boost": 0.0}
+    times = ("created_at", "updated_at", "valid_from", "last_reinforced_at")
+    entities = kinds.withColumns({"id": F.concat(F.lit("e:"), "content"), "pinned": F.lit(False)} | {k: F.lit(v) for k, v in (given | numbers).items()} | {t: X.at("2024-01-01 00:00:00") for t in times})
+    edges = nodes.select(F.col("id").alias("source_id"), F.concat(F.lit("e:"), F.element_at(F.split("content", " "), 1)).alias("target_id"), F.lit("mentions").alias("edge_type"))
+    return T.migrate(nodes, S.NODES).unionByName(T.migrate(entities, S.NODES)), edges
+
+
+#: A question with a name in quotes and a day, so that all four paths and the temporal term count.
+QUESTION = "when did 'purchase' 42 happen on 2024-01-12"
+
+
 @query
 def retrieve(spark, sf):
-    scored = retrieval.ranked(retrieval.composite(candidates(spark, sf), NOW, intent="temporal", window=("2024-01-10 00:00:00", "2024-01-20 00:00:00")), 50)
-    return scored.select("id", "node_type", "composite_score", F.col("rank").cast("long").alias("rank")).transform(_r, "composite_score")
+    nodes, edges = _world(spark, sf)
+    vectors = T.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), "embedding")
+    asked = spark.createDataFrame([("q", QUESTION, None, query_vector(spark, sf))], "query_id string, query string, user_id string, embedding array<float>")
+    docs = nodes.select(F.col("id").alias("node_id"), "content")
+    scored = retrieval.retrieve(nodes, edges, vectors, docs, analysis.analyze(asked, NOW), NOW).where("rank <= 50")
+    terms = ["semantic_score", "lexical_score", "graph_proximity", "composite_score"]
+    return scored.select("id", "node_type", *terms, F.array_join("paths", ",").alias("paths"), F.col("rank").cast("long").alias("rank")).transform(_r, *terms)

@@ -81,6 +81,24 @@ ALIASES = {
     "structured query language": ["sql"],
 }
 
+#: Words that oscillation keywords leave out.
+STOP_WORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might shall can need must"
+    " i me my we our you your he she it they them their his her its and or but if then so for to of in on at by with from as"
+    " into about that this these those not no all any some very just also too much more most"
+).split()
+#: Words that the keyword fan-out of counting queries leaves out.
+FAN_OUT_STOP_WORDS = (
+    "how many much total did do have has the and or in on at to of for with from last past all what list count number been"
+    " was were are is my me few spend spent any some each every a an that this those these it its"
+).split()
+#: Capitalised words that name nothing.
+NO_NAMES = (
+    "The This That What When Where How Who Why Does Did Has Have Was Will Can Could Would Should May Also Just Very Really"
+    " Some Most Each Every After Before Since Until About From Into Over With Note Image Observation Known Facts"
+).split()
+JOBS = ["promote", "decay_sweep", "archive", "deduplicate", "alias_resolve", "summarize", "feedback_apply", "centrality_boost", "tombstone_sweep", "snapshot_generation", "consolidate"]
+
 
 @dataclass(frozen=True)
 class Weights:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,7 @@ class MemoryTables:
     operations: DataFrame
     vectors: DataFrame | None = None
     documents: DataFrame | None = None
+    feedback: DataFrame | None = None
 
     def register(self) -> None:
         """Temporary views, so `spark.sql` works on them."""
@@ -96,12 +98,28 @@ def empty_tables(spark: SparkSession) -> MemoryTables:
     return MemoryTables(*(spark.createDataFrame([], s) for s in (S.EVENTS, S.NODES, S.EDGES, S.OPERATIONS, S.VECTORS)))
 
 
+BY_SCOPE, PLAIN = ("events", "nodes"), ("edges", "operations", "vectors", "documents", "feedback")
+
+
 def write_tables(tables: MemoryTables, root: str) -> None:
-    """Parquet under root; nodes and events lie by scope, so a scoped read skips other folders."""
-    for name in ("events", "nodes"):
-        getattr(tables, name).write.mode("overwrite").partitionBy("scope").parquet(f"{root}/{name}")
-    for name in ("edges", "operations"):
-        getattr(tables, name).write.mode("overwrite").parquet(f"{root}/{name}")
+    """Parquet under root; nodes and events lie by scope, so a scoped read skips other folders. Root must not be where the
+    tables are read from."""
+    for name in (*BY_SCOPE, *PLAIN):
+        if (df := getattr(tables, name)) is not None:
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy("scope") if name in BY_SCOPE else writer).parquet(f"{root}/{name}")
+
+
+def read_tables(spark: SparkSession, root: str) -> MemoryTables:
+    """What `write_tables` wrote; tables that aren't there are left out."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    there = {f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)}
+    read = lambda n: spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(f"{root}/{n}") if n in there else None
+    shapes = {"events": S.EVENTS, "nodes": S.NODES}
+    parts = {n: read(n) for n in (*BY_SCOPE, *PLAIN)}
+    parts |= {n: parts[n].select(*[f.name for f in shapes[n].fields]) for n in shapes if parts[n] is not None}
+    empty = empty_tables(spark)
+    return MemoryTables(*(parts[n] if parts[n] is not None else getattr(empty, n) for n in ("events", "nodes", "edges", "operations", "vectors")), parts["documents"], parts["feedback"])
 
 
 def migrate(df: DataFrame, schema, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -125,6 +143,15 @@ def new_events(rows: DataFrame, now) -> DataFrame:
     return migrate(rows.withColumns({"content_hash": F.sha2("content", 256), "timestamp": F.coalesce(F.col("timestamp"), X.at(now)) if "timestamp" in rows.columns else X.at(now), "created_at": X.at(now)}), S.EVENTS)
 
 
+def event(events: DataFrame, event_id: str) -> DataFrame:
+    return events.where(F.col("id") == event_id)
+
+
+def append_events(events: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with new events; ids that it holds already are left out, so a repeated append changes nothing."""
+    return events.unionByName(new.dropDuplicates(["id"]).join(events.select("id"), "id", "left_anti").select(*events.columns))
+
+
 def events_by_user(events: DataFrame, user_id: str, session_id: str | None = None, scopes: list[str] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest first, id breaks ties; planned as a bounded top-k."""
     out = events.where(F.col("user_id") == user_id)
@@ -134,12 +161,17 @@ def events_by_user(events: DataFrame, user_id: str, session_id: str | None = Non
 
 
 def events_by_hash(events: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Events whose content hash is listed: (content_hash, user_id)."""
-    return events.join(hashes, ["content_hash", "user_id"], "left_semi")
+    """Events whose content hash is listed, (content_hash, user_id), newest first."""
+    return events.join(hashes, ["content_hash", "user_id"], "left_semi").orderBy(F.desc("timestamp"), "id")
 
 
 def statistics(df: DataFrame, by: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("n"))
+    """Rows by a column's value, most frequent first."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
+
+
+def averages(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}") for c in ("confidence", "salience")])
 
 
 def info(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -152,12 +184,17 @@ def info(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def export_json(tables: MemoryTables) -> DataFrame:
-    """One JSON line per row, tagged by its table; write it with `.write.text`."""
+    """One JSON line per row, tagged by its table and a sort key (events: by time); write it with `.write.text`."""
     events = tables.events.select("id", "timestamp", "role", "content", "user_id", "scope")
-    parts = [df.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("value")) for kind, df in (("node", tables.nodes), ("edge", tables.edges), ("event", events))]
+    parts = [df.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), F.to_json(F.struct("*")).alias("value")) for kind, df, key in (("node", tables.nodes, F.col("id")), ("edge", tables.edges, F.col("id")), ("event", events, F.col("timestamp")))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def derived_key(password: str, salt: bytes, rounds: int = 600_000) -> str:
+    """A 32-byte key from a password (PBKDF2, SHA-256), as hexadecimal digits of 16 bytes: what `encrypt` takes."""
+    return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds, 16).hex()
+
+
 def encrypt(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """Columns as AES-GCM ciphertext under a 16, 24 or 32 byte key."""
     return df.withColumns({c: F.aes_encrypt(F.col(c).cast("binary"), F.lit(key)) for c in columns})
@@ -168,9 +205,11 @@ def decrypt(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 
 
 def doctor(tables: MemoryTables) -> DataFrame:
-    """One row per check of the tables: what was expected, and whether it holds."""
-    n, e = tables.nodes, tables.edges
-    bad_state = n.where(~F.col("lifecycle_state").isin(list(S.TRANSITIONS))).agg(F.lit("known lifecycle states").alias("check_name"), F.count("*").alias("violations"))
-    bad_type = n.where(~F.col("node_type").isin(S.NODE_TYPES)).agg(F.lit("known node types").alias("check_name"), F.count("*").alias("violations"))
+    """One row per check: is a table there (events and nodes must be, the others should), and do rows keep the model's rules."""
+    spark, n, e = tables.nodes.sparkSession if tables.nodes is not None else None, tables.nodes, tables.edges
+    there = [(f"table {t}", "ok" if getattr(tables, t) is not None else "fail" if t in ("events", "nodes") else "warn", 0) for t in ("events", "nodes", "edges", "operations", "vectors", "documents")]
+    state = n.agg(F.lit("known lifecycle states").alias("check_name"), F.count_if(~F.col("lifecycle_state").isin(list(S.TRANSITIONS))).alias("violations"))
+    kind = n.agg(F.lit("known node types").alias("check_name"), F.count_if(~F.col("node_type").isin(S.NODE_TYPES)).alias("violations"))
     loose = e.join(n.select(F.col("id").alias("source_id")), "source_id", "left_anti").agg(F.lit("edges start at nodes").alias("check_name"), F.count("*").alias("violations"))
-    return bad_state.unionByName(bad_type).unionByName(loose)
+    rows = state.unionByName(kind).unionByName(loose).select("check_name", F.when(F.col("violations") == 0, "ok").otherwise("fail").alias("status"), "violations")
+    return spark.createDataFrame(there, "check_name string, status string, violations long").unionByName(rows)
