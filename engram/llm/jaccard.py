@@ -14,7 +14,8 @@
    merges the parts of a group of near copies; then every set outside the group's largest component meets
    all sets of the group. A link between two components has an end outside the largest, so none is lost,
    and a large group of near copies costs a pass over it, not all pairs of blocks.
-5. Links found (a spanning forest of each task, never all pairs) are closed to components.
+5. A task tells only which sets are joined to the least of theirs, never pairs; of groups of several blocks these labels
+   are closed to components.
 
 Nulls, empty texts and wordless texts have no set and link with nothing; a text with fewer words than the
 shingle is one shingle; very long texts are scanned in pieces, and their distinct shingles are held by one
@@ -355,14 +356,13 @@ def _spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def tree_links(own: list[np.ndarray], others: list[np.ndarray] | None, t: Fraction, labels: list | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among `own`, or between `own` and `others` (numbered after them).
+def tree_links(own: list[np.ndarray], others: list[np.ndarray] | None, t: Fraction, labels: list | None = None) -> np.ndarray:
+    """Which sets links join, among `own` or between `own` and `others` (numbered after them): a number per set.
 
-    `labels`: of every set, the component it is known to be in; links within one aren't told again.
+    `labels`: of every set, the component it is known to be in; sets of one label are joined to begin with.
     """
     sets = own + (others or [])
-    if len(sets) < 2:
-        return []
+    comp = np.arange(len(sets)) if labels is None else np.unique(np.array(labels), return_inverse=True)[1]
     every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     freq = np.bincount(inverse)
     rank = np.empty(len(every), np.int32)
@@ -370,13 +370,11 @@ def tree_links(own: list[np.ndarray], others: list[np.ndarray] | None, t: Fracti
     ranked = rank[inverse]
     at = np.cumsum([0, *map(len, sets)])
     ordered = [np.sort(ranked[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    comp = np.arange(len(sets)) if labels is None else np.unique(np.array(labels), return_inverse=True)[1]
-    links, tree = [], PrefixTree(ordered[: len(own)])
+    tree = PrefixTree(ordered[: len(own)])
     for x in range(len(own), len(sets)) if others is not None else range(len(own)):
         for y in _strange(comp, x, tree.probe(ordered[x], t, 1 << 60 if others is not None else len(ordered[x]))):
-            links.append((x, y))
             comp[comp == comp[y]] = comp[x]
-    return links
+    return comp
 
 
 def _strange(comp: np.ndarray, x: int, found: np.ndarray) -> list[int]:
@@ -386,7 +384,8 @@ def _strange(comp: np.ndarray, x: int, found: np.ndarray) -> list[int]:
 
 
 def _unit_links(t: Fraction):
-    """Rows (unit, side, cls, label, elements) sorted by unit -> links (u, v). One unit is held at a time."""
+    """Rows (unit, side, cls, label, elements) sorted by unit -> (u, v): of labels that links join, each with the least of
+    them. One unit is held at a time."""
 
     def solve(rows):
         rows.sort(key=lambda r: (r[0], r[1]))
@@ -394,10 +393,12 @@ def _unit_links(t: Fraction):
         n = sum(r[0] == 0 for r in rows)
         if n == 0 or len(rows) < 2:
             return None
-        found = tree_links(sets[:n], sets[n:] or None, t, [r[2] for r in rows])
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x, _ in found], pa.int64()), pa.array([rows[y][1] for _, y in found], pa.int64())], names=["u", "v"])
+        labels = np.array([r[2] for r in rows], np.int64)
+        comp = tree_links(sets[:n], sets[n:] or None, t, labels)
+        least = np.full(int(comp.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, comp, labels)
+        star = np.unique(np.stack([labels, least[comp]])[:, labels != least[comp]], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(star[0]), pa.array(star[1])], names=["u", "v"]) if star.shape[1] else None
 
     def run(batches):
         unit, rows = None, []
@@ -478,9 +479,10 @@ def _components(documents: DataFrame, k: int, threshold: str, block: int, block_
     # rows that share a doc_id count as one document here, whatever their texts
     sets = s.keep(docs.join(chosen, "doc_id").select("doc_id", "text", "c.*").mapInArrow(_element_sets(k), "doc_id long, root long, g int, elements binary"), "sets")
     s.drop("involved")
-    links = _group_links(sets, s, t, block, block_sets, parts)
+    named = s.keep(_group_links(sets, s, t, block, block_sets, parts).distinct(), "named")
     s.drop("sets")
-    named = connected_components(links, s, "final")
+    if named.count() != named.select("vertex").distinct().count():  # a doc_id with several texts lies in several groups
+        named = connected_components(named.select(F.col("vertex").alias("u"), F.col("root").alias("v")), s, "final")
     label = classes.join(named.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("root", "rep").alias("component"))
     out = sized.join(label, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -491,42 +493,52 @@ def _bucket(n: str):
 
 
 def _group_links(sets: DataFrame, s: Scratch, t: Fraction, block: int, block_sets: int, parts: int) -> DataFrame:
-    """sets: doc_id, root (its coarse group), g (blocks of the group), elements -> links (u, v) that join all that is linked."""
+    """sets: doc_id, root (its coarse group), g (blocks of the group), elements -> (vertex, root): each set that has a link, or
+    lies in a group of several blocks, with the least set that links reach.
+
+    A group of one block is settled by its unit. Larger groups go on with labels, one per component found so far.
+    """
 
     def solved(units: DataFrame, name: str) -> DataFrame:
-        """units: unit, side, doc_id, label, elements."""
+        """units: unit, side, doc_id, label, elements -> (u, v): labels and the least label that they are joined with."""
         dealt = units.select("unit", "side", "doc_id", "label", "elements").repartition(parts, "unit").sortWithinPartitions("unit")
         return s.keep(dealt.mapInArrow(_unit_links(t), UNIT_LINKS), name)
 
-    def labelled(links: DataFrame, name: str) -> DataFrame:
-        found = connected_components(links, s, name).select(F.col("vertex").alias("doc_id"), F.col("root").alias("label"))
-        return many.select("doc_id", "root", "g", "size").join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    def renamed(known: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """known, with labels replaced by the least that `links` reach."""
+        if links.isEmpty():
+            return known
+        found = connected_components(links, s, name).select(F.col("vertex").alias("label"), F.col("root").alias("new"))
+        return s.keep(known.join(found, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new"), f"{name}-labels")
 
     unit = lambda *c: F.concat_ws("/", *c).alias("unit")
-    links = solved(sets.select(unit("root", _bucket("g")), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"), "elements"), "links-1")
+    first = solved(sets.select(unit("root", _bucket("g")), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"), "elements"), "links-1")
+    settled = first.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     many = sets.where("g > 1").withColumn("size", F.expr("cast(length(elements) div 8 as long)"))
     if many.isEmpty():
-        return links
+        return settled
     blocks = F.ceil(F.greatest(F.sum("size") / F.lit(block), F.count("*") / F.lit(block_sets))).cast("int")
+    known = many.select("doc_id", "root", "g", "size").join(first.select(F.col("u").alias("doc_id"), F.col("v").alias("label")), "doc_id", "left")
+    known = s.keep(known.withColumn("label", F.coalesce("label", "doc_id")), "labels")
 
     # a few sets of every component of a group, against one another
-    known = labelled(links, "known-1")
     few = known.groupBy("root", "label", F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("i")).agg(F.min(F.struct("doc_id", "size")).alias("x")).select("root", "label", "x.*")
     few = few.join(few.groupBy("root").agg(blocks.alias("h")), "root")
     heads = many.select("doc_id", "elements").join(few, "doc_id").select(unit("root", _bucket("h")), F.lit(0).alias("side"), "doc_id", "label", "elements")
-    links = links.unionByName(solved(heads, "links-2"))
+    known = renamed(known, solved(heads, "links-2"), "heads")
 
     # the sets outside their group's largest component, against all sets of the group
-    known = s.keep(labelled(links, "known-2"), "labels")
     size = known.groupBy("root", "label").agg(F.count("*").alias("c"))
     largest = size.groupBy("root").agg(F.max(F.struct("c", "label")).alias("m")).select("root", F.col("m.label").alias("largest"))
-    known = known.join(largest, "root")
-    outside = known.where("label <> largest").groupBy("root").agg(blocks.alias("h"))
-    placed = many.select("doc_id", "elements").join(known.join(outside, "root"), "doc_id")
+    told = known.join(largest, "root")
+    outside = told.where("label <> largest").groupBy("root").agg(blocks.alias("h"))
+    placed = many.select("doc_id", "elements").join(told.join(outside, "root"), "doc_id")
     every = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("j")).select(unit("root", _bucket("g"), "j"), F.lit(0).alias("side"), "doc_id", "label", "elements")
     strays = placed.where("label <> largest").select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"))
     strays = strays.select(unit("root", "i", _bucket("h")), F.lit(1).alias("side"), "doc_id", "label", "elements")
-    return links.unionByName(solved(every.unionByName(strays), "links-3"))
+    known = renamed(known, solved(every.unionByName(strays), "links-3"), "strays")
+    single = settled.join(known.select(F.col("doc_id").alias("vertex")), "vertex", "left_anti")
+    return single.unionByName(known.select(F.col("doc_id").alias("vertex"), F.col("label").alias("root")))
 
 
 def one_of_each(documents: DataFrame, k: int = 5, threshold: str = "0.8", broadcast_rows: int = 500_000) -> DataFrame:

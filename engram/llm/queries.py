@@ -67,4 +67,16 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest
 FROM k
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": _OP2, "op5_warc": _OP5, "op6_decontaminate": _OP6}
+#: Every two documents by their shared shingles, and the closure of the links.
+_OP7 = r"""
+WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM low, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes nx ON nx.doc_id = x JOIN sizes ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, ways.y FROM reach JOIN ways ON reach.other = ways.x)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_ngram_jaccard": _OP7, "op2_url_filter": _OP2, "op5_warc": _OP5, "op6_decontaminate": _OP6}

@@ -462,6 +462,10 @@ def test_rows_without_id_link_others(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter([(1, 40, 1), (None, 40, 1), (2, 40, 1), (None, 4, None), (None, 4, None), (None, 0, None)])
     with pytest.raises(ValueError):
         jaccard.jaccard_components(rows, 1, "0.5")
+    other = [f"z{i}" for i in range(40)]
+    twice = [(1, " ".join(w)), (1, " ".join(other)), (2, end(2)), (3, " ".join(other[:-1]))]  # one id, two texts
+    got = jaccard.jaccard_components(spark.createDataFrame(twice, "doc_id long, text string"), 1, "0.85").collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1), (1, 1), (2, 1), (3, 1)])
 
 
 # --- 9 licences
