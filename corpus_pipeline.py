@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import bpe, decontaminate, jaccard, quality, toxicity
-from engram.llm.common import Scratch, table
+from engram.llm.common import Scratch, free_name, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
