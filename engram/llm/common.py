@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,19 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it lasts, Python workers get batches of at most `rows` rows: texts and sets are long, so fewer of them are in
+    memory at once on both sides. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables that cut lineage: written as Parquet under the shared root, so a lost executor loses nothing.
 
@@ -52,7 +66,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
+        with small_batches(self.spark):
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
