@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
+from engram.functions.frames import kept, small
 
 
 def both_ways(edges: DataFrame, edge_types: list[str] | None = None) -> DataFrame:
@@ -14,23 +15,23 @@ def both_ways(edges: DataFrame, edge_types: list[str] | None = None) -> DataFram
     return e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(e.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's checkpoint folder where one is set; without, rows are kept so that no step is planned or run twice."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: list[str] | None = None) -> DataFrame:
+    """seeds: (seed) -> (seed, node_id, hop): the least number of edges to every node within reach, seeds left out.
 
-
-def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: list[str] | None = None, cut_every: int = 4) -> DataFrame:
-    """seeds: (seed) -> (seed, node_id, hop): the least number of edges to every node within reach, seeds left out."""
-    links = both_ways(edges, edge_types)
+    Every frontier is computed once and joined to links that are made once; the walk ends when a frontier is empty.
+    """
+    links = kept(both_ways(edges, edge_types))
     seen = seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("hop"))
-    front = seen
+    front, out = seen, None
     for hop in range(1, max_hops + 1):
         step = front.join(links, front.node_id == links.a).select("seed", F.col("b").alias("node_id")).distinct()
         front = step.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
+        front = kept(front) if hop < max_hops else front
+        out = front if out is None else out.unionByName(front)
+        if hop < max_hops and front.isEmpty():
+            break
         seen = seen.unionByName(front)
-        if hop % cut_every == 0:
-            front, seen = _cut(front), _cut(seen)
-    return seen.where("hop > 0")
+    return out if out is not None else seen.where("false")
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types=None, states=None, min_confidence: float | None = None, valid=None) -> DataFrame:
@@ -42,27 +43,23 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops:
     return out.where(F.col("confidence") >= min_confidence) if min_confidence is not None else out
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10, edge_types=None, cut_every: int = 2) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10, edge_types=None) -> DataFrame:
     """pairs: (source, target) -> the least path among shortest ones, as an array; unreachable pairs are absent.
 
     Level by level from every source; a pair leaves the frontier once its target is met, and the walk ends when no pair is left.
     """
-    links = both_ways(edges, edge_types)
+    links = kept(both_ways(edges, edge_types))
     front = pairs.select("source", "target", F.col("source").alias("node_id"), F.array("source").alias("path"))
     seen, met = front.select("source", "target", "node_id"), front.where("node_id = target")
-    for hop in range(1, max_hops + 1):
+    for _ in range(max_hops):
         front = front.where("node_id <> target")
         step = front.join(links, F.col("node_id") == F.col("a")).select("source", "target", F.col("b").alias("node_id"), F.concat("path", F.array("b")).alias("path"))
-        step = step.groupBy("source", "target", "node_id").agg(F.min("path").alias("path"))
-        front = step.join(seen, ["source", "target", "node_id"], "left_anti")
-        here = front.where("node_id = target")
-        front = front.join(here.select("source", "target"), ["source", "target"], "left_anti").unionByName(here)
-        if hop % cut_every == 0:
-            front = _cut(front)
-            if front.isEmpty():
-                break
-            seen, met = _cut(seen), _cut(met)
-        seen, met = seen.unionByName(front.select("source", "target", "node_id")), met.unionByName(front.where("node_id = target"))
+        step = kept(step.groupBy("source", "target", "node_id").agg(F.min("path").alias("path")).join(seen, ["source", "target", "node_id"], "left_anti"))
+        here = step.where("node_id = target")
+        met, seen = met.unionByName(here), seen.unionByName(step.select("source", "target", "node_id"))
+        front = step.join(here.select("source", "target"), ["source", "target"], "left_anti")
+        if front.isEmpty():
+            break
     return met.select("source", "target", "path", (F.size("path") - 1).alias("hops"))
 
 
@@ -71,13 +68,13 @@ def supersedence_chain(edges: DataFrame, seeds: DataFrame, direction: str = "for
     least neighbour is taken where there are several, and a chain ends at a node it has met before."""
     e = edges.where("edge_type = 'supersedes'")
     here, there = ("target_id", "source_id") if direction == "forward" else ("source_id", "target_id")
-    link = e.groupBy(F.col(here).alias("at")).agg(F.min(there).alias("to"))
+    link = kept(e.groupBy(F.col(here).alias("at")).agg(F.min(there).alias("to")))
     front = seeds.select("seed", F.col("seed").alias("node_id"), F.array("seed").alias("path"))
     out = front.select("seed", F.lit(0).alias("step"), "node_id")
     for step in range(1, max_steps + 1):
         front = front.join(link, F.col("node_id") == F.col("at")).where(~F.array_contains("path", F.col("to"))).select("seed", F.col("to").alias("node_id"), F.concat("path", F.array("to")).alias("path"))
-        if step % 5 == 0:
-            front, out = _cut(front), _cut(out)
+        if step % 4 == 0:
+            front = kept(front)
             if front.isEmpty():
                 break
         out = out.unionByName(front.select("seed", F.lit(step).alias("step"), "node_id"))
@@ -114,8 +111,6 @@ def entity_seeds(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """terms: (query_id, term), a query's few names. Entities whose content holds a term, whatever its case."""
     named = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.LIVE)).select("id", F.lower("content").alias("content"))
     words = terms.select("query_id", F.lower("term").alias("term"))
-    from engram.operators.search import small
-
     return named.join(small(words, 10_000), F.col("content").contains(F.col("term"))).select("query_id", F.col("id").alias("seed")).distinct()
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
+from engram.functions.frames import kept
 from engram.operators import graph, organizer, quality, store
-from engram.operators.search import _kept
 from engram.sources import tables as T
 
 
@@ -48,7 +48,7 @@ def _promote(t, now, c):
 
 
 def _sweep(t, actions, now):
-    act = _kept(actions.select("id", "action"))
+    act = kept(actions.select("id", "action"))
     nodes = store.archive(t.nodes, act.where("action = 'archive'"), now).nodes
     return replace(t, nodes=store.deprecate(nodes, act.where("action = 'deprecate'"), now).nodes), act, None
 
@@ -63,7 +63,7 @@ def _archive(t, now, c):
 
 
 def _tombstone_sweep(t, now, c):
-    gone = _kept(organizer.expired(t.nodes, now))
+    gone = kept(organizer.expired(t.nodes, now))
     ops = store._operation_rows(gone, "TOMBSTONE_SWEEP", "id", F.to_json(F.struct("expired_at")), now)
     return replace(t, nodes=store.archive(t.nodes, gone.select("id"), now).nodes, operations=t.operations.unionByName(ops)), gone.select("id", F.lit("archive").alias("action")), None
 
@@ -99,7 +99,7 @@ def _summarize(t, now, c):
 
 def _consolidate(t, now, c):
     live = t.nodes.where(F.col("lifecycle_state").isin(S.ACTIVE) & F.col("node_type").isin("fact", "event", "note")).select(F.col("id").alias("node_id"))
-    clusters = _kept(organizer.greedy_clusters(t.vectors.join(live, "node_id", "left_semi"), c.cluster_similarity, c.cluster_size))
+    clusters = kept(organizer.greedy_clusters(t.vectors.join(live, "node_id", "left_semi"), c.cluster_similarity, c.cluster_size))
     told = organizer.cluster_summaries(clusters, t.nodes).join(clusters.select("leader", "user_id").distinct(), "leader")
     members = clusters.groupBy("leader").agg(F.array_sort(F.collect_list("node_id")).alias("sources"))  # a cluster is one text's sources
     rows = told.join(members, "leader").select("user_id", F.lit("cluster").alias("level"), F.col("leader").alias("period"), "content", "confidence", "salience", "sources")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
-from engram.operators.search import _kept, similar_pairs
+from engram.functions.frames import kept
+from engram.operators.search import similar_pairs
 
 
 def promotable(nodes: DataFrame, now, min_days: float = 7.0, min_evidence: int = 1) -> DataFrame:
@@ -54,13 +55,13 @@ def group_pairs(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(a_id, b_id) -> (group_id, id): least id that pairs reach, by label propagation with pointer jumps until nothing
     changes. Raises if `rounds` don't suffice."""
     links = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(pairs.select(F.col("b_id").alias("a"), F.col("a_id").alias("b"))).distinct()
-    links = _kept(links)
+    links = kept(links)
     label = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("group_id"))
     for _ in range(rounds):
         step = links.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group_id").alias("m"))
         new = label.join(step, "id").select("id", F.least("group_id", "m").alias("group_id"))
         jump = new.select(F.col("id").alias("group_id"), F.col("group_id").alias("root"))
-        new = _kept(new.join(jump, "group_id").select("id", F.col("root").alias("group_id")))
+        new = kept(new.join(jump, "group_id").select("id", F.col("root").alias("group_id")))
         if new.join(label.withColumnRenamed("group_id", "old"), "id").where("group_id <> old").isEmpty():
             return new
         label = new
@@ -106,7 +107,7 @@ def resolve_aliases(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, now,
     groups = group_pairs(both.where(F.col("similarity") >= least).select("a_id", "b_id"))
     rows = groups.join(active.select("id", F.length(F.trim("content")).alias("name"), "confidence_base", F.size("evidence_refs").alias("refs"), "created_at"), "id")
     best = rows.groupBy("group_id").agg(F.min(F.struct((-F.col("name")).alias("a"), (-F.col("confidence_base")).alias("b"), (-F.col("refs")).alias("c"), "created_at", "id")).alias("x")).select("group_id", F.col("x.id").alias("canonical_id"))
-    merged = _kept(groups.join(best, "group_id").where("id <> canonical_id").select(F.col("id").alias("duplicate_id"), "canonical_id"))
+    merged = kept(groups.join(best, "group_id").where("id <> canonical_id").select(F.col("id").alias("duplicate_id"), "canonical_id"))
     moved = store.supersede(merge_evidence(nodes, merged), merged.select(F.col("duplicate_id").alias("old_id"), F.col("canonical_id").alias("new_id")), now)
     gone = merged.select(F.col("duplicate_id").alias("id"))
     loose = both.where(F.col("similarity") < least).join(gone.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(gone.withColumnRenamed("id", "b_id"), "b_id", "left_anti")
@@ -119,7 +120,7 @@ def merge_duplicates(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, now)
     from engram.operators import store
     from engram.operators.graph import transfer_edges
 
-    merged = _kept(canonical(group_pairs(pairs), nodes).select("duplicate_id", "canonical_id"))
+    merged = kept(canonical(group_pairs(pairs), nodes).select("duplicate_id", "canonical_id"))
     moved = store.supersede(merge_evidence(nodes, merged), merged.select(F.col("duplicate_id").alias("old_id"), F.col("canonical_id").alias("new_id")), now)
     return moved.nodes, transfer_edges(edges, merged).unionByName(moved.edges)
 

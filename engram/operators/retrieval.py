@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
+from engram.functions.frames import kept, small
 from engram.operators import graph, search
 
 SCORES = ["semantic_score", "lexical_score", "graph_proximity"]
@@ -21,8 +22,15 @@ def merge(paths: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
     The full outer merge is a union and one aggregate, so every source is shuffled once.
     """
+    return _merged(_tagged(paths))
+
+
+def _tagged(paths: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     parts = [df.select("query_id", "id", *[(F.col("score") if s == score else F.lit(0.0)).cast("double").alias(s) for s in SCORES], F.lit(p).alias("path")) for p, (df, score) in paths.items()]
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "id").agg(*[F.max(s).alias(s) for s in SCORES], F.array_sort(F.collect_set("path")).alias("paths")).withColumn("path_count", F.size("paths"))
 
 
@@ -68,6 +76,7 @@ def score(df: DataFrame, now, weights: S.Weights = S.Weights(), anchored: bool =
     query) and double it for texts that tell of a change. `anchored`: such questions may occur.
     """
     if anchored:
+        df = kept(df)
         newest = df.where("is_current_state").groupBy("query_id").agg(F.max(F.coalesce("event_time", "updated_at", "created_at")).alias("newest"))
         df = df.join(newest, "query_id", "left").withColumn("anchor", F.coalesce("newest", X.at(now))).drop("newest")
     else:
@@ -176,7 +185,7 @@ def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataF
     """
     live = nodes.where(F.col("lifecycle_state").isin(S.LIVE))
     live = live.where(F.col("scope").isin(scopes)) if scopes else live
-    asked = requests.select("query_id", F.col("user_id").alias("asker"), "is_aggregation")
+    asked = small(requests.select("query_id", F.col("user_id").alias("asker"), "is_aggregation"))
     deep = lambda k: F.when(F.col("is_aggregation"), min(k * config.aggregation_factor, config.aggregation_most)).otherwise(k)
     most = lambda k: min(k * config.aggregation_factor, config.aggregation_most)
     own = F.col("asker").isNull() | (F.col("user_id") == F.col("asker"))
@@ -201,20 +210,25 @@ def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataF
     of_user, of_all = asked.where("asker IS NOT NULL").select("query_id", F.col("asker").alias("user_id")), asked.where("asker IS NULL").select("query_id")
     pins = pinned(live).select("id", "user_id")
     # a request without user has every pinned node as a candidate
-    pins = pins.join(search.small(of_user), "user_id").select("query_id", "id").unionByName(pins.join(search.small(of_all)).select("query_id", "id")).withColumn("score", F.lit(0.0))
+    pins = pins.join(small(of_user), "user_id").select("query_id", "id").unionByName(pins.join(small(of_all)).select("query_id", "id")).withColumn("score", F.lit(0.0))
 
-    extra = more.join(lexical.select("query_id", "id").unionByName(vector.select("query_id", "id")).unionByName(by_graph.select("query_id", "id")).unionByName(pins.select("query_id", "id")).distinct(), ["query_id", "id"], "left_anti")
-    merged = merge({"GRAPH": (by_graph, "graph_proximity"), "VECTOR": (vector, "semantic_score"), "LEXICAL": (lexical.unionByName(extra), "lexical_score"), "PINNED": (pins, "none")})
+    # each path is computed once, a few thousand rows a query
+    first = kept(_tagged({"GRAPH": (by_graph, "graph_proximity"), "VECTOR": (vector, "semantic_score"), "LEXICAL": (lexical, "lexical_score"), "PINNED": (pins, "none")}))
+    extra = more.join(first.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+    merged = _merged(first.unionByName(_tagged({"LEXICAL": (extra, "lexical_score")})))
     return merged.join(live, "id")
 
 
 def retrieve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, now, weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), scopes: list[str] | None = None, mode: str = "default", knowledge_at=None) -> DataFrame:
     """From analysed requests to ranked candidates: generation, bi-temporal and epistemic filters, scores, ranks."""
+    requests = kept(requests)  # questions are analysed once
+    requests.count()
     found = generate(nodes, edges, vectors, docs, requests, config, scopes)
     found = found.where(F.col("created_at") <= X.at(knowledge_at)) if knowledge_at is not None else found
-    kept, _ = epistemic_filter(found, mode)
+    rows, _ = epistemic_filter(found, mode)
     asked = requests.select("query_id", "intent", "is_current_state", "is_episodic", "time_from", "time_to")
-    return ranked(score(kept.join(asked, "query_id"), now, weights))
+    anchored = not requests.where("is_current_state").isEmpty()
+    return ranked(score(rows.join(small(asked), "query_id"), now, weights, anchored))
 
 
 def abstention(best: Column) -> Column:

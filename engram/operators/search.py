@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import expr as X
+from engram.functions.frames import kept, small
 
 BLOCK = 256
 
@@ -92,16 +93,6 @@ def tokens(text):
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Rows that several parts of a plan read: in the cluster's checkpoint folder where one is set, else kept by Spark."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-
-def small(df: DataFrame, most: int = 100_000):
-    """The frame with a broadcast hint if it has at most `most` rows; a larger one is joined as Spark sees fit."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def lexical_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: node_id, content and maybe user_id, node_type, scope -> postings (term, node_id, tf, ...) and lengths (node_id, dl).
     Write both and give them to `bm25_indexed`; a node is taken out with an anti-join on node_id."""
@@ -140,7 +131,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.
     # the empty word stands for the text itself, so lengths come along
     rows = toks.select("node_id", *more, F.size("ts").alias("dl"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("term"))
     wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    hits = _kept(rows.join(small(wanted), "term", "left_semi").groupBy("term", "node_id", "dl", *more).agg(F.count("*").alias("tf")))
+    hits = kept(rows.join(small(wanted), "term", "left_semi").groupBy("term", "node_id", "dl", *more).agg(F.count("*").alias("tf")))
     stats = hits.where("term = ''").agg(F.count("*").cast("double").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     return _scored(hits.where("term <> ''"), stats, terms, k, k1, b, match_all, node_type, scopes)
 

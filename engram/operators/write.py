@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
+from engram.functions.frames import kept
 from engram.operators import graph, ingest, organizer, search, store
-from engram.operators.search import _kept
 from engram.sources import tables as T
 
 
@@ -50,7 +50,7 @@ def neighbours(tables: T.MemoryTables, messages: DataFrame, k: int = 10) -> Data
     live = tables.nodes.where(F.col("lifecycle_state").isin(S.LIVE)).select("id", "node_type", "content", "lifecycle_state", "user_id")
     v = tables.vectors.select("node_id", "embedding").join(live.select(F.col("id").alias("node_id"), "user_id"), "node_id")
     near = search.vector_topk_batch(v, messages.select(F.col("id").alias("query_id"), "user_id", "embedding"), k)
-    return _kept(near.join(live.drop("user_id"), F.col("node_id") == F.col("id")).select("query_id", "id", "score", "rn", "node_type", "content", "lifecycle_state"))
+    return kept(near.join(live.drop("user_id"), F.col("node_id") == F.col("id")).select("query_id", "id", "score", "rn", "node_type", "content", "lifecycle_state"))
 
 
 def novel(near: DataFrame, new: DataFrame, k: int = 5) -> DataFrame:
@@ -95,7 +95,7 @@ def store_batch(tables: T.MemoryTables, messages: DataFrame, now, config: StoreC
     or superseded; chains that flip back cost confidence; turns are paired; both indexes grow. The result is one
     set of tables, so a batch counts whole or not at all.
     """
-    m = _kept(messages if "embedding" in messages.columns else search.embed(messages))
+    m = kept(messages if "embedding" in messages.columns else search.embed(messages))
     if not m.where("id IS NULL OR content IS NULL OR user_id IS NULL").isEmpty():
         raise IngestionError("messages need id, content and user_id")
     m = m.join(tables.events.select("id"), "id", "left_anti")  # a message that is known already changes nothing
@@ -106,7 +106,7 @@ def store_batch(tables: T.MemoryTables, messages: DataFrame, now, config: StoreC
     edges, pairs = tables.edges, None
     if config.supersedence:
         close = near.where(F.col("lifecycle_state").isin(S.ACTIVE)).select("query_id", F.col("id").alias("node_id"), "content")
-        pairs = _kept(ingest.store_supersedence(new.select("id", "content"), close))
+        pairs = kept(ingest.store_supersedence(new.select("id", "content"), close))
         moved = store.supersede(nodes, pairs, now)
         nodes, edges = moved.nodes, edges.unionByName(moved.edges)
         whole = nodes.unionByName(new)
@@ -114,7 +114,7 @@ def store_batch(tables: T.MemoryTables, messages: DataFrame, now, config: StoreC
         flips = organizer.oscillations(chains, whole).select(F.col("seed").alias("id"), "penalty")
         new = new.join(flips, "id", "left").withColumn("confidence_base", F.greatest(F.col("confidence_base") - F.coalesce("penalty", F.lit(0.0)), F.lit(0.0))).select(*new.columns)
     if config.qa_pairs:
-        twos = _kept(paired(tables.events, events, new))
+        twos = kept(paired(tables.events, events, new))
         vectors = search.embed(twos.select(F.col("id").alias("node_id"), "user_id", "content"))
         new = new.unionByName(twos)
     else:

@@ -32,12 +32,13 @@ def test_transitions_follow_the_state_machine(spark):
 
 def test_days_ago_labels(spark):
     base = datetime.datetime(2024, 6, 30)
-    cases = {0: "today", 1: "yesterday", 3: "3 days ago", 7: "1 week ago", 20: "2 weeks ago", 61: "2 months ago", 400: "1 year ago", -2: "in 2 days"}
+    cases = {0: "today", 1: "yesterday", 3: "3 days ago", 7: "1 week ago", 10: "~1 week ago (10 days)", 14: "~2 weeks ago (14 days)", 59: "~8 weeks ago (59 days)", 61: "~2.0 months ago (61 days)", 100: "~3.3 months ago (100 days)", 400: "~1.1 years ago (400 days)", -2: "in 2 days"}
     df = spark.createDataFrame([(d, base - datetime.timedelta(days=d)) for d in cases], "d int, t timestamp_ntz")
     assert {r.d: r.x for r in df.select("d", X.days_ago(F.col("t"), F.lit(base).cast("timestamp_ntz")).alias("x")).collect()} == cases
 
 
 def test_flagship_is_ranked_without_gaps(spark, sf):
     rows = sorted(queries.retrieve(spark, sf).collect(), key=lambda r: r["rank"])
+    assert {"VECTOR", "LEXICAL", "GRAPH", "PINNED"} <= {p for r in rows for p in r.paths.split(",")} and any(r.lexical_score and r.graph_proximity for r in rows)
     assert rows and [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
     assert all(a.composite_score >= b.composite_score for a, b in zip(rows, rows[1:]))

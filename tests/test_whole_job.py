@@ -4,7 +4,6 @@ import json
 import re
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from engram import schema as S
@@ -101,14 +100,15 @@ def test_every_repeat_of_a_fact_meets_the_change_after_it(spark, sf):
     assert len(got) == len(set(got)) and set(got) == conflicts(queries._facts(spark, sf).collect())
 
 
-def test_bm25_gives_every_match_and_drops_no_term(spark, monkeypatch):
+def test_bm25_gives_every_match_and_drops_no_term(spark):
     docs = spark.range(50).select(F.col("id").cast("string").alias("node_id"), F.when(F.col("id") % 2 == 0, "ab cd").otherwise("ab").alias("content"))
     q = spark.createDataFrame([("q", "ab cd")], "query_id string, query string")
     assert search.bm25(docs, q, None).count() == 50 and search.bm25(docs, q, None, match_all=True).count() == 25
     assert search.bm25(docs, q, 3).count() == 3
-    monkeypatch.setattr(search, "MOST_TERMS", 1)
-    with pytest.raises(ValueError):
-        search.bm25(docs, q, 3)
+    many = spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(20_000)) + " cd")], "query_id string, query string")
+    assert search.bm25(docs, many, None).count() == 25
+    plain, indexed = search.bm25(docs, q, 50), search.bm25_indexed(*search.lexical_index(docs), q, 50)
+    assert sorted((r.node_id, round(r.score, 9)) for r in plain.collect()) == sorted((r.node_id, round(r.score, 9)) for r in indexed.collect())
 
 
 def test_recall_counts_relevant_matches_below_the_hits(spark, sf):
@@ -123,7 +123,7 @@ def test_recall_counts_relevant_matches_below_the_hits(spark, sf):
 def test_whole_tables_are_migrated_exported_and_checked(spark, sf):
     nodes = {r.id for r in T.nodes(spark, sf).select("id").collect()}
     assert {r.id for r in queries.migrated_rows(spark, sf).collect()} == nodes
-    rows = queries.export_nodes(spark, sf).collect()
+    rows = T.export_json(queries._memory(spark, sf)).collect()
     pairs = {(r.source_id, r.target_id) for r in queries._chain_edges(spark, sf).collect()}
     assert Counter(r.kind for r in rows) == {"node": len(nodes), "edge": len(pairs), "event": len(nodes)}
     values = {k: [json.loads(r.value) for r in rows if r.kind == k] for k in ("node", "edge", "event")}
