@@ -8,6 +8,8 @@ texts are looked up; what a worker has met before it doesn't encode again. Nothi
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -32,6 +34,9 @@ LATER = (
     r"\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
 )
 
+#: The byte-level pattern, as the library's pre-tokenizer has it and as rank files of its kind name it.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _SPACE, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _WIDE = 1, 2, 3, 4, 5, 6
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = _SPACE
@@ -73,11 +78,19 @@ def cuts(b: np.ndarray, offsets: np.ndarray, fine: bool) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def distinct_pieces(b: np.ndarray, offsets: np.ndarray, specials: Sequence[bytes] = ()) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where pieces begin (and the end), and the pieces as codes of distinct ones. Texts that may hold one of `specials`
+    (strings that a tokenizer takes out before it splits) are cut at white space only, so none is cut."""
+    fine = not specials or not any(x in b.tobytes() for x in specials)
+    bounds = cuts(b, offsets, fine)
+    values = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(b))])
+    return bounds, values.dictionary_encode()
+
+
 class PieceEncoder:
     """Encodes texts piece by piece. `encode`: distinct pieces as bytes -> the ids of each.
 
-    What it remembers is bounded by `KEY_BYTES` and `IDS`; beyond, it begins anew. Chunks that hold one of `specials`
-    (strings that a tokenizer takes out before it splits) are cut at white space only, so none is cut.
+    What it remembers is bounded by `KEY_BYTES` and `IDS`; beyond, it begins anew.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], specials: Sequence[bytes] = ()) -> None:
@@ -114,9 +127,7 @@ class PieceEncoder:
     def _rows(self, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(b) == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        fine = not any(x in memoryview(b).tobytes() for x in self.specials) if self.specials else True
-        bounds = cuts(b, offsets, fine)
-        told = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(b))]).dictionary_encode()
+        bounds, told = distinct_pieces(b, offsets, self.specials)
         slots = self._slots(told.dictionary.to_pylist())[told.indices.to_numpy()]
         starts = self.ends[slots - 1]
         lengths = self.ends[slots] - starts
@@ -135,14 +146,37 @@ class PieceEncoder:
             yield i, j, self._gather(starts, lengths), total
             self._trim()
 
-    def counts(self, column: pa.Array, limit: int = CHUNK) -> np.ndarray:
-        """How many ids each row has."""
-        out = [np.zeros(0, np.int64)]
-        for _, _, b, offsets in chunks(column, limit):
-            out.append(np.diff(self._rows(b, offsets)[2]))
-            self._trim()
-        return np.concatenate(out)
-
     def _trim(self) -> None:
         if self.key_bytes > KEY_BYTES or self.n_ids > IDS:
             self._forget()
+
+
+def library_encoder(config: str):
+    """Bytes of many texts -> ids, by the tokenizers library; whether texts may be cut in pieces; special strings."""
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    library = Tokenizer.from_str(config)
+    library.no_truncation()
+    library.no_padding()
+    spec = json.loads(config)
+    split, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    apart = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
+    apart = apart and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in added)
+
+    def encode(texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    return encode, apart, [t["content"].encode() for t in added]
+
+
+class WholeTexts:
+    """As `PieceEncoder`, for tokenizers whose texts can't be cut: the library takes each text whole."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for i, text in enumerate(column):
+            ids = np.array(self.encode([(text.as_py() or "").encode()])[0], np.uint32)
+            yield i, i + 1, ids, np.array([0, len(ids)])

@@ -1,7 +1,7 @@
 """Token ids as Arrow streams of equal-length sequences, and a reader with random access to them.
 
 A shard is two files in Arrow's stream format. `*.ids.arrows` holds batches of `per_batch` sequences with two fixed-size
-lists of `length` values: `ids` (uint32) and `mask` (uint8: 1 a token, 2 the last token of a document, 0 padding). Without
+lists of `length` values: `ids` (16 bits where the vocabulary allows, else 32) and `mask` (a bit: a token, or padding). Without
 nulls or compression all full batches have one size, so sequence i lies at a place known by arithmetic: a reader maps or
 range-reads that batch alone, and its values are views of the bytes read. Only the last batch of a shard may be shorter, only
 its last sequence is padded. `*.docs.arrows` names the documents of the shard in order: doc_id, where its ids start in the
@@ -20,8 +20,6 @@ an empty table has no shards and gives no rows.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm.common import Scratch, small_batches
-from engram.llm.pieces import PieceEncoder
+from engram.llm.pieces import PieceEncoder, WholeTexts, library_encoder
 
 LENGTH, PER_BATCH, DOCS_PER_BATCH = 2048, 64, 4096
 LISTING = "shard int, path string, docs long, tokens long, sequences long"
@@ -44,48 +42,51 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 # --- the format ------------------------------------------------------------------------------------------
 
 
-def _schema(length: int, per_batch: int) -> pa.Schema:
-    meta = {"sequences_per_batch": str(per_batch)}
-    return pa.schema([pa.field("ids", pa.list_(pa.uint32(), length), False), pa.field("mask", pa.list_(pa.uint8(), length), False)], meta)
+def _schema(length: int, per_batch: int, ids: int, end_id: int) -> pa.Schema:
+    """`ids`: how many different ones there are."""
+    kind = pa.uint16() if ids <= 1 << 16 else pa.uint32()
+    meta = {"sequences_per_batch": str(per_batch), "end_id": str(end_id)}
+    return pa.schema([pa.field("ids", pa.list_(kind, length), False), pa.field("mask", pa.list_(pa.bool_(), length), False)], meta)
 
 
-def _batch(ids: np.ndarray, mask: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    length = schema.field("ids").type.list_size
-    lists = (pa.FixedSizeListArray.from_arrays(pa.array(x, kind), length) for x, kind in ((ids, pa.uint32()), (mask, pa.uint8())))
-    return pa.RecordBatch.from_arrays(list(lists), schema=schema)
+def _batch(ids: np.ndarray, tokens: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Whole sequences, of whose ids the first `tokens` count."""
+    kind = schema.field("ids").type
+    lists = [pa.FixedSizeListArray.from_arrays(x, kind.list_size) for x in (pa.array(ids, kind.value_type), pa.array(np.arange(len(ids)) < tokens))]
+    return pa.RecordBatch.from_arrays(lists, schema=schema)
 
 
 class ShardWriter:
     """Fills batches of sequences from documents in order; `fs` and `path` (without ending) say where."""
 
-    def __init__(self, fs: pafs.FileSystem, path: str, length: int, per_batch: int) -> None:
-        self.schema = _schema(length, per_batch)
+    def __init__(self, fs: pafs.FileSystem, path: str, length: int, per_batch: int, n_ids: int, end_id: int) -> None:
+        self.schema = _schema(length, per_batch, n_ids, end_id)
         self.sinks = [fs.open_output_stream(f"{path}.{kind}.arrows") for kind in ("ids", "docs")]
         self.ids_file, self.docs_file = (pa.ipc.new_stream(s, k) for s, k in zip(self.sinks, (self.schema, _DOCS), strict=True))
         self.length, self.room = length, length * per_batch
-        self.ids, self.mask = np.zeros(self.room, np.uint32), np.zeros(self.room, np.uint8)
+        self.ids, self.end = np.zeros(self.room, self.schema.field("ids").type.value_type.to_pandas_dtype()), np.array([end_id])
         self.held = self.tokens = self.docs = 0
         self.rows: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray, end_id: int) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.rows.append((doc_id, self.tokens, len(ids) + 1))
-        self._put(ids, 1)
-        self._put(np.array([end_id], np.uint32), 2)
+        self._put(ids)
+        self._put(self.end)
         self.docs += 1
         if len(self.rows) == DOCS_PER_BATCH:
             self._list()
 
-    def _put(self, ids: np.ndarray, mark: int) -> None:
+    def _put(self, ids: np.ndarray) -> None:
         at = 0
         while at < len(ids):
             n = min(len(ids) - at, self.room - self.held)
-            self.ids[self.held : self.held + n], self.mask[self.held : self.held + n] = ids[at : at + n], mark
+            self.ids[self.held : self.held + n] = ids[at : at + n]
             at, self.held, self.tokens = at + n, self.held + n, self.tokens + n
             if self.held == self.room:
                 self._flush(self.room)
 
     def _flush(self, n: int) -> None:
-        self.ids_file.write_batch(_batch(self.ids[:n], self.mask[:n], self.schema))
+        self.ids_file.write_batch(_batch(self.ids[:n], self.held, self.schema))
         self.held = 0
 
     def _list(self) -> None:
@@ -96,7 +97,7 @@ class ShardWriter:
         """Pads the last sequence; how many there are."""
         if self.held:
             whole = -(-self.held // self.length) * self.length
-            self.ids[self.held : whole] = self.mask[self.held : whole] = 0
+            self.ids[self.held : whole] = 0
             self._flush(whole)
         if self.rows:
             self._list()
@@ -113,49 +114,49 @@ class Sequences:
         file.seek(0)
         self.schema = pa.ipc.read_schema(file)
         self.length = self.schema.field("ids").type.list_size
-        self.per_batch = int(self.schema.metadata[b"sequences_per_batch"])
+        self.per_batch, self.end_id = (int(self.schema.metadata[x]) for x in (b"sequences_per_batch", b"end_id"))
         self.first = file.tell()
-        self.stride = self._bytes(self.per_batch)
-        body = self.size - self.first
-        self.full, rest = divmod(body, self.stride)
-        # what follows the full batches: at most one shorter batch, then the end of the stream
-        self.last = next((n for n in range(self.per_batch - 1, 0, -1) if self._bytes(n) <= rest), 0) if rest else 0
-        self.held: tuple[int, np.ndarray, np.ndarray] | None = None
-
-    def _bytes(self, sequences: int) -> int:
-        zeros = np.zeros(sequences * self.length, np.uint32)
-        return pa.ipc.get_record_batch_size(_batch(zeros, zeros.astype(np.uint8), self.schema))
+        zeros = np.zeros(self.per_batch * self.length, np.uint16)
+        self.stride = pa.ipc.get_record_batch_size(_batch(zeros, 0, self.schema))
+        self.end = self.size - 8  # where the mark that ends a stream begins
+        self.held: tuple[int, np.ndarray, pa.BooleanArray] | None = None
+        self.batches = -(-(self.end - self.first) // self.stride)
+        # only the last batch may be shorter: it says itself how many it has
+        self.count = (self.batches - 1) * self.per_batch + len(self.batch(self.batches - 1)[0]) // self.length if self.batches else 0
 
     def __len__(self) -> int:
-        return self.full * self.per_batch + self.last
+        return self.count
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and masks of batch k as views of the bytes read; the last one read is kept."""
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """All ids and mask bits of batch k as views of the bytes read; the last one read is kept."""
         if self.held is None or self.held[0] != k:
-            self.file.seek(self.first + k * self.stride)
-            data = self.file.read_buffer(self.stride if k < self.full else self._bytes(self.last))
+            at = self.first + k * self.stride
+            self.file.seek(at)
+            data = self.file.read_buffer(min(self.stride, self.end - at))
             batch = pa.ipc.read_record_batch(pa.ipc.read_message(data), self.schema)
-            self.held = (k, *(c.flatten().to_numpy() for c in batch.columns))
+            self.held = (k, batch.column(0).flatten().to_numpy(), batch.column(1).flatten())
         return self.held[1:]
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """ids and mask of sequence i."""
         if not 0 <= i < len(self):
             raise IndexError(i)
         k, at = divmod(i, self.per_batch)
         ids, mask = self.batch(k)
-        return ids[at * self.length : (at + 1) * self.length], mask[at * self.length : (at + 1) * self.length]
+        return ids[at * self.length : (at + 1) * self.length], mask.slice(at * self.length, self.length)
 
-    def run(self, start: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The ids from `start` on, n of them, and their masks, in views of one batch each."""
+    def run(self, start: int, n: int) -> Iterator[np.ndarray]:
+        """The ids from `start` on, n of them, in views of one batch each."""
         room = self.length * self.per_batch
         while n > 0:
             k, at = divmod(start, room)
+            if k >= self.batches:
+                raise ValueError("a document ends beyond its file's tokens")
             ids, mask = self.batch(k)
             take = min(n, len(ids) - at)
-            if take <= 0:
-                raise ValueError("a document ends beyond its file")
-            yield ids[at : at + take], mask[at : at + take]
+            if take <= 0 or not mask[at + take - 1].as_py():
+                raise ValueError("a document ends beyond its file's tokens")
+            yield ids[at : at + take]
             start, n = start + take, n - take
 
 
@@ -168,38 +169,10 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
 # --- Spark -----------------------------------------------------------------------------------------------
 
 
-def library_encoder(config: str):
-    """Bytes of many texts -> ids, by the tokenizers library; whether texts may be cut in pieces; special strings."""
+def vocabulary_size(config: str, end_id: int) -> int:
     from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    library = Tokenizer.from_str(config)
-    library.no_truncation()
-    library.no_padding()
-    spec = json.loads(config)
-    split, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
-    apart = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
-    apart = apart and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in added)
-
-    def encode(texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    return encode, apart, [t["content"].encode() for t in added]
-
-
-class WholeTexts:
-    """As `PieceEncoder`, for tokenizers whose texts can't be cut: the library takes each text whole."""
-
-    def __init__(self, encode) -> None:
-        self.encode = encode
-
-    def texts(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        for i, text in enumerate(column):
-            ids = np.array(self.encode([(text.as_py() or "").encode()])[0], np.uint32)
-            yield i, i + 1, ids, np.array([0, len(ids)])
-
-    def counts(self, column: pa.Array) -> np.ndarray:
-        return np.array([len(x[2]) for x in self.texts(column)], np.int64)
+    return max(end_id, *Tokenizer.from_str(config).get_vocab().values()) + 1
 
 
 #: The encoder of this worker process: tasks that follow on find it warm. Holds one tokenizer.
@@ -217,7 +190,7 @@ def worker_encoder(config: str) -> PieceEncoder | WholeTexts:
 def write_sequences(documents: DataFrame, config: str, folder: str, end_id: int, length: int = LENGTH, per_batch: int = PER_BATCH, shards: int | None = None) -> DataFrame:
     """A plan whose rows list the shards it writes to `folder`, a URI of the shared file system. `config`: the tokenizer
     file's JSON text. `shards`: at most so many; else as many as Spark's shuffle partitions."""
-    shared = documents.sparkSession.sparkContext.broadcast(config)
+    shared, n_ids = documents.sparkSession.sparkContext.broadcast(config), vocabulary_size(config, end_id)
 
     def run(batches):
         fs, root = file_system(folder)
@@ -228,9 +201,9 @@ def write_sequences(documents: DataFrame, config: str, folder: str, end_id: int,
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     path = f"{root}/{uuid.uuid4().hex}"
-                    writer = ShardWriter(fs, path, length, per_batch)
+                    writer = ShardWriter(fs, path, length, per_batch, n_ids, end_id)
                 for k in range(i, j):
-                    writer.add(ids_of[k], ids[at[k - i] : at[k - i + 1]], end_id)
+                    writer.add(ids_of[k], ids[at[k - i] : at[k - i + 1]])
         if writer is not None:
             sequences = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "docs": [writer.docs], "tokens": [writer.tokens], "sequences": [sequences]})
@@ -249,8 +222,8 @@ def with_starts(listing: DataFrame) -> DataFrame:
 def read_sequences(listing: DataFrame, folder: str, ids: bool = False) -> DataFrame:
     """Documents of the shards listed: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (and ids).
 
-    Every document is read from the files: its entry in `docs`, then its ids by ranges. A file whose masks don't end a
-    document where `docs` says so raises.
+    Every document is read from the files: its entry in `docs`, then its ids by ranges. The checksum is of 32-bit
+    little-endian ids, whatever the file's. A document that doesn't end with the file's end id raises.
     """
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if ids else [])
 
@@ -263,12 +236,12 @@ def read_sequences(listing: DataFrame, folder: str, ids: bool = False) -> DataFr
                     for docs in pa.ipc.open_stream(g):
                         held = []
                         for doc_id, start, n in zip(*(c.to_pylist() for c in docs.columns), strict=True):
-                            crc, parts, mark = 0, [], None
-                            for part, mask in sequences.run(start, n):
-                                crc, mark = zlib.crc32(part, crc), mask[-1]
+                            crc, parts, last = 0, [], None
+                            for part in sequences.run(start, n):
+                                crc, last = zlib.crc32(part.astype("<u4"), crc), part[-1]
                                 if ids:
                                     parts.append(part.astype(np.int32))
-                            if mark != 2:
+                            if last != sequences.end_id:
                                 raise ValueError(f"{path}: a document does not end at {start + n}")
                             held.append((doc_id, before + start, n, crc) + ((np.concatenate(parts),) if ids else ()))
                             if ids and len(held) == 64:
