@@ -3,11 +3,13 @@
 Two tiers. A minimal perfect hash over the vocabulary (every slot used, one probe, one comparison of bytes)
 resolves pre-tokens that are tokens as a whole. Misses are merged: bytes are linked in a list and a heap
 gives the adjacent pair of least rank, so a pre-token of n bytes takes O(n log n). Each worker remembers the
-ids of short pre-tokens in a table of bounded size.
+ids of short pre-tokens in a table of bounded size. Texts whose pattern is the byte-level one are cut into pieces first
+(`engram.llm.pieces`), so each distinct piece of a chunk of texts is looked up once. Letters and numbers are what the
+libraries' Unicode has as such.
 
 The rank file is read on the driver and broadcast (50 thousand entries, under 2 MB). Nothing is shuffled.
 Nulls are empty texts: no ids, the digests of no bytes. Very long texts are encoded whole, one at a time; a pre-token
-beyond `MEMO_LETTERS` isn't remembered. Of pairs that tie in rank the leftmost merges first. Repeated rows each get their
+beyond `MEMO_LETTERS` isn't remembered for itself. Of pairs that tie in rank the leftmost merges first. Repeated rows each get their
 result; other columns are ignored; an empty table gives no rows.
 """
 
@@ -17,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.pieces import BYTE_LEVEL, PieceEncoder, WholeTexts, bounded
+
 MEMO_ENTRIES = 600_000
 MEMO_LETTERS = 48
 _STEP, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
@@ -146,31 +151,50 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Pre-token -> its ids as packed little-endian 32-bit integers; remembers short ones."""
+    """Pre-token -> its ids; remembers short ones."""
 
     def __init__(self, vocabulary: Vocabulary, entries: int = MEMO_ENTRIES) -> None:
         super().__init__()
         self.v, self.entries = vocabulary, entries
-        self.find = regex.compile(vocabulary.pattern).findall
-        self.bytes_of: list[bytes] = [b""] * (max(vocabulary.ranks.values(), default=-1) + 1)
+        self.find = regex.compile(bounded(vocabulary.pattern)).findall
+        self.pieces = (PieceEncoder if vocabulary.pattern == BYTE_LEVEL else WholeTexts)(self._all)
+        tokens = [b""] * (max(vocabulary.ranks.values(), default=-1) + 1)
         for token, rank in vocabulary.ranks.items():
-            self.bytes_of[rank] = token
+            tokens[rank] = token
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        self.lengths = np.diff(self.ends, prepend=0)
 
-    def __missing__(self, token: str) -> bytes:
+    def __missing__(self, token: str) -> list[int]:
         raw = token.encode("utf-8", "replace")
         one = self.v.whole(raw)
-        packed = one.to_bytes(4, "little") if one is not None else np.array(merge(raw, self.v.ranks), "<u4").tobytes()
+        ids = [one] if one is not None else merge(raw, self.v.ranks)
         if len(token) <= MEMO_LETTERS:
             if len(self) >= self.entries:
                 self.clear()
-            self[token] = packed
-        return packed
+            self[token] = ids
+        return ids
+
+    def encode(self, text: str | None) -> list[int]:
+        return [i for token in self.find(text) for i in self[token]] if text else []
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text))) if text else b""
+    def _all(self, pieces: list[bytes]) -> list[list[int]]:
+        return [self.encode(p.decode("utf-8", "replace")) for p in pieces]
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, as 32-bit little-endian numbers."""
+        for i, j, ids, at in self.pieces.texts(column):
+            ids = ids.astype("<u4")
+            yield from (ids[at[k] : at[k + 1]] for k in range(j - i))
+
+    def decode(self, ids: np.ndarray, step: int = 1 << 16) -> bytes:
+        out = []
+        for i in range(0, len(ids), step):  # so many at once, as a place for each byte is held
+            part = ids[i : i + step].astype(np.int64)
+            n = self.lengths[part]
+            stops = np.cumsum(n)
+            out.append(self.bytes[np.repeat(self.ends[part] - stops, n) + np.arange(stops[-1])].tobytes())
+        return b"".join(out)
 
 
 #: The encoder of this worker process: tasks that follow on find its memory warm. Holds one vocabulary.
@@ -188,56 +212,47 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(read_ranks(path), pattern)
 
 
-def _mapped(documents: DataFrame, vocabulary: Vocabulary, schema: str, row):
-    """mapInArrow over (doc_id, text); `row(encoder, text)` gives the other columns of a row."""
-    shared, key = documents.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
+def _mapped(frame: DataFrame, vocabulary: Vocabulary, schema: str, rows) -> DataFrame:
+    """mapInArrow over (doc_id, text or ids); `rows(encoder, column)` gives the other columns of each row."""
+    shared, key = frame.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def run(batches):
-        encoder, kinds = _encoder(key, shared.value), None
+        encoder, fields = _encoder(key, shared.value), [c.split() for c in schema.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = list(zip(*(row(encoder, x.as_py()) for x in part.column(1)), strict=True))
-                kinds = kinds or _kinds(schema)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds[1:], strict=True))], names=[c.split()[0] for c in schema.split(", ")])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
+                out = zip(*rows(encoder, part.column(1)), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, _KINDS[k]) for c, (_, k) in zip(out, fields[1:], strict=True))], names=[name for name, _ in fields])
 
-def _kinds(schema: str) -> list[pa.DataType]:
-    known = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-    return [known[c.split()[1]] for c in schema.split(", ")]
+    return frame.select(F.col("doc_id").cast("long").alias("doc_id"), frame.columns[1]).mapInArrow(run, schema)
 
 
 def encode_texts(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, text -> doc_id, ids array<int>."""
-    return _mapped(documents, vocabulary, "doc_id long, ids array<int>", lambda e, text: (np.frombuffer(e.encode(text), "<i4"),))
+    return _mapped(documents.select("doc_id", "text"), vocabulary, "doc_id long, ids array<int>", lambda e, texts: ((ids.astype(np.int32),) for ids in e.texts(texts)))
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids array<int> -> doc_id, content binary."""
-    frame = encoded.select("doc_id", F.col("ids").alias("text"))
-    return _mapped(frame, vocabulary, "doc_id long, content binary", lambda e, ids: (e.decode(np.array(ids or [], "<u4").tobytes()),))
+    return _mapped(encoded.select("doc_id", "ids"), vocabulary, "doc_id long, content binary", lambda e, column: ((e.decode(np.array(ids.as_py() or [], np.int64)),) for ids in column))
 
 
-def round_trip(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Encodes, decodes the ids, and gives the digests of both."""
+def _digests(e: Encoder, ids: np.ndarray) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest()
 
-    def row(e: Encoder, text):
-        packed = e.encode(text)
-        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(e.decode(packed)).hexdigest()
 
-    return _mapped(documents, vocabulary, OUT, row)
+def round_trip(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Encodes, decodes the ids, and gives the digests of both."""
+    return _mapped(documents.select("doc_id", "text"), vocabulary, OUT, lambda e, texts: (_digests(e, ids) for ids in e.texts(texts)))
 
 
 def encoded_round_trip(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """As `round_trip`, with the ids: doc_id, ids, n_tokens and both digests."""
-
-    def row(e: Encoder, text):
-        packed = e.encode(text)
-        return np.frombuffer(packed, "<i4"), len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(e.decode(packed)).hexdigest()
-
-    return _mapped(documents, vocabulary, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    schema = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _mapped(documents.select("doc_id", "text"), vocabulary, schema, lambda e, texts: ((ids.astype(np.int32), *_digests(e, ids)) for ids in e.texts(texts)))
 
 
 def production_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:
