@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram import schema as S
+from engram.functions.frames import kept
 from engram.operators import analysis, graph, ingest, jobs, packing, quality, retrieval, search, store, write
 from engram.sources import tables as T
 
@@ -35,7 +36,7 @@ class MemoryEngine:
 
     def ingest(self, messages: DataFrame, now) -> DataFrame:
         """Gives the rows that could not be read."""
-        self.tables, dead = write.ingest_batch(self.tables, messages, now)
+        self.tables, dead = write.ingest_batch(self.tables, messages, now, self.embedder)
         return dead
 
     def promote(self, ids: DataFrame, now) -> DataFrame:
@@ -90,9 +91,18 @@ class MemoryEngine:
         return graph.snapshots(self.tables.nodes, self.tables.edges, valid)
 
     def retrieve(self, queries: DataFrame, now, **how) -> DataFrame:
-        """queries: (query_id, query, user_id) and maybe time_from, time_to, embedding -> ranked candidates."""
+        """queries: (query_id, query, user_id) and maybe time_from, time_to, embedding -> ranked candidates. The request is
+        noted among the operations."""
         q = queries if "embedding" in queries.columns else search.embed(queries, "query", self.embedder)
-        return retrieval.retrieve(self.tables.nodes, self.tables.edges, self.tables.vectors, self._documents(), analysis.analyze(q, now), now, self.weights, self.packing, **how)
+        out = kept(retrieval.retrieve(self.tables.nodes, self.tables.edges, self.tables.vectors, self._documents(), analysis.analyze(q, now), now, self.weights, self.packing, **how))
+        noted = retrieval.retrieval_log(out, now, weights=self.weights.version(), scopes=",".join(how.get("scopes") or []) or None, mode=how.get("mode", "default"))
+        self.tables = replace(self.tables, operations=self.tables.operations.unionByName(T.migrate(noted, S.OPERATIONS)))
+        return out
+
+    def hints(self, queries: DataFrame, now, scopes: list[str]) -> DataFrame:
+        """The best candidates outside these scopes."""
+        q = queries if "embedding" in queries.columns else search.embed(queries, "query", self.embedder)
+        return retrieval.hints(self.tables.nodes, self.tables.edges, self.tables.vectors, self._documents(), analysis.analyze(q, now), now, scopes, self.weights, self.packing)
 
     def _documents(self) -> DataFrame:
         if self.tables.documents is not None:

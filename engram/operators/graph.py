@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
-from engram.functions.frames import kept, small
+from engram.functions.frames import kept
+from engram.operators import match
 
 
-def both_ways(edges: DataFrame, edge_types: list[str] | None = None) -> DataFrame:
+def both_ways(edges: DataFrame, edge_types: list[str] | None = None, once: bool = True) -> DataFrame:
+    """(a, b) for every edge from either end; `once`: each but once."""
     e = edges.where(F.col("edge_type").isin(edge_types)) if edge_types else edges
-    return e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(e.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).distinct()
+    out = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(e.select(F.col("target_id").alias("a"), F.col("source_id").alias("b")))
+    return out.distinct() if once else out
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: list[str] | None = None) -> DataFrame:
     """seeds: (seed) -> (seed, node_id, hop): the least number of edges to every node within reach, seeds left out.
 
-    Every frontier is computed once and joined to links that are made once; the walk ends when a frontier is empty.
+    Every frontier is computed once; the walk ends when one is empty. Edges are met where they lie (a small frontier is sent to
+    them), so nothing is made of edges that no frontier touches.
     """
-    links = kept(both_ways(edges, edge_types))
+    links = both_ways(edges, edge_types, False)
     seen = seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("hop"))
     front, out = seen, None
     for hop in range(1, max_hops + 1):
@@ -43,42 +47,76 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops:
     return out.where(F.col("confidence") >= min_confidence) if min_confidence is not None else out
 
 
+_PAIR = ["source", "target"]
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10, edge_types=None) -> DataFrame:
-    """pairs: (source, target) -> the least path among shortest ones, as an array; unreachable pairs are absent.
+    """pairs: (source, target) -> (source, target, path, hops): the least among the shortest paths, as an array; unreachable pairs
+    are absent.
 
-    Level by level from every source; a pair leaves the frontier once its target is met, and the walk ends when no pair is left.
+    From both ends: in each step the side with fewer rows goes one level on, and rows carry nodes, not paths. A pair whose sides
+    meet leaves both; one that has come to an end on a side is given up. Paths are made once a pair is met, from its levels.
     """
     links = kept(both_ways(edges, edge_types))
-    front = pairs.select("source", "target", F.col("source").alias("node_id"), F.array("source").alias("path"))
-    seen, met = front.select("source", "target", "node_id"), front.where("node_id = target")
+    todo = pairs.select(*_PAIR).distinct()
+    found = todo.where("source = target").select(*_PAIR, F.array("source").alias("path"))
+    ahead, back = ([kept(todo.where("source <> target").select(*_PAIR, F.col(end).alias("node_id")))] for end in _PAIR)
     for _ in range(max_hops):
-        front = front.where("node_id <> target")
-        step = front.join(links, F.col("node_id") == F.col("a")).select("source", "target", F.col("b").alias("node_id"), F.concat("path", F.array("b")).alias("path"))
-        step = kept(step.groupBy("source", "target", "node_id").agg(F.min("path").alias("path")).join(seen, ["source", "target", "node_id"], "left_anti"))
-        here = step.where("node_id = target")
-        met, seen = met.unionByName(here), seen.unionByName(step.select("source", "target", "node_id"))
-        front = step.join(here.select("source", "target"), ["source", "target"], "left_anti")
-        if front.isEmpty():
+        n, m = ahead[-1].count(), back[-1].count()
+        if not n or not m:
             break
-    return met.select("source", "target", "path", (F.size("path") - 1).alias("hops"))
+        side, other = (ahead, back) if n <= m else (back, ahead)
+        step = side[-1].join(links, F.col("node_id") == F.col("a")).select(*_PAIR, F.col("b").alias("node_id")).distinct()
+        for level in side[-2:]:  # links go both ways, so a step leads one level on, nowhere, or one back
+            step = step.join(level, [*_PAIR, "node_id"], "left_anti")
+        step = kept(step)
+        met = kept(step.join(other[-1], [*_PAIR, "node_id"], "left_semi"))
+        side.append(step)
+        if not met.isEmpty():
+            found = found.unionByName(kept(_least_paths(met, ahead, back, links)))
+        goes_on = step.select(*_PAIR).distinct().join(met.select(*_PAIR).distinct(), _PAIR, "left_anti").join(other[-1].select(*_PAIR).distinct(), _PAIR, "left_semi")
+        side[-1], other[-1] = (kept(x.join(goes_on, _PAIR, "left_semi")) for x in (step, other[-1]))
+    return found.select(*_PAIR, "path", (F.size("path") - 1).alias("hops"))
+
+
+def _least_paths(met: DataFrame, ahead: list[DataFrame], back: list[DataFrame], links: DataFrame) -> DataFrame:
+    """Of pairs whose last levels share the nodes `met`: what lies on a shortest path, level by level, then the least walk there."""
+    i, hops = len(ahead) - 1, len(ahead) + len(back) - 2
+    beside = lambda x: x.join(links, F.col("node_id") == F.col("a")).select(*_PAIR, F.col("b").alias("node_id")).distinct()
+    on = {i: met}
+    for n in range(i, 0, -1):
+        on[n - 1] = kept(beside(on[n]).join(ahead[n - 1], [*_PAIR, "node_id"], "left_semi"))
+    for n in range(i, hops):
+        on[n + 1] = kept(beside(on[n]).join(back[hops - n - 1], [*_PAIR, "node_id"], "left_semi"))
+    walk = met.select(*_PAIR).distinct().withColumns({"at": F.col("source"), "path": F.array("source")})
+    for n in range(1, hops + 1):
+        there = on[n].withColumnRenamed("node_id", "b")
+        walk = walk.join(links, F.col("at") == F.col("a")).join(there, [*_PAIR, "b"]).groupBy(*_PAIR, "path").agg(F.min("b").alias("at"))
+        walk = walk.select(*_PAIR, "at", F.concat("path", F.array("at")).alias("path"))
+    return walk.select(*_PAIR, "path")
 
 
 def supersedence_chain(edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_steps: int = 100) -> DataFrame:
     """seeds: (seed) -> (seed, step, node_id). Forward goes to what superseded, backward to what was superseded; the
-    least neighbour is taken where there are several, and a chain ends at a node it has met before."""
+    least neighbour is taken where there are several, and a chain ends at a node it has met before.
+
+    Pointer doubling: each round doubles how far every node looks ahead, so 100 steps take seven rounds of two joins.
+    """
     e = edges.where("edge_type = 'supersedes'")
     here, there = ("target_id", "source_id") if direction == "forward" else ("source_id", "target_id")
-    link = kept(e.groupBy(F.col(here).alias("at")).agg(F.min(there).alias("to")))
-    front = seeds.select("seed", F.col("seed").alias("node_id"), F.array("seed").alias("path"))
-    out = front.select("seed", F.lit(0).alias("step"), "node_id")
-    for step in range(1, max_steps + 1):
-        front = front.join(link, F.col("node_id") == F.col("at")).where(~F.array_contains("path", F.col("to"))).select("seed", F.col("to").alias("node_id"), F.concat("path", F.array("to")).alias("path"))
-        if step % 4 == 0:
-            front = kept(front)
-            if front.isEmpty():
-                break
-        out = out.unionByName(front.select("seed", F.lit(step).alias("step"), "node_id"))
-    return out
+    jump = kept(e.groupBy(F.col(here).alias("at")).agg(F.min(there).alias("to")))  # 2^k steps on, after k rounds
+    out, reach = seeds.select("seed", F.lit(0).alias("step"), F.col("seed").alias("node_id")), 1
+    while reach <= max_steps:
+        far = out.join(jump, F.col("node_id") == F.col("at")).select("seed", (F.col("step") + reach).alias("step"), F.col("to").alias("node_id"))
+        out = kept(out.unionByName(far.where(F.col("step") <= max_steps)))
+        ahead = jump.select(F.col("at").alias("to"), F.col("to").alias("beyond"))
+        jump, reach = kept(jump.join(ahead, "to").select("at", F.col("beyond").alias("to"))), 2 * reach
+        if jump.isEmpty():
+            return out  # no chain is longer, so none comes back to where it was
+    # chains that go on may run in a circle: they end before the first node they have met
+    endless = jump.select(F.col("at").alias("seed"))
+    ended = out.join(endless, "seed", "left_anti")
+    return ended.unionByName(out.join(endless, "seed", "left_semi").groupBy("seed", "node_id").agg(F.min("step").alias("step")).select("seed", "step", "node_id"))
 
 
 def chain_report(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -108,10 +146,10 @@ def graph_candidates(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops:
 
 
 def entity_seeds(nodes: DataFrame, terms: DataFrame) -> DataFrame:
-    """terms: (query_id, term), a query's few names. Entities whose content holds a term, whatever its case."""
-    named = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.LIVE)).select("id", F.lower("content").alias("content"))
-    words = terms.select("query_id", F.lower("term").alias("term"))
-    return named.join(small(words, 10_000), F.col("content").contains(F.col("term"))).select("query_id", F.col("id").alias("seed")).distinct()
+    """terms: (query_id, term). Entities whose content holds a term, whatever its case; one pass over the entities."""
+    named = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.LIVE)).select("id", F.lower("content").alias("text"))
+    words = terms.select("query_id", F.lower("term").alias("pattern"))
+    return match.holding(named, words).join(words, "pattern").select("query_id", F.col("id").alias("seed")).distinct()
 
 
 #: Kinds of neighbours in a snapshot's summary and listing, with their headings there.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
+from engram.operators import match
 from engram.sources.tables import migrate
 
 EXTRACTION = "array<struct<subject:string,predicate:string,object:string>>"
@@ -36,7 +37,7 @@ def store(messages: DataFrame, now) -> DataFrame:
     profile = F.when(F.col("node_type") == "instruction", "slow").otherwise(X.lookup(S.EPISTEMIC_DECAY, F.col("epistemic_type"), "medium"))
     ttl = F.try_element_at(F.create_map(*[F.lit(x) for kv in S.TTL_DAYS.items() for x in kv]), F.col("node_type"))
     c = F.coalesce(given, prior)
-    out = df.withColumns({"confidence": c, "confidence_base": c, "salience": F.lit(0.5), "salience_base": F.lit(0.5), "decay_profile": profile, "ttl_days": ttl, "lifecycle_state": F.lit("tentative"), "created_at": X.at(now), "updated_at": X.at(now), "valid_from": X.at(now), "last_reinforced_at": X.at(now), "evidence_refs": F.array("id")})
+    out = df.withColumns({"confidence": c, "confidence_base": c, "salience": F.lit(0.5), "salience_base": F.lit(0.5), "decay_profile": profile, "ttl_days": ttl, "lifecycle_state": F.lit("tentative"), "created_at": X.at(now), "updated_at": X.at(now), "valid_from": X.at(now), "last_reinforced_at": X.at(now), "evidence_refs": F.col("evidence_refs") if "evidence_refs" in messages.columns else F.array("id")})
     return migrate(out, S.NODES)
 
 
@@ -94,13 +95,13 @@ def canonical_predicate(p: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in same.items() for x in kv]), p), p)
 
 
-def fact_conflicts(facts: DataFrame) -> DataFrame:
-    """facts: (id, user_id, subject, predicate, object, created_at, temporal_intent): each fact with the first later one of
-    the same subject and predicate class whose object differs, and what follows: contradict an assertion, else supersede.
+def fact_conflicts(facts: DataFrame, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+    """facts: (id, user_id, subject, predicate, object, temporal_intent and what `order` names): each fact with the first later
+    one of the same subject and predicate class whose object differs, and what follows: contradict an assertion, else supersede.
 
     Newest first, the start of the next run of equal objects is carried back over the run before it.
     """
-    w = Window.partitionBy("user_id", F.lower(F.trim("subject")), canonical_predicate(F.col("predicate"))).orderBy(F.desc("created_at"), F.desc("id"))
+    w = Window.partitionBy("user_id", F.lower(F.trim("subject")), canonical_predicate(F.col("predicate"))).orderBy(*map(F.desc, order))
     what = F.lower(F.trim("object"))
     later = F.struct(F.lag("id").over(w).alias("id"), F.lag("temporal_intent").over(w).alias("intent"))
     rows = facts.withColumn("turn", F.when((F.row_number().over(w) > 1) & ~what.eqNullSafe(F.lag(what).over(w)), later))
@@ -108,6 +109,22 @@ def fact_conflicts(facts: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("old_id"), F.col("next.id").alias("new_id"), F.when(F.col("next.intent") == "assertion", "contradict").otherwise("supersede").alias("action"))
 
 
+def facts_of(nodes: DataFrame) -> DataFrame:
+    """Active facts among nodes, as `fact_conflicts` takes them; `seen` orders those of one batch."""
+    told = F.from_json("metadata", "subject string, predicate string, object string, temporal_intent string").alias("f")
+    rows = nodes.where((F.col("node_type") == "fact") & F.col("lifecycle_state").isin(S.ACTIVE)).select("id", "user_id", "created_at", "event_time", F.try_element_at("evidence_refs", F.lit(1)).alias("seen"), told)
+    return rows.select("id", "user_id", "created_at", "event_time", "seen", "f.*").where("predicate IS NOT NULL")
+
+
+def new_conflicts(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """(old_id, new_id, action) of facts among `nodes` that a fact among `new` contradicts or replaces: of one batch in the order of
+    what they say of their time, then of their events. Only subjects and predicates that `new` speaks of are looked at."""
+    about = lambda f: f.withColumns({"about": F.lower(F.trim("subject")), "what": canonical_predicate(F.col("predicate"))})
+    told = about(facts_of(nodes)).join(about(facts_of(new)).select("user_id", "about", "what").distinct(), ["user_id", "about", "what"], "left_semi")
+    found = fact_conflicts(told, ("created_at", "event_time", "seen", "id"))
+    return found.join(new.select(F.col("id").alias("new_id")), "new_id", "left_semi").select("old_id", "new_id", "action")
+
+
 def materialise(extracted: DataFrame, nodes: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """Grounded extractions (event id, user_id, content, entities, facts, relationships) as new nodes and their edges:
     has_fact from subject to fact, and relationships between entities (of a kind without an edge type: relates_to)."""
@@ -117,10 +134,12 @@ def materialise(extracted: DataFrame, nodes: DataFrame, now) -> tuple[DataFrame,
     names = extracted.select("user_id", F.explode("entities").alias("name")).unionByName(extracted.select("user_id", F.explode(F.transform("facts", lambda f: f["subject"])).alias("name")))
     names = names.unionByName(links.select("user_id", F.explode(F.array("source", "target")).alias("name"))) if links is not None else names
     ents = upsert_entities(names, nodes)
-    facts = extracted.select(F.col("id").alias("event_id"), "user_id", F.explode("facts").alias("f")).select("event_id", "user_id", "f.*").withColumn("key", F.lower(F.trim("subject")))
+    when = F.col("timestamp") if "timestamp" in extracted.columns else F.lit(None).cast("timestamp_ntz").alias("timestamp")
+    facts = extracted.select(F.col("id").alias("event_id"), "user_id", when, F.explode("facts").alias("f")).select("event_id", "user_id", "timestamp", "f.*").withColumn("key", F.lower(F.trim("subject")))
+    facts = facts.withColumn("metadata", F.to_json(F.struct(*[c for c in ("subject", "predicate", "object", "temporal_intent") if c in facts.columns])))
     facts = facts.withColumn("content", F.concat_ws(" ", "subject", "predicate", "object")).withColumn("id", F.sha2(F.concat_ws("|", "event_id", "content"), 256)).dropDuplicates(["id"])
     entity = ents.where("is_new").select("id", "user_id", F.col("name").alias("content"), F.lit("entity").alias("node_type"), F.to_json(F.struct("entity_type")).alias("metadata"), F.lit(0.5).alias("confidence"))
-    new = store(entity, now).withColumn("decay_profile", F.lit("slow")).unionByName(store(facts.select("id", "user_id", "content", F.lit("fact").alias("node_type")), now))
+    new = store(entity, now).withColumn("decay_profile", F.lit("slow")).unionByName(store(facts.select("id", "user_id", "content", "metadata", F.col("timestamp").alias("event_time"), F.array("event_id").alias("evidence_refs"), F.lit("fact").alias("node_type")), now))
     by_key = ents.select("user_id", "key", F.col("id").alias("entity_id"))
     edges = _edge_rows(facts.join(by_key, ["user_id", "key"]), "entity_id", "id", "has_fact", now)
     if links is not None:
@@ -145,7 +164,9 @@ def knowledge_profiles(nodes: DataFrame, least: int = 3, budget_tokens: int = 50
     live = nodes.where(F.col("lifecycle_state").isin(S.ACTIVE)).select("id", "user_id", F.trim("content").alias("content"), F.coalesce("event_time", "created_at").alias("t"))
     names = live.select("user_id", F.explode(F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1))).alias("name")).where(~F.col("name").isin(S.NO_NAMES))
     often = names.groupBy("user_id", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    rows = live.join(often, "user_id").where(F.contains(F.lower("content"), F.lower("name")))
+    said = match.holding_own(live.select(F.col("user_id").alias("owner"), "id", F.lower("content").alias("text")), often.select(F.col("user_id").alias("owner"), F.lower("name").alias("pattern")))
+    named = often.withColumn("pattern", F.lower("name")).join(said.withColumnRenamed("owner", "user_id"), ["user_id", "pattern"]).select("user_id", "name", "id")
+    rows = live.join(named, ["user_id", "id"])
     key = F.substring(F.lower("content"), 1, 80)
     rows = rows.groupBy("user_id", "name", key.alias("key")).agg(F.min(F.struct("t", "id", "content")).alias("x"), F.count("*").alias("c"))
     w = Window.partitionBy("user_id", "name")

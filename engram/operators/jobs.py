@@ -42,38 +42,39 @@ class Result:
     output: object = None
 
 
-def _promote(t, now, c):
-    ids = organizer.promotable(t.nodes, now, c.promote_days, c.promote_evidence)
-    return replace(t, nodes=store.promote(t.nodes, ids, now).nodes), ids.withColumn("action", F.lit("promote")), None
+# What a job does to a row depends on that row alone, so each is a projection, and several in a row are one pass.
+
 
+def _acted(t, action, now):
+    """`action`: promote, archive, deprecate or null, of each node."""
+    state = F.when(action == "promote", "stable").when(action == "archive", "archived").when(action == "deprecate", "deprecated")
+    changed = t.nodes.select("id", action.alias("action")).where("action IS NOT NULL")
+    return replace(t, nodes=store.transition_where(t.nodes, state, now)), changed, None
 
-def _sweep(t, actions, now):
-    act = kept(actions.select("id", "action"))
-    nodes = store.archive(t.nodes, act.where("action = 'archive'"), now).nodes
-    return replace(t, nodes=store.deprecate(nodes, act.where("action = 'deprecate'"), now).nodes), act, None
+
+def _promote(t, now, c):
+    return _acted(t, F.when(organizer.promotes(now, c.promote_days, c.promote_evidence), "promote"), now)
 
 
 def _decay_sweep(t, now, c):
-    return _sweep(t, organizer.sweep_actions(t.nodes, now), now)
+    return _acted(t, organizer.sweep_action(now), now)
 
 
 def _archive(t, now, c):
-    faded = organizer.sweep_actions(t.nodes, now).where(F.col("salience") < c.archive_salience)
-    return _sweep(t, faded.withColumn("action", F.lit("archive")), now)
+    return _acted(t, F.when(organizer.faded(now, c.archive_salience), "archive"), now)
 
 
 def _tombstone_sweep(t, now, c):
-    gone = kept(organizer.expired(t.nodes, now))
-    ops = store._operation_rows(gone, "TOMBSTONE_SWEEP", "id", F.to_json(F.struct("expired_at")), now)
-    return replace(t, nodes=store.archive(t.nodes, gone.select("id"), now).nodes, operations=t.operations.unionByName(ops)), gone.select("id", F.lit("archive").alias("action")), None
+    ops = store._operation_rows(organizer.expired(t.nodes, now), "TOMBSTONE_SWEEP", "id", F.to_json(F.struct("expired_at")), now)
+    after, changed, _ = _acted(t, F.when(organizer.has_expired(now), "archive"), now)
+    return replace(after, operations=t.operations.unionByName(ops)), changed, None
 
 
 def _deduplicate(t, now, c):
     pairs = organizer.exact_duplicates(t.nodes).select(F.col("canonical_id").alias("a_id"), F.col("id").alias("b_id"))
     if t.vectors is not None:
         active = t.nodes.where(F.col("lifecycle_state").isin(S.ACTIVE)).select(F.col("id").alias("node_id"))
-        near = organizer.near_duplicates(t.vectors.join(active, "node_id", "left_semi"), c.duplicate_similarity)
-        pairs = pairs.unionByName(near.select("a_id", "b_id"))
+        pairs = pairs.unionByName(organizer.near_links(t.vectors.join(active, "node_id", "left_semi"), c.duplicate_similarity))
     nodes, edges = organizer.merge_duplicates(t.nodes, t.edges, pairs, now)
     return replace(t, nodes=nodes, edges=edges), _superseded(t.nodes, nodes), None
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram import schema as S
@@ -12,23 +11,49 @@ from engram.functions.frames import kept
 from engram.operators.search import similar_pairs
 
 
-def promotable(nodes: DataFrame, now, min_days: float = 7.0, min_evidence: int = 1) -> DataFrame:
+def promotes(now, min_days: float = 7.0, min_evidence: int = 1) -> Column:
     old = X.days_between(F.col("created_at"), X.at(now)) >= min_days
-    return nodes.where((F.col("lifecycle_state") == "tentative") & old & (F.size("evidence_refs") >= min_evidence)).select("id")
+    return (F.col("lifecycle_state") == "tentative") & old & (F.size("evidence_refs") >= min_evidence)
+
+
+def promotable(nodes: DataFrame, now, min_days: float = 7.0, min_evidence: int = 1) -> DataFrame:
+    return nodes.where(promotes(now, min_days, min_evidence)).select("id")
+
+
+def _swept() -> Column:
+    """Whether sweeps look at a node at all: live, not pinned; entities and facts only with a TTL."""
+    return F.col("lifecycle_state").isin(S.LIVE) & ~F.col("pinned") & (~F.col("node_type").isin("entity", "fact") | F.col("ttl_days").isNotNull())
+
+
+def sweep_action(now) -> Column:
+    """archive or deprecate by decayed salience and confidence; null for neither."""
+    salience, confidence = X.effective_salience(now, pinned_adds_boost=True), X.effective_confidence(now, observed_inclusive=True)
+    low = F.when(salience < 0.05, "archive").when(confidence < 0.15, F.when(F.col("lifecycle_state") == "contested", "deprecate").otherwise("archive"))
+    return F.when(_swept(), low.when((salience < 0.10) & (confidence < 0.40), "archive"))
+
+
+def faded(now, below: float) -> Column:
+    """Whether the archive job takes a node: swept, and of a salience below its bound."""
+    return sweep_action(now).isNotNull() & (X.effective_salience(now, pinned_adds_boost=True) < below)
 
 
 def sweep_actions(nodes: DataFrame, now) -> DataFrame:
-    """(id, action): archive or deprecate by decayed salience and confidence; entities and facts only with a TTL."""
-    live = nodes.where(F.col("lifecycle_state").isin(S.LIVE) & ~F.col("pinned")).where(~F.col("node_type").isin("entity", "fact") | F.col("ttl_days").isNotNull())
-    rows = live.withColumns({"sal": X.effective_salience(now, pinned_adds_boost=True), "conf": X.effective_confidence(now, observed_inclusive=True)})
-    action = F.when(F.col("sal") < 0.05, "archive").when(F.col("conf") < 0.15, F.when(F.col("lifecycle_state") == "contested", "deprecate").otherwise("archive")).when((F.col("sal") < 0.10) & (F.col("conf") < 0.40), "archive")
-    return rows.select("id", action.alias("action"), F.round("sal", 8).alias("salience"), F.round("conf", 8).alias("confidence")).where("action IS NOT NULL")
+    """(id, action, salience, confidence) of what a sweep changes."""
+    rows = nodes.where(_swept()).withColumn("action", sweep_action(now)).where("action IS NOT NULL")
+    return rows.select("id", "action", F.round(X.effective_salience(now, pinned_adds_boost=True), 8).alias("salience"), F.round(X.effective_confidence(now, observed_inclusive=True), 8).alias("confidence"))
+
+
+def expiry() -> Column:
+    return F.col("created_at") + F.make_dt_interval(F.col("ttl_days"))
+
+
+def has_expired(now) -> Column:
+    return F.coalesce(F.col("ttl_days").isNotNull() & ~F.col("pinned") & (F.col("lifecycle_state") != "archived") & (expiry() < X.at(now)), F.lit(False))
 
 
 def expired(nodes: DataFrame, now) -> DataFrame:
     """Unpinned nodes whose creation and TTL lie before now."""
-    end = F.col("created_at") + F.make_dt_interval(F.col("ttl_days"))
-    return nodes.where(F.col("ttl_days").isNotNull() & ~F.col("pinned") & (F.col("lifecycle_state") != "archived") & (end < X.at(now))).select("id", end.alias("expired_at"))
+    return nodes.where(has_expired(now)).select("id", expiry().alias("expired_at"))
 
 
 def exact_duplicates(nodes: DataFrame) -> DataFrame:
@@ -43,6 +68,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
     return similar_pairs(vectors, threshold)
 
 
+def near_links(vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(a_id, b_id): pairs that connect what `near_duplicates` connects. Equal vectors of a user are linked to the one of least id
+    and only that one is compared, so n copies give n - 1 pairs."""
+    rows = vectors.select("node_id", "user_id", "embedding")
+    first = kept(rows.groupBy("user_id", "embedding").agg(F.min("node_id").alias("rep"), F.count("*").alias("n")))
+    copies = rows.join(first.where("n > 1"), ["user_id", "embedding"]).where("node_id <> rep").select(F.col("rep").alias("a_id"), F.col("node_id").alias("b_id"))
+    return similar_pairs(first.select(F.col("rep").alias("node_id"), "user_id", "embedding"), threshold).select("a_id", "b_id").unionByName(copies)
+
+
 def canonical(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """groups: (group_id, id) -> the canonical node of each: surest, most evidence, oldest, least id."""
     rows = groups.join(nodes.select("id", "confidence_base", "evidence_refs", "created_at"), "id")
@@ -185,25 +219,39 @@ def new_periods(summaries: DataFrame, existing: DataFrame) -> DataFrame:
 
 def greedy_clusters(vectors: DataFrame, threshold: float = 0.80, least: int = 3) -> DataFrame:
     """(node_id, user_id, embedding) -> (user_id, leader, node_id). In id order, a free node takes all free ones that are
-    similar to it. The order matters, so a user is folded in one task; only similar pairs are shuffled, not vectors."""
-    pairs = similar_pairs(vectors, threshold).join(vectors.select(F.col("node_id").alias("a_id"), "user_id"), "a_id")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(pdf["a_id"], pdf["b_id"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        taken, out = set(), []
-        for a in sorted(near):
-            if a in taken:
-                continue
-            own = [a, *sorted(b for b in near[a] if b not in taken)]
-            if len(own) >= least:
-                taken.update(own)
-                out += [(pdf["user_id"].iloc[0], a, b) for b in own]
-        return pd.DataFrame(out, columns=["user_id", "leader", "node_id"])
-
-    return pairs.groupBy("user_id").applyInPandas(fold, "user_id string, leader string, node_id string")
+    similar to it, if they are `least` with it."""
+    owner = vectors.select(F.col("node_id").alias("leader"), "user_id")
+    return greedy_groups(similar_pairs(vectors, threshold), least).join(owner, "leader").select("user_id", "leader", "node_id")
+
+
+def greedy_groups(pairs: DataFrame, least: int = 3) -> DataFrame:
+    """(a_id, b_id) -> (leader, node_id): what going through the nodes in id order gives, where a free node with `least` - 1 free
+    neighbours or more takes them all.
+
+    In rounds: a node decides once no undecided node before it is within two steps, as only such a one could take it or its
+    neighbours. Those that decide in one round share no neighbour, so their order doesn't matter. What is taken leaves the graph.
+    `least` is 2 or more. A round is four joins on node ids; there are about as many as the logarithm of the nodes when ids are in no order of
+    likeness (and as many as the longest run of rising ids when they are).
+    """
+    both = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(pairs.select(F.col("b_id").alias("a"), F.col("a_id").alias("b")))
+    links = kept(both.where("a <> b").distinct())
+    waiting = kept(links.select(F.col("a").alias("id")).distinct())  # free and undecided
+    found = None
+    while not waiting.isEmpty():
+        # the least undecided node within one step, then within two
+        one = links.join(waiting.select(F.col("id").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
+        own = links.select(F.col("a").alias("id")).distinct().join(waiting.withColumn("self", F.col("id")), "id", "left").join(one, "id", "left").select("id", F.least("self", "m").alias("m"))
+        two = links.join(own.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("m2"))
+        now = kept(waiting.join(two, "id").where(F.col("m2") >= F.col("id")).select("id"))
+        groups = links.join(now.select(F.col("id").alias("a")), "a", "left_semi")
+        leaders = groups.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select("a")
+        taken = kept(groups.join(leaders, "a", "left_semi").select(F.col("a").alias("leader"), F.col("b").alias("node_id")).unionByName(leaders.select(F.col("a").alias("leader"), F.col("a").alias("node_id"))))
+        found = taken if found is None else found.unionByName(taken)
+        gone = taken.select(F.col("node_id").alias("id"))
+        links = kept(links.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"))
+        # one without free neighbours left can lead nothing
+        waiting = kept(waiting.join(now, "id", "left_anti").join(gone, "id", "left_anti").join(links.select(F.col("a").alias("id")), "id", "left_semi"))
+    return found if found is not None else pairs.select(F.col("a_id").alias("leader"), F.col("b_id").alias("node_id")).where("false")
 
 
 def cluster_summaries(clusters: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.operators import match
+
 
 def seeded_hv(name: Column, dim: int = 256) -> Column:
     """A vector of +1 and -1 that a name determines."""
@@ -113,8 +115,11 @@ def phrase_supersedence(notes: DataFrame) -> DataFrame:
     """notes: (id, user_id, day, content). A `from A to B` notice makes older notes of A old, unless they hold B."""
     found = r"(?i)\b(?:migrated|switched|moved|changed)\s+from\s+(.+?)\s+to\s+([\w .+-]+)"
     told = notes.select(F.col("id").alias("new_id"), "user_id", F.col("day").alias("new_day"), F.lower(F.regexp_extract("content", found, 1)).alias("was"), F.lower(F.trim(F.regexp_extract("content", found, 2))).alias("now")).where("was <> ''")
-    old = notes.select(F.col("id").alias("old_id"), "user_id", "day", F.lower("content").alias("text")).join(told, "user_id")
-    return old.where("day < new_day AND contains(text, was) AND NOT contains(text, now)").select("old_id", "new_id")
+    texts = notes.select(F.col("user_id").alias("owner"), "id", F.lower("content").alias("text"))
+    held = match.holding_own(texts, told.select(F.col("user_id").alias("owner"), F.col("was").alias("pattern")))
+    named = held.select(F.col("owner").alias("user_id"), F.col("id").alias("old_id"), F.col("pattern").alias("was")).join(told, ["user_id", "was"])
+    old = notes.select(F.col("id").alias("old_id"), "user_id", "day", F.lower("content").alias("text"))
+    return named.join(old, ["user_id", "old_id"]).where("day < new_day AND NOT contains(text, now)").select("old_id", "new_id")
 
 
 def narratives(notes: DataFrame) -> DataFrame:
@@ -122,3 +127,68 @@ def narratives(notes: DataFrame) -> DataFrame:
     last = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("day"), F.desc("id")))
     rows = notes.withColumn("n", last)
     return rows.groupBy("topic").agg(F.max(F.when(F.col("n") == 1, F.col("content"))).alias("current_state"), F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("day", "id", "content")))), lambda x: x["content"]).alias("history"))
+
+
+# --- fixed values: signals, patterns and words that must be as published for equal narratives
+
+MIGRATION_SIGNALS = ["migrated", "switched", "moved", "replaced", "no longer", "deprecated", "went back", "changed from", "migration"]
+TRANSITION_TAGS = ["migration", "deprecated", "legacy", "removed"]
+TOPIC_PREFIX = {"editor": "My primary", "preference": "My", "database": "Our", "api": "Our", "infrastructure": "Our", "testing": "Our", "team": "Our"}
+FROM_TO = (
+    r"(?i)(?:migrated?|migration|switched|moved|replaced|changed|completed\s+\w+\s+migration)\s+(?:\w+\s+)*?from\s+([\w\s]+?)\s+to\s+([\w\s]+?)"
+    r"(?:\s+(?:for|using|on|with)\s+(.*?))?(?:\.|,|$)"
+)
+BACK_TO = r"(?i)(?:went\s+back\s+to|returned\s+to)\s+([\w\s]+?)(?:\s+from\s+([\w\s]+?))?(?:\.|,|$)"
+DEPRECATED = r"(?i)([\w\s]+?)\s+is\s+(?:no\s+longer|deprecated)"
+BENEFIT = r"(?i)for\s+(better\s+.*?|improved\s+.*?|faster\s+.*?)(?:\.|,|$)"
+
+
+def changes(notes: DataFrame) -> DataFrame:
+    """notes: (topic, id, day, content, tags) with what each says of a change: kind (migration, return, deprecation, or null for a
+    plain fact), old and new subject, reason. Row by row; what a deprecation leaves in place is for `narrative_entries`."""
+    c = F.col("content")
+    part = lambda pattern, i: F.nullif(F.trim(F.regexp_extract(c, pattern, i)), F.lit(""))
+    lower_tags = F.transform("tags", lambda t: F.lower(t))
+    own = F.try_element_at(F.filter("tags", lambda t: (F.lower(t) != F.col("topic")) & ~F.lower(t).isin(TRANSITION_TAGS)), F.lit(1))
+    moved = F.arrays_overlap(lower_tags, F.array(*map(F.lit, TRANSITION_TAGS)))
+    for sign in MIGRATION_SIGNALS:
+        moved = moved | F.lower(c).contains(sign)
+    back, there, gone = part(BACK_TO, 1), part(FROM_TO, 2), part(DEPRECATED, 1)
+    kind = F.when(back.isNotNull(), "return").when(there.isNotNull(), "migration").when(gone.isNotNull(), "deprecation").otherwise("migration")
+    subject = F.coalesce(F.when(back.isNotNull(), back).otherwise(there), own)
+    reason = F.coalesce(F.when(back.isNull() & there.isNotNull(), part(FROM_TO, 3)), F.rtrim(part(BENEFIT, 1), F.lit(".")))
+    old = F.when(back.isNotNull(), part(BACK_TO, 2)).when(there.isNotNull(), part(FROM_TO, 1)).otherwise(gone)
+    told = F.coalesce(moved, F.lit(False)) & F.col("topic").isNotNull() & subject.isNotNull()
+    return notes.withColumns({"kind": F.when(told, kind), "old_subject": F.when(told, old), "new_subject": F.when(told, subject), "reason": F.when(told, reason), "own": own})
+
+
+def settled(topic: Column, kind: Column, subject: Column, reason: Column) -> Column:
+    """The sentence that a change leaves as settled."""
+    prefix = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOPIC_PREFIX.items() for x in kv]), topic), F.lit("Our"))
+    clean = F.rtrim(F.trim(reason), F.lit(".,;: "))
+    return F.concat(prefix, F.lit(" "), topic, F.lit(" is "), subject, F.when((kind != "return") & clean.isNotNull() & (clean != ""), F.concat(F.lit(" with "), clean)).otherwise(""), F.lit("."))
+
+
+def narrative_entries(notes: DataFrame) -> DataFrame:
+    """notes: (topic, id, day, content, tags) -> (topic, no, id, day, summary, subject, old_state, new_state): each topic's history.
+
+    In order of day and id, a topic's first note opens it, every change after that settles a new state, and a deprecation of a
+    topic that is there changes nothing, as the topic has its subject already. The first note comes from an aggregate; only
+    changes, not all notes of a topic, are put in order.
+    """
+    rows = changes(notes.where("topic IS NOT NULL"))
+    first = rows.groupBy("topic").agg(F.min(F.struct("day", "id", "content", "kind", "new_subject", "own")).alias("f")).select("topic", "f.*")
+    opened = first.select("topic", F.lit(0).alias("step"), "id", "day", F.coalesce("new_subject", "own", F.lit("unknown")).alias("subject"), F.when(F.col("kind").isNotNull(), F.concat(F.lit("Initial state: "), "new_subject")).otherwise(F.col("content")).alias("new_state"))
+    opened = opened.withColumn("summary", F.concat(F.lit("Initial: "), "subject"))
+    later = rows.where("kind IS NOT NULL").join(first.select("topic", F.col("id").alias("first_id")), "topic").where("kind <> 'deprecation' OR id = first_id")
+    summary = F.concat(F.initcap("kind"), F.lit(": "), F.coalesce("old_subject", F.lit("?")), F.lit(" → "), "new_subject")
+    updates = later.select("topic", F.lit(1).alias("step"), "id", "day", F.col("new_subject").alias("subject"), settled(F.col("topic"), F.col("kind"), F.col("new_subject"), F.col("reason")).alias("new_state"), summary.alias("summary"))
+    w = Window.partitionBy("topic").orderBy("day", "id", "step")
+    every = opened.unionByName(updates).withColumns({"no": F.row_number().over(w), "old_state": F.lag("new_state").over(w)})
+    return every.select("topic", "no", "id", "day", "summary", "subject", "old_state", "new_state")
+
+
+def narrative_sections(entries: DataFrame) -> DataFrame:
+    """(topic, current_state, current_subject, last_updated, entries) of each topic."""
+    last = entries.groupBy("topic").agg(F.max(F.struct("no", "new_state", "subject", "day")).alias("x"))
+    return last.select("topic", F.col("x.new_state").alias("current_state"), F.col("x.subject").alias("current_subject"), F.col("x.day").alias("last_updated"), F.col("x.no").cast("long").alias("entries"))

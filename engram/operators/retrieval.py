@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
@@ -167,25 +168,36 @@ def fan_out_terms(queries: DataFrame, most: int = 5) -> DataFrame:
 def fan_out(docs: DataFrame, requests: DataFrame, terms: int = 50, names: int = 20) -> DataFrame:
     """Further lexical hits (query_id, id, score), scores within 0 to 1 per term: of counting questions for each of
     their keywords and bigrams, of any question for each of its first three names."""
+    every = _further(requests, terms, names)
+    return _further_hits(search.bm25(docs, every.select(F.col("term_id").alias("query_id"), "query", "user_id"), max(terms, names)), every)
+
+
+def _further(requests: DataFrame, terms: int = 50, names: int = 20) -> DataFrame:
+    """(term_id, query_id, user_id, query, k): what a question fans out to, and how many hits of each count."""
     asked = requests.select("query_id", "user_id")
     words = fan_out_terms(requests.where("is_aggregation")).select("query_id", F.concat(F.lit("w"), "no").alias("no"), "query", F.lit(terms).alias("k"))
     named = requests.select("query_id", F.posexplode(F.slice("entities", 1, 3)).alias("no", "query")).select("query_id", F.concat(F.lit("n"), "no").alias("no"), "query", F.lit(names).alias("k"))
-    every = words.unionByName(named).join(asked, "query_id").withColumn("term_id", F.concat_ws("|", "query_id", "no"))
-    hits = search.minmax(search.bm25(docs, every.select(F.col("term_id").alias("query_id"), "query", "user_id"), max(terms, names)))
+    return words.unionByName(named).join(asked, "query_id").withColumn("term_id", F.concat_ws("|", "query_id", "no"))
+
+
+def _further_hits(hits: DataFrame, every: DataFrame) -> DataFrame:
     of = every.select("term_id", F.col("query_id").alias("asked_id"), "k")
+    hits = search.minmax(hits)
     found = hits.join(of, hits.query_id == of.term_id).where("rn <= k").groupBy("asked_id", "node_id").agg(F.max("score").alias("score"))
     return found.select(F.col("asked_id").alias("query_id"), F.col("node_id").alias("id"), "score")
 
 
-def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, config: S.Packing = S.Packing(), scopes: list[str] | None = None) -> DataFrame:
+def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, config: S.Packing = S.Packing(), scopes: list[str] | None = None, few: bool = False) -> DataFrame:
     """Candidates of all four paths, merged and joined to their nodes: (query_id, id, scores, paths, node columns).
 
     requests: `analysis.analyze` rows with embedding and user_id (null: every user). Contested nodes are candidates too.
-    Counting questions look three times as deep, up to 2,000.
+    Counting questions look three times as deep, up to 2,000. `few`: the caller has counted the requests, and what comes of them
+    is small enough to be sent to the tables; otherwise sides are counted here.
     """
+    sent = F.broadcast if few else small
     live = nodes.where(F.col("lifecycle_state").isin(S.LIVE))
     live = live.where(F.col("scope").isin(scopes)) if scopes else live
-    asked = small(requests.select("query_id", F.col("user_id").alias("asker"), "is_aggregation"))
+    asked = sent(requests.select("query_id", F.col("user_id").alias("asker"), "is_aggregation"))
     deep = lambda k: F.when(F.col("is_aggregation"), min(k * config.aggregation_factor, config.aggregation_most)).otherwise(k)
     most = lambda k: min(k * config.aggregation_factor, config.aggregation_most)
     own = F.col("asker").isNull() | (F.col("user_id") == F.col("asker"))
@@ -196,9 +208,14 @@ def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataF
     vector = near.join(asked, "query_id").where(F.col("rn") <= deep(config.vector_k)).select("query_id", F.col("node_id").alias("id"), "score")
 
     d = docs.join(known.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    hits = search.bm25(d, requests.select("query_id", "query", "user_id"), most(config.lexical_k)).join(asked, "query_id").where(F.col("rn") <= deep(config.lexical_k))
+    # the questions and what they fan out to in one pass over the texts
+    further = _further(requests)
+    said = requests.select(F.concat(F.lit("q|"), "query_id").alias("query_id"), "query", "user_id").unionByName(further.select(F.concat(F.lit("t|"), "term_id").alias("query_id"), "query", "user_id"))
+    every = search.bm25(d, said, most(config.lexical_k), hint=sent)
+    of = lambda mark: every.where(F.col("query_id").startswith(mark)).withColumn("query_id", F.expr("substring(query_id, 3)"))
+    hits = of("q|").join(asked, "query_id").where(F.col("rn") <= deep(config.lexical_k))
     lexical = search.minmax(hits.select("query_id", "node_id", "score")).select("query_id", F.col("node_id").alias("id"), "score")
-    more = fan_out(d, requests)
+    more = _further_hits(of("t|"), further)
 
     terms = requests.select("query_id", F.explode("entities").alias("term"))
     seeds = graph.entity_seeds(live, terms).join(asked, "query_id").join(known.select(F.col("id").alias("seed"), "user_id"), "seed").where(own).select("query_id", "seed")
@@ -210,7 +227,7 @@ def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataF
     of_user, of_all = asked.where("asker IS NOT NULL").select("query_id", F.col("asker").alias("user_id")), asked.where("asker IS NULL").select("query_id")
     pins = pinned(live).select("id", "user_id")
     # a request without user has every pinned node as a candidate
-    pins = pins.join(small(of_user), "user_id").select("query_id", "id").unionByName(pins.join(small(of_all)).select("query_id", "id")).withColumn("score", F.lit(0.0))
+    pins = pins.join(sent(of_user), "user_id").select("query_id", "id").unionByName(pins.join(sent(of_all)).select("query_id", "id")).withColumn("score", F.lit(0.0))
 
     # each path is computed once, a few thousand rows a query
     first = kept(_tagged({"GRAPH": (by_graph, "graph_proximity"), "VECTOR": (vector, "semantic_score"), "LEXICAL": (lexical, "lexical_score"), "PINNED": (pins, "none")}))
@@ -219,16 +236,36 @@ def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataF
     return merged.join(live, "id")
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, now, weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), scopes: list[str] | None = None, mode: str = "default", knowledge_at=None) -> DataFrame:
-    """From analysed requests to ranked candidates: generation, bi-temporal and epistemic filters, scores, ranks."""
+FEW_REQUESTS = 10_000
+
+
+def retrieve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, now, weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), scopes: list[str] | None = None, mode: str = "default", knowledge_at=None, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """From analysed requests to ranked candidates: generation, bi-temporal and epistemic filters, scores, ranks, a model's opinion
+    if there is one (`scorer`, see `rerank`), and what stands beside the best in their sessions (`with_context`)."""
     requests = kept(requests)  # questions are analysed once
-    requests.count()
-    found = generate(nodes, edges, vectors, docs, requests, config, scopes)
+    n, current = requests.agg(F.count("*"), F.coalesce(F.max("is_current_state"), F.lit(False))).first()
+    found = generate(nodes, edges, vectors, docs, requests, config, scopes, n <= FEW_REQUESTS)
     found = found.where(F.col("created_at") <= X.at(knowledge_at)) if knowledge_at is not None else found
     rows, _ = epistemic_filter(found, mode)
-    asked = requests.select("query_id", "intent", "is_current_state", "is_episodic", "time_from", "time_to")
-    anchored = not requests.where("is_current_state").isEmpty()
-    return ranked(score(rows.join(small(asked), "query_id"), now, weights, anchored))
+    asked = requests.select("query_id", "query", "intent", "is_current_state", "is_episodic", "time_from", "time_to")
+    out = ranked(score(rows.join(F.broadcast(asked) if n <= FEW_REQUESTS else asked, "query_id"), now, weights, current))
+    out = rerank(out, scorer) if scorer is not None else out
+    return with_context(out, nodes, config) if config.window > 0 else out
+
+
+def with_context(scored: DataFrame, nodes: DataFrame, config: S.Packing = S.Packing()) -> DataFrame:
+    """Ranked rows and their `session_expand`, ranked anew by score and id. Context has no scores but that one."""
+    scored = kept(scored)
+    context = session_expand(scored, nodes, config.window, config.window_top, config.window_decay).withColumn("paths", F.array("path")).drop("path", "trigger_id")
+    rows = context.join(nodes, "id").withColumns({**{s: F.lit(0.0) for s in SCORES}, "path_count": F.lit(1), "path_score": F.lit(1 / 3.0)})
+    both = scored.drop("rank").unionByName(rows, allowMissingColumns=True)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("composite_score"), "id"))).select(*scored.columns)
+
+
+def hints(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, now, scopes: list[str], weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), mode: str = "default") -> DataFrame:
+    """The best candidates outside the scopes asked for, of a generation of their own that knows no scope and looks less deep."""
+    shallow = replace(config, vector_k=2 * config.cross_scope, lexical_k=2 * config.cross_scope, window=0)
+    return cross_scope(retrieve(nodes, edges, vectors, docs, requests, now, weights, shallow, None, mode), scopes, config.cross_scope)
 
 
 def abstention(best: Column) -> Column:
@@ -236,7 +273,8 @@ def abstention(best: Column) -> Column:
     return F.when(best.isNull() | (best < 0.55), 1.0).when(best < 0.65, 0.5).otherwise(0.0)
 
 
-def retrieval_log(results: DataFrame, now) -> DataFrame:
-    """An operation row per query with its counts."""
+def retrieval_log(results: DataFrame, now, **told: str | None) -> DataFrame:
+    """An operation row per query with its counts, and what else is told of the request (weights, filters)."""
     n = results.groupBy("query_id").agg(F.count("*").alias("n"), F.max("composite_score").alias("best"))
-    return n.select(F.sha2(F.concat_ws("|", "query_id", F.lit(str(now))), 256).alias("id"), F.lit("RETRIEVAL_REQUEST").alias("op_type"), F.col("query_id").alias("target_id"), F.to_json(F.struct("n", "best")).alias("payload"), X.at(now).alias("created_at"))
+    more = [F.lit(v).cast("string").alias(k) for k, v in told.items()]
+    return n.select(F.sha2(F.concat_ws("|", "query_id", F.lit(str(now))), 256).alias("id"), F.lit("RETRIEVAL_REQUEST").alias("op_type"), F.col("query_id").alias("target_id"), F.to_json(F.struct("n", "best", *more)).alias("payload"), X.at(now).alias("created_at"))

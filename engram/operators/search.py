@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import expr as X
-from engram.functions.frames import kept, small
+from engram.functions.frames import kept, rows_of, small
 
 BLOCK = 256
+HIT, PAIR = "query_id string, node_id string, score double", "a_id string, b_id string, similarity double"
 
 
 def hash_embed(text: str, dim: int = 64) -> list[float]:
@@ -45,47 +46,80 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, where: str
 
 
 def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, per_user: bool = True, block: int = BLOCK) -> DataFrame:
-    """(query_id, user_id, embedding) against all vectors in blocks of queries; each block is one map-side pass.
+    """(query_id, user_id, embedding) -> (query_id, node_id, score, rn): the k best of all vectors, exactly. A query meets its
+    user's vectors; one without user meets everybody's.
 
-    A task keeps its own k best of each query, so the shuffle carries k rows a task and query. A query without user
-    meets every user's vectors.
+    Up to `block` queries are shipped to the vectors: one map-side pass, in which a task keeps its k best of each, so the shuffle
+    carries k rows a task and query. More of them meet the vectors in Spark (`_met`), whatever their number.
     """
-    spark, out = vectors.sparkSession, None
-    rows, todo = [], queries.select("query_id", "user_id", "embedding").toLocalIterator()
-    blocks = []
-    for row in todo:
-        rows.append((row.query_id, row.user_id, row.embedding))
-        if len(rows) == block:
-            blocks.append(rows)
-            rows = []
-    blocks += [rows] if rows else []
-    for part in blocks:
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(frames, shared=shared):
-            q = np.array([r[2] for r in shared.value], float)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            users = np.array([r[1] for r in shared.value], object)
-            best = [pd.DataFrame({"node_id": [], "score": []}) for _ in shared.value]
-            for pdf in frames:
-                if pdf.empty:
-                    continue
-                v = np.vstack(pdf["embedding"].to_numpy()).astype(float)
-                sims = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ q.T
-                for i in range(len(best)):
-                    ok = (pdf["user_id"] == users[i]).to_numpy() if per_user and users[i] is not None else np.ones(len(pdf), bool)
-                    new = pd.DataFrame({"node_id": pdf["node_id"][ok], "score": sims[ok, i]})
-                    best[i] = pd.concat([best[i], new]).sort_values(["score", "node_id"], ascending=[False, True]).head(k) if len(new) else best[i]
-            for i, b in enumerate(best):
-                if len(b):
-                    yield pd.DataFrame({"query_id": shared.value[i][0], "node_id": b["node_id"], "score": b["score"].astype(float)})
-
-        found = vectors.select("node_id", "user_id", "embedding").mapInPandas(run, "query_id string, node_id string, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id string, node_id string, score double, rn int")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), (F.col("user_id") if per_user else F.lit(None)).cast("string").alias("user_id"), "embedding")
+    few = asked.limit(block + 1).collect()
+    if len(few) <= block:
+        found = _shipped(vectors, [(r.query_id, r.user_id, r.embedding) for r in few], k)
+    else:
+        rows = vectors.select("node_id", F.col("user_id").alias("owner"), "embedding")
+        own = _met(rows.where("owner IS NOT NULL"), asked.where("user_id IS NOT NULL").withColumnRenamed("user_id", "owner"), k)
+        found = own.unionByName(_met(rows.withColumn("owner", F.lit("")), asked.where("user_id IS NULL").withColumn("user_id", F.lit("")).withColumnRenamed("user_id", "owner"), k))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
-    return out.withColumn("rn", rn).where(F.col("rn") <= k)
+    return found.withColumn("rn", rn).where(F.col("rn") <= k)
+
+
+def _unit_rows(column: pd.Series) -> np.ndarray:
+    m = np.vstack(column.to_numpy()).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _shipped(vectors: DataFrame, asked: list[tuple], k: int) -> DataFrame:
+    """At most a block of queries against all vectors, where these lie."""
+    spark = vectors.sparkSession
+    if not asked:
+        return spark.createDataFrame([], "query_id string, node_id string, score double")
+    shared = spark.sparkContext.broadcast(asked)
+
+    def run(frames):
+        q = np.array([r[2] for r in shared.value], float)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        users = [r[1] for r in shared.value]
+        best = [pd.DataFrame({"node_id": [], "score": []}) for _ in users]
+        for pdf in frames:
+            if pdf.empty:
+                continue
+            sims, owners = _unit_rows(pdf["embedding"]) @ q.T, pdf["user_id"].to_numpy()
+            for i, user in enumerate(users):
+                ok = owners == user if user is not None else np.ones(len(pdf), bool)
+                new = pd.DataFrame({"node_id": pdf["node_id"][ok], "score": sims[ok, i]})
+                best[i] = pd.concat([best[i], new]).sort_values(["score", "node_id"], ascending=[False, True]).head(k) if len(new) else best[i]
+        for (query, _, _), b in zip(shared.value, best, strict=True):
+            if len(b):
+                yield pd.DataFrame({"query_id": query, "node_id": b["node_id"], "score": b["score"].astype(float)})
+
+    return vectors.select("node_id", "user_id", "embedding").mapInPandas(run, "query_id string, node_id string, score double")
+
+
+def _met(vectors: DataFrame, queries: DataFrame, k: int, slice_rows: int = 4096, part_rows: int = 1024) -> DataFrame:
+    """vectors: (owner, node_id, embedding), queries: (owner, query_id, embedding). An owner's vectors are dealt into slices and its
+    queries into parts, both of bounded size, and every slice meets every part as a matrix product; owners without
+    either are left out first."""
+    sizes = vectors.groupBy("owner").agg(F.ceil(F.count("*") / F.lit(slice_rows)).cast("int").alias("g")).join(queries.groupBy("owner").agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("h")), "owner")
+    among = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = vectors.join(sizes, "owner").select("owner", among("node_id", "g").alias("slice"), "node_id", "embedding", every("h").alias("part"))
+    q = queries.join(sizes, "owner").select("owner", among("query_id", "h").alias("part"), "query_id", "embedding", every("g").alias("slice"))
+
+    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(v):
+            v = v.sort_values("node_id")
+            ids, m = v["node_id"].to_numpy(), _unit_rows(v["embedding"]).T
+            for i in range(0, len(q), 256):
+                part = q.iloc[i : i + 256]
+                for query, sims in zip(part["query_id"], _unit_rows(part["embedding"]) @ m, strict=True):
+                    best = np.argsort(-sims, kind="stable")[:k]
+                    out.append(pd.DataFrame({"query_id": query, "node_id": ids[best], "score": sims[best]}))
+        return pd.concat(out) if out else rows_of([], HIT)
+
+    keys = ["owner", "slice", "part"]
+    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(meet, HIT)
 
 
 def tokens(text):
@@ -122,16 +156,16 @@ def bm25_indexed(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k:
     return _scored(hits, stats, terms, k, k1, b, match_all, node_type, scopes)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, match_all: bool = False, node_type: str | None = None, scopes: list[str] | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, match_all: bool = False, node_type: str | None = None, scopes: list[str] | None = None, hint: Callable[[DataFrame], DataFrame] = small) -> DataFrame:
     """`bm25_indexed` without an index: one pass over the texts keeps the query's words and each text's length, on no
-    driver; only those are shuffled."""
+    driver; only those are shuffled. `hint`: how the words are sent to the texts, by default if they are counted to be few."""
     terms = query_terms(queries)
     more = [c for c in ("user_id", "node_type", "scope") if c in docs.columns]
     toks = docs.select("node_id", *more, tokens(F.col("content")).alias("ts"))
     # the empty word stands for the text itself, so lengths come along
     rows = toks.select("node_id", *more, F.size("ts").alias("dl"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("term"))
     wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    hits = kept(rows.join(small(wanted), "term", "left_semi").groupBy("term", "node_id", "dl", *more).agg(F.count("*").alias("tf")))
+    hits = kept(rows.join(hint(wanted), "term", "left_semi").groupBy("term", "node_id", "dl", *more).agg(F.count("*").alias("tf")))
     stats = hits.where("term = ''").agg(F.count("*").cast("double").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     return _scored(hits.where("term <> ''"), stats, terms, k, k1, b, match_all, node_type, scopes)
 
@@ -187,7 +221,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> Da
         a = pdf[pdf["left"]]
         b = pdf[~pdf["left"]] if (pdf["lo"] != pdf["hi"]).any() else a
         if a.empty or b.empty:
-            return pd.DataFrame({"a_id": [], "b_id": [], "similarity": []})
+            return rows_of([], PAIR)
         va, vb = (np.vstack(x["embedding"].to_numpy()).astype(float) for x in (a, b))
         va, vb = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (va, vb))
         sims = va @ vb.T
@@ -197,4 +231,4 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> Da
         x, y, s = x[keep], y[keep], sims[i, j][keep]
         return pd.DataFrame({"a_id": np.where(x < y, x, y), "b_id": np.where(x < y, y, x), "similarity": s})
 
-    return dealt.groupBy("user_id", "lo", "hi").applyInPandas(meet, "a_id string, b_id string, similarity double")
+    return dealt.groupBy("user_id", "lo", "hi").applyInPandas(meet, PAIR)

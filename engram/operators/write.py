@@ -18,22 +18,6 @@ class IngestionError(Exception):
     """Rows that the write path can't take."""
 
 
-class WriteQueueError(IngestionError):
-    pass
-
-
-class EntityMergeError(IngestionError):
-    pass
-
-
-class SupersedenceError(IngestionError):
-    pass
-
-
-class MaterialisationError(IngestionError):
-    pass
-
-
 @dataclass(frozen=True)
 class StoreConfig:
     """What a batch triggers. `remention`: cosine from which neighbours are reinforced (None: never)."""
@@ -132,15 +116,37 @@ def store_batch(tables: T.MemoryTables, messages: DataFrame, now, config: StoreC
     )
 
 
-def ingest_batch(tables: T.MemoryTables, messages: DataFrame, now) -> tuple[T.MemoryTables, DataFrame]:
-    """Messages through extraction, grounding and materialisation: the memory with their events, entities, facts and edges,
-    and a dead-letter table (id, reason) of rows that could not be read; a later batch may take those again."""
-    reason = F.when(F.col("user_id").isNull(), "no user").when(F.trim(F.coalesce("content", F.lit(""))) == "", "no text")
+def ingest_batch(tables: T.MemoryTables, messages: DataFrame, now, embedder=search.hash_embed) -> tuple[T.MemoryTables, DataFrame]:
+    """Messages through extraction, grounding and materialisation: the memory with their events, entities, facts, edges and
+    vectors, and a dead-letter table (id, reason) of rows that could not be read; a later batch may take those again.
+
+    A fact that differs from an active one of the same subject and predicate takes its place, or contests it if it is an
+    assertion. What the memory knows already counts once: a message, node or edge of a known id changes nothing, so
+    a batch may be given again. Of messages with one id in a batch the first by time and text counts.
+    """
+    reason = F.when(F.col("id").isNull(), "no id").when(F.col("user_id").isNull(), "no user").when(F.trim(F.coalesce("content", F.lit(""))) == "", "no text")
     told = messages.withColumn("reason", reason)
-    good = told.where("reason IS NULL").drop("reason")
-    nodes, edges = ingest.materialise(ingest.grounded(ingest.extract(good)), tables.nodes, now)
-    docs = nodes.select(F.col("id").alias("node_id"), "content", "user_id", "node_type", "scope")
-    out = replace(tables, events=tables.events.unionByName(T.new_events(good, now)), nodes=tables.nodes.unionByName(nodes), edges=tables.edges.unionByName(edges), documents=tables.documents.unionByName(docs) if tables.documents is not None else docs)
+    first = F.row_number().over(Window.partitionBy("id").orderBy(*[c for c in ("timestamp", "content") if c in messages.columns]))
+    good = told.where("reason IS NULL").withColumn("_n", first).where("_n = 1").drop("_n", "reason").join(tables.events.select("id"), "id", "left_anti")
+    good = kept(good)
+    nodes, links = ingest.materialise(kept(ingest.grounded(ingest.extract(good))), tables.nodes, now)
+    new = kept(nodes.join(tables.nodes.select("id"), "id", "left_anti").select(*nodes.columns))
+    whole = tables.nodes.unionByName(new)
+    found = kept(ingest.new_conflicts(whole, new))
+    contested = store.contradict(whole, found.where("action = 'contradict'").select(F.col("old_id").alias("a_id"), F.col("new_id").alias("b_id")), now)
+    moved = store.supersede(contested.nodes, found.where("action = 'supersede'"), now)
+    links = links.unionByName(contested.edges).unionByName(moved.edges).dropDuplicates(["id"]).join(tables.edges.select("id"), "id", "left_anti").select(*tables.edges.columns)
+    vectors = T.migrate(search.embed(new.select(F.col("id").alias("node_id"), "user_id", "content"), embedder=embedder), S.VECTORS)
+    docs = new.select(F.col("id").alias("node_id"), "content", "user_id", "node_type", "scope")
+    out = replace(
+        tables,
+        events=T.append_events(tables.events, T.new_events(good, now)),
+        nodes=kept(moved.nodes),
+        edges=kept(tables.edges.unionByName(links)),
+        operations=tables.operations.unionByName(contested.operations),
+        vectors=tables.vectors.unionByName(vectors),
+        documents=tables.documents.unionByName(docs) if tables.documents is not None else docs,
+    )
     return out, told.where("reason IS NOT NULL").select("id", "reason")
 
 

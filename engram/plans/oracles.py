@@ -72,6 +72,20 @@ _AGO = "CASE WHEN d < 0 THEN 'in ' || -d || ' days' WHEN d = 0 THEN 'today' WHEN
 _STATES = "('superseded','archived','contested','deprecated','stable','tentative')"
 
 
+#: Nodes in id order, one a step; the list of what is taken goes along.
+_GREEDY = """
+unit AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS v FROM embeddings),
+alike AS (SELECT a.id AS a, list(b.id ORDER BY b.id) AS near FROM unit a JOIN unit b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.35 GROUP BY 1),
+steps AS (SELECT a, near, row_number() OVER (ORDER BY a) AS n FROM alike),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR[]) AS own, CAST([] AS VARCHAR[]) AS taken
+  UNION ALL
+  SELECT n, a, own, CASE WHEN own IS NULL THEN taken ELSE list_concat(taken, own) END FROM (
+    SELECT s.n, s.a, CASE WHEN list_contains(taken, s.a) OR len(list_filter(s.near, lambda x: NOT list_contains(taken, x))) < 2 THEN NULL ELSE list_prepend(s.a, list_filter(s.near, lambda x: NOT list_contains(taken, x))) END AS own, taken
+    FROM fold f JOIN steps s ON s.n = f.n + 1))
+"""
+
+
 def _nodes(select: str, more: str = "") -> str:
     return f"WITH {_N} {more} {select}"
 
@@ -102,7 +116,7 @@ _PACK = """
 , levels AS (SELECT *, ceil(length(content) / 4.2::DOUBLE)::BIGINT AS full_cost, ceil(floor(length(content) * 0.8::DOUBLE) / 4.2::DOUBLE)::BIGINT AS prose_cost, ceil(length('type: ' || node_type || ', content: ' || content) / 4.2::DOUBLE)::BIGINT AS structured_cost,
   ceil(length('id: ' || id || ', type: ' || node_type || ', confidence: ' || confidence) / 4.2::DOUBLE)::BIGINT AS key_cost, ceil(length(node_type || ':' || id) / 4.2::DOUBLE)::BIGINT AS ref_cost,
   CASE WHEN salience = 1.0 OR (node_type = 'task' AND lifecycle_state IN ('tentative','stable')) THEN 1 WHEN path_count >= 2 THEN 2 ELSE 3 END AS tier,
-  CASE WHEN lifecycle_state = 'contested' THEN 'contested_claims' WHEN node_type IN ('fact','note') THEN 'stable_facts' WHEN node_type = 'decision' THEN 'recent_decisions' WHEN node_type = 'task' THEN 'active_tasks' ELSE 'provenance_refs' END AS section FROM ranked WHERE rank <= 400),
+  CASE WHEN lifecycle_state = 'contested' THEN 'contested_claims' WHEN node_type IN ('fact','note') THEN 'stable_facts' WHEN node_type = 'decision' THEN 'recent_decisions' WHEN node_type = 'task' THEN 'active_tasks' ELSE 'provenance_refs' END AS section FROM ranked),
 packing AS (SELECT *, row_number() OVER (ORDER BY tier, CASE tier WHEN 1 THEN -rank::DOUBLE WHEN 2 THEN composite_score / greatest(full_cost, 1) ELSE composite_score END DESC, CASE WHEN tier = 2 THEN rank END, id) AS no FROM (SELECT * EXCLUDE (no) FROM levels))
 """
 _FOLD = """
@@ -136,12 +150,17 @@ raw AS (SELECT *, 0.25 * semantic_score + 0.20 * lexical_score + 0.20 * graph_pr
   0.7 * exp(-0.02::DOUBLE * greatest(date_diff('microsecond', t0, TIMESTAMP '2024-01-12') / 86400000000.0::DOUBLE, date_diff('microsecond', TIMESTAMP '2024-01-12', t0) / 86400000000.0::DOUBLE, 0.0)) AS aff,
   CASE epistemic_type WHEN 'observed' THEN 1.0 WHEN 'asserted' THEN 0.9 WHEN 'inferred' THEN 0.7 ELSE 0.5 END::DOUBLE AS epi, CASE node_type WHEN 'fact' THEN 1.15 WHEN 'decision' THEN 1.10 ELSE 1.0 END::DOUBLE AS boost FROM cand),
 sums AS (SELECT *, ((rest + 0.10 * rec) * epi + 0.15 * aff) * boost AS s0 FROM raw),
-total AS (SELECT *, round(CASE WHEN semantic_score + lexical_score < 0.35 THEN least(s0, semantic_score + lexical_score) ELSE s0 END, 10) AS composite_score, least(path_count / 3.0::DOUBLE, 1.0) AS path_score FROM sums)
+total AS (SELECT *, round(CASE WHEN semantic_score + lexical_score < 0.35 THEN least(s0, semantic_score + lexical_score) ELSE s0 END, 10) AS composite_score, least(path_count / 3.0::DOUBLE, 1.0) AS path_score FROM sums),
+first AS (SELECT *, row_number() OVER (ORDER BY composite_score DESC, path_score DESC, id) AS rank0 FROM total),
+ord AS (SELECT id, node_type, user_id, session_id, row_number() OVER (PARTITION BY user_id, session_id ORDER BY created_at, id) AS pos FROM nodes WHERE lifecycle_state IN ('tentative','stable','contested')),
+context AS (SELECT o.id, o.node_type, arg_min(round(r.composite_score * 0.85, 10), r.rank0) AS composite_score FROM first r JOIN ord t ON t.id = r.id JOIN ord o ON o.session_id = t.session_id AND o.user_id = t.user_id AND abs(o.pos - t.pos) <= 3
+  WHERE r.rank0 <= 20 AND o.id NOT IN (SELECT id FROM total) GROUP BY 1, 2),
+shown AS (SELECT id, node_type, semantic_score, lexical_score, graph_proximity, composite_score, paths FROM total UNION ALL SELECT id, node_type, 0, 0, 0, composite_score, 'SESSION_CONTEXT' FROM context)
 """
 
 ORACLES: dict[str, str] = {
     "events_by_user": f"SELECT id, timestamp, content FROM ({_EVS}) WHERE user_id = '7' ORDER BY timestamp DESC, id LIMIT 50",
-    "events_by_hash": f"SELECT id, user_id, content_hash FROM ({_EVS}) WHERE user_id IN ('7','8','9')",
+    "events_by_hash": f"SELECT id, user_id, content_hash FROM ({_EVS}) SEMI JOIN (SELECT content_hash, user_id FROM ({_EVS}) WHERE CAST(id AS BIGINT) % 50 = 0) USING (content_hash, user_id)",
     "nodes_projection": _nodes("SELECT id, node_type, user_id, session_id, scope, content, lifecycle_state, epistemic_type, source_type, decay_profile, round(confidence_base, 6) AS confidence_base, round(salience_base, 6) AS salience_base, round(reinforcement_boost, 6) AS reinforcement_boost, pinned, ttl_days, created_at, last_reinforced_at, event_time, valid_to FROM nodes"),
     "nodes_filtered_topn": _nodes("SELECT id, created_at, round(confidence, 6) AS confidence FROM nodes WHERE lifecycle_state IN ('tentative','stable','contested') AND node_type = 'decision' AND confidence >= 0.5 ORDER BY created_at DESC, id LIMIT 100"),
     "nodes_valid_asof": _nodes("SELECT node_type, count(*) AS n FROM nodes WHERE valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15') GROUP BY 1"),
@@ -161,12 +180,12 @@ ORACLES: dict[str, str] = {
     "reinforce_update": _nodes("SELECT id, round(CASE WHEN h > 0 THEN greatest(reinforcement_boost, least(reinforcement_boost + h * 0.15::DOUBLE, 0.5)) ELSE reinforcement_boost END, 6) AS reinforcement_boost, round(CASE WHEN h > 0 THEN greatest(confidence_base, least(confidence_base + h * 0.05::DOUBLE, 0.95)) ELSE confidence_base END, 6) AS confidence_base, CAST(n_evidence + h AS INT) AS n_evidence FROM (SELECT *, CASE WHEN no % 14 = 0 THEN 2 WHEN no % 7 = 0 THEN 1 ELSE 0 END AS h FROM nodes)"),
     "node_updates": _nodes(f"SELECT id, user_id, CASE WHEN no % 9 = 0 THEN upper(content) ELSE content END AS content, CASE WHEN no % 9 = 0 THEN {_NOW} ELSE updated_at END AS updated_at FROM nodes"),
     "epistemic_backfill": _nodes("SELECT node_type, CASE WHEN no % 2 = 0 THEN epistemic_type WHEN node_type = 'event' THEN 'observed' ELSE 'asserted' END AS epistemic_type, count(*) AS n FROM nodes GROUP BY 1, 2"),
-    "neighborhood_k": f"WITH RECURSIVE {_EDGES}, walk AS (SELECT s AS seed, s AS node_id, 0 AS hop FROM (VALUES ('r1'), ('c5')) v(s) UNION SELECT seed, b, hop + 1 FROM walk JOIN links ON node_id = a WHERE hop < 2) SELECT seed, node_id, min(hop) AS hop FROM walk WHERE node_id <> seed GROUP BY 1, 2",
+    "neighborhood_k": f"WITH RECURSIVE {_EDGES}, walk AS (SELECT s AS seed, s AS node_id, 0 AS hop FROM (SELECT 'c' || c_custkey AS s FROM customer WHERE c_custkey % 50 = 0) UNION SELECT seed, b, hop + 1 FROM walk JOIN links ON node_id = a WHERE hop < 2) SELECT seed, node_id, min(hop) AS hop FROM walk WHERE node_id <> seed GROUP BY 1, 2",
     "supersedence_chain": f"WITH RECURSIVE {_N} {_PAIRS}, walk AS (SELECT id AS seed, 0 AS step, id AS node_id FROM nodes UNION ALL SELECT seed, step + 1, new_id FROM walk JOIN pairs ON node_id = old_id WHERE step < 100) SELECT seed, CAST(step AS BIGINT) AS step, node_id FROM walk",
     "entity_snapshot": "SELECT 'c' || c_custkey AS entity_id, count(CASE WHEN o_orderstatus <> 'O' THEN 1 END) AS n_facts, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS n_tasks, count(o_orderkey) AS n_in, CAST(1 AS BIGINT) AS n_out FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "vector_topk": "SELECT CAST(vec_id AS VARCHAR) AS node_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, node_id LIMIT 20",
     "vector_topk_scoped": "SELECT CAST(vec_id AS VARCHAR) AS node_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, node_id LIMIT 10",
-    "vector_topk_batch": "SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS node_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, CAST(b.vec_id AS VARCHAR)) AS INT) AS rn FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 10 QUALIFY rn <= 5",
+    "vector_topk_batch": "SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS node_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, CAST(b.vec_id AS VARCHAR)) AS INT) AS rn FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0 QUALIFY rn <= 5",
     "novelty_score": "WITH s AS (SELECT CAST(a.vec_id AS VARCHAR) AS query_id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS top FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id % 25 <> 0 WHERE a.vec_id % 25 = 0 GROUP BY 1), v AS (SELECT query_id, least(greatest(1 - coalesce(top, 0), 0.0), 1.0) AS novelty FROM s) SELECT query_id, round(novelty, 6) AS novelty, CASE WHEN novelty >= 0.7 THEN 0.15 WHEN novelty <= 0.3 THEN -0.10 ELSE 0.0 END::DOUBLE AS salience_change, novelty > 0.5 AS is_novel FROM v",
     "bm25_topk": _BM25 + "SELECT query_id, node_id, round(score, 6) AS score FROM top",
     "bm25_minmax": _BM25 + "SELECT query_id, node_id, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 5) AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM top)",
@@ -180,12 +199,17 @@ ORACLES: dict[str, str] = {
     "session_expand": _nodes("""SELECT id, trigger_id, composite_score FROM (SELECT o.id, r.id AS trigger_id, round(round(r.composite_score * 0.85, 10), 6) AS composite_score, row_number() OVER (PARTITION BY o.id ORDER BY r.rank) AS f
       FROM ranked r JOIN ord t ON t.id = r.id JOIN ord o ON o.session_id = t.session_id AND o.user_id = t.user_id AND abs(o.pos - t.pos) <= 3 WHERE r.rank <= 20 AND o.id NOT IN (SELECT id FROM ranked)) WHERE f = 1""", _DECAY + _CAND + _SCORE + ", ord AS (SELECT id, user_id, session_id, row_number() OVER (PARTITION BY user_id, session_id ORDER BY created_at, id) AS pos FROM nodes WHERE lifecycle_state IN ('tentative','stable','contested'))"),
     "pack_sections": _nodes("""SELECT CASE WHEN lifecycle_state = 'contested' THEN 'contested_claims' WHEN node_type IN ('fact','note') THEN 'stable_facts' WHEN node_type = 'decision' THEN 'recent_decisions' WHEN node_type = 'task' THEN 'active_tasks' ELSE 'provenance_refs' END AS section,
-      CASE WHEN salience = 1.0 OR (node_type = 'task' AND lifecycle_state IN ('tentative','stable')) THEN 1 WHEN path_count >= 2 THEN 2 ELSE 3 END AS tier, count(*) AS n, CAST(sum(ceil(length(content) / 4.2::DOUBLE)) AS BIGINT) AS tokens FROM ranked WHERE rank <= 400 GROUP BY 1, 2""", _DECAY + _CAND + _SCORE),
+      CASE WHEN salience = 1.0 OR (node_type = 'task' AND lifecycle_state IN ('tentative','stable')) THEN 1 WHEN path_count >= 2 THEN 2 ELSE 3 END AS tier, count(*) AS n, CAST(sum(ceil(length(content) / 4.2::DOUBLE)) AS BIGINT) AS tokens FROM ranked GROUP BY 1, 2""", _DECAY + _CAND + _SCORE),
     "temporal_affinity": _nodes("SELECT id, round(0.3 * CASE WHEN no % 2 = 0 THEN 1.0 ELSE 0.0 END + 0.7 * exp(-0.02::DOUBLE * greatest(date_diff('microsecond', coalesce(event_time, created_at), TIMESTAMP '2024-01-10') / 86400000000.0::DOUBLE, date_diff('microsecond', TIMESTAMP '2024-01-12', coalesce(event_time, created_at)) / 86400000000.0::DOUBLE, 0.0)), 6) AS affinity FROM nodes"),
     "format_days_ago": _nodes(f"SELECT id, {_AGO} AS label FROM (SELECT id, date_diff('day', CAST(created_at AS DATE), CAST({_NOW} AS DATE)) AS d FROM nodes)"),
     "agg_dedup_lines": "SELECT doc_id AS id FROM documents QUALIFY row_number() OVER (PARTITION BY left(lower(trim(text, ' ')), 100) ORDER BY doc_id) = 1",
     "qa_pairs": "SELECT conv_id, turn, p || chr(10) || text AS content FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE r <> role AND length(p) + length(text) < 1000",
     "fact_conflicts": _nodes("SELECT old_id, new_id, CASE WHEN CAST(new_id AS BIGINT) % 3 = 0 THEN 'contradict' ELSE 'supersede' END AS action FROM (SELECT a.id AS old_id, arg_min(b.id, (b.created_at, b.id)) AS new_id FROM nodes a JOIN nodes b ON a.user_id = b.user_id AND a.node_type = b.node_type AND a.lifecycle_state <> b.lifecycle_state AND (b.created_at, b.id) > (a.created_at, a.id) GROUP BY 1)"),
+    "greedy_clusters": f"WITH RECURSIVE {_GREEDY} SELECT CAST(a AS VARCHAR) AS leader, unnest(own) AS node_id FROM fold WHERE own IS NOT NULL",
+    "cluster_summaries": f"""WITH RECURSIVE {_GREEDY}, {_N}, members AS (SELECT a AS leader, unnest(own) AS id FROM fold WHERE own IS NOT NULL),
+      texts AS (SELECT leader, content, max(confidence) AS c, sum(confidence) AS s, count(*) AS n, max(salience) AS sal FROM members JOIN nodes USING (id) GROUP BY 1, 2),
+      shown AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY c DESC, content) AS rn FROM texts)
+      SELECT leader, string_agg(CASE WHEN rn <= 3 THEN content END, ' | ' ORDER BY rn) AS content, round(sum(s) / sum(n), 6) AS confidence, round(max(sal), 6) AS salience, CAST(sum(n) AS BIGINT) AS members FROM shown GROUP BY leader""",
     "promote_candidates": _nodes(f"SELECT id FROM nodes WHERE lifecycle_state = 'tentative' AND date_diff('microsecond', created_at, {_NOW}) / 86400000000.0 >= 7 AND n_evidence >= 1"),
     "decay_sweep_actions": _nodes("""SELECT id, action FROM (SELECT id, CASE WHEN s_moved < 0.05 THEN 'archive' WHEN c_moved < 0.15 THEN CASE WHEN lifecycle_state = 'contested' THEN 'deprecate' ELSE 'archive' END WHEN s_moved < 0.10 AND c_moved < 0.40 THEN 'archive' END AS action
       FROM dec WHERE lifecycle_state IN ('tentative','stable','contested') AND NOT pinned AND (node_type NOT IN ('entity','fact') OR ttl_days IS NOT NULL)) WHERE action IS NOT NULL""", _DECAY),
@@ -212,7 +236,7 @@ ORACLES: dict[str, str] = {
     "remention_hits": "SELECT DISTINCT query_id, node_id FROM (SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS node_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, CAST(b.vec_id AS VARCHAR)) AS rn FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 25 = 0 AND b.vec_id % 25 <> 0) WHERE rn <= 5 AND s >= 0.2",
     "confidence_prior": _nodes("SELECT DISTINCT n.epistemic_type, n.source_type, coalesce(p, 0.5)::DOUBLE AS prior FROM nodes n LEFT JOIN (VALUES " + ", ".join(f"('{e}', '{t}', {p})" for (e, t), p in S.CONFIDENCE_PRIOR.items()) + ") v(e, t, p) ON e = epistemic_type AND t = source_type"),
     "current_state_rank": _nodes("SELECT id, round(composite_score, 6) AS composite_score, rank FROM ranked WHERE rank <= 20", _DECAY + _CAND + _CURRENT),
-    "multi_query_fusion": """WITH hits AS (SELECT a.vec_id::INT AS query_no, CAST(b.vec_id AS VARCHAR) AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS composite_score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, CAST(b.vec_id AS VARCHAR)) AS rn FROM embeddings a, embeddings b WHERE a.vec_id < 5),
+    "multi_query_fusion": """WITH hits AS (SELECT a.vec_id::INT AS query_no, CAST(b.vec_id AS VARCHAR) AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS composite_score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, CAST(b.vec_id AS VARCHAR)) AS rn FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
       first AS (SELECT id, query_no, composite_score FROM hits WHERE rn <= 40 QUALIFY row_number() OVER (PARTITION BY id ORDER BY query_no) = 1) SELECT * FROM first ORDER BY composite_score DESC, id LIMIT 150""",
     "abstention_levels": _nodes("SELECT user_id, CASE WHEN b < 0.55 THEN 1.0 WHEN b < 0.65 THEN 0.5 ELSE 0.0 END::DOUBLE AS abstain FROM (SELECT user_id, round(max(confidence), 6) - 0.4::DOUBLE AS b FROM nodes GROUP BY 1)"),
     "pack_budget_prefix": _nodes("SELECT id, no, used FROM (SELECT id, no, CAST(sum(full_cost) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM packing) WHERE used <= 300", _DECAY + _CAND + _SCORE + _PACK),
@@ -227,5 +251,5 @@ ORACLES: dict[str, str] = {
     "canonical_pick": f"WITH RECURSIVE {_N}, near AS ({_NEAR}), links AS (SELECT x AS a, y AS b FROM near WHERE s >= 0.40 UNION SELECT y, x FROM near WHERE s >= 0.40), reach AS (SELECT a AS id, a AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a), groups AS (SELECT id, min(other) AS g FROM reach GROUP BY 1), best AS (SELECT g, arg_min(n.id, (-confidence_base, -n_evidence, created_at, n.id)) AS canonical_id FROM groups JOIN nodes n USING (id) GROUP BY 1) SELECT id AS duplicate_id, canonical_id FROM groups JOIN best USING (g) WHERE id <> canonical_id",
     "alias_pairs": "SELECT * FROM (VALUES ('e0', 'e1', 'abbreviation', 0.95::DOUBLE), ('e0', 'e2', 'abbreviation', 0.95), ('e3', 'e4', 'abbreviation', 0.95), ('e3', 'e5', 'abbreviation', 0.95), ('e6', 'e7', 'case_variation', 0.9)) v(a_id, b_id, reason, similarity)",
     "oscillation_jaccard": f"WITH RECURSIVE {_N} {_PAIRS}, walk AS (SELECT id AS seed, 0 AS step, id AS node_id FROM nodes UNION ALL SELECT seed, step + 1, old_id FROM walk JOIN pairs ON node_id = new_id WHERE step < 10), hits AS (SELECT seed, list_distinct(string_split(h.content, ' ')) AS hw, list_distinct(string_split(o.content, ' ')) AS ow FROM walk JOIN nodes h ON h.id = seed JOIN nodes o ON o.id = node_id WHERE step > 0 AND step % 2 = 0) SELECT seed, count(*) AS cycles, round(least(count(*) * 0.1::DOUBLE, 0.3), 10) AS penalty FROM hits WHERE len(list_intersect(hw, ow)) / len(list_distinct(list_concat(hw, ow)))::DOUBLE >= 0.3 GROUP BY 1",
-    "retrieve": _nodes("SELECT id, node_type, round(semantic_score, 6) AS semantic_score, round(lexical_score, 6) AS lexical_score, round(graph_proximity, 6) AS graph_proximity, round(composite_score, 6) AS composite_score, paths, rank FROM (SELECT *, row_number() OVER (ORDER BY composite_score DESC, path_score DESC, id) AS rank FROM total) WHERE rank <= 50", _RETRIEVE),
+    "retrieve": _nodes("SELECT id, node_type, round(semantic_score, 6) AS semantic_score, round(lexical_score, 6) AS lexical_score, round(graph_proximity, 6) AS graph_proximity, round(composite_score, 6) AS composite_score, paths, rank FROM (SELECT *, row_number() OVER (ORDER BY composite_score DESC, id) AS rank FROM shown) WHERE rank <= 50", _RETRIEVE),
 }

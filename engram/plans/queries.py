@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
+from engram.functions.frames import scratch_folder
 from engram.operators import analysis, graph, ingest, organizer, packing, quality, research, retrieval, search, store
 from engram.sources import tables as T
 from engram.streaming import ingest as streams
@@ -56,7 +57,7 @@ def events_by_user(spark, sf):
 @query
 def events_by_hash(spark, sf):
     e = _events(spark, sf)
-    wanted = e.where("user_id in ('7', '8', '9')").select("content_hash", "user_id").distinct()
+    wanted = e.where("cast(id as int) % 50 = 0").select("content_hash", "user_id").distinct()
     return T.events_by_hash(e, wanted).select("id", "user_id", "content_hash")
 
 
@@ -214,7 +215,7 @@ def epistemic_backfill(spark, sf):
 
 @query
 def neighborhood_k(spark, sf):
-    seeds = spark.createDataFrame([("r1",), ("c5",)], "seed string")
+    seeds = T.read(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed"))
     return graph.k_hop(T.tree_edges(spark, sf), seeds, 2)
 
 
@@ -268,7 +269,7 @@ def vector_topk_scoped(spark, sf):
 
 @query
 def vector_topk_batch(spark, sf):
-    q = T.vectors(spark, sf).where("cast(node_id as int) < 10").select(F.col("node_id").alias("query_id"), "user_id", "embedding")
+    q = T.vectors(spark, sf).where("cast(node_id as int) % 50 = 0").select(F.col("node_id").alias("query_id"), "user_id", "embedding")
     return search.vector_topk_batch(T.vectors(spark, sf), q, 5).select("query_id", "node_id", "score", "rn").transform(_r, "score")
 
 
@@ -370,7 +371,7 @@ def cross_scope_hints(spark, sf):
 @query
 def multi_query_fusion(spark, sf):
     v = T.vectors(spark, sf)
-    q = v.where("cast(node_id as int) < 5").select(F.col("node_id").alias("query_id"), "user_id", "embedding")
+    q = v.where("cast(node_id as int) % 50 = 0").select(F.col("node_id").alias("query_id"), "user_id", "embedding")
     hits = search.vector_topk_batch(v, q, 40, per_user=False)
     return retrieval.fuse(hits.select(F.col("query_id").cast("int").alias("query_no"), F.col("node_id").alias("id"), F.round("score", 6).alias("composite_score")), 150)
 
@@ -385,7 +386,7 @@ def abstention_levels(spark, sf):
 
 
 def _packable(spark, sf):
-    return retrieval.ranked(retrieval.composite(candidates(spark, sf), NOW), 400)
+    return retrieval.ranked(retrieval.composite(candidates(spark, sf), NOW))
 
 
 @query
@@ -612,7 +613,7 @@ def topic_narratives(spark, sf):
 def stream_daily_counts(spark, sf):
     schema = T.read(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streams.drain(streams.daily_counts(stream), "stream_daily_counts", "complete")
+    out = streams.drain(streams.daily_counts(stream), scratch_folder(spark, "daily"), "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "user_id", "n", F.round("total", 4).alias("total"))
 
 

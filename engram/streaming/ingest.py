@@ -36,8 +36,13 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end into memory; for tests and small sources."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a bounded stream to its end into a folder and reads that: a complete result replaces the one before, others lie in a
+    folder for each micro-batch, which is written anew if the batch is."""
+    kind = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(kind).parquet(f"{folder}/batch=*")
