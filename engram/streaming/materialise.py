@@ -92,13 +92,15 @@ def materialised(stream: DataFrame, extract: Callable[[str], str] = str, **how)
 
 
 def run(spark: SparkSession, stream: DataFrame, folder: str, checkpoint: str, extract: Callable[[str], str] = str, **how) -> DataFrame:
-    """Takes what the source holds now, appends what comes of it to `folder`, and gives all that is there. Run again, it goes on."""
+    """Takes what the source holds now, appends what comes of it to `folder`, and gives all that is there. Run again, it goes on:
+    with new rows, and with the messages whose time to be tried again has come."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, PROVIDER)
     try:
-        sink = materialised(stream, extract, **how).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        sink.start(folder).awaitTermination()
+        sink = materialised(stream, extract, **how).writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        # one micro-batch: with timers, Spark would go on for ever looking for some to fire
+        sink.trigger(once=True).start(folder).awaitTermination()
     finally:
         if before is None:
             spark.conf.unset(key)
