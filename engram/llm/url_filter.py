@@ -4,11 +4,14 @@ The key universe of a corpus is known: every (host suffix, path beginning) of a
 all its urls. Level 1 encodes the listed keys; level 2 the keys of the universe that level 1 lets through
 wrongly; level 3 the listed ones that level 2 lets through, and so on until none is left. The first level that
 says no settles a key, so membership is exact over the universe. Filters are arrays of 64-bit words that
-reach the scan as constants: urls are judged without a join.
+reach the scan as constants: urls are judged without a join. Level 1 is sized by the universe as well: a listed key gets
+1.44 bits for each doubling of the universe over the list (what exact membership needs at least), so that some half as many
+false positives as listed keys are left, however large the universe, and all levels together stay below
+`bits_per_key` bits for each listed key.
 
 A url's keys are tried longest first, so the longest rule decides; without one the verdict is `allow`; a rule in both
 lists allows. Lists whose filters would pass `most_bytes` are dealt by a hash of the key over several passes, each with a
-cascade of bounded size; a url keeps the longest rule of all passes.
+cascade of bounded size, all its levels counted; a url keeps the longest rule of all passes.
 
 Null urls and urls without `://` have an empty host and path and fit no rule; very long urls are judged whole; repeated
 rows each get their verdict; other columns are ignored; an empty table or an empty list gives no rule.
@@ -17,6 +20,7 @@ rows each get their verdict; other columns are ignored; an empty table or an emp
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +36,8 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BITS_PER_KEY = 8
-HASHES = 5
+LATER_BITS = 8  # a key, from level 2 on
+MOST_HASHES = 24
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,27 +69,42 @@ def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) ->
     return F.reverse(F.array_sort(F.transform(fits, key)))
 
 
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
+def first_bits(listed: int, universe: int) -> float:
+    """Bits of a listed key on level 1."""
+    return max(LATER_BITS, 1.44 * (1 + math.log2(max(1.0, universe / max(1, listed)))))
+
+
+def bits_per_key(listed: int, universe: int) -> float:
+    """Bits of a listed key on all levels: at most half as many false positives are left, of which level 2 lets some 2 % through."""
+    return first_bits(listed, universe) + LATER_BITS
+
+
+def hashes_of(bits: float) -> int:
+    """How many hashes serve a filter of so many bits a key best."""
+    return max(1, min(MOST_HASHES, round(0.69 * bits)))
+
+
+def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     """Bit positions of a key on a level: double hashing with hashes of the level's own."""
     a, b = (F.pmod(F.xxhash64(key, F.lit(2 * level + i)), F.lit(bits)) for i in range(2))
-    return [(a + b * F.lit(i)) % F.lit(bits) for i in range(HASHES)]
+    return [(a + b * F.lit(i)) % F.lit(bits) for i in range(hashes)]
 
 
-def build_filter(keys: DataFrame, level: int, n: int) -> tuple[DataFrame, int]:
+def build_filter(keys: DataFrame, level: int, n: int, per_key: float) -> tuple[DataFrame, int]:
     """A frame with the filter of the keys as one array of longs, and its size in bits."""
-    words = max(1, -(-n * BITS_PER_KEY // 64))
+    words = max(1, math.ceil(n * per_key / 64))
     bits = words * 64
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
+    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes_of(per_key)))).alias("p"))
     set_words = at.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     dense = set_words.agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
     array = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("long")))
     return dense.select(array.alias("bits")), bits
 
 
-def _says_yes(key: Column, array: Column, level: int, bits: int) -> Column:
+def _says_yes(key: Column, array: Column, level: int, bits: int, hashes: int) -> Column:
     """Whether all bits of the key are set. The filter stands in the expression once."""
     bit = lambda p: F.call_function("bit_get", F.element_at(array, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int"))
-    return F.forall(F.array(*_positions(key, level, bits)), lambda p: bit(p) == 1)
+    return F.forall(F.array(*_positions(key, level, bits, hashes)), lambda p: bit(p) == 1)
 
 
 def _constant(words: list[int]) -> Column:
@@ -93,39 +112,41 @@ def _constant(words: list[int]) -> Column:
 
 
 class Cascade:
-    """Levels as (words of the filter, bits); `member(key)` is a column, exact for keys of the universe."""
+    """Levels as (words of the filter, bits, hashes); `member(key)` is a column, exact for keys of the universe."""
 
-    def __init__(self, levels: list[tuple[list[int], int]]) -> None:
+    def __init__(self, levels: list[tuple[list[int], int, int]]) -> None:
         self.levels = levels
 
     @property
     def bytes(self) -> int:
-        return sum(8 * len(w) for w, _ in self.levels)
+        return sum(8 * len(w) for w, _, _ in self.levels)
 
     def member(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
         for i in reversed(range(len(self.levels))):
-            words, bits = self.levels[i]
-            out = F.when(~_says_yes(key, _constant(words), i + 1, bits), F.lit(i % 2 == 1)).otherwise(out)
+            words, bits, hashes = self.levels[i]
+            out = F.when(~_says_yes(key, _constant(words), i + 1, bits, hashes), F.lit(i % 2 == 1)).otherwise(out)
         return out
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """listed, universe: (key). Only filters reach the driver; keys never do.
 
-    A level lets some 2 % of the other side through, so few levels are needed: each hashes anew.
+    From level 2 on a level lets some 2 % of the other side through, so few levels are needed: each hashes anew.
     """
     s = Scratch(listed.sparkSession, "cascade")
     keys = listed.where("key is not null").select("key", F.lit(1).alias("l")).unionByName(universe.where("key is not null").select("key", F.lit(0).alias("l")))
     tagged = s.keep(keys.groupBy("key").agg(F.max("l").alias("l")), "level-0")
     inside, outside = tagged.where("l = 1"), tagged.where("l = 0")
     n, levels = inside.count(), []
+    per_key = first_bits(n, outside.count()) if n else 0
     while n:
         level = len(levels) + 1
-        frame, bits = build_filter(inside, level, n)
-        words = list(frame.first()["bits"])
-        levels.append((words, bits))
-        inside, outside = outside.where(_says_yes(F.col("key"), _constant(words), level, bits)), inside
+        frame, bits = build_filter(inside, level, n, per_key)
+        words, hashes = list(frame.first()["bits"]), hashes_of(per_key)
+        levels.append((words, bits, hashes))
+        inside, outside = outside.where(_says_yes(F.col("key"), _constant(words), level, bits, hashes)), inside
+        per_key = LATER_BITS
         inside = s.keep(inside, f"level-{level}")
         n = inside.count()
     s.drop(*(f"level-{i}" for i in range(len(levels) + 1)))
@@ -135,11 +156,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
 def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", most_bytes: int = 4 << 20) -> DataFrame:
     """pages: page_id, url; rules: verdict (block or allow), host, path -> page_id, host, path, rule, verdict.
 
-    Two cascades, one per verdict, of at most `most_bytes` in their first levels; longer lists take more passes.
+    Two cascades, one per verdict, of some `most_bytes` together; longer lists take more passes.
     """
     listed = rules.select("verdict", rule_key(F.col("host"), F.col("path")).alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n"))
     shapes = sorted((r.labels, r.n) for r in listed.select("labels", "n").distinct().collect())  # labels of a name times path lengths
-    passes = max(1, -(-listed.count() * BITS_PER_KEY // 8 // most_bytes))
+    n = listed.count()
+    passes = max(1, math.ceil(n * bits_per_key(n, pages.count() * len(shapes)) / 8 / most_bytes))  # a url has at most a key of each shape
     host, path = host_and_path(F.col("url"))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.lit(None).cast("struct<n:int,own:int,key:string,allow:boolean,block:boolean>").alias("best"))
     s = Scratch(pages.sparkSession, "urls")
