@@ -10,7 +10,7 @@ neighbour fill up what is left, so shard sizes come out exact.
 
 Law `rows`: shard sizes differ by one row at most. A hub larger than a shard is split over as few as there is room
 on. A null text has no neighbour; equal texts, empty ones included, are one hub; repeated rows are copies;
-a null doc_id is placed like any other row; only hashes of texts are shuffled, however long the texts are; other columns are ignored; an empty table gives no rows.
+a null doc_id is placed like any other row; of shards that tie for a hub, a hash of both decides; only hashes of texts are shuffled, however long the texts are; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

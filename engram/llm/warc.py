@@ -8,7 +8,8 @@ Files live in the cluster's shared folder and are reached through Arrow's file s
 stores), never a machine's own disk. Each task writes under a name of its own and lists it in a table, which is
 all that readers go by; a lost or repeated task leaves a file nobody lists.
 
-Nulls: a null html is an empty payload, a null url leaves the target header out. Repeated rows: equal payloads
+Very long payloads: a record is built and packed whole, one at a time in a worker's memory, and may pass `MEMBER_BYTES`: it is a
+member of its own then. Nulls: a null html is an empty payload, a null url leaves the target header out. Repeated rows: equal payloads
 with the same greatest page_id are all responses. Extra columns are ignored; an empty table writes nothing.
 """
 

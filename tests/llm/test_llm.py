@@ -154,6 +154,19 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert universe.where(cascade.member(F.col("key")) != (F.col("key").cast("int") % 3 == 0)).count() == 0
 
 
+def test_cascade_follows_the_list_not_the_universe(spark):
+    listed = spark.range(0, 100_000, 100).select(F.col("id").cast("string").alias("key"))
+    size = {}
+    for n in (200_000, 2_000_000):
+        universe = spark.range(n).select(F.col("id").cast("string").alias("key"))
+        cascade = url_filter.build_cascade(listed, universe)
+        wrong = universe.where(cascade.member(F.col("key")) != ((F.col("key").cast("int") % 100 == 0) & (F.col("key").cast("int") < 100_000))).count()
+        assert wrong == 0 and len(cascade.levels) > 1 and len(cascade.levels[1][0]) < len(cascade.levels[0][0])
+        assert cascade.bytes <= 1.1 * 1000 * url_filter.bits_per_key(1000, n) / 8
+        size[n] = cascade.bytes
+    assert size[2_000_000] < 1.4 * size[200_000]  # 3.3 doublings at 1.44 bits
+
+
 # --- 3 and 8 tokenizers
 
 
@@ -308,6 +321,16 @@ def test_archives_give_pages_back(spark):
     assert refers[0] == refers[1] and sum(refers[0].values()) == len(html)
 
 
+def test_archives_of_very_long_payloads(spark):
+    html = [(i, f"u{i}", c * n) for i, (c, n) in enumerate([("x", 3_000_000), ("é", 400_000), ("y", 10), ("x", 3_000_000)])]
+    s = common.Scratch(spark, "long")
+    folder = s.path("archives") if "://" in s.path("archives") else f"file://{s.path('archives')}"
+    listing = s.keep(warc.write_archives(spark.createDataFrame(html, "page_id long, url string, html string").coalesce(1), folder, member_bytes=1000, archive_bytes=5000), "listing")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.payload) for r in warc.read_archives(listing, folder, payloads=True).collect()}
+    assert {i: v[:2] for i, v in got.items()} == {0: (3_000_000, "revisit"), 1: (800_000, "response"), 2: (10, "response"), 3: (3_000_000, "response")}
+    assert bytes(got[1][2]).decode() == "é" * 400_000 and bytes(got[3][2]) == b"x" * 3_000_000
+
+
 # --- 6 decontamination
 
 
@@ -567,9 +590,9 @@ def test_quality_counts_and_verdicts(spark, awkward, empty):
     assert quality.quality_verdicts(empty, [rule]).collect() == []
     beside = quality.quality_verdicts_beside(awkward.withColumn("n_words", F.lit(-1)).withColumn("kept", F.lit("mine")), [rule])
     assert beside.columns == [*awkward.columns, "n_words", "kept", "quality_verdict"]
-    by_text = {r.doc_id: (r.n_words, r.kept) for r in got}
-    for r in beside.where("doc_id is not null").collect():
-        assert (r.n_words, r.kept) == (-1, "mine") and (r.quality_verdict.n_words, r.quality_verdict.kept) == by_text[r.doc_id]
+    alone = {r.doc_id: (r.n_words, r.kept) for r in quality.quality_verdicts(awkward, [rule]).collect()}
+    for r in beside.collect():
+        assert (r.n_words, r.kept) == (-1, "mine") and (r.quality_verdict.n_words, r.quality_verdict.kept) == alone[r.doc_id]
     with pytest.raises(ValueError):
         quality.quality_verdicts_beside(beside, [])
     assert quality.fit(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == []
