@@ -103,17 +103,17 @@ def _met(vectors: DataFrame, queries: DataFrame, k: int, slice_rows: int = 4096,
     sizes = vectors.groupBy("owner").agg(F.ceil(F.count("*") / F.lit(slice_rows)).cast("int").alias("g")).join(queries.groupBy("owner").agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("h")), "owner")
     among = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = vectors.join(sizes, "owner").select("owner", among("node_id", "g").alias("slice"), "node_id", "embedding", every("h").alias("part"))
-    q = queries.join(sizes, "owner").select("owner", among("query_id", "h").alias("part"), "query_id", "embedding", every("g").alias("slice"))
+    v = vectors.join(sizes, "owner").select("owner", among("node_id", "g").alias("slice"), "node_id", F.col("embedding").alias("v"), every("h").alias("part"))
+    q = queries.join(sizes, "owner").select("owner", among("query_id", "h").alias("part"), "query_id", F.col("embedding").alias("q"), every("g").alias("slice"))
 
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(v):
             v = v.sort_values("node_id")
-            ids, m = v["node_id"].to_numpy(), _unit_rows(v["embedding"]).T
+            ids, m = v["node_id"].to_numpy(), _unit_rows(v["v"]).T
             for i in range(0, len(q), 256):
                 part = q.iloc[i : i + 256]
-                for query, sims in zip(part["query_id"], _unit_rows(part["embedding"]) @ m, strict=True):
+                for query, sims in zip(part["query_id"], _unit_rows(part["q"]) @ m, strict=True):
                     best = np.argsort(-sims, kind="stable")[:k]
                     out.append(pd.DataFrame({"query_id": query, "node_id": ids[best], "score": sims[best]}))
         return pd.concat(out) if out else rows_of([], HIT)

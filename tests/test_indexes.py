@@ -136,11 +136,13 @@ def test_index_equals_scoring_everything(spark, corpus, how):
     same(index_of(spark, df).search(asked, **how), search.bm25(df, asked, **how))
 
 
-def test_blocks_are_skipped(spark, corpus):
-    asked = spark.createDataFrame(ASKED, "query_id string, query string, user_id string")
-    index = index_of(spark, corpus[1], shard_docs=10_000)
-    work = {r.query_id: (r.blocks, r.read) for r in index.work(asked.where("query_id in ('q1', 'q6')"), k=1).collect()}
-    assert all(read < blocks for blocks, read in work.values()), work
+def test_blocks_are_skipped(spark):
+    docs = spark.range(2000).select(F.concat(F.lit("d"), "id").alias("node_id"), F.concat(F.lit("alpha "), F.expr("repeat('x ', id % 200)"), F.expr("repeat('beta ', id % 3)")).alias("content"))
+    index = index_of(spark, docs, shard_docs=10_000)
+    asked = spark.createDataFrame([("one", "alpha"), ("two", "alpha beta"), ("all", "alpha")], "query_id string, query string")
+    work = {r.query_id: (r.blocks, r.read) for r in index.work(asked, k=3).collect()}
+    assert work["one"][1] <= 4 < 14 <= work["one"][0] and work["two"][1] < work["two"][0], work
+    same(index.search(asked, 3), search.bm25(docs, asked, 3))
 
 
 def test_removed_documents_and_compaction(spark, corpus):
