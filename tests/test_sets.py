@@ -107,7 +107,7 @@ def test_chains_with_circles_and_forks(spark):
 def test_patterns_in_one_pass_and_in_several(spark):
     rng = np.random.default_rng(1)
     word = lambda n: "".join(rng.choice(list("abc"), n))
-    texts = [(str(i), word(rng.integers(0, 30))) for i in range(300)] + [("null", None)]
+    texts = [(str(i), word(rng.integers(0, 30))) for i in range(300)] + [("999", None)]
     patterns = sorted({word(rng.integers(1, 6)) for _ in range(200)}) + [""]
     want = {(i, p) for i, t in texts for p in patterns if p and p in (t or "")}
     df, ps = spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")
