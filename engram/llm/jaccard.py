@@ -28,6 +28,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from bisect import bisect_right
 from fractions import Fraction
 
@@ -193,6 +194,19 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:, keep]], names=names)
 
 
+def _gathered(batches):
+    """Rows of `SCAN` sorted by kind, a and b -> those of documents as they are, then of keys those that `_shared` gives."""
+    keys = lambda batch: pa.RecordBatch.from_arrays([batch.column(c) for c in (3, 4, 1, 2)], names=["a", "b", "lv", "need"])
+    batches = iter(batches)
+    for batch in batches:
+        own = batch.column(0).to_numpy() == 0
+        yield batch.filter(pa.array(own))
+        if not own.all():  # only keys follow
+            for found in _shared(itertools.chain([keys(batch.filter(pa.array(~own)))], map(keys, batches))):
+                a, b, lv, need = found.columns
+                yield _rows(1, lv, need, a, b)
+
+
 def _coarse_edges(rows: DataFrame, s: Scratch, rounds: int = 2) -> DataFrame:
     """Star edges of the keys, after leaving out classes that share fewer keys than any linked set would share with them.
 
@@ -459,17 +473,17 @@ def _components(documents: DataFrame, k: int, threshold: str, block: int, block_
         raise ValueError(f"the threshold must lie between {1 / GROWTH:.2f} and 1")  # a link spans two levels at most
     s = Scratch(spark, "jaccard")
     docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    scanned = s.keep(docs.mapInArrow(_scan_documents(k, t), SCAN), "scan", partition_by="kind")
+    parts = shuffle_partitions(spark)
+    # keys go from the scan right into one shuffle, which leaves out those that one class alone has before anything is written
+    dealt = docs.mapInArrow(_scan_documents(k, t), SCAN).repartition(parts, F.expr("if(kind = 0, doc_id, a)")).sortWithinPartitions("kind", "a", "b")
+    scanned = s.keep(dealt.mapInArrow(_gathered, SCAN), "scan", partition_by="kind")
     sized = scanned.where("kind = 0").select("doc_id", "n", "a", "b")
 
     # classes of equal sets; `a` names a class in the coarse stage, where a clash of names only widens a group
     classes = s.keep(sized.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    parts = shuffle_partitions(spark)
-    keys = scanned.where("kind = 1").select("a", "b", F.col("doc_id").alias("lv"), F.col("n").alias("need"))
-    met = s.keep(keys.repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(_shared, "a long, b long, lv long, need long"), "met")
-    s.drop("scan/kind=1")  # read for the last time
+    met = scanned.where("kind = 1").select("a", "b", F.col("doc_id").alias("lv"), F.col("n").alias("need"))
     coarse = connected_components(_coarse_edges(met, s), s, "coarse")
-    s.drop("met")
+    s.drop("scan/kind=1")  # read for the last time
 
     member = coarse.withColumnRenamed("vertex", "a").join(classes, "a")
     blocks = F.ceil(F.greatest(F.sum("n") / F.lit(block), F.count("*") / F.lit(block_sets))).cast("int")

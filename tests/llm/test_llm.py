@@ -438,6 +438,24 @@ def test_one_of_each_with_repeated_and_missing_ids(spark, texts, most):
     assert got[0].__fields__ == docs.columns
 
 
+def test_jaccard_writes_no_keys_that_one_class_alone_has(spark, monkeypatch):
+    kinds, keep = Counter(), common.Scratch.keep
+
+    def kept(self, df, name, **how):
+        out = keep(self, df, name, **how)
+        if name == "scan":
+            kinds.update({r.kind: r["count"] for r in out.groupBy("kind").count().collect()})
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", kept)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame([*rows, (92, rows[3][1] + " more")], "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, 3, "0.9").collect()}
+    assert out == {i: i for i, _ in rows} | {92: 3}
+    each = len(jaccard.segment_keys(np.arange(58, dtype=np.uint64), Fraction("0.9"))[0][1])  # what one set emits for a level, at most
+    assert kinds[0] == 43 and 0 < kinds[1] <= 4 * each  # of 41 sets only two share keys
+
+
 def test_tree_finds_links_of_every_size():
     rng = np.random.default_rng(5)
     for universe in (60, 400):
