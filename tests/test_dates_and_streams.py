@@ -87,3 +87,14 @@ def test_failed_messages_are_tried_again_and_given_up(spark, tmp_path):
         rows = send(f"tick {n}").collect()
     kinds = {r.event_id: (r.kind, r.content, r.attempt) for r in rows}
     assert kinds["later"] == ("node", "LATER", 2) and kinds["never"] == ("dead", "never", 3) and len(rows) == len(kinds) == 8
+
+
+def test_conversations_as_a_folder_of_files_equal_the_sql(spark, sf, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from engram.plans import indexed
+
+    spark.read.parquet(f"{sf}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = Counter(duckdb.sql(indexed.ORACLES["streamed_memory"]).fetchall())
+    for place in (sf, str(tmp_path)):
+        assert Counter(map(tuple, indexed.streamed_memory(spark, place).collect())) == want
