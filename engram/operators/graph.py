@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
-from engram.functions.frames import kept
+from engram.functions.frames import kept, small
 from engram.operators import match
 
 
+#: From so many seeds on, and for so many edges, the edges go to the frontiers.
+MANY_SEEDS, SENT_EDGES = 100, 2_000_000
+
+
 def both_ways(edges: DataFrame, edge_types: list[str] | None = None, once: bool = True) -> DataFrame:
     """(a, b) for every edge from either end; `once`: each but once."""
     e = edges.where(F.col("edge_type").isin(edge_types)) if edge_types else edges
@@ -22,13 +26,21 @@ def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: lis
     """seeds: (seed) -> (seed, node_id, hop): the least number of edges to every node within reach, seeds left out.
 
     Every frontier is computed once; the walk ends when one is empty. Edges are met where they lie (a small frontier is sent to
-    them), so nothing is made of edges that no frontier touches.
+    them), so nothing is made of edges that no frontier touches. With many seeds, whose last step may reach most nodes from each,
+    it is the other way: frontiers lie by seed, and the edges they touch, once each, are sent to them, so what is reached is told
+    apart where it is made and never shuffled.
     """
     links = both_ways(edges, edge_types, False)
     seen = seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("hop"))
+    many = seen.select("seed").limit(MANY_SEEDS + 1).count() > MANY_SEEDS
     front, out = seen, None
     for hop in range(1, max_hops + 1):
-        step = front.join(links, front.node_id == links.a).select("seed", F.col("b").alias("node_id")).distinct()
+        met = links
+        if many and hop == max_hops:
+            met = kept(links.join(small(front.select(F.col("node_id").alias("a")).distinct(), SENT_EDGES), "a", "left_semi").select("a", "b").distinct())
+            if met.count() <= SENT_EDGES:
+                front, met, seen = front.repartition("seed"), F.broadcast(met), small(seen)
+        step = front.join(met, front.node_id == met.a).select("seed", F.col("b").alias("node_id")).distinct()
         front = step.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
         front = kept(front) if hop < max_hops else front
         out = front if out is None else out.unionByName(front)
@@ -54,11 +66,50 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10, edge_
     """pairs: (source, target) -> (source, target, path, hops): the least among the shortest paths, as an array; unreachable pairs
     are absent.
 
+    Nodes of one neighbour lie inside no path, so they leave the graph (`_without_ends`); a source or target that has one neighbour
+    left stands for that one, so many pairs become few, each of which is searched for once. The result is made by joins with the
+    pairs, once a row.
+    """
+    todo = pairs.select(*_PAIR)
+    ends = kept(todo.select(F.col("source").alias("id")).distinct().unionByName(todo.select(F.col("target").alias("id")).distinct()).distinct())
+    links = _without_ends(both_ways(edges, edge_types, False), ends)
+    # an end that is in the graph, and what it stands for: its only neighbour, or itself
+    one = kept(links.join(ends.withColumnRenamed("id", "a"), "a", "left_semi").groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).select(F.col("a").alias("id"), F.when(F.col("m") == F.col("x"), F.col("m")).otherwise(F.col("a")).alias("core")))
+    apart = todo.where("source <> target")
+    far = apart.join(small(one.select(F.col("id").alias("source"), F.col("core").alias("s"))), "source").join(small(one.select(F.col("id").alias("target"), F.col("core").alias("t"))), "target")
+    beside = (F.col("s") == F.col("target")) | (F.col("t") == F.col("source"))
+    cores = kept(far.where(~beside).select(F.col("s").alias("source"), F.col("t").alias("target")).distinct())
+    marks = cores.select(F.col("source").alias("id")).unionByName(cores.select(F.col("target").alias("id"))).distinct()
+    told = kept(_paths_between(kept(_without_ends(links, marks).distinct()), cores, max_hops).select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("path").alias("core")))
+    met = far.where(~beside).join(small(told.select("s", "t")), ["s", "t"], "left_semi").select(*_PAIR, "s", "t").distinct()
+    # a core may be its end itself
+    end = lambda c, x: F.when(F.col(c) != F.col(x), F.array(x)).otherwise(F.array().cast("array<string>"))
+    out = met.join(small(told), ["s", "t"]).select(*_PAIR, F.concat(end("s", "source"), "core", end("t", "target")).alias("path"))
+    out = out.unionByName(far.where(beside).select(*_PAIR).distinct().withColumn("path", F.array(*_PAIR))).unionByName(todo.where("source = target").select(*_PAIR).distinct().withColumn("path", F.array("source")))
+    return out.where(F.size("path") <= max_hops + 1).select(*_PAIR, "path", (F.size("path") - 1).alias("hops"))
+
+
+def _without_ends(links: DataFrame, stay: DataFrame, rounds: int = 4) -> DataFrame:
+    """links (a, b) both ways, without nodes of a single link that are not among `stay` (id), and so on in rounds while many go."""
+    stay, before = small(stay.withColumnRenamed("id", "a")), None
+    for _ in range(rounds):
+        many = links.groupBy("a").agg(F.count("*").alias("n"))
+        inner = small(kept(many.where("n > 1").select("a").unionByName(many.where("n = 1").select("a").join(stay, "a", "left_semi"))))
+        links = kept(links.join(inner, "a", "left_semi").join(inner.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"))
+        now = links.count()
+        if before is not None and now > 0.9 * before:
+            break
+        before = now
+    return links
+
+
+def _paths_between(links: DataFrame, pairs: DataFrame, max_hops: int) -> DataFrame:
+    """Distinct pairs -> (source, target, path), over links without repeats.
+
     From both ends: in each step the side with fewer rows goes one level on, and rows carry nodes, not paths. A pair whose sides
     meet leaves both; one that has come to an end on a side is given up. Paths are made once a pair is met, from its levels.
     """
-    links = kept(both_ways(edges, edge_types))
-    todo = pairs.select(*_PAIR).distinct()
+    todo = pairs
     found = todo.where("source = target").select(*_PAIR, F.array("source").alias("path"))
     ahead, back = ([kept(todo.where("source <> target").select(*_PAIR, F.col(end).alias("node_id")))] for end in _PAIR)
     for _ in range(max_hops):
@@ -76,7 +127,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10, edge_
             found = found.unionByName(kept(_least_paths(met, ahead, back, links)))
         goes_on = step.select(*_PAIR).distinct().join(met.select(*_PAIR).distinct(), _PAIR, "left_anti").join(other[-1].select(*_PAIR).distinct(), _PAIR, "left_semi")
         side[-1], other[-1] = (kept(x.join(goes_on, _PAIR, "left_semi")) for x in (step, other[-1]))
-    return found.select(*_PAIR, "path", (F.size("path") - 1).alias("hops"))
+    return found.select(*_PAIR, "path")
 
 
 def _least_paths(met: DataFrame, ahead: list[DataFrame], back: list[DataFrame], links: DataFrame) -> DataFrame:

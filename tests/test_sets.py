@@ -1,5 +1,6 @@
 """Set-based algorithms against the step-by-step versions they stand for."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -208,3 +209,26 @@ def test_a_batch_counts_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert len(memory._manifest(memory.latest())["tables"]["events"]["folders"]) == 5
     assert sizes(memory.compact()) == before and len(memory._manifest(memory.latest())["tables"]["events"]["folders"]) == 1
     assert memory.vacuum(1) and memory.versions() == [6] and sizes(memory.read()) == before
+
+
+def test_paths_between_many_ends_are_searched_for_once_a_core(spark, monkeypatch):
+    asked, search = [], graph._paths_between
+    monkeypatch.setattr(graph, "_paths_between", lambda links, pairs, most: asked.append((links.count(), pairs.count())) or search(links, pairs, most))
+    pairs = [(f"{h}{i}", h) for h in "xy" for i in range(30)] + [(f"z{h}{i}{j}", f"{h}{i}") for h in "xy" for i in range(30) for j in range(3)] + [("x", "m"), ("m", "y"), ("x", "k"), ("k", "y")]
+    ends = [(f"x{i}", f"y{j}") for i in range(20) for j in range(20)] + [("x0", "x"), ("x0", "x1"), ("x", "y"), ("zx00", "x0")]
+    got = {(r.source, r.target): ">".join(r.path) for r in graph.shortest_paths(edges_of(spark, pairs), spark.createDataFrame(ends, "source string, target string")).collect()}
+    assert got == {(a, b): f"{a}>x>k>y>{b}" for a, b in ends[:400]} | {("x0", "x"): "x0>x", ("x0", "x1"): "x0>x>x1", ("x", "y"): "x>k>y", ("zx00", "x0"): "zx00>x0"}
+    assert asked == [(10, 3)]  # of 403 pairs: x to y, and x0, which has a leaf that is asked for, to both
+
+
+def test_hops_of_many_seeds_equal_those_of_few(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [(f"v{a}", f"v{b}") for a, b in rng.integers(0, 60, (90, 2))]
+    seeds = spark.createDataFrame([(f"v{i}",) for i in range(60)], "seed string")
+    few = sorted(map(tuple, graph.k_hop(edges_of(spark, pairs), seeds, 3).collect()))
+    monkeypatch.setattr(graph, "MANY_SEEDS", 3)
+    many = graph.k_hop(edges_of(spark, pairs), seeds, 3)
+    assert sorted(map(tuple, many.collect())) == few
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan  # by seed
+    assert not re.search(r"hashpartitioning\(seed#\d+, node_id#\d+", plan)  # and what is reached is not shuffled
