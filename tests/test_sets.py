@@ -232,3 +232,26 @@ def test_hops_of_many_seeds_equal_those_of_few(spark, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan  # by seed
     assert not re.search(r"hashpartitioning\(seed#\d+, node_id#\d+", plan)  # and what is reached is not shuffled
+
+
+def test_groups_of_a_dense_graph_take_few_rounds(spark, monkeypatch):
+    rng, rounds = np.random.default_rng(2), []
+    n = 240
+    pairs = sorted({(f"v{min(a, b):03d}", f"v{max(a, b):03d}") for a, b in rng.integers(0, n, (1500, 2)) if a != b})
+    kept = organizer.kept
+    monkeypatch.setattr(organizer, "kept", lambda df: rounds.append(1) or kept(df))
+    got = {(r.leader, r.node_id) for r in organizer.greedy_groups(spark.createDataFrame(pairs, "a_id string, b_id string"), 3).collect()}
+    assert got == walk_in_order(pairs, 3)
+    assert len(rounds) <= 30
+
+
+def test_pairs_by_slices_of_blocks_are_all_pairs(spark):
+    from engram.operators.search import similar_pairs
+
+    m = np.random.default_rng(3).normal(size=(60, 6))
+    v = spark.createDataFrame([(f"n{i:02d}", "u", x.tolist()) for i, x in enumerate(m)], "node_id string, user_id string, embedding array<float>")
+    unit = m.astype("float32").astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {(f"n{i:02d}", f"n{j:02d}") for i in range(60) for j in range(i + 1, 60) if unit[i] @ unit[j] >= 0.5}
+    rows = similar_pairs(v, 0.5, block=4, slice_blocks=3).collect()
+    assert {(r.a_id, r.b_id) for r in rows} == want and len(rows) == len(want)
