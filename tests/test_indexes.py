@@ -216,3 +216,12 @@ def test_bounds_hold_for_every_posting():
         bound = lexical_index._Block(row).bound(1.7, 1.2, 0.75, 55.0)
         assert all(1.7 * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * n / 55.0)) <= bound + 1e-12 for t, n in zip(tfs, dls, strict=True))
     assert math.isfinite(bound) and Counter(re.findall("a", "aa"))["a"] == 2 and T.NOW
+
+
+def test_blocks_of_a_shard_by_hand():
+    import pyarrow as pa
+
+    none = pa.array([None] * 3, pa.string())
+    docs = pa.table({"node_id": ["b", "a", "c"], "user_id": pa.array([None, None, "u"]), "node_type": none, "scope": none, "words": [["x", "y", "x"], ["y"], ["x"]], "shard": pa.array([4] * 3, pa.int32()), "dl": pa.array([3, 1, 1], pa.int32())})
+    rows = sorted((r["term"], r["user_id"] or "", r["ords"], r["node_ids"], r["tfs"], r["dls"], r["places"], r["max_tf"], r["min_dl"]) for r in lexical_index.blocks_of_shard(docs).to_pylist())
+    assert rows == [("x", "", [1], ["b"], [2], [3], [[0, 2]], 2, 3), ("x", "u", [2], ["c"], [1], [1], [[0]], 1, 1), ("y", "", [0, 1], ["a", "b"], [1, 1], [1, 3], [[0], [1]], 1, 1)]
