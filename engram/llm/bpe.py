@@ -28,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.common import worker_state
 from engram.llm.pieces import BYTE_LEVEL, PieceEncoder, WholeTexts, bounded
 
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 50_000  # some 200 bytes each
+PIECE_BYTES = 48 << 20
 MEMO_LETTERS = 48
 _STEP, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -157,7 +159,7 @@ class Encoder(dict):
         super().__init__()
         self.v, self.entries = vocabulary, entries
         self.find = regex.compile(bounded(vocabulary.pattern)).findall
-        self.pieces = (PieceEncoder if vocabulary.pattern == BYTE_LEVEL else WholeTexts)(self._all)
+        self.pieces = PieceEncoder(self._all, key_bytes=PIECE_BYTES) if vocabulary.pattern == BYTE_LEVEL else WholeTexts(self._all)
         tokens = [b""] * (max(vocabulary.ranks.values(), default=-1) + 1)
         for token, rank in vocabulary.ranks.items():
             tokens[rank] = token
@@ -197,17 +199,6 @@ class Encoder(dict):
         return b"".join(out)
 
 
-#: The encoder of this worker process: tasks that follow on find its memory warm. Holds one vocabulary.
-_WORKER: dict[str, Encoder] = {}
-
-
-def _encoder(key: str, vocabulary: Vocabulary) -> Encoder:
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Encoder(vocabulary)
-    return _WORKER[key]
-
-
 def load_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(read_ranks(path), pattern)
 
@@ -220,7 +211,7 @@ def _mapped(frame: DataFrame, vocabulary: Vocabulary, schema: str, rows) -> Data
     shared, key = frame.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def run(batches):
-        encoder, fields = _encoder(key, shared.value), [c.split() for c in schema.split(", ")]
+        encoder, fields = worker_state(("bpe", key), lambda: Encoder(shared.value)), [c.split() for c in schema.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

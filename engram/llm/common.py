@@ -50,6 +50,19 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
+#: What this worker process holds ready for the tasks that follow.
+_WORKER: dict[object, object] = {}
+
+
+def worker_state(key: object, make):
+    """`make()`, kept in this worker process under `key`. One state is held at a time, whichever operator it is of, so the stages
+    of a pipeline don't add up in workers that serve all of them."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 class Scratch:
     """Tables that cut lineage: written as Parquet under the shared root, so a lost executor loses nothing.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import textscan as ts
-from engram.llm.common import Scratch
+from engram.llm.common import Scratch, worker_state
 
 WINDOW = 10
 K = 5
@@ -143,15 +143,9 @@ class Benchmark:
         return out
 
 
-#: The index of this worker process: tasks that follow on find it built. Holds one block.
-_WORKER: dict[str, Benchmark] = {}
-
-
 def _index(key: str, items: list[tuple[object, bytes]], window: int, k: int) -> Benchmark:
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Benchmark(items, window, k)
-    return _WORKER[key]
+    """The index of this worker process: tasks that follow on find it built. Holds one block."""
+    return worker_state(("benchmark", key), lambda: Benchmark(items, window, k))
 
 
 def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:

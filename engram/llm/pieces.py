@@ -18,7 +18,8 @@ import pyarrow as pa
 from engram.llm.textscan import chunks
 
 CHUNK = 2 << 20
-KEY_BYTES = 24 << 20
+KEY_BYTES = 96 << 20
+KEY_EXTRA = 140  # bytes that a remembered piece takes besides its own: object, place in the table, number
 IDS = 6 << 20
 
 #: Code points that the installed `regex` calls letters or numbers and the tokenizer libraries (Unicode 16)
@@ -90,11 +91,11 @@ def distinct_pieces(b: np.ndarray, offsets: np.ndarray, specials: Sequence[bytes
 class PieceEncoder:
     """Encodes texts piece by piece. `encode`: distinct pieces as bytes -> the ids of each.
 
-    What it remembers is bounded by `KEY_BYTES` and `IDS`; beyond, it begins anew.
+    What it remembers is bounded by `key_bytes` (`KEY_BYTES` by default) of memory for the pieces and `IDS`; beyond, it begins anew.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], specials: Sequence[bytes] = ()) -> None:
-        self.encode, self.specials = encode, tuple(specials)
+    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], specials: Sequence[bytes] = (), key_bytes: int | None = None) -> None:
+        self.encode, self.specials, self.most = encode, tuple(specials), key_bytes
         self._forget()
 
     def _forget(self) -> None:
@@ -119,7 +120,7 @@ class PieceEncoder:
             self.ends[first : first + len(made)] = self.n_ids + np.cumsum(lengths)
             self.ids[self.n_ids : self.n_ids + len(flat)] = flat
             self.n_ids += len(flat)
-            self.key_bytes += sum(map(len, pieces))
+            self.key_bytes += sum(map(len, pieces)) + KEY_EXTRA * len(pieces)
             for k, (i, piece) in enumerate(zip(fresh, pieces, strict=True)):
                 slots[i] = self.known[piece] = first + k
         return np.array(slots, np.int64)
@@ -147,7 +148,7 @@ class PieceEncoder:
             self._trim()
 
     def _trim(self) -> None:
-        if self.key_bytes > KEY_BYTES or self.n_ids > IDS:
+        if self.key_bytes > (self.most or KEY_BYTES) or self.n_ids > IDS:
             self._forget()
 
 

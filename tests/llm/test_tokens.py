@@ -72,6 +72,28 @@ def test_piece_memory_is_bounded(monkeypatch):
         assert encoder.key_bytes <= 40
 
 
+def test_encoder_memory_is_bounded_as_objects_take_it():
+    import tracemalloc
+
+    letters = str.maketrans("0123456789", "abcdefghij")
+    held = bpe.Encoder(bpe.Vocabulary({bytes([i]): i for i in range(256)}, pieces.BYTE_LEVEL)).pieces
+    held.encode = lambda xs: [[1]] * len(xs)
+    tracemalloc.start()
+    for n in range(0, 800_000, 20_000):
+        for _ in held.texts(pa.array([" ".join(f"{i:06d}".translate(letters) for i in range(n, n + 20_000))])):
+            pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 90 << 20
+
+
+def test_worker_holds_one_state():
+    a = common.worker_state("a", lambda: [1])
+    assert common.worker_state("a", lambda: [2]) is a
+    common.worker_state("b", list)
+    assert common.worker_state("a", lambda: [3]) == [3]
+
+
 def test_bpe_and_counts_on_strange_texts(library):
     import tiktoken
 
