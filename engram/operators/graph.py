@@ -197,10 +197,11 @@ def graph_candidates(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops:
 
 
 def entity_seeds(nodes: DataFrame, terms: DataFrame) -> DataFrame:
-    """terms: (query_id, term). Entities whose content holds a term, whatever its case; one pass over the entities."""
+    """terms: (query_id, term). Entities whose content holds a term, whatever its case; one pass over the entities.
+    A term asked for twice by one query counts once, so what is joined follows the entities, not entities times repeated terms."""
     named = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.LIVE)).select("id", F.lower("content").alias("text"))
-    words = terms.select("query_id", F.lower("term").alias("pattern"))
-    return match.holding(named, words).join(words, "pattern").select("query_id", F.col("id").alias("seed")).distinct()
+    words = kept(terms.select("query_id", F.lower("term").alias("pattern")).distinct())
+    return match.holding(named, words).join(small(words), "pattern").select("query_id", F.col("id").alias("seed")).distinct()
 
 
 #: Kinds of neighbours in a snapshot's summary and listing, with their headings there.

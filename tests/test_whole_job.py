@@ -132,3 +132,14 @@ def test_whole_tables_are_migrated_exported_and_checked(spark, sf):
     assert queries._memory(spark, sf).edges.count() == len(pairs)
     assert {r.check_name: r.violations for r in queries.doctor_checks(spark, sf).collect()}["edges start at nodes"] == 0
     assert {r.n_out for r in queries.entity_snapshot(spark, sf).collect()} == {1}
+
+
+def test_terms_asked_again_are_joined_once(spark, monkeypatch):
+    from engram.operators import graph
+
+    nodes = spark.createDataFrame([("a", "Anna Kern", "entity", "stable"), ("b", "Bernd", "entity", "stable")], "id string, content string, node_type string, lifecycle_state string")
+    terms = spark.createDataFrame([("q", "ern"), ("q", "ERN"), ("q", "ern"), ("p", "ann"), ("p", "")], "query_id string, term string")
+    joined = []
+    monkeypatch.setattr(graph, "small", lambda df: joined.append(df.count()) or df)
+    assert {tuple(r) for r in graph.entity_seeds(nodes, terms).collect()} == {("q", "a"), ("q", "b"), ("p", "a")}
+    assert joined == [3]
