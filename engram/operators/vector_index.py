@@ -10,7 +10,7 @@ Files under one folder, plain Parquet:
 The quantisers are fitted on a sample of at most `sample` vectors (a parameter, taken by a hash of the id), by passes of Lloyd's
 algorithm in Spark; every vector is indexed. How many lists a search probes by default is measured while the index is built: the
 least number that holds `target` of the true neighbours of a few of its own vectors. A search reads the probed lists' codes
-(other folders are pruned), filters before any cut, keeps the best by code of each slice, and computes exact cosines of those.
+(other folders are pruned), filters before any cut, keeps the best by code of each bundle of slices, and computes exact cosines of the best of all.
 Adding writes new slices, removing writes tombstones; neither touches what is there. `compact` writes a clean copy.
 """
 
@@ -29,6 +29,9 @@ from engram.functions.frames import kept, rows_of
 from engram.operators.search import vector_topk_batch
 
 SLICE_ROWS = 8192
+BUNDLE_ROWS = 8192  # codes that meet queries in one task, about
+PART_QUERIES = 1024  # queries that a bundle meets at once, at most
+FOUND_ROWS = 1 << 20  # candidates that a task gives at once, about
 _STEP = 4096  # vectors that a task compares with all centroids at once
 
 
@@ -158,40 +161,52 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, refine: int = 20, where: str | None = None) -> DataFrame:
         """queries: (query_id, embedding) and maybe user_id -> (query_id, node_id, score, rn), the k best by cosine.
 
-        A query of a user meets that user's vectors; `where` filters by any stored column. Both come before any cut. Of each
-        probed slice the `refine` * k best by code are compared exactly.
+        A query of a user meets that user's vectors; `where` filters by any stored column. Both come before any cut. The
+        `refine` * k best by code are compared exactly. Slices meet queries in bundles, some queries at once, so a task's
+        memory follows neither the queries nor the lists, and a query is sent to a bundle once, not to each slice of it.
         """
         probes = min(probes or self.settings.probes, self.settings.lists)
-        asked = kept(self.probes_of(queries, probes))
+        asked, most = kept(self.probes_of(queries, probes)), refine * k
         wanted = asked.select("list").distinct()  # at most a row a list
         rows = self.lists()
         rows = rows.where(where) if where else rows
         owner = F.col("user_id") if "user_id" in rows.columns else F.lit(None).cast("string").alias("user_id")
         codes = rows.join(F.broadcast(wanted), "list", "left_semi").select("list", "version", "slice", "node_id", owner, "code")
-        slices = self.spark.read.parquet(f"{self.root}/slices").select("list", "version", "slice")
-        todo = asked.join(slices, "list").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(64)))
-        shared, most = self.spark.sparkContext.broadcast((self.centroids, self.words)), refine * k
-
-        def meet(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(q) and len(v):
-                centroids, words = shared.value
-                code = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
-                like = np.concatenate([words[s][code[:, s]] for s in range(len(words))], axis=1) + centroids[key[0]]
-                like = _unit(like).T
-                owners, ids = v["user_id"].to_numpy(), v["node_id"].to_numpy()
-                for i in range(0, len(q), 256):  # so many queries at once
-                    part = q.iloc[i : i + 256]
-                    sims = _unit(_matrix(part["q"])) @ like
-                    for row, (query, user) in enumerate(zip(part["query_id"], part["user_id"], strict=True)):
-                        ok = np.flatnonzero(owners == user) if user is not None else np.arange(len(v))
-                        s = sims[row][ok]
-                        best = ok[np.argpartition(-s, most)[:most]] if len(s) > most else ok
-                        out += [(query, node, *key, near) for node, near in zip(ids[best].tolist(), sims[row][best].tolist(), strict=True)]
-            return rows_of(out, kind)
+        slices = self.spark.read.parquet(f"{self.root}/slices")
+        bundles = max(1, -(-(slices.agg(F.sum("n")).first()[0] or 0) // BUNDLE_ROWS))
+        parts = max(1, -(-asked.select("query_id").distinct().count() // max(1, min(PART_QUERIES, FOUND_ROWS // min(most, BUNDLE_ROWS)))))
+        bundle = F.pmod(F.xxhash64("list", "version", "slice"), F.lit(bundles)).cast("int").alias("bundle")
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+        held = slices.select("list", bundle).distinct()
+        todo = asked.join(held, "list").groupBy("query_id", "user_id", "bundle").agg(F.first("q").alias("q"), F.collect_list("list").alias("lists")).select("*", part)
+        codes = codes.select("*", bundle, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        shared = self.spark.sparkContext.broadcast((self.centroids, self.words))
+
+        def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+            if q.empty or v.empty:
+                return rows_of([], kind)
+            centroids, words = shared.value
+            at, owners = v["list"].to_numpy(), v["user_id"].to_numpy()
+            code = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
+            like = np.concatenate([words[s][code[:, s]] for s in range(len(words))], axis=1) + centroids[at]
+            like = _unit(like).T
+            taken, nears = [], []
+            for i in range(0, len(q), 256):  # so many queries at once
+                some = q.iloc[i : i + 256]
+                sims = _unit(_matrix(some["q"])) @ like
+                for row, (user, lists) in enumerate(zip(some["user_id"], some["lists"], strict=True)):
+                    probed = np.zeros(len(centroids), bool)
+                    probed[lists] = True
+                    ok = np.flatnonzero(probed[at] & (owners == user) if user is not None else probed[at])
+                    s = sims[row][ok]
+                    taken.append(ok[np.argpartition(-s, most)[:most]] if len(s) > most else ok)
+                    nears.append(sims[row][taken[-1]])
+            best = np.concatenate(taken)
+            asker = np.repeat(q["query_id"].to_numpy(), list(map(len, taken)))
+            return pd.DataFrame({"query_id": asker, **{c: v[c].to_numpy()[best] for c in ("node_id", *keys)}, "near": np.concatenate(nears).astype(float)})
 
         keys, kind = ["list", "version", "slice"], "query_id string, node_id string, list int, version int, slice int, near double"
-        found = todo.groupBy(*keys).cogroup(codes.groupBy(*keys)).applyInPandas(meet, kind)
+        found = todo.groupBy("bundle", "part").cogroup(codes.groupBy("bundle", "part")).applyInPandas(meet, kind)
         rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "node_id"))
         close = found.withColumn("rn", rn).where(F.col("rn") <= most).select("query_id", "node_id", *keys)
         exact = rows.join(F.broadcast(wanted), "list", "left_semi").select("node_id", *keys, "embedding")

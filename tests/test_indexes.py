@@ -81,6 +81,19 @@ def test_only_probed_lists_are_read(spark):
         vector_index.build(frame(spark, m).limit(0), scratch_folder(spark, "ann"))
 
 
+def test_small_bundles_and_parts_give_the_same(spark, monkeypatch):
+    m = np.random.default_rng(6).normal(size=(160, 4)).astype(np.float32)
+    v = frame(spark, m)
+    index = vector_index.build(v, scratch_folder(spark, "ann"), lists=5, codes=8, rounds=2, slice_rows=16)
+    for name, n in (("BUNDLE_ROWS", 40), ("PART_QUERIES", 3), ("FOUND_ROWS", 200)):
+        monkeypatch.setattr(vector_index, name, n)
+    asked = v.where("cast(substr(node_id, 2) as int) % 20 = 0").select(F.col("node_id").alias("query_id"), "embedding")
+    got = defaultdict(list)
+    for r in index.search(asked, 5, probes=5, refine=40).orderBy("rn").collect():
+        got[r.query_id].append(r.node_id)
+    assert got == {f"n{i}": nearest(m, m[i], range(160), 5) for i in range(0, 160, 20)}
+
+
 def test_many_queries_meet_vectors_without_the_driver(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(500, 6)).astype(np.float32)
