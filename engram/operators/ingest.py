@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
+from engram.functions.frames import kept
 from engram.operators import match
 from engram.sources.tables import migrate
 
-EXTRACTION = "array<struct<subject:string,predicate:string,object:string>>"
+EXTRACTION, LINKS = "array<struct<subject:string,predicate:string,object:string>>", "array<struct<source:string,kind:string,target:string>>"
 
 
 def epistemic_of(node_type: Column) -> Column:
@@ -61,11 +65,16 @@ def extract(events: DataFrame) -> DataFrame:
     def triples(p: list[Column], fields: tuple[str, str, str], middle) -> Column:
         return F.zip_with(F.arrays_zip(p[0].alias("s"), p[1].alias("p")), p[2], lambda a, o: F.struct(a["s"].alias(fields[0]), middle(a["p"]).alias(fields[1]), F.trim(o).alias(fields[2])))
 
-    verb = r"(works at|lives in|joined|resides in|located in|is|uses|likes)"
-    facts = triples(parts(rf"({_NAME}) {verb} ([\w][\w .+-]*?)(?=[.,;!?]|$)"), ("subject", "predicate", "object"), lambda v: F.replace(v, F.lit(" "), F.lit("_")))
-    links = triples(parts(rf"({_NAME}) (supports|contradicts|knows|manages|helps) ({_NAME})"), ("source", "kind", "target"), lambda v: v)
+    def where(words: str, found: Column) -> Column:
+        """The patterns are tried on texts that hold one of their words."""
+        none = [~F.contains("content", F.lit(f" {w} ")) for w in words.split("|")]
+        return F.when(reduce(and_, none), F.array().cast(EXTRACTION if words == verbs else LINKS)).otherwise(found)
+
+    verbs, kinds = "works at|lives in|joined|resides in|located in|is|uses|likes", "supports|contradicts|knows|manages|helps"
+    facts = triples(parts(rf"({_NAME}) ({verbs}) ([\w][\w .+-]*?)(?=[.,;!?]|$)"), ("subject", "predicate", "object"), lambda v: F.replace(v, F.lit(" "), F.lit("_")))
+    links = triples(parts(rf"({_NAME}) ({kinds}) ({_NAME})"), ("source", "kind", "target"), lambda v: v)
     names = F.array_distinct(F.regexp_extract_all("content", F.lit(rf"\b({_NAME})"), F.lit(1)))
-    return events.withColumns({"facts": facts, "entities": names, "relationships": links, "summary": F.regexp_extract("content", r"^\s*([^.!?]*[.!?]?)", 1)})
+    return events.withColumns({"facts": where(verbs, facts), "entities": names, "relationships": where(kinds, links), "summary": F.regexp_extract("content", r"^\s*([^.!?]*[.!?]?)", 1)})
 
 
 def grounded(extracted: DataFrame) -> DataFrame:
@@ -84,7 +93,9 @@ def upsert_entities(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     kind = F.col("entity_type") if "entity_type" in mentions.columns else F.lit("unknown")
     kind_of = F.coalesce(F.get_json_object("metadata", "$.entity_type"), F.lit("unknown"))
     known = nodes.where("node_type = 'entity'").where(F.col("lifecycle_state").isin(S.LIVE)).groupBy("user_id", F.lower(F.trim("content")).alias("key"), kind_of.alias("entity_type")).agg(F.min("id").alias("known_id"))
-    found = mentions.select("user_id", F.trim("name").alias("name"), F.lower(F.trim("name")).alias("key"), kind.alias("entity_type")).groupBy("user_id", "key", "entity_type").agg(F.min("name").alias("name")).join(known, ["user_id", "key", "entity_type"], "left")
+    # distinct first: that is hashed, while the least of strings sorts every mention
+    told = mentions.select("user_id", F.trim("name").alias("name"), F.lower(F.trim("name")).alias("key"), kind.alias("entity_type")).distinct()
+    found = told.groupBy("user_id", "key", "entity_type").agg(F.min("name").alias("name")).join(known, ["user_id", "key", "entity_type"], "left")
     made = F.sha2(F.concat_ws("|", "user_id", F.lit("entity"), "key", "entity_type"), 256)
     return found.select("user_id", "key", "entity_type", F.coalesce("known_id", made).alias("id"), "name", F.col("known_id").isNull().alias("is_new"))
 
@@ -99,13 +110,15 @@ def fact_conflicts(facts: DataFrame, order: tuple[str, ...] = ("created_at", "id
     """facts: (id, user_id, subject, predicate, object, temporal_intent and what `order` names): each fact with the first later
     one of the same subject and predicate class whose object differs, and what follows: contradict an assertion, else supersede.
 
-    Newest first, the start of the next run of equal objects is carried back over the run before it.
+    Newest first, the start of the next run of equal objects is carried back over the run before it. Keys are columns of their
+    own, so both passes over a key's facts share one shuffle and one sort. A column `fresh` keeps conflicts with fresh facts only.
     """
-    w = Window.partitionBy("user_id", F.lower(F.trim("subject")), canonical_predicate(F.col("predicate"))).orderBy(*map(F.desc, order))
-    what = F.lower(F.trim("object"))
-    later = F.struct(F.lag("id").over(w).alias("id"), F.lag("temporal_intent").over(w).alias("intent"))
-    rows = facts.withColumn("turn", F.when((F.row_number().over(w) > 1) & ~what.eqNullSafe(F.lag(what).over(w)), later))
-    rows = rows.withColumn("next", F.last("turn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("next IS NOT NULL")
+    rows = facts.withColumns({"_subject": F.lower(F.trim("subject")), "_predicate": canonical_predicate(F.col("predicate")), "_object": F.lower(F.trim("object"))})
+    w = Window.partitionBy("user_id", "_subject", "_predicate").orderBy(*map(F.desc, order))
+    more = [F.lag("fresh").over(w).alias("fresh")] if "fresh" in facts.columns else []
+    later = F.struct(F.lag("id").over(w).alias("id"), F.lag("temporal_intent").over(w).alias("intent"), *more)
+    rows = rows.withColumn("turn", F.when((F.row_number().over(w) > 1) & ~F.col("_object").eqNullSafe(F.lag("_object").over(w)), later))
+    rows = rows.withColumn("next", F.last("turn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("next.fresh" if more else "next IS NOT NULL")
     return rows.select(F.col("id").alias("old_id"), F.col("next.id").alias("new_id"), F.when(F.col("next.intent") == "assertion", "contradict").otherwise("supersede").alias("action"))
 
 
@@ -113,41 +126,48 @@ def facts_of(nodes: DataFrame) -> DataFrame:
     """Active facts among nodes, as `fact_conflicts` takes them; `seen` orders those of one batch."""
     told = F.from_json("metadata", "subject string, predicate string, object string, temporal_intent string").alias("f")
     rows = nodes.where((F.col("node_type") == "fact") & F.col("lifecycle_state").isin(S.ACTIVE)).select("id", "user_id", "created_at", "event_time", F.try_element_at("evidence_refs", F.lit(1)).alias("seen"), told)
-    return rows.select("id", "user_id", "created_at", "event_time", "seen", "f.*").where("predicate IS NOT NULL")
+    # a generator keeps what is asked of the fields above it, so a text is parsed once and not once a field and filter
+    return rows.select("id", "user_id", "created_at", "event_time", "seen", F.inline(F.array("f"))).where("predicate IS NOT NULL")
 
 
-def new_conflicts(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """(old_id, new_id, action) of facts among `nodes` that a fact among `new` contradicts or replaces: of one batch in the order of
-    what they say of their time, then of their events. Only subjects and predicates that `new` speaks of are looked at."""
-    about = lambda f: f.withColumns({"about": F.lower(F.trim("subject")), "what": canonical_predicate(F.col("predicate"))})
-    told = about(facts_of(nodes)).join(about(facts_of(new)).select("user_id", "about", "what").distinct(), ["user_id", "about", "what"], "left_semi")
-    found = fact_conflicts(told, ("created_at", "event_time", "seen", "id"))
-    return found.join(new.select(F.col("id").alias("new_id")), "new_id", "left_semi").select("old_id", "new_id", "action")
+def new_conflicts(known: DataFrame, new: DataFrame, few: int = 100_000) -> DataFrame:
+    """(old_id, new_id, action) of facts among the nodes `known` and `new` that a fact among `new` contradicts or replaces: of one
+    batch in the order of what they say of their time, then of their events. Of `few` new facts the subjects and predicates are
+    sent to the known ones, which leaves others out; more of them meet the known ones in the shuffle that orders both."""
+    told, fresh = facts_of(known), facts_of(new)
+    if new.where("node_type = 'fact'").limit(few + 1).count() <= few:
+        about = lambda f: f.withColumns({"about": F.lower(F.trim("subject")), "what": canonical_predicate(F.col("predicate"))})
+        told = about(told).join(F.broadcast(about(fresh).select("user_id", "about", "what")), ["user_id", "about", "what"], "left_semi").select(*told.columns)
+    both = told.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+    return fact_conflicts(both, ("created_at", "event_time", "seen", "id"))
 
 
 def materialise(extracted: DataFrame, nodes: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """Grounded extractions (event id, user_id, content, entities, facts, relationships) as new nodes and their edges:
-    has_fact from subject to fact, and relationships between entities (of a kind without an edge type: relates_to)."""
+    """Grounded extractions (event id, user_id, content, entities, facts, relationships), a row per event, as new nodes and their
+    edges: has_fact from subject to fact, and relationships between entities (of a kind without an edge type: relates_to)."""
     from engram.operators.store import _edge_rows
 
-    links = extracted.select("user_id", F.explode("relationships").alias("r")).select("user_id", "r.*") if "relationships" in extracted.columns else None
-    names = extracted.select("user_id", F.explode("entities").alias("name")).unionByName(extracted.select("user_id", F.explode(F.transform("facts", lambda f: f["subject"])).alias("name")))
-    names = names.unionByName(links.select("user_id", F.explode(F.array("source", "target")).alias("name"))) if links is not None else names
-    ents = upsert_entities(names, nodes)
+    linked = "relationships" in extracted.columns
+    parts = [F.col("entities"), F.transform("facts", lambda f: f["subject"]), *([F.transform("relationships", lambda r: r["source"]), F.transform("relationships", lambda r: r["target"])] if linked else [])]
+    names = extracted.select("user_id", F.explode(F.array_distinct(F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull())))).alias("name"))
+    ents = kept(upsert_entities(names, nodes))
     when = F.col("timestamp") if "timestamp" in extracted.columns else F.lit(None).cast("timestamp_ntz").alias("timestamp")
-    facts = extracted.select(F.col("id").alias("event_id"), "user_id", when, F.explode("facts").alias("f")).select("event_id", "user_id", "timestamp", "f.*").withColumn("key", F.lower(F.trim("subject")))
+    # what a text says twice is one fact, the first
+    said = lambda f: F.concat_ws(" ", f["subject"], f["predicate"], f["object"])
+    own = extracted.withColumn("_said", F.transform("facts", said)).withColumn("facts", F.filter("facts", lambda f, i: F.array_position("_said", said(f)) == i + 1))
+    facts = own.select(F.col("id").alias("event_id"), "user_id", when, F.explode("facts").alias("f")).select("event_id", "user_id", "timestamp", "f.*").withColumn("key", F.lower(F.trim("subject")))
     facts = facts.withColumn("metadata", F.to_json(F.struct(*[c for c in ("subject", "predicate", "object", "temporal_intent") if c in facts.columns])))
-    facts = facts.withColumn("content", F.concat_ws(" ", "subject", "predicate", "object")).withColumn("id", F.sha2(F.concat_ws("|", "event_id", "content"), 256)).dropDuplicates(["id"])
+    facts = facts.withColumn("content", F.concat_ws(" ", "subject", "predicate", "object")).withColumn("id", F.sha2(F.concat_ws("|", "event_id", "content"), 256))
     entity = ents.where("is_new").select("id", "user_id", F.col("name").alias("content"), F.lit("entity").alias("node_type"), F.to_json(F.struct("entity_type")).alias("metadata"), F.lit(0.5).alias("confidence"))
     new = store(entity, now).withColumn("decay_profile", F.lit("slow")).unionByName(store(facts.select("id", "user_id", "content", "metadata", F.col("timestamp").alias("event_time"), F.array("event_id").alias("evidence_refs"), F.lit("fact").alias("node_type")), now))
     by_key = ents.select("user_id", "key", F.col("id").alias("entity_id"))
     edges = _edge_rows(facts.join(by_key, ["user_id", "key"]), "entity_id", "id", "has_fact", now)
-    if links is not None:
+    if linked:
+        links = extracted.select("user_id", F.explode("relationships").alias("r")).select("user_id", "r.*").where("kind IS NOT NULL")
         end = lambda side: by_key.select("user_id", F.col("key").alias(f"_{side}"), F.col("entity_id").alias(f"{side}_id"))
         ends = links.withColumns({"_source": F.lower(F.trim("source")), "_target": F.lower(F.trim("target"))}).join(end("source"), ["user_id", "_source"]).join(end("target"), ["user_id", "_target"])
-        for kind in [k for k in S.EDGE_TYPES if k != "relates_to"]:
-            edges = edges.unionByName(_edge_rows(ends.where(F.col("kind") == kind), "source_id", "target_id", kind, now)) if kind in ("supports", "contradicts") else edges
-        edges = edges.unionByName(_edge_rows(ends.where(~F.col("kind").isin("supports", "contradicts")), "source_id", "target_id", "relates_to", now))
+        kind = F.when(F.col("kind").isin("supports", "contradicts"), F.col("kind")).otherwise(F.lit("relates_to"))
+        edges = edges.unionByName(_edge_rows(ends, "source_id", "target_id", kind, now).dropDuplicates(["id"]))  # texts may say it again
     return new, edges
 
 

@@ -110,10 +110,11 @@ def deprecate(nodes, ids, now):
     return transition(nodes, ids, "deprecated", now)
 
 
-def _edge_rows(pairs: DataFrame, source: str, target: str, kind: str, now, user: str = "user_id") -> DataFrame:
-    key = F.concat_ws("|", source, target, F.lit(kind))
+def _edge_rows(pairs: DataFrame, source: str, target: str, kind, now, user: str = "user_id") -> DataFrame:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    key = F.concat_ws("|", source, target, kind)
     return pairs.select(
-        F.sha2(key, 256).alias("id"), F.col(source).alias("source_id"), F.col(target).alias("target_id"), F.lit(kind).alias("edge_type"), F.col(user).alias("user_id"), F.lit(1.0).alias("confidence"),
+        F.sha2(key, 256).alias("id"), F.col(source).alias("source_id"), F.col(target).alias("target_id"), kind.alias("edge_type"), F.col(user).alias("user_id"), F.lit(1.0).alias("confidence"),
         X.at(now).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit(None).cast("string").alias("provenance_event_id"), F.lit(None).cast("string").alias("metadata"), X.at(now).alias("created_at"),
     )
 
@@ -122,15 +123,24 @@ def _operation_rows(rows: DataFrame, kind: str, target: str, payload, now) -> Da
     return rows.select(F.sha2(F.concat_ws("|", F.lit(kind), F.col(target), F.lit(str(now))), 256).alias("id"), F.lit(kind).alias("op_type"), F.col(target).alias("target_id"), payload.alias("payload"), F.lit(None).cast("string").alias("actor_id"), F.lit(None).cast("string").alias("namespace_id"), X.at(now).alias("created_at"))
 
 
+def superseding(nodes: DataFrame, pairs: DataFrame, now) -> DataFrame:
+    """The nodes after `supersede`, and `_new`: what took a node's place just now. Nodes are joined with the pairs once."""
+    one = pairs.groupBy(F.col("old_id").alias("id")).agg(F.min("new_id").alias("_new"))
+    joined = nodes.join(one, "id", "left").withColumn("_new", F.when(F.col("lifecycle_state").isin(S.ACTIVE), F.col("_new")))
+    hit = F.col("_new").isNotNull()
+    return joined.withColumns({"lifecycle_state": F.when(hit, "superseded").otherwise(F.col("lifecycle_state")), "superseded_by": F.coalesce("_new", "superseded_by"), "updated_at": F.when(hit, X.at(now)).otherwise(F.col("updated_at"))}).select(*nodes.columns, "_new")
+
+
+def superseded_edges(moved: DataFrame, now) -> DataFrame:
+    """An edge from new to old for what `superseding` moved."""
+    return _edge_rows(moved.where("_new IS NOT NULL"), "_new", "id", "supersedes", now)
+
+
 def supersede(nodes: DataFrame, pairs: DataFrame, now) -> Moved:
     """pairs: (old_id, new_id). Old nodes in an active state become superseded and point at the new; one edge new to old."""
-    one = pairs.groupBy("old_id").agg(F.min("new_id").alias("new_id"))
-    ok = nodes.select(F.col("id").alias("old_id"), "user_id", "lifecycle_state").where(F.col("lifecycle_state").isin(S.ACTIVE)).join(one, "old_id")
-    joined = nodes.join(ok.select(F.col("old_id").alias("id"), F.col("new_id").alias("_new")), "id", "left")
-    hit = F.col("_new").isNotNull()
-    moved = joined.withColumns({"lifecycle_state": F.when(hit, "superseded").otherwise(F.col("lifecycle_state")), "superseded_by": F.coalesce("_new", "superseded_by"), "updated_at": F.when(hit, X.at(now)).otherwise(F.col("updated_at"))}).select(*nodes.columns)
-    refused = one.join(ok.select("old_id"), "old_id", "left_anti").select(F.col("old_id").alias("id"))
-    return Moved(moved, refused, edges=_edge_rows(ok, "new_id", "old_id", "supersedes", now))
+    moved = superseding(nodes, pairs, now)
+    refused = pairs.select(F.col("old_id").alias("id")).distinct().join(moved.where("_new IS NOT NULL").select("id"), "id", "left_anti")
+    return Moved(moved.drop("_new"), refused, edges=superseded_edges(moved, now))
 
 
 def contradict(nodes: DataFrame, pairs: DataFrame, now) -> Moved:

@@ -126,24 +126,30 @@ def ingest_batch(tables: T.MemoryTables, messages: DataFrame, now, embedder=sear
     """
     reason = F.when(F.col("id").isNull(), "no id").when(F.col("user_id").isNull(), "no user").when(F.trim(F.coalesce("content", F.lit(""))) == "", "no text")
     told = messages.withColumn("reason", reason)
-    first = F.row_number().over(Window.partitionBy("id").orderBy(*[c for c in ("timestamp", "content") if c in messages.columns]))
-    good = told.where("reason IS NULL").withColumn("_n", first).where("_n = 1").drop("_n", "reason").join(tables.events.select("id"), "id", "left_anti")
-    good = kept(good)
-    nodes, links = ingest.materialise(kept(ingest.grounded(ingest.extract(good))), tables.nodes, now)
+    # the first of an id has none before it; asked so, ids are not sorted before they are shuffled as well
+    before = F.lag(F.lit(True)).over(Window.partitionBy("id").orderBy(*[c for c in ("timestamp", "content") if c in messages.columns]))
+    good = told.where("reason IS NULL").drop("reason").join(tables.events.select("id"), "id", "left_anti").withColumn("_before", before).where("_before IS NULL").drop("_before")
+    extracted = kept(ingest.grounded(ingest.extract(good)))
+    good = extracted.select(*good.columns)
+    nodes, links = ingest.materialise(extracted, tables.nodes, now)
     new = kept(nodes.join(tables.nodes.select("id"), "id", "left_anti").select(*nodes.columns))
-    whole = tables.nodes.unionByName(new)
-    found = kept(ingest.new_conflicts(whole, new))
-    contested = store.contradict(whole, found.where("action = 'contradict'").select(F.col("old_id").alias("a_id"), F.col("new_id").alias("b_id")), now)
-    moved = store.supersede(contested.nodes, found.where("action = 'supersede'"), now)
-    links = links.unionByName(contested.edges).unionByName(moved.edges).dropDuplicates(["id"]).join(tables.edges.select("id"), "id", "left_anti").select(*tables.edges.columns)
+    whole, operations = tables.nodes.unionByName(new), tables.operations
+    found = kept(ingest.new_conflicts(tables.nodes, new))
+    against = found.where("action = 'contradict'")
+    if not against.isEmpty():
+        contested = store.contradict(whole, against.select(F.col("old_id").alias("a_id"), F.col("new_id").alias("b_id")), now)
+        whole, links, operations = contested.nodes, links.unionByName(contested.edges), operations.unionByName(contested.operations)
+    moved = kept(store.superseding(whole, found.where("action = 'supersede'"), now))
+    # an id is made of an edge's ends and kind, and each part of `links` has an edge once
+    links = links.unionByName(store.superseded_edges(moved, now)).join(tables.edges.select("id"), "id", "left_anti").select(*tables.edges.columns)
     vectors = T.migrate(search.embed(new.select(F.col("id").alias("node_id"), "user_id", "content"), embedder=embedder), S.VECTORS)
     docs = new.select(F.col("id").alias("node_id"), "content", "user_id", "node_type", "scope")
     out = replace(
         tables,
-        events=T.append_events(tables.events, T.new_events(good, now)),
-        nodes=kept(moved.nodes),
+        events=tables.events.unionByName(T.new_events(good, now).select(*tables.events.columns)),
+        nodes=moved.drop("_new"),
         edges=kept(tables.edges.unionByName(links)),
-        operations=tables.operations.unionByName(contested.operations),
+        operations=operations,
         vectors=tables.vectors.unionByName(vectors),
         documents=tables.documents.unionByName(docs) if tables.documents is not None else docs,
     )

@@ -166,6 +166,25 @@ def test_an_assertion_contests(spark, monkeypatch):
     assert [r.op_type for r in t.operations.collect()] == ["CONTRADICTION_NOTED"] and t.edges.where("edge_type = 'contradicts'").count() == 1
 
 
+def test_conflicts_are_one_shuffle_and_one_sort(spark):
+    from engram.operators import ingest
+
+    rows = [("a", "u", "Ada", "joined", "X", 1), ("b", "u", "ada ", "works_at", "x", 2), ("c", "u", "Ada", "employed_by", "Y", 3)]
+    facts = spark.createDataFrame(rows, "id string, user_id string, subject string, predicate string, object string, created_at int").withColumns({"temporal_intent": F.lit(None).cast("string"), "fresh": F.col("id") != "a"})
+    found = ingest.fact_conflicts(facts)
+    assert {tuple(r) for r in found.collect()} == {("a", "c", "supersede"), ("b", "c", "supersede")}
+    assert ingest.fact_conflicts(facts.withColumn("fresh", F.col("id") == "a")).isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_a_text_may_say_the_same_twice(spark):
+    said = messages(spark, [("a", "u", "Ada lives in Paris. Ada lives in Paris. Ada knows Bob, Ada knows Bob.", "2024-01-01"), ("b", "u", "Ada knows Bob.", "2024-01-02")])
+    t, _ = write.ingest_batch(T.empty_tables(spark), said, "2024-02-01 00:00:00")
+    assert sorted((r.node_type, r.content) for r in t.nodes.collect()) == [("entity", "Ada"), ("entity", "Bob"), ("entity", "Paris"), ("fact", "Ada lives_in Paris")]
+    assert sorted(r.edge_type for r in t.edges.collect()) == ["has_fact", "relates_to"]
+
+
 # --- versions
 
 
