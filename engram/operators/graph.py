@@ -151,11 +151,17 @@ def supersedence_chain(edges: DataFrame, seeds: DataFrame, direction: str = "for
     """seeds: (seed) -> (seed, step, node_id). Forward goes to what superseded, backward to what was superseded; the
     least neighbour is taken where there are several, and a chain ends at a node it has met before.
 
-    Pointer doubling: each round doubles how far every node looks ahead, so 100 steps take seven rounds of two joins.
+    Pointer doubling: each round doubles how far every node looks ahead, so 100 steps take seven rounds. With seeds as many as
+    edges, nodes carry the way ahead of them (`_ways`); with few, only the seeds' ways are made, a row a step.
     """
     e = edges.where("edge_type = 'supersedes'")
     here, there = ("target_id", "source_id") if direction == "forward" else ("source_id", "target_id")
     jump = kept(e.groupBy(F.col(here).alias("at")).agg(F.min(there).alias("to")))  # 2^k steps on, after k rounds
+    if seeds.count() * FEW_SEEDS > jump.count():
+        ahead = seeds.select("seed").join(_ways(jump, max_steps).withColumnRenamed("at", "seed"), "seed", "left")
+        # a way in a circle repeats itself from the first node that it has met, the seed among them
+        met = F.array_distinct(F.concat(F.array("seed"), F.coalesce(F.slice("way", 1, max_steps), F.array().cast("array<string>"))))
+        return ahead.select("seed", F.posexplode(met).alias("step", "node_id"))
     out, reach = seeds.select("seed", F.lit(0).alias("step"), F.col("seed").alias("node_id")), 1
     while reach <= max_steps:
         far = out.join(jump, F.col("node_id") == F.col("at")).select("seed", (F.col("step") + reach).alias("step"), F.col("to").alias("node_id"))
@@ -170,8 +176,34 @@ def supersedence_chain(edges: DataFrame, seeds: DataFrame, direction: str = "for
     return ended.unionByName(out.join(endless, "seed", "left_semi").groupBy("seed", "node_id").agg(F.min("step").alias("step")).select("seed", "step", "node_id"))
 
 
+#: Seeds are few if the edges are more than so many times as many.
+FEW_SEEDS = 16
+
+
+def _ways(jump: DataFrame, most: int) -> DataFrame:
+    """jump: (at, to), one each -> (at, way): the nodes ahead in order, at least `most` of them or all there are.
+
+    A round appends to a way the way of its last node. Ways that have come to an end leave the rounds and are only appended to
+    others, so what a round takes on shrinks with the chains that are so long.
+    """
+    open_, done, length = jump.select("at", F.array("to").alias("way")), None, 1
+    while length < most:
+        last = open_.select("at", "way", F.element_at("way", -1).alias("last"))
+        every = open_ if done is None else open_.unionByName(done)
+        step = last.join(every.select(F.col("at").alias("last"), F.col("way").alias("more")), "last", "left")
+        step = kept(step.select("at", F.when(F.col("more").isNull(), F.col("way")).otherwise(F.concat("way", "more")).alias("way")))
+        length *= 2
+        ended = step.where(F.size("way") < length)
+        done = ended if done is None else done.unionByName(ended)
+        open_ = step.where(F.size("way") >= length)
+        if open_.isEmpty():
+            return done
+    return open_ if done is None else open_.unionByName(done)
+
+
 def chain_report(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, step, node_id, lifecycle_state, content): what superseded a node (steps above 0) and what it superseded (below)."""
+    edges = kept(edges.where("edge_type = 'supersedes'").select("source_id", "target_id", "edge_type"))  # both ways are made of them
     ahead = supersedence_chain(edges, seeds, "forward")
     behind = supersedence_chain(edges, seeds, "backward").where("step > 0").withColumn("step", -F.col("step"))
     return ahead.unionByName(behind).join(nodes.select(F.col("id").alias("node_id"), "lifecycle_state", "content"), "node_id", "left")

@@ -156,3 +156,31 @@ def test_words_are_counted_in_their_text(spark):
         assert sorted(tuple(r) for r in lengths.collect()) == sorted((i, len(words(t))) for i, t, _ in rows + more)
     plan = search.lexical_index(docs([]))[0]._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate" not in plan  # no shuffle of words, only of texts
+
+
+def test_ways_of_all_nodes_equal_steps_one_by_one(spark, monkeypatch):
+    from engram.operators import graph
+
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n3", "n9"), ("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("s", "s"), ("t", "s")]
+    edges = spark.createDataFrame([(new, old, "supersedes") for old, new in pairs] + [("x", "n0", "mentions")], "source_id string, target_id string, edge_type string")
+    nodes = sorted({x for p in pairs for x in p} | {"alone"})
+    seeds = spark.createDataFrame([(n,) for n in nodes], "seed string")
+    monkeypatch.setattr(graph, "_ways", lambda *a, ways=graph._ways: asked.append(a) or ways(*a))
+    asked = []
+    for forward in (True, False):
+        to = {}
+        for a, b in sorted(p if forward else p[::-1] for p in pairs):
+            to.setdefault(a, b)
+            to[a] = min(to[a], b)
+        for most in (1, 5, 100):
+            want = set()
+            for n in nodes:
+                way = [n]
+                while len(way) <= most and to.get(way[-1], n) not in way:
+                    way.append(to[way[-1]])
+                want |= {(n, i, x) for i, x in enumerate(way)}
+            got = [tuple(r) for r in graph.supersedence_chain(edges, seeds, "forward" if forward else "backward", most).collect()]
+            assert len(got) == len(want) and set(got) == want
+    assert len(asked) == 6  # many seeds carry their ways, no row a step in the rounds
+    few = [tuple(r) for r in graph.supersedence_chain(edges, seeds.where("seed = 'n0'"), "forward").collect()]
+    assert len(asked) == 6 and sorted(few) == sorted(("n0", i, f"n{i}") for i in range(13))
