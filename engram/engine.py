@@ -94,7 +94,7 @@ class MemoryEngine:
         """queries: (query_id, query, user_id) and maybe time_from, time_to, embedding -> ranked candidates. The request is
         noted among the operations."""
         q = queries if "embedding" in queries.columns else search.embed(queries, "query", self.embedder)
-        out = kept(retrieval.retrieve(self.tables.nodes, self.tables.edges, self.tables.vectors, self._documents(), analysis.analyze(q, now), now, self.weights, self.packing, **how))
+        out = kept(retrieval.retrieve(self.tables.nodes, self.tables.edges, self.tables.vectors, self.tables.documents, analysis.analyze(q, now), now, self.weights, self.packing, **how))
         noted = retrieval.retrieval_log(out, now, weights=self.weights.version(), scopes=",".join(how.get("scopes") or []) or None, mode=how.get("mode", "default"))
         self.tables = replace(self.tables, operations=self.tables.operations.unionByName(T.migrate(noted, S.OPERATIONS)))
         return out
@@ -102,7 +102,7 @@ class MemoryEngine:
     def hints(self, queries: DataFrame, now, scopes: list[str]) -> DataFrame:
         """The best candidates outside these scopes."""
         q = queries if "embedding" in queries.columns else search.embed(queries, "query", self.embedder)
-        return retrieval.hints(self.tables.nodes, self.tables.edges, self.tables.vectors, self._documents(), analysis.analyze(q, now), now, scopes, self.weights, self.packing)
+        return retrieval.hints(self.tables.nodes, self.tables.edges, self.tables.vectors, self.tables.documents, analysis.analyze(q, now), now, scopes, self.weights, self.packing)
 
     def _documents(self) -> DataFrame:
         if self.tables.documents is not None:

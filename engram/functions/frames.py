@@ -20,9 +20,12 @@ def kept(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(rows.javaRDD(), rows.schema()), spark)
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """The frame with a broadcast hint if it has at most `most` rows; a larger one is joined as Spark sees fit."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = 100_000, otherwise: str | None = None) -> DataFrame:
+    """The frame with a broadcast hint if it has at most `most` rows; a larger one is joined as Spark sees fit, or by the hint
+    `otherwise`."""
+    if df.limit(most + 1).count() <= most:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
 
 
 def scratch_folder(spark, label: str) -> str:

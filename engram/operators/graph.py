@@ -18,7 +18,8 @@ MANY_SEEDS, SENT_EDGES = 100, 2_000_000
 def both_ways(edges: DataFrame, edge_types: list[str] | None = None, once: bool = True) -> DataFrame:
     """(a, b) for every edge from either end; `once`: each but once."""
     e = edges.where(F.col("edge_type").isin(edge_types)) if edge_types else edges
-    out = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(e.select(F.col("target_id").alias("a"), F.col("source_id").alias("b")))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    out = e.select(F.inline(F.array(way("source_id", "target_id"), way("target_id", "source_id"))))  # edges are read once
     return out.distinct() if once else out
 
 
@@ -26,7 +27,8 @@ def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: lis
     """seeds: (seed) -> (seed, node_id, hop): the least number of edges to every node within reach, seeds left out.
 
     Every frontier is computed once; the walk ends when one is empty. Edges are met where they lie (a small frontier is sent to
-    them), so nothing is made of edges that no frontier touches. With many seeds, whose last step may reach most nodes from each,
+    them, a large one is looked up in parts by node), so nothing is made of edges that no frontier touches and edges are never
+    sorted. With many seeds, whose last step may reach most nodes from each,
     it is the other way: frontiers lie by seed, and the edges they touch, once each, are sent to them, so what is reached is told
     apart where it is made and never shuffled.
     """
@@ -36,6 +38,8 @@ def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: lis
     front, out = seen, None
     for hop in range(1, max_hops + 1):
         met = links
+        if not many:  # of few seeds a node is in a frontier a few times at most
+            front, seen = (F.broadcast(front), F.broadcast(seen)) if hop == 1 else (small(front, otherwise="shuffle_hash"), seen)
         if many and hop == max_hops:
             met = kept(links.join(small(front.select(F.col("node_id").alias("a")).distinct(), SENT_EDGES), "a", "left_semi").select("a", "b").distinct())
             if met.count() <= SENT_EDGES:
@@ -209,23 +213,24 @@ def chain_report(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFr
     return ahead.unionByName(behind).join(nodes.select(F.col("id").alias("node_id"), "lifecycle_state", "content"), "node_id", "left")
 
 
-def graph_candidates(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int = 150, windows: DataFrame | None = None) -> DataFrame:
+def graph_candidates(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 3, cap: int = 150, windows: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """seeds: (query_id, seed) -> (query_id, id, graph_proximity): 1.0, 0.7, 0.4 by hop, the best over seeds, capped per query.
+    `more`: columns of the nodes that come along.
 
     windows: (query_id, time_from, time_to): nodes whose validity doesn't overlap a query's window are left out, but entities
     and preferences never are.
     """
     reach = k_hop(edges, seeds.select("seed").distinct(), hops)
     near = F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.4)), F.least(F.col("hop"), F.lit(3)))
-    best = seeds.join(reach, "seed").groupBy("query_id", "node_id").agg(F.max(near).alias("graph_proximity"))
-    live = nodes.where(F.col("lifecycle_state").isin(S.LIVE)).select("id", "node_type", "confidence", "created_at", "valid_from", "valid_to")
+    best = reach.join(small(seeds), "seed").groupBy("query_id", "node_id").agg(F.max(near).alias("graph_proximity"))
+    live = nodes.where(F.col("lifecycle_state").isin(S.LIVE)).select(*dict.fromkeys(("id", "node_type", "confidence", "created_at", "valid_from", "valid_to", *more)))
     found = best.join(live, F.col("node_id") == F.col("id"))
     if windows is not None:
         lasts = F.col("node_type").isin("entity", "preference")
         over = (F.col("valid_to") <= F.col("time_from")) | (F.col("valid_from") > F.col("time_to"))
         found = found.join(windows, "query_id").where(lasts | ~F.coalesce(over, F.lit(False)))
     ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("created_at"), "id")))
-    return ranked.where(F.col("rn") <= cap).select("query_id", "id", "graph_proximity")
+    return ranked.where(F.col("rn") <= cap).select("query_id", "id", "graph_proximity", *more)
 
 
 def entity_seeds(nodes: DataFrame, terms: DataFrame) -> DataFrame:

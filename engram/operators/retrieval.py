@@ -23,7 +23,8 @@ def merge(paths: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
     The full outer merge is a union and one aggregate, so every source is shuffled once.
     """
-    return _merged(_tagged(paths))
+    rows = _tagged(paths)
+    return rows.groupBy("query_id", "id").agg(*[F.max(s).alias(s) for s in SCORES], F.array_sort(F.collect_set("path")).alias("paths")).withColumn("path_count", F.size("paths"))
 
 
 def _tagged(paths: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -31,12 +32,21 @@ def _tagged(paths: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("query_id", "id").agg(*[F.max(s).alias(s) for s in SCORES], F.array_sort(F.collect_set("path")).alias("paths")).withColumn("path_count", F.size("paths"))
+def _merged(rows: DataFrame, further: DataFrame) -> DataFrame:
+    """`merge` of tagged rows, with further lexical hits of nodes that no row has: (query_id, id, scores, paths, further)."""
+    both = rows.withColumn("further", F.lit(False)).unionByName(further.withColumn("further", F.lit(True)))
+    first = lambda c: F.when(~F.col("further"), F.col(c))
+    scores = [F.coalesce(F.max(first(s)), F.max(s)).alias(s) for s in SCORES]
+    out = both.groupBy("query_id", "id").agg(*scores, F.array_sort(F.collect_set(first("path"))).alias("paths"), F.min("further").alias("further"))
+    return out.withColumn("paths", F.when(F.col("further"), F.array(F.lit("LEXICAL"))).otherwise(F.col("paths")))
+
+
+def is_pinned() -> Column:
+    return F.coalesce(F.col("lifecycle_state").isin(S.ACTIVE) & F.expr("salience = 1.0 OR node_type = 'task'"), F.lit(False))
 
 
 def pinned(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("lifecycle_state").isin(S.ACTIVE)).where("salience = 1.0 OR node_type = 'task'")
+    return nodes.where(is_pinned())
 
 
 def exclusion_reason(mode: str = "default", unverified: float = 0.30) -> Column:
@@ -128,18 +138,21 @@ def rerank(df: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], t
     return out.withColumn("rank", order).drop("head")
 
 
-def session_expand(scored: DataFrame, nodes: DataFrame, window: int = 3, top: int = 20, decay: float = 0.85) -> DataFrame:
-    """Neighbours within ±window positions of the session of the top candidates, at 0.85 of the trigger's score.
+def session_expand(scored: DataFrame, nodes: DataFrame, window: int = 3, top: int = 20, decay: float = 0.85, every: DataFrame | None = None) -> DataFrame:
+    """Neighbours within ±window positions of the session of the top candidates, at 0.85 of the trigger's score. No candidate is a
+    neighbour; `every`: all candidates, where `scored` has but the top ones.
 
-    Only sessions of triggers are numbered: the few sessions are found first and the nodes' scan is filtered by them.
+    Only sessions of triggers are numbered: the few sessions are found first and sent to the nodes' scan, which is filtered by
+    them; in the same way only candidates that are neighbours are looked up.
     """
     live = nodes.where(F.col("lifecycle_state").isin(S.LIVE) & F.col("session_id").isNotNull()).select("id", "user_id", "session_id", "created_at")
-    trigger = scored.where(F.col("rank") <= top).select("query_id", F.col("id").alias("trigger_id"), "rank", "composite_score", "user_id", "session_id")
-    order = live.join(trigger.select("user_id", "session_id").distinct(), ["user_id", "session_id"], "left_semi")
+    trigger = kept(scored.where(F.col("rank") <= top).select("query_id", F.col("id").alias("trigger_id"), "rank", "composite_score", "user_id", "session_id"))
+    order = live.join(small(trigger.select("user_id", "session_id").distinct()), ["user_id", "session_id"], "left_semi")
     order = order.withColumn("pos", F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("created_at", "id"))).select("id", "user_id", "session_id", "pos")
     trigger = trigger.join(order.select(F.col("id").alias("trigger_id"), F.col("pos").alias("trigger_pos")), "trigger_id")
-    near = trigger.join(order, ["user_id", "session_id"]).where(F.abs(F.col("pos") - F.col("trigger_pos")) <= window)
-    near = near.join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    near = kept(trigger.join(order, ["user_id", "session_id"]).where(F.abs(F.col("pos") - F.col("trigger_pos")) <= window))
+    among = (scored if every is None else every).select("query_id", "id").join(small(near.select("query_id", "id").distinct()), ["query_id", "id"], "left_semi")
+    near = near.join(among, ["query_id", "id"], "left_anti")
     first = near.groupBy("query_id", "id").agg(F.min(F.struct("rank", "trigger_id", "composite_score")).alias("m"))
     return first.select("query_id", "id", F.col("m.trigger_id").alias("trigger_id"), F.round(F.col("m.composite_score") * decay, 10).alias("composite_score"), F.lit("SESSION_CONTEXT").alias("path"))
 
@@ -187,9 +200,10 @@ def _further_hits(hits: DataFrame, every: DataFrame) -> DataFrame:
     return found.select(F.col("asked_id").alias("query_id"), F.col("node_id").alias("id"), "score")
 
 
-def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, config: S.Packing = S.Packing(), scopes: list[str] | None = None, few: bool = False) -> DataFrame:
+def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame | None, requests: DataFrame, config: S.Packing = S.Packing(), scopes: list[str] | None = None, few: bool = False) -> DataFrame:
     """Candidates of all four paths, merged and joined to their nodes: (query_id, id, scores, paths, node columns).
 
+    docs: the nodes' texts, None for their own content. Ids of nodes are distinct.
     requests: `analysis.analyze` rows with embedding and user_id (null: every user). Contested nodes are candidates too.
     Counting questions look three times as deep, up to 2,000. `few`: the caller has counted the requests, and what comes of them
     is small enough to be sent to the tables; otherwise sides are counted here.
@@ -203,43 +217,53 @@ def generate(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataF
     own = F.col("asker").isNull() | (F.col("user_id") == F.col("asker"))
     known = live.select("id", "user_id")
 
-    v = vectors.select("node_id", "embedding").join(known, F.col("node_id") == F.col("id")).select("node_id", "user_id", "embedding")
+    # few of the nodes may have vectors
+    owned = known.join(small(vectors.select(F.col("node_id").alias("id")), otherwise="shuffle_hash"), "id", "left_semi")
+    v = vectors.select("node_id", "embedding").join(owned, F.col("node_id") == F.col("id")).select("node_id", "user_id", "embedding")
     near = search.vector_topk_batch(v, requests.select("query_id", "user_id", "embedding"), most(config.vector_k))
     vector = near.join(asked, "query_id").where(F.col("rn") <= deep(config.vector_k)).select("query_id", F.col("node_id").alias("id"), "score")
 
-    d = docs.join(known.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    d = live.select(F.col("id").alias("node_id"), "content", "user_id") if docs is None else docs.join(known.select(F.col("id").alias("node_id")), "node_id", "left_semi")
     # the questions and what they fan out to in one pass over the texts
     further = _further(requests)
     said = requests.select(F.concat(F.lit("q|"), "query_id").alias("query_id"), "query", "user_id").unionByName(further.select(F.concat(F.lit("t|"), "term_id").alias("query_id"), "query", "user_id"))
-    every = search.bm25(d, said, most(config.lexical_k), hint=sent)
+    every = search.bm25(d, said, most(config.lexical_k), hint=sent, distinct=docs is None)
     of = lambda mark: every.where(F.col("query_id").startswith(mark)).withColumn("query_id", F.expr("substring(query_id, 3)"))
     hits = of("q|").join(asked, "query_id").where(F.col("rn") <= deep(config.lexical_k))
     lexical = search.minmax(hits.select("query_id", "node_id", "score")).select("query_id", F.col("node_id").alias("id"), "score")
     more = _further_hits(of("t|"), further)
 
     terms = requests.select("query_id", F.explode("entities").alias("term"))
-    seeds = graph.entity_seeds(live, terms).join(asked, "query_id").join(known.select(F.col("id").alias("seed"), "user_id"), "seed").where(own).select("query_id", "seed")
-    reach = graph.graph_candidates(live, edges, seeds, config.hops, most(config.graph_cap), requests.select("query_id", "time_from", "time_to"))
+    named = small(kept(graph.entity_seeds(live, terms).join(asked, "query_id")))
+    seeds = kept(known.withColumnRenamed("id", "seed").join(named, "seed").where(own).select("query_id", "seed"))
+    reach = graph.graph_candidates(live, edges, seeds, config.hops, most(config.graph_cap), requests.select("query_id", "time_from", "time_to"), ("user_id", "confidence", "created_at"))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("created_at"), "id"))
-    capped = reach.join(asked, "query_id").join(live.select("id", "user_id", "confidence", "created_at"), "id").where(own).withColumn("rn", rn)
+    capped = reach.join(asked, "query_id").where(own).withColumn("rn", rn)
     by_graph = capped.where(F.col("rn") <= deep(config.graph_cap)).select("query_id", "id", F.col("graph_proximity").alias("score"))
 
-    of_user, of_all = asked.where("asker IS NOT NULL").select("query_id", F.col("asker").alias("user_id")), asked.where("asker IS NULL").select("query_id")
-    pins = pinned(live).select("id", "user_id")
-    # a request without user has every pinned node as a candidate
-    pins = pins.join(sent(of_user), "user_id").select("query_id", "id").unionByName(pins.join(sent(of_all)).select("query_id", "id")).withColumn("score", F.lit(0.0))
+    # what is searched for is computed once, a few thousand rows a query, and sent to the nodes
+    first = _tagged({"GRAPH": (by_graph, "graph_proximity"), "VECTOR": (vector, "semantic_score"), "LEXICAL": (lexical, "lexical_score")})
+    found = small(kept(_merged(first, _tagged({"LEXICAL": (more, "lexical_score")}))))
+    # pinned nodes, which may be a share of all, are known where they lie; a request without user has every one as a candidate
+    pin, only = is_pinned() & own, F.array(F.lit("PINNED"))
+    # the semi-join goes below the nodes' projection, so columns are made of candidates only
+    met = live.join(found.select("id"), "id", "left_semi").join(found, "id").join(asked, "query_id").withColumn("pin", pin)
+    late = F.col("pin") & F.col("further")  # a pinned node is a candidate before further hits are
+    paths = F.when(late, only).when(F.col("pin"), F.array_sort(F.array_union("paths", only))).otherwise(F.col("paths"))
+    met = met.withColumns({"lexical_score": F.when(late, 0.0).otherwise(F.col("lexical_score")), "paths": paths})
 
-    # each path is computed once, a few thousand rows a query
-    first = kept(_tagged({"GRAPH": (by_graph, "graph_proximity"), "VECTOR": (vector, "semantic_score"), "LEXICAL": (lexical, "lexical_score"), "PINNED": (pins, "none")}))
-    extra = more.join(first.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
-    merged = _merged(first.unionByName(_tagged({"LEXICAL": (extra, "lexical_score")})))
-    return merged.join(live, "id")
+    of_user, of_all = asked.where("asker IS NOT NULL").select("query_id", F.col("asker").alias("user_id")), asked.where("asker IS NULL").select("query_id")
+    pins = pinned(live)
+    pins = pins.join(sent(of_user), "user_id").unionByName(pins.join(sent(of_all))).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    pins = pins.withColumns({**{s: F.lit(0.0) for s in SCORES}, "paths": only})
+    shown = ["id", "query_id", *SCORES, "paths", F.size("paths").alias("path_count"), *[c for c in live.columns if c != "id"]]
+    return met.select(*shown).unionByName(pins.select(*shown))
 
 
 FEW_REQUESTS = 10_000
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, now, weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), scopes: list[str] | None = None, mode: str = "default", knowledge_at=None, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+def retrieve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame | None, requests: DataFrame, now, weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), scopes: list[str] | None = None, mode: str = "default", knowledge_at=None, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
     """From analysed requests to ranked candidates: generation, bi-temporal and epistemic filters, scores, ranks, a model's opinion
     if there is one (`scorer`, see `rerank`), and what stands beside the best in their sessions (`with_context`)."""
     requests = kept(requests)  # questions are analysed once
@@ -248,21 +272,25 @@ def retrieve(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataF
     found = found.where(F.col("created_at") <= X.at(knowledge_at)) if knowledge_at is not None else found
     rows, _ = epistemic_filter(found, mode)
     asked = requests.select("query_id", "query", "intent", "is_current_state", "is_episodic", "time_from", "time_to")
-    out = ranked(score(rows.join(F.broadcast(asked) if n <= FEW_REQUESTS else asked, "query_id"), now, weights, current))
-    out = rerank(out, scorer) if scorer is not None else out
-    return with_context(out, nodes, config) if config.window > 0 else out
+    out = score(rows.join(F.broadcast(asked) if n <= FEW_REQUESTS else asked, "query_id"), now, weights, current)
+    if scorer is not None:
+        out = rerank(ranked(out), scorer)
+    return with_context(out, nodes, config) if config.window > 0 else out if scorer is not None else ranked(out)
 
 
 def with_context(scored: DataFrame, nodes: DataFrame, config: S.Packing = S.Packing()) -> DataFrame:
-    """Ranked rows and their `session_expand`, ranked anew by score and id. Context has no scores but that one."""
+    """Scored rows and their `session_expand`, ranked by score and id. Context has no scores but that one. Rows without ranks are
+    ranked for the best of them only, as all are ranked once, with their context."""
     scored = kept(scored)
-    context = session_expand(scored, nodes, config.window, config.window_top, config.window_decay).withColumn("paths", F.array("path")).drop("path", "trigger_id")
-    rows = context.join(nodes, "id").withColumns({**{s: F.lit(0.0) for s in SCORES}, "path_count": F.lit(1), "path_score": F.lit(1 / 3.0)})
+    best = scored if "rank" in scored.columns else ranked(scored, config.window_top)
+    context = session_expand(best, nodes, config.window, config.window_top, config.window_decay, scored).withColumn("paths", F.array("path")).drop("path", "trigger_id")
+    rows = nodes.join(small(kept(context)), "id").withColumns({**{s: F.lit(0.0) for s in SCORES}, "path_count": F.lit(1), "path_score": F.lit(1 / 3.0)})
     both = scored.drop("rank").unionByName(rows, allowMissingColumns=True)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("composite_score"), "id"))).select(*scored.columns)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("composite_score"), "id"))
+    return both.withColumn("rank", rank).select(*dict.fromkeys((*scored.columns, "rank")))
 
 
-def hints(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame, now, scopes: list[str], weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), mode: str = "default") -> DataFrame:
+def hints(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame | None, requests: DataFrame, now, scopes: list[str], weights: S.Weights = S.Weights(), config: S.Packing = S.Packing(), mode: str = "default") -> DataFrame:
     """The best candidates outside the scopes asked for, of a generation of their own that knows no scope and looks less deep."""
     shallow = replace(config, vector_k=2 * config.cross_scope, lexical_k=2 * config.cross_scope, window=0)
     return cross_scope(retrieve(nodes, edges, vectors, docs, requests, now, weights, shallow, None, mode), scopes, config.cross_scope)

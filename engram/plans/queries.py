@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engram import schema as S
 from engram.functions import expr as X
-from engram.functions.frames import scratch_folder
+from engram.functions.frames import kept, scratch_folder
 from engram.operators import analysis, graph, ingest, organizer, packing, quality, research, retrieval, search, store
 from engram.sources import tables as T
 from engram.streaming import ingest as streams
@@ -622,12 +622,13 @@ def stream_daily_counts(spark, sf):
 
 def _world(spark, sf):
     """The nodes, an entity per kind of event, and the edges from nodes to their kind's entity."""
-    nodes, kinds = T.nodes(spark, sf), T.read(spark, sf, "events").select(F.col("event_type").alias("content")).distinct()
+    nodes, events = T.nodes(spark, sf), T.read(spark, sf, "events")
+    kinds = kept(events.select(F.col("event_type").alias("content")).distinct())  # every scan of the nodes has them
     given = {"node_type": "entity", "lifecycle_state": "stable", "epistemic_type": "observed", "decay_profile": "slow", "scope": "system"}
     numbers = {"confidence": 0.9, "confidence_base": 0.9, "salience": 0.5, "salience_base": 0.5, "reinforcement_boost": 0.0}
     times = ("created_at", "updated_at", "valid_from", "last_reinforced_at")
     entities = kinds.withColumns({"id": F.concat(F.lit("e:"), "content"), "pinned": F.lit(False)} | {k: F.lit(v) for k, v in (given | numbers).items()} | {t: X.at("2024-01-01 00:00:00") for t in times})
-    edges = nodes.select(F.col("id").alias("source_id"), F.concat(F.lit("e:"), F.element_at(F.split("content", " "), 1)).alias("target_id"), F.lit("mentions").alias("edge_type"))
+    edges = events.select(F.col("event_id").cast("string").alias("source_id"), F.concat(F.lit("e:"), "event_type").alias("target_id"), F.lit("mentions").alias("edge_type"))
     return T.migrate(nodes, S.NODES).unionByName(T.migrate(entities, S.NODES)), edges
 
 
@@ -639,8 +640,7 @@ QUESTION = "when did 'purchase' 42 happen on 2024-01-12"
 def retrieve(spark, sf):
     nodes, edges = _world(spark, sf)
     vectors = T.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), "embedding")
-    asked = spark.createDataFrame([("q", QUESTION, None, query_vector(spark, sf))], "query_id string, query string, user_id string, embedding array<float>")
-    docs = nodes.select(F.col("id").alias("node_id"), "content")
-    scored = retrieval.retrieve(nodes, edges, vectors, docs, analysis.analyze(asked, NOW), NOW).where("rank <= 50")
+    asked = spark.createDataFrame([("q", QUESTION, None, query_vector(spark, sf))], "query_id string, query string, user_id string, embedding array<float>").coalesce(1)
+    scored = retrieval.retrieve(nodes, edges, vectors, None, analysis.analyze(asked, NOW), NOW).where("rank <= 50")
     terms = ["semantic_score", "lexical_score", "graph_proximity", "composite_score"]
     return scored.select("id", "node_type", *terms, F.array_join("paths", ",").alias("paths"), F.col("rank").cast("long").alias("rank")).transform(_r, *terms)

@@ -7,7 +7,9 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from engram import schema as S
-from engram.operators import ingest, organizer, research, search
+from engram.functions import expr as X
+from engram.functions.frames import scratch_folder
+from engram.operators import analysis, ingest, organizer, research, retrieval, search
 from engram.plans import queries
 from engram.sources import tables as T
 
@@ -184,3 +186,73 @@ def test_ways_of_all_nodes_equal_steps_one_by_one(spark, monkeypatch):
     assert len(asked) == 6  # many seeds carry their ways, no row a step in the rounds
     few = [tuple(r) for r in graph.supersedence_chain(edges, seeds.where("seed = 'n0'"), "forward").collect()]
     assert len(asked) == 6 and sorted(few) == sorted(("n0", i, f"n{i}") for i in range(13))
+
+
+def _shuffled(spark) -> int:
+    """Records written to shuffles so far."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def _remembered(spark, n: int, pinned: str):
+    """n nodes of two users, some pinned, and what the query's contract needs of them."""
+    ids = spark.range(n).withColumn("no", F.col("id"))
+    given = {"node_type": "fact", "lifecycle_state": "stable", "epistemic_type": "observed", "confidence": 0.5, "salience_base": 0.5, "confidence_base": 0.5}
+    rows = ids.withColumns({"id": F.lpad(F.col("no").cast("string"), 6, "0"), "user_id": F.when(F.col("no") % 2 == 0, "u").otherwise("v"), "content": F.concat(F.lit("word "), F.col("no").cast("string")), "salience": F.when(F.expr(pinned), 1.0).otherwise(0.5)} | {k: F.lit(v) for k, v in given.items()})
+    times = {c: X.at("2024-01-01 00:00:00") for c in ("created_at", "updated_at", "valid_from", "last_reinforced_at")}
+    return T.migrate(rows.withColumns({"session_id": F.col("id")} | times).drop("no"), S.NODES)
+
+
+def _ask(spark, nodes, rows, **how):
+    vectors = spark.createDataFrame([("000001", [1.0, 0.0])], "node_id string, embedding array<float>")
+    asked = spark.createDataFrame([(q, text, user, [1.0, 0.0]) for q, text, user in rows], "query_id string, query string, user_id string, embedding array<float>")
+    edges = spark.createDataFrame([], S.EDGES)
+    return retrieval.retrieve(nodes, edges, vectors, None, analysis.analyze(asked, T.NOW), T.NOW, **how)
+
+
+def test_retrieval_leaves_the_nodes_where_they_lie(spark):
+    n = 20_000
+    nodes = _remembered(spark, n, "no % 2 = 0")
+    nodes.write.mode("overwrite").parquet(folder := scratch_folder(spark, "nodes"))
+    nodes = spark.read.parquet(folder)
+    before = _shuffled(spark)
+    rows = _ask(spark, nodes, [("q", "find '77'", None)]).where("rank <= 5").collect()
+    assert len(rows) == 5 and _shuffled(spark) - before < 2 * n  # one narrow shuffle of the nodes is for the walk along the edges
+
+
+def test_pinned_candidates_and_further_hits(spark):
+    nodes = _remembered(spark, 40, "no < 4")
+    rows = _ask(spark, nodes, [("q", "see '7' and '3' and 21", None), ("p", "see '6' and '9'", "u")], config=S.Packing(lexical_k=1, window=0)).collect()
+    paths = {(r.query_id, r.id): (r.paths, r.path_count) for r in rows}
+    score = {(r.query_id, r.id): r.lexical_score for r in rows}
+    # without a user everybody's pinned nodes, else the user's own
+    assert {i for (q, i), (p, _) in paths.items() if q == "q" and "PINNED" in p} == {"000000", "000001", "000002", "000003"}
+    assert {i for (q, i), (p, _) in paths.items() if q == "p" and "PINNED" in p} == {"000000", "000002"}
+    assert paths["q", "000001"] == (["PINNED", "VECTOR"], 2)
+    # 3 is the question's best hit; 7 comes of its name alone; 6 is the user's, 9 is another's
+    assert paths["q", "000003"] == (["LEXICAL", "PINNED"], 2) and score["q", "000003"] == 1.0
+    assert paths["q", "000007"] == (["LEXICAL"], 1) and ("q", "000021") not in paths
+    assert paths["p", "000006"] == (["LEXICAL"], 1) and ("p", "000009") not in paths
+    # a pinned node that only a name finds is a candidate already
+    late = {r.id: r for r in _ask(spark, nodes, [("q", "see 0 '3'", None)], config=S.Packing(lexical_k=1, window=0)).collect()}["000003"]
+    assert late.paths == ["PINNED"] and late.lexical_score == 0.0
+
+
+def test_deep_ranks_in_two_steps_equal_one(spark):
+    scored = spark.range(5000).select(F.concat(F.lit("q"), F.col("id") % 2).alias("query_id"), F.col("id").cast("string").alias("node_id"), (F.col("id") % 97 / 7.0).alias("score"))
+    got = {(r.query_id, r.node_id, r.rn) for r in search.best_hits(scored, 1200).collect()}
+    want = set()
+    for q in ("q0", "q1"):
+        own = sorted((r for r in scored.collect() if r.query_id == q), key=lambda r: (-round(r.score, 8), r.node_id))
+        want |= {(q, r.node_id, i + 1) for i, r in enumerate(own[:1200])}
+    assert got == want
+
+
+def test_lengths_summed_in_place_give_the_same_scores(spark):
+    docs = spark.createDataFrame([("a", "red piano red"), ("b", ""), ("c", None), ("d", "piano in the attic"), ("e", "blue")], "node_id string, content string")
+    q = spark.createDataFrame([("q", "red piano"), ("p", "attic"), ("n", "nothing")], "query_id string, query string")
+    rows = lambda **how: {(r.query_id, r.node_id, round(r.score, 12), r.rn) for r in search.bm25(docs, q, 10, **how).collect()}
+    assert rows(distinct=True) == rows() != set() and rows(distinct=True, hint=F.broadcast) == rows()
+    assert search.bm25(docs.where("false"), q, 10, distinct=True).count() == 0
