@@ -37,6 +37,19 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the queries that run meanwhile go as soon as each ends, not when the driver next collects garbage, so that
+    those of several steps don't add up. A stage that still needs lost ones is run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """While it lasts, Python workers get batches of at most `rows` rows: texts and sets are long, so fewer of them are in
@@ -79,7 +92,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
-        with small_batches(self.spark):
+        with small_batches(self.spark), shuffles_removed(self.spark):
             (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

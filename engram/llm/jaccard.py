@@ -13,7 +13,8 @@
 4. Groups of several blocks: a few sets of each component found so far are joined with one another, which
    merges the parts of a group of near copies; then every set outside the group's largest component meets
    all sets of the group. A link between two components has an end outside the largest, so none is lost,
-   and a large group of near copies costs a pass over it, not all pairs of blocks.
+   and a large group of near copies costs a pass over it, not all pairs of blocks. This goes in rounds, so what is
+   written at once follows the sets; the time of a group without a large component is quadratic.
 5. A task tells only which sets are joined to the least of theirs, never pairs; of groups of several blocks these labels
    are closed to components.
 
@@ -34,7 +35,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm import textscan as ts
@@ -211,7 +212,9 @@ def _coarse_edges(rows: DataFrame, s: Scratch, rounds: int = 2) -> DataFrame:
     """Star edges of the keys, after leaving out classes that share fewer keys than any linked set would share with them.
 
     That is exact: a class with a link shares at least `need` keys with one other class. A popular passage
-    leaves a document a few shared keys, far fewer than needed, so passages alone chain nobody.
+    leaves a document a few shared keys, far fewer than needed, so passages alone chain nobody. Of the classes left, only
+    the rarest keys join: in one order of keys, the first of all that two linked classes share has less than `c - need + 1`
+    of either's `c` keys before it. So texts of many common passages, each shared with others, chain nobody either.
     """
     for i in range(rounds):
         enough = rows.groupBy("b", "lv").agg(F.count("*").alias("c"), F.max("need").alias("m")).where("c >= m").select("b", "lv")
@@ -220,8 +223,15 @@ def _coarse_edges(rows: DataFrame, s: Scratch, rounds: int = 2) -> DataFrame:
         rows = s.keep(rows.join(least, "a").select("a", "b", "lv", "need", "v"), f"keys-{i}")
         if i:
             s.drop(f"keys-{i - 1}")
-        edges, rows = rows, rows.drop("v")
-    return edges.where("b <> v").select(F.col("b").alias("u"), "v").distinct()
+        rows = rows.drop("v")
+    # of a class its rarest keys, one more than it can do without: linked classes share at least `need`, so also one of these
+    seen = rows.groupBy("a").agg(F.count("*").alias("f"))
+    spare = Window.partitionBy("b", "lv")
+    rows = rows.join(seen, "a").withColumn("i", F.row_number().over(spare.orderBy("f", "a"))).withColumn("c", F.count("*").over(spare))
+    rows = s.keep(rows.where("i <= c - need + 1").select("a", "b"), "rare")
+    s.drop(f"keys-{rounds - 1}")
+    least = rows.groupBy("a").agg(F.min("b").alias("v"), F.max("b").alias("x")).where("v < x").select("a", "v")
+    return rows.join(least, "a").where("b <> v").select(F.col("b").alias("u"), "v").distinct()
 
 
 class PrefixTree:
@@ -546,11 +556,17 @@ def _group_links(sets: DataFrame, s: Scratch, t: Fraction, block: int, block_set
     largest = size.groupBy("root").agg(F.max(F.struct("c", "label")).alias("m")).select("root", F.col("m.label").alias("largest"))
     told = known.join(largest, "root")
     outside = told.where("label <> largest").groupBy("root").agg(blocks.alias("h"))
-    placed = many.select("doc_id", "elements").join(told.join(outside, "root"), "doc_id")
-    every = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("j")).select(unit("root", _bucket("g"), "j"), F.lit(0).alias("side"), "doc_id", "label", "elements")
-    strays = placed.where("label <> largest").select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"))
-    strays = strays.select(unit("root", "i", _bucket("h")), F.lit(1).alias("side"), "doc_id", "label", "elements")
-    known = renamed(known, solved(every.unionByName(strays), "links-3"), "strays")
+    placed = many.select("doc_id", "elements").join(told.join(outside, "root"), "doc_id").withColumn("stray", F.when(F.col("label") != F.col("largest"), _bucket("h")))
+    # in rounds, as the sets of a group are written once for every block of strays that they meet: a round writes about twice what all sets take
+    most = outside.agg(F.max("h")).first()[0] or 0
+    large, of_all = many.agg(F.sum("size")).first()[0], sets.agg(F.sum(F.length("elements"))).first()[0] // 8
+    at_once, links = max(1, of_all // large), first.where("false")
+    for i in range(0, most, at_once):
+        every = placed.where(F.col("h") > i).select("*", F.explode(F.sequence(F.lit(i), F.least("h", F.lit(i + at_once)) - 1)).alias("j")).select(unit("root", _bucket("g"), "j"), F.lit(0).alias("side"), "doc_id", "label", "elements")
+        strays = placed.where((F.col("stray") >= i) & (F.col("stray") < i + at_once)).select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"))
+        strays = strays.select(unit("root", "i", "stray"), F.lit(1).alias("side"), "doc_id", "label", "elements")
+        links = links.unionByName(solved(every.unionByName(strays), f"links-3-{i}"))
+    known = renamed(known, links, "strays")
     single = settled.join(known.select(F.col("doc_id").alias("vertex")), "vertex", "left_anti")
     return single.unionByName(known.select(F.col("doc_id").alias("vertex"), F.col("label").alias("root")))
 

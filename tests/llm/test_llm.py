@@ -696,3 +696,24 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         common.shared_root(Cluster)
+
+
+def test_common_passages_chain_no_group(spark):
+    """Any two of twelve classes share one key, each of which is thereby shared, but a link would take ten; two others are linked."""
+    s = common.Scratch(spark, "test")
+    pairs = [(i, j) for i in range(12) for j in range(i + 1, 12)]
+    rows = [(100 * i + j, b, 0, 10) for i, j in pairs for b in (i, j)] + [(5000 + a, b, 0, 8) for a in range(10) for b in (50, 51)]
+    edges = jaccard._coarse_edges(spark.createDataFrame(rows, "a long, b long, lv long, need long"), s)
+    roots = {r.vertex: r.root for r in connected_components(edges, s, "groups").collect()}
+    assert roots[50] == roots[51] == 50
+    assert max(Counter(roots.values()).values()) <= 3
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    s = common.Scratch(spark, "test")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with common.shuffles_removed(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == "false"
+    kept = s.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert sorted(r["count"] for r in kept.collect()) == [142] + [143] * 6
