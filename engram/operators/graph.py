@@ -13,6 +13,7 @@ from engram.operators import match
 
 #: From so many seeds on, and for so many edges, the edges go to the frontiers.
 MANY_SEEDS, SENT_EDGES = 100, 2_000_000
+SENT_ROWS = 1_000_000  # of what is sent to results that grow with the square of the tables
 
 
 def both_ways(edges: DataFrame, edge_types: list[str] | None = None, once: bool = True) -> DataFrame:
@@ -30,23 +31,29 @@ def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, edge_types: lis
     them, a large one is looked up in parts by node), so nothing is made of edges that no frontier touches and edges are never
     sorted. With many seeds, whose last step may reach most nodes from each,
     it is the other way: frontiers lie by seed, and the edges they touch, once each, are sent to them, so what is reached is told
-    apart where it is made and never shuffled.
+    apart where it is made and never shuffled. Nodes beside a single node of all frontiers, which no seed has met before, are
+    reached once by each seed, so nothing is told apart of them: they are given out as they are made.
     """
     links = both_ways(edges, edge_types, False)
     seen = seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("hop"))
     many = seen.select("seed").limit(MANY_SEEDS + 1).count() > MANY_SEEDS
     front, out = seen, None
     for hop in range(1, max_hops + 1):
-        met = links
+        met, once = links, None
         if not many:  # of few seeds a node is in a frontier a few times at most
             front, seen = (F.broadcast(front), F.broadcast(seen)) if hop == 1 else (small(front, otherwise="shuffle_hash"), seen)
         if many and hop == max_hops:
             met = kept(links.join(small(front.select(F.col("node_id").alias("a")).distinct(), SENT_EDGES), "a", "left_semi").select("a", "b").distinct())
             if met.count() <= SENT_EDGES:
-                front, met, seen = front.repartition("seed"), F.broadcast(met), small(seen)
+                parts = int(front.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few rows, of which many are made
+                each = (front.select("seed", "node_id").distinct() if hop == 1 else front).repartition(parts, "seed")
+                lone = met.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a")).where("n = 1").select("a", "b")
+                lone = kept(lone.join(seen.select(F.col("node_id").alias("b")).distinct(), "b", "left_anti"))
+                once = each.join(F.broadcast(lone), each.node_id == lone.a).select("seed", F.col("b").alias("node_id"), F.lit(hop).alias("hop"))
+                front, met, seen = front.repartition("seed"), F.broadcast(met.join(lone.select("b"), "b", "left_anti")), small(seen, SENT_ROWS)
         step = front.join(met, front.node_id == met.a).select("seed", F.col("b").alias("node_id")).distinct()
         front = step.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
-        front = kept(front) if hop < max_hops else front
+        front = kept(front) if hop < max_hops else front if once is None else front.unionByName(once)
         out = front if out is None else out.unionByName(front)
         if hop < max_hops and front.isEmpty():
             break

@@ -274,3 +274,17 @@ def test_pairs_by_slices_of_blocks_are_all_pairs(spark):
     want = {(f"n{i:02d}", f"n{j:02d}") for i in range(60) for j in range(i + 1, 60) if unit[i] @ unit[j] >= 0.5}
     rows = similar_pairs(v, 0.5, block=4, slice_blocks=3).collect()
     assert {(r.a_id, r.b_id) for r in rows} == want and len(rows) == len(want)
+
+
+def test_nodes_beside_one_hub_are_given_out_once(spark, monkeypatch):
+    told, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: told.append((df.columns, df.count())) or kept(df))
+    pairs = [(f"x{i}", "hub") for i in range(150)] + [(f"y{i}", "hub") for i in range(40)] + [("x0", "side"), ("y0", "side")]
+    seeds = spark.createDataFrame([(f"x{i}",) for i in range(150)], "seed string")
+    got = [tuple(r) for r in graph.k_hop(edges_of(spark, pairs), seeds, 2).collect()]
+    links = {(a, b) for a, b in pairs} | {(b, a) for a, b in pairs}
+    near = {a: {b for x, b in links if x == a} for a, _ in links}
+    want = [(s, n, 1) for s in (f"x{i}" for i in range(150)) for n in near[s]]
+    want += [(s, n, 2) for s in (f"x{i}" for i in range(150)) for n in {b for m in near[s] for b in near[m]} - near[s] - {s}]
+    assert sorted(got) == sorted(want)
+    assert (["b", "a"], 39) in told  # y1 to y39; y0 has two ways to it
