@@ -100,6 +100,35 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10, edge_
     return out.where(F.size("path") <= max_hops + 1).select(*_PAIR, "path", (F.size("path") - 1).alias("hops"))
 
 
+def shortest_paths_across(edges: DataFrame, sources: DataFrame, targets: DataFrame, on: str, max_hops: int = 10, edge_types=None) -> DataFrame:
+    """sources: (source, on), targets: (target, on) -> what `shortest_paths` gives for the pairs that agree in `on`, of which
+    an end has one value.
+
+    The pairs are never made: what stands for the ends is paired, and ends join what is found between those, so only pairs
+    with a path take a row, and none has to be told apart from others.
+    """
+    sources, targets = (kept(x.select(end, on).distinct()) for x, end in ((sources, "source"), (targets, "target")))
+    ends = kept(sources.select(F.col("source").alias("id")).unionByName(targets.select(F.col("target").alias("id"))).distinct())
+    links = _without_ends(both_ways(edges, edge_types, False), ends)
+    one = kept(links.join(ends.withColumnRenamed("id", "a"), "a", "left_semi").groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).select(F.col("a").alias("id"), F.when(F.col("m") == F.col("x"), F.col("m")).otherwise(F.col("a")).alias("core")))
+    stand = lambda x, end, core: kept(x.join(small(one.select(F.col("id").alias(end), F.col("core").alias(core)), SENT_ROWS), end))
+    ahead, back = stand(sources, "source", "s"), stand(targets, "target", "t")
+    cores = kept(ahead.select(on, "s").distinct().join(back.select(on, "t").distinct(), on).select(F.col("s").alias("source"), F.col("t").alias("target")).distinct())
+    marks = cores.select(F.col("source").alias("id")).unionByName(cores.select(F.col("target").alias("id"))).distinct()
+    told = kept(_paths_between(kept(_without_ends(links, marks).distinct()), cores, max_hops).select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("path").alias("core")))
+    # an end beside the other: found by the links' own keys, and apart from the paths between what they stand for
+    near = ahead.join(targets.withColumnRenamed("target", "s"), [on, "s"]).select("source", F.col("s").alias("target"))
+    near = near.unionByName(back.join(sources.withColumnRenamed("source", "t"), [on, "t"]).select(F.col("t").alias("source"), "target")).where("source <> target")
+    same = sources.join(targets, (sources[on] == targets[on]) & (F.col("source") == F.col("target"))).select("source", "target")
+    beside = (F.col("s") == F.col("target")) | (F.col("t") == F.col("source"))
+    single = lambda c, x: F.when(F.col(c) != F.col(x), F.array(x)).otherwise(F.array().cast("array<string>"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few rows, of which many are made
+    met = ahead.repartition(parts, "source").join(small(told, SENT_ROWS), "s").join(small(back, SENT_ROWS), [on, "t"]).where((F.col("source") != F.col("target")) & ~beside)
+    out = met.select(*_PAIR, F.concat(single("s", "source"), "core", single("t", "target")).alias("path"))
+    out = out.unionByName(near.distinct().withColumn("path", F.array(*_PAIR))).unionByName(same.withColumn("path", F.array("source")))
+    return out.where(F.size("path") <= max_hops + 1).select(*_PAIR, "path", (F.size("path") - 1).alias("hops"))
+
+
 def _without_ends(links: DataFrame, stay: DataFrame, rounds: int = 4) -> DataFrame:
     """links (a, b) both ways, without nodes of a single link that are not among `stay` (id), and so on in rounds while many go."""
     stay, before = small(stay.withColumnRenamed("id", "a")), None

@@ -288,3 +288,15 @@ def test_nodes_beside_one_hub_are_given_out_once(spark, monkeypatch):
     want += [(s, n, 2) for s in (f"x{i}" for i in range(150)) for n in {b for m in near[s] for b in near[m]} - near[s] - {s}]
     assert sorted(got) == sorted(want)
     assert (["b", "a"], 39) in told  # y1 to y39; y0 has two ways to it
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_paths_across_equal_those_of_the_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = edges_of(spark, [(f"v{a}", f"v{b}") for a, b in rng.integers(0, 30, (34, 2)) if a != b] + [("w1", "w2")])
+    some = lambda *more: [(f"v{a}", int(a) % 3) for a in rng.integers(0, 30, 25)] + [("v0", 0), *more]
+    sources = spark.createDataFrame(some(("w1", 0)), "source string, m int")
+    targets = spark.createDataFrame(some(("w2", 0), ("no", 1)), "target string, m int")
+    rows = lambda df: sorted((r.source, r.target, tuple(r.path), r.hops) for r in df.collect())
+    want = rows(graph.shortest_paths(edges, sources.join(targets, "m").select("source", "target"), 6))
+    assert rows(graph.shortest_paths_across(edges, sources, targets, "m", 6)) == want
